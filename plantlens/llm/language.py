@@ -1,52 +1,62 @@
-"""Language identification by compression: the language whose zstandard dictionary makes a text smallest."""
+"""Language identification by compression: the language whose zstandard dictionary makes a text smallest.
+
+A language's raw-content dictionary is its words, the most frequent last (nearest to the text); matches of four bytes and
+more are allowed, so that short words count.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, utf8
+from .common import fold, held_out, utf8, written
 
-#: Documents a language's dictionary is made from at most, taken in the order of a hash of the text, and its size in bytes.
-SAMPLE_DOCS, DICTIONARY_BYTES = 400, 112_640
-LEVEL = 3
-#: A verdict is called narrow when the second best language takes less than this much more.
-MARGIN = 0.02
+#: Documents that a language's dictionary is made from at most (those of the smallest hashes), and its size in bytes.
+SAMPLE_DOCS, DICTIONARY_BYTES = 1000, 112_640
+LEVEL, LEAST_MATCH = 5, 4
+#: A verdict is narrow, to be rejected, when the second best language takes less than this share more.
+MARGIN = 0.01
 
 
 def fit_dictionaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from learnable rows: text and lang not null, id fold not 2.
 
-    The sample is bounded: of each language the sample_docs texts with the smallest hash among those of at most `size`
-    bytes (all of a language's texts are longer: these), whole texts joined up to `size` bytes. Exact copies count once.
-    The number of languages is that of distinct lang values.
+    Of each language sample_docs ids at most are taken; what comes to the driver is bounded by that, the dictionary size
+    and the number of languages. Exact copies count once.
     """
-    learn = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (fold(F.col(doc_id)) != 2) & F.col(text).rlike(r"\p{L}"))
-    row = learn.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), (F.octet_length(text) > size // 8).alias("long"), F.col(text).alias("t"))
-    # Smallest hashes by language: a first choice within each task's share of hashes, then among those left.
-    from pyspark.sql import Window
-
-    keyed = row.select("lang", "h", "long").distinct()
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("long", "h")
-    last = Window.partitionBy("lang").orderBy("long", "h")
-    chosen = keyed.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= sample_docs).withColumn("n", F.row_number().over(last)).where(F.col("n") <= sample_docs)
-    rows = row.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "long", "h", "t")
-    out: dict[str, bytearray] = {}
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r.lang, r.long, r.h)):
-        body = out.setdefault(r.lang, bytearray())
-        if len(body) < size:
-            body += utf8(r.t.lower())[: size - len(body)] + b"\n"
-    return {k: bytes(v) for k, v in sorted(out.items())}
+    learn = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != 2))
+    langs = sorted(r[0] for r in learn.select(lang).distinct().collect())
+    if not langs:
+        return {}
+    pick = lambda one: learn.where(F.col(lang) == one).select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
+    ids = reduce(DataFrame.unionByName, [pick(one) for one in langs])
+    texts = learn.join(F.broadcast(ids), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang"))).select("_lang", F.lower(text).alias("t")).distinct()
+    words = texts.select("_lang", F.explode(F.array_distinct(F.split("t", r"[\x20\x09-\x0D]+"))).alias("w")).where("w <> ''").groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = written(words, "words")
+    out = {}
+    for one in langs:
+        body: list[bytes] = []
+        used = 0
+        # A word takes two bytes at least, which bounds how many can be used.
+        for r in words.where(F.col("_lang") == one).orderBy(F.desc("n"), "w").limit(size // 2).toLocalIterator():
+            word = r.w.encode() + b" "
+            if used + len(word) > size:
+                break
+            body.append(word)
+            used += len(word)
+        out[one] = b"".join(reversed(body))
+    return {k: v for k, v in out.items() if v}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", into: str = "language", margin: float = MARGIN) -> DataFrame:
     """docs with a struct column `into`: lang, score, narrow, sizes.
 
     The whole text, lower-cased, is compressed once with each dictionary; the smallest wins, ties go to the
-    first language by name. score is 1 - best / second best, spread over 0 to 1; narrow marks a verdict to reject. Null
+    first language by name. score grows with 1 - best / second best, from 0.5 to 1; narrow marks a verdict to reject. Null
     texts, texts without a letter and any text when nothing was learned are `und` with score 0. Other columns pass
     through (one named `into` is replaced).
     """
@@ -59,8 +69,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
         coders = []
         for lang, body in shared.value.items():
             d = zstd.ZstdCompressionDict(body, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            coders.append((lang, zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            how = zstd.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(body), min_match=LEAST_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=how)
+            coders.append((lang, zstd.ZstdCompressor(compression_params=how, dict_data=d)))
         for texts in batches:
             rows = []
             for t in texts:
@@ -79,8 +90,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, narrow."""
-    from .common import held_out
-
     dictionaries = fit_dictionaries(docs, doc_id, text, lang)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     x = F.col("language")
