@@ -1,4 +1,4 @@
-"""The registered queries of the library, bound to the test tables, and their SQL."""
+"""The registered queries of the library: its operators bound to the test tables, each with SQL for the same result."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bound_context, bound_detection, bound_models, bound_reports, bound_series
+
+BINDINGS = (bound_context, bound_series, bound_reports, bound_detection, bound_models)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in BINDINGS for name, f in m.BOUND.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in BINDINGS for name, sql in m.BOUND.sql.items()}
