@@ -41,7 +41,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     seen = F.last("_right", ignorenulls=True).over(Window.partitionBy(*part).orderBy(time, "_side", edge).rowsBetween(START, 0))
     out = both.withColumn("_hit", seen).where("_side = 1")
     if bucket:
-        rights = both.where("_side = 0").groupBy(*part).agg((F.max_by if back else F.min_by)("_right", F.struct("_ts", F.col("_tie"))).alias("_edge"))
+        micros = F.unix_micros(F.col("_ts").cast("timestamp"))
+        rights = both.where("_side = 0").groupBy(*part).agg(F.max_by("_right", F.struct((micros if back else -micros).alias("t"), F.col("_tie"))).alias("_edge"))
         grid = both.where("_side = 1").select(*part).distinct().join(rights, part, "full")
         along = Window.partitionBy(*keys).orderBy(F.col("_bucket") if back else F.col("_bucket").desc()).rowsBetween(START, -1)
         carry = grid.withColumn("_carry", F.last("_edge", ignorenulls=True).over(along)).drop("_edge")
