@@ -1,13 +1,19 @@
 """DuckDB SQL for the queries whose whole result SQL can express."""
 
+from __future__ import annotations
+
+import math
+
+from .licenses import PHRASES, TEMPLATES, tokens_of
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_decontamination"] = r"""
 with dw as (
-    select doc_id, list_filter(string_split_regex(regexp_replace(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') as w
+    select doc_id, list_filter(string_split_regex(regexp_replace(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') as w
     from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)
 ), bw as (
-    select item_id, list_filter(string_split_regex(regexp_replace(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') as w
+    select item_id, list_filter(string_split_regex(regexp_replace(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') as w
     from (select item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from benchmark)
 ), windows as (
     select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as win
@@ -26,11 +32,11 @@ from dw d left join words_hit h using (doc_id) left join items i using (doc_id)
 
 ORACLES["op2_near_dedup"] = r"""
 with recursive words as (
-    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
     from documents
 ), sets as (
     select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-        else list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
     from words
 ), shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
 links as (
@@ -46,3 +52,30 @@ reach as (
 ), comp as (select a as doc_id, min(b) as component_id from reach group by 1)
 select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id, s.doc_id = c.component_id as kept from sets s join comp c using (doc_id)
 """
+
+
+def licenses_sql(threshold: float = 0.9) -> str:
+    """Containment of each template by brute force: every line against every template."""
+    rows = []
+    for label, notice in TEMPLATES:
+        tokens = sorted({t.decode() for t in tokens_of(notice)})
+        need = max(1, math.ceil(len(tokens) * threshold - 1e-9))
+        rows.append(f"('{label}', {tokens}, {need})")
+    phrases = ", ".join(f"('{label}', {phrase.split(' ')})" for phrase, label in PHRASES.items())
+    return rf"""
+with templates(label, tokens, need) as (values {", ".join(rows)}), phrases(label, parts) as (values {phrases}),
+low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+words as (select doc_id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from low),
+places as (select doc_id, label, i - 1 as word from (select doc_id, w, label, parts, unnest(range(1, len(w) + 1)) as i from words, phrases where list_has_all(w, parts)) where w[i : i + len(parts) - 1] = parts),
+base as (select doc_id, count(*) as n, min(word) as a, max(word) as b, string_agg(distinct label, ',' order by label) as labels from places group by 1),
+lines as (select doc_id, list_distinct(string_split_regex(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as s from (select doc_id, unnest(string_split(t, chr(10))) as line from low)),
+met as (select doc_id, label, len(list_intersect(s, tokens)) / len(tokens) as c from lines, templates where list_has_any(s, tokens) and len(list_intersect(s, tokens)) >= need),
+best as (select doc_id, max(c) as c from met group by 1),
+named as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from met union all select doc_id, label from places) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, b::bigint as last_word, coalesce(base.labels, '') as base_labels, coalesce(named.labels, '') as labels,
+    (case when n > 0 then 1.0 else coalesce(c, 0.0) end)::double as score
+from words left join base using (doc_id) left join best using (doc_id) left join named using (doc_id)
+"""
+
+
+ORACLES["op6_licenses"] = licenses_sql()
