@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, fresh
 
 #: Words of item windows in one automaton (about a node each); more items are scanned in further automata, and hits united.
 BLOCK_WORDS = 3_000_000
@@ -102,7 +102,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     parts = blocks(benchmark, item_id, item_text, size, block_words)
     if len(parts) == 1:
         return docs.withColumn(into, _hits(docs, text, parts[0], size))
-    names = [f"_{into}_{k}" for k in range(len(parts))]
+    names = [fresh(docs, f"{into}_{k}") for k in range(len(parts))]
     for name, items in zip(names, parts, strict=True):
         docs = docs.withColumn(name, _hits(docs, text, items, size))
     ranges = F.sort_array(F.flatten(F.array(*[F.col(f"{n}.hits") for n in names])))
@@ -130,5 +130,5 @@ def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **opti
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark window."""
-    into = "_contamination"
+    into = fresh(docs, "contamination")
     return mark(docs, benchmark, into=into, **options).where(F.col(f"{into}.n_hit") == 0).drop(into)

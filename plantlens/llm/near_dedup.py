@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spaced_words, written
+from .common import fresh, spaced_words, written
 from .graph import components
 
 SHINGLE, HASHES, ROWS, BATCH = 3, 125, 5, 25
@@ -258,5 +258,5 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """docs with one document of each group, that of the smallest id; of repeated rows of an id one stays, null ids all stay."""
     gone = classes(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
     left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
-    lone = F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())
-    return left.withColumn("_lone", lone).dropDuplicates([doc_id, "_lone"]).drop("_lone")
+    lone = fresh(docs, "lone")
+    return left.withColumn(lone, F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())).dropDuplicates([doc_id, lone]).drop(lone)

@@ -2,7 +2,7 @@
 
 A piece's length is at most the capacity, so the lengths of all pieces are a histogram of at most `capacity` numbers, and
 open bins differ only in what remains in them. Best-fit decreasing goes through the histogram from the longest length
-down: a segment tree over remaining capacities finds the tightest that fits, and a run of equal pieces takes a run of
+down: a segment tree over remaining capacities finds the tightest that fits, and a run of equal pieces fills a run of
 equal bins at a time, which gives the same packing as piece by piece. The result is a table of runs (length, rank of a
 piece among its length -> bin, offset), bounded by the capacity and not by the documents; Spark ranks the pieces of each
 length and looks their runs up.
@@ -14,7 +14,10 @@ import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 CAPACITY = 4096
-#: Words whose ids a Python worker remembers; beyond it, the memory starts anew.
-MEMO_WORDS = 600_000
+#: Words whose ids a Python worker remembers; beyond it, the half learned last is forgotten.
+MEMO_WORDS = 300_000
 #: Groups that the pieces of one length are ranked in.
 RANK_BUCKETS = 512
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -60,7 +63,11 @@ class Tightest:
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, end rank, first bin, offset): pieces of these ranks go to consecutive bins at the offset."""
+    """Runs (length, first rank, end rank, first bin, offset): pieces of these ranks go to consecutive bins at the offset.
+
+    The tightest bin that fits a piece stays the tightest for the next of its length until it is too full, so the bins
+    of a class are filled one after the other, each as far as it goes; where no bin fits, new ones are filled alike.
+    """
     tree = Tightest(capacity)
     open_bins: dict[int, deque] = defaultdict(deque)  # remaining -> runs of bins [first, end)
 
@@ -72,56 +79,97 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     runs, bins = [], 0
     for length in sorted(histogram, reverse=True):
         rank, todo = 0, histogram[length]
-        while todo and (remaining := tree.find(length)) is not None:
-            first, end = open_bins[remaining].popleft()
-            taken = min(todo, end - first)
-            tree.add(remaining, first - end)
-            keep(remaining, first + taken, end)
-            keep(remaining - length, first, first + taken)
-            runs.append((length, rank, rank + taken, first, capacity - remaining))
-            rank, todo = rank + taken, todo - taken
-        # No open bin fits: each new bin is the tightest until it is full.
-        each = capacity // length
-        full, rest = divmod(todo, each)
-        for k in range(each if todo else 0):
-            n = full + (k < rest)
-            runs.append((length, rank, rank + n, bins, k * length))
-            rank += n
-        keep(capacity - each * length, bins, bins + full)
-        keep(capacity - rest * length, bins + full, bins + full + (rest > 0))
-        bins += full + (rest > 0)
-    return [r for r in runs if r[2] > r[1]]
+        while todo:
+            remaining = tree.find(length)
+            if remaining is None:
+                remaining, first = capacity, bins
+                end = bins = bins + -(-todo // (capacity // length))
+            else:
+                first, end = open_bins[remaining].popleft()
+                tree.add(remaining, first - end)
+            each = remaining // length
+            full, rest = divmod(min(todo, (end - first) * each), each)
+            for k in range(each):
+                n = full + (k < rest)
+                if n:
+                    runs.append((length, rank, rank + n, first, capacity - remaining + k * length))
+                rank, todo = rank + n, todo - n
+            part = first + full
+            keep(remaining - each * length, first, part)
+            keep(remaining - rest * length, part, part + (rest > 0))
+            keep(remaining, part + (rest > 0), end)
+    return runs
 
 
 class WordIds:
-    """Token ids of a text as little-endian unsigned 32-bit bytes, word by word.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word.
 
-    The tokenizer splits at white space itself and drops it, so the ids of a text are those of its words in a row.
+    The tokenizer splits at white space itself and drops it, so the ids of a text are those of its words in a row. New
+    words are encoded together, a mark of one known id between them; words that hold the mark are encoded alone.
     """
 
+    MARK, TAIL = "\u00b7", b".,!?:;|*#$%&"
+
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
         self.memo_words = memo_words
+        mark = self.encoded(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.memo))
-        if len(self.memo) + len(new) > self.memo_words:
-            self.memo.clear()
-            new = list(words)
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded, strict=True):
-                ids = e.ids
-                self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def of(self, text: str | None) -> bytes:
-        words = utf8(text).split()
-        self.learn(set(words))
-        return b"".join([self.memo[w] for w in words])
+        """Ids of words that aren't known. The tokenizer parts letters from marks, so letters and the marks after them are
+        learned by themselves, and a word's ids are both in a row; ASCII letters are lower-cased first, as it does."""
+        memo = self.memo
+        parts, new = [], set()
+        for w in words:
+            core = w.rstrip(self.TAIL)
+            if core and (core.isalpha() or core.decode("utf-8", "replace").isalpha()):
+                low, tail = core.lower(), w[len(core) :]  # bytes.lower leaves all but A-Z as it is
+                if low not in memo:
+                    new.add(low)
+                if tail and tail not in memo:
+                    new.add(tail)
+                if tail or low != w:
+                    parts.append((w, low, tail))
+            else:
+                new.add(w)
+        self.encode_all(new)
+        for w, low, tail in parts:
+            memo[w] = memo[low] + memo[tail] if tail else memo[low]
+
+    def encode_all(self, words: set[bytes]) -> None:
+        mark = self.MARK.encode()
+        joint = [w for w in words if mark not in w] if self.mark is not None else []
+        for w in words.difference(joint):
+            self.memo[w] = np.array(self.encoded(w.decode("utf-8", "replace")), "<u4").tobytes()
+        for start in range(0, len(joint), 5000):
+            part = joint[start : start + 5000]
+            ids = np.array(self.encoded(f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in part])), "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            raw, at = ids.tobytes(), 0
+            for w, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
+                self.memo[w] = raw[4 * at : 4 * cut]
+                at = cut + 1
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        split = [utf8(t).split() for t in texts]
+        if len(self.memo) > self.memo_words:  # the words learned first are mostly the frequent ones
+            self.memo = dict(islice(self.memo.items(), self.memo_words // 2))
+        self.learn(set().union(*split).difference(self.memo))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, kept between its tasks."""
+    return WordIds(path)
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[dict[str, int]]:
@@ -139,9 +187,9 @@ def tokenized(docs: DataFrame, path: str, text: str = "text", into: str = "piece
 
     @F.pandas_udf(PIECES)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         for texts in batches:
-            yield pd.Series([pieces_of(ids.of(t), capacity) for t in texts])
+            yield pd.Series([pieces_of(i, capacity) for i in ids.of(texts.tolist())])
 
     return docs.withColumn(into, cut(F.col(text)))
 
@@ -161,8 +209,6 @@ def place(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("
 
     @F.pandas_udf("sequence_id long, offset long")
     def find(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
         keys, firsts, bins, offsets = (np.array(c, dtype=np.int64) for c in shared.value)
         rank = ranks.to_numpy(dtype=np.int64)
         run = np.searchsorted(keys, (-lengths.to_numpy(dtype=np.int64) << 40) | rank, side="right") - 1

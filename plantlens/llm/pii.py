@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: 0 is none of the kinds.
 LABELS = 1 + len(KINDS)
 #: Rounds of message passing, damping, characters between chain neighbours, least posterior of an added span.
 ROUNDS, DAMPING, REACH, SURE = 12, 0.5, 80, 0.9
 #: Added to each count; the least log potential of agreeing skip neighbours.
-SMOOTH, LEAST_SKIP = 0.5, 1.5
+SMOOTH, LEAST_SKIP, MOST_SKIP = 0.5, 4.0, 6.0
 
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -166,7 +168,7 @@ class Field:
             # A label of the patterns is sure, none of them isn't: only agreement on a kind is rewarded.
             if label:
                 same = self.log[f"s{label}"][label] - np.log(marginal[label]) if f"s{label}" in sums else 0.0
-                self.skip[label, label] = float(np.clip(same, LEAST_SKIP, 4.0))
+                self.skip[label, label] = float(np.clip(same, LEAST_SKIP, MOST_SKIP))
 
     def unary(self, run: str) -> np.ndarray:
         fine, coarse = features(run)
@@ -280,4 +282,5 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the spans in their texts replaced by kinds in angle brackets."""
-    return marked(docs, text, "_pii", redact=True).withColumn(text, F.col("_pii.redacted")).drop("_pii")
+    into = fresh(docs, "pii")
+    return marked(docs, text, into, redact=True).withColumn(text, F.col(f"{into}.redacted")).drop(into)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 WINDOW = 5
 KEEP = 0.5
@@ -47,7 +47,7 @@ def repeated_words(windows: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
     """docs with a struct column `into` of the measures; null text has no words."""
-    t, words, windows = f"_{into}_text", f"_{into}_words", f"_{into}_windows"
+    t, words, windows = (fresh(docs, f"{into}_{c}") for c in ("text", "words", "windows"))
     x = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     x = x.withColumn(words, F.array_remove(F.split(F.col(t), f"{SPACE}+"), ""))
     w = F.col(words)
@@ -149,5 +149,5 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def filtered(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFrame:
     """docs without those that the rules reject."""
-    into = "_quality"
+    into = fresh(docs, "quality")
     return judged(docs, text, into, keep).where(F.col(f"{into}.kept")).drop(into)
