@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plantlens.llm import decontamination, near_dedup, packing, pii, quality
-from plantlens.llm.common import table, written
+from plantlens.llm.common import modest_batches, table, written
 from plantlens.llm.queries import vocabulary_path
 
 
@@ -16,6 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    modest_batches(spark)
     return near_dedup.deduplicated(docs)
 
 
@@ -26,13 +28,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced, n_chars as the new text has."""
-    from pyspark.sql import functions as F
-
+    modest_batches(spark)
     return pii.redacted(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in packed sequences."""
+    modest_batches(spark)
     return packing.pack(docs, vocabulary_path())
 
 
