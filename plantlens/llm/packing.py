@@ -10,6 +10,7 @@ length and looks their runs up.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections import defaultdict, deque
@@ -26,7 +27,7 @@ from .common import utf8
 
 CAPACITY = 4096
 #: Words whose ids a Python worker remembers; beyond it, the half learned last is forgotten.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_000_000
 #: Groups that the pieces of one length are ranked in.
 RANK_BUCKETS = 512
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -104,11 +105,15 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, word by word.
 
-    The tokenizer splits at white space itself and drops it, so the ids of a text are those of its words in a row. New
-    words are encoded together, a mark of one known id between them; words that hold the mark are encoded alone.
+    The tokenizer lower-cases, drops white space and never joins what white space or the step from a letter to a mark
+    parts (but for apostrophes). So texts are lower-cased in ASCII, marks are set off from the letters before them, and
+    the ids of a text are those of its words in a row. New words are encoded together, a separator of one known id
+    between them; words that hold the separator are encoded alone, and so are texts that may hold a special token.
     """
 
-    MARK, TAIL = "\u00b7", b".,!?:;|*#$%&"
+    SEPARATOR, SPECIAL = "\u00b7", b"<|"
+    LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    MARK_AFTER_LETTER = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)")
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
@@ -116,54 +121,39 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
         self.memo_words = memo_words
-        mark = self.encoded(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
+        one = self.encoded(self.SEPARATOR)
+        self.separator = one[0] if len(one) == 1 else None
 
     def encoded(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def packed(self, text: str) -> bytes:
+        return np.array(self.encoded(text), "<u4").tobytes()
+
     def learn(self, words: set[bytes]) -> None:
-        """Ids of words that aren't known. The tokenizer parts letters from marks, so letters and the marks after them are
-        learned by themselves, and a word's ids are both in a row; ASCII letters are lower-cased first, as it does."""
-        memo = self.memo
-        parts, new = [], set()
-        for w in words:
-            core = w.rstrip(self.TAIL)
-            if core and (core.isalpha() or core.decode("utf-8", "replace").isalpha()):
-                low, tail = core.lower(), w[len(core) :]  # bytes.lower leaves all but A-Z as it is
-                if low not in memo:
-                    new.add(low)
-                if tail and tail not in memo:
-                    new.add(tail)
-                if tail or low != w:
-                    parts.append((w, low, tail))
-            else:
-                new.add(w)
-        self.encode_all(new)
-        for w, low, tail in parts:
-            memo[w] = memo[low] + memo[tail] if tail else memo[low]
-
-    def encode_all(self, words: set[bytes]) -> None:
-        mark = self.MARK.encode()
-        joint = [w for w in words if mark not in w] if self.mark is not None else []
-        for w in words.difference(joint):
-            self.memo[w] = np.array(self.encoded(w.decode("utf-8", "replace")), "<u4").tobytes()
+        held = self.SEPARATOR.encode()
+        joint = [w for w in words if held not in w] if self.separator is not None else []
+        if len(joint) < len(words):
+            for w in words.difference(joint):
+                self.memo[w] = self.packed(w.decode("utf-8", "replace"))
+        between = b" " + held + b" "
         for start in range(0, len(joint), 5000):
             part = joint[start : start + 5000]
-            ids = np.array(self.encoded(f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in part])), "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
+            ids = np.array(self.encoded(between.join(part).decode("utf-8", "replace")), "<u4")
+            cuts = np.flatnonzero(ids == self.separator)
             raw, at = ids.tobytes(), 0
             for w, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
                 self.memo[w] = raw[4 * at : 4 * cut]
                 at = cut + 1
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [utf8(t).split() for t in texts]
+        raws = [utf8(t) for t in texts]
+        split = [[] if self.SPECIAL in r else self.MARK_AFTER_LETTER.sub(rb" \g<0>", r.translate(self.LOWER)).split() for r in raws]
         if len(self.memo) > self.memo_words:  # the words learned first are mostly the frequent ones
             self.memo = dict(islice(self.memo.items(), self.memo_words // 2))
         self.learn(set().union(*split).difference(self.memo))
         get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [self.packed(r.decode("utf-8", "replace")) if self.SPECIAL in r else b"".join(map(get, words)) for r, words in zip(raws, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
