@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(ROUNDS):
         turned = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = turned.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written, so that the join below shuffles both sides and Spark can split the neighbours of a hub over tasks.
+        least = written(turned.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # Large-star: every neighbour above u goes to the least of u's neighbourhood.
         large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small-star: u and its neighbours below it go to the least of those.
