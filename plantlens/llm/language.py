@@ -18,6 +18,9 @@ from .common import fold, held_out, utf8, written
 #: Documents that a language's dictionary is made from at most (those of the smallest hashes), and its size in bytes.
 SAMPLE_DOCS, DICTIONARY_BYTES = 1000, 112_640
 LEVEL, LEAST_MATCH = 5, 4
+#: Blanks after each text: a block that doesn't shrink is stored as it is, alike for all languages; with them even the
+#: shortest text's block shrinks, and what of it the dictionary holds counts.
+PAD = b" " * 64
 #: A verdict is narrow, to be rejected, when the second best language takes less than this share more.
 MARGIN = 0.01
 
@@ -78,7 +81,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                 if not coders or not t or not any(map(str.isalpha, t)):
                     rows.append(("und", 0.0, True, []))
                     continue
-                raw = utf8(t.lower())
+                raw = utf8(t.lower()) + PAD
                 sizes = [len(c.compress(raw)) for _, c in coders]
                 order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
                 gap = 1.0 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
