@@ -32,8 +32,8 @@ SHINGLE, HASHES, ROWS, BATCH = 3, 125, 5, 25
 THRESHOLD = 85
 #: A pair is pruned when its chance to reach the threshold is under this.
 MISS = 1e-6
-#: Members of a bucket, and shingles of cluster members, that one block holds.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Members of a bucket or cluster, and shingles of a cluster's members, that one block holds.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1500, 2_000_000
 SIGNED = "n_shingles long, set_key binary, signature binary"
 
 
@@ -80,24 +80,6 @@ def least_matches(threshold: float, miss: float, hashes: int = HASHES, batch: in
     return out
 
 
-class Forest:
-    """Union-find over row numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def survivors(row: np.ndarray, others: np.ndarray, least: list[int], batch: int = BATCH) -> np.ndarray:
     """Numbers of the signatures among `others` that no batch's posterior prunes against `row`."""
     alive, matches = np.arange(len(others)), np.zeros(len(others), np.int32)
@@ -152,26 +134,37 @@ def groups_in(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def small_groups(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd.DataFrame]:
-    """Forests of buckets: `key`, left, right, _block, rep, signature sorted by key and block pair."""
+def forest(df: pd.DataFrame, sig: np.ndarray, least: list[int], linked) -> pd.DataFrame:
+    """Links (a, b) that connect what `linked` confirms among the members of one pair of blocks.
+
+    Members that are connected already aren't compared; of the others, those that the posterior leaves are tried from the
+    most matches down. The labels of connected members are an array as long as a block.
+    """
+    n, reps, block = len(df), df["rep"].to_numpy(), df["_block"].to_numpy()
+    cross = df["left"].iat[0] != df["right"].iat[0]
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        open_ = label[i + 1 :] != label[i]
+        if cross:
+            open_ &= block[i + 1 :] != block[i]
+        others = np.flatnonzero(open_) + i + 1
+        if not len(others):
+            continue
+        alive = others[survivors(sig[i], sig[others], least)]
+        for j in alive[np.argsort(-(sig[alive] == sig[i]).sum(axis=1), kind="stable")].tolist():
+            if label[i] != label[j] and linked(i, j):
+                label[label == label[j]] = label[i]
+                out.append((reps[i], reps[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def candidates(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd.DataFrame]:
+    """Forests of buckets: key, left, right, _block, rep, signature sorted by the first three."""
     for df in groups_in(batches, ["key", "left", "right"]):
-        n = len(df)
-        reps, block = df["rep"].to_numpy(), df["_block"].to_numpy()
-        sig = np.frombuffer(b"".join(df["signature"]), np.uint32).reshape(n, HASHES)
-        cross = df["left"].iat[0] != df["right"].iat[0]
-        forest, out = Forest(n), []
-        roots = np.arange(n)
-        for i in range(n - 1):
-            others = np.flatnonzero((roots[i + 1 :] != roots[i]) & ((block[i + 1 :] != block[i]) if cross else True)) + i + 1
-            if len(others):
-                linked = others[survivors(sig[i], sig[others], least)]
-                for j in linked:
-                    if forest.join(i, int(j)):
-                        out.append((reps[i], reps[j]))
-                if len(linked):
-                    roots = np.array([forest.find(k) for k in range(n)])
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+        sig = np.frombuffer(b"".join(df["signature"]), np.uint32).reshape(len(df), HASHES)
+        out = forest(df, sig, least, lambda i, j: True)
+        if len(out):
+            yield out
 
 
 def linked_sets(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -185,32 +178,11 @@ def confirmed(batches: Iterator[pd.DataFrame], least: list[int], threshold: int,
     """Exact links that connect the members of clusters: cluster, left, right, _block, rep, text sorted by the first three."""
     a, b = hash_family(HASHES)
     for df in groups_in(batches, ["cluster", "left", "right"]):
-        n = len(df)
-        reps, block = df["rep"].to_numpy(), df["_block"].to_numpy()
         sets = [shingles(t, shingle) for t in df["text"]]
         sig = np.array([signature(s, a, b) for s in sets])
-        sizes = np.array([len(s) for s in sets])
-        cross = df["left"].iat[0] != df["right"].iat[0]
-        forest, out = Forest(n), []
-        roots = np.arange(n)
-        for i in range(n - 1):
-            near = (roots[i + 1 :] != roots[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) * 100 >= threshold * np.maximum(sizes[i + 1 :], sizes[i]))
-            others = np.flatnonzero(near & ((block[i + 1 :] != block[i]) if cross else True)) + i + 1
-            if not len(others):
-                continue
-            changed = False
-            alive = others[survivors(sig[i], sig[others], least)]
-            alive = alive[np.argsort(-(sig[alive] == sig[i]).sum(axis=1), kind="stable")]
-            for j in alive:
-                j = int(j)
-                if forest.find(i) != forest.find(j) and linked_sets(sets[i], sets[j], threshold):
-                    forest.join(i, j)
-                    out.append((reps[i], reps[j]))
-                    changed = True
-            if changed:
-                roots = np.array([forest.find(k) for k in range(n)])
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+        out = forest(df, sig, least, lambda i, j: linked_sets(sets[i], sets[j], threshold))  # noqa: B023
+        if len(out):
+            yield out
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
@@ -236,12 +208,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     met = bands.join(full, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK_MEMBERS)).drop("members")
     met = blocked(met, "key", "rep", "blocks").join(reps.select("rep", "signature"), "rep")
     parts = met.select("key", "left", "right", "_block", "rep", "signature").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    forest = parts.mapInPandas(lambda batches: small_groups(batches, least), "a long, b long")
-    clusters = components(forest)
+    pairs = parts.mapInPandas(lambda batches: candidates(batches, least), "a long, b long")
+    clusters = components(pairs)
 
     # Texts of clustered classes, once; blocks by how many shingles a cluster has.
     members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps.select("rep", "n"), "rep")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("n") / BLOCK_MEMBERS))
+    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"))
     members = members.join(sizes, "cluster").select("rep", "cluster", "blocks")
     texts = slim.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     parts = blocked(texts, "cluster", "rep", "blocks").select("cluster", "left", "right", "_block", "rep", "text").repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
