@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from . import urls
 from .licenses import PHRASES, TEMPLATES, tokens_of
 
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,40 @@ from words left join base using (doc_id) left join best using (doc_id) left join
 
 
 ORACLES["op6_licenses"] = licenses_sql()
+
+
+def urls_sql() -> str:
+    """Rules, links and all rounds of both propagations written out; the Spark version may stop before the last round."""
+    fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
+    longest = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in longest)
+    verdict = " ".join(f"when {fits(h, p)} then '{kind}'" for kind, h, p in longest)
+    host = r"translate(coalesce(regexp_extract({0}, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    after = "case when instr({0}, '://') > 0 then substr({0}, instr({0}, '://') + 3) else '' end"
+    link = urls.LINK.replace("'", "''")
+    rounds = "".join(
+        f"""
+s{k} as (select kind, host, sum(got) as score from (
+    select kind, host, got from m{k}
+    union all select seeds.kind, host, weight * (1 - coalesce(moved, 0)) from seeds left join (select kind, sum(got) as moved from m{k} group by 1) t on seeds.kind = t.kind) group by 1, 2),
+m{k + 1} as (select s.kind, dst as host, sum({urls.DAMPING} * score * share) as got from s{k} s join shares e on s.kind = e.kind and s.host = e.src group by 1, 2),"""
+        for k in range(1, urls.ROUNDS + 1)
+    )
+    return rf"""
+with a as (select page_id, html, {after.format('url')} as t from pages),
+p as (select page_id, html, {host.format('t')} as host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) as path from a),
+r as (select *, case {rule} end as rule, case {verdict} end as by_rule from p),
+seeds as (select kind, host, n / sum(n) over (partition by kind) as weight from (select by_rule as kind, host, count(*) as n from r where by_rule is not null and host <> '' group by 1, 2)),
+u as (select host as src, case when starts_with(x, '//') then 'x:' || x else x end as x from (select host, unnest(list_distinct(list_filter(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda y: contains(y, '//')))) as x from r)),
+l as (select src, {host.format(after.format('x'))} as dst from u),
+one_way as (select src, dst, count(*) as n from l where src <> '' and dst <> '' and src <> dst group by 1, 2),
+edges as (select 'allow' as kind, src, dst, n from one_way union all select 'block', dst, src, n from one_way),
+shares as (select kind, src, dst, n / sum(n) over (partition by kind, src) as share from edges),
+m1 as (select s.kind, dst as host, sum({urls.DAMPING} * weight * share) as got from seeds s join shares e on s.kind = e.kind and s.host = e.src group by 1, 2),{rounds}
+hosts as (select host as h, coalesce(sum(score) filter (where kind = 'allow'), 0) as trust, coalesce(sum(score) filter (where kind = 'block'), 0) as distrust from s{urls.ROUNDS} group by 1)
+select page_id, host, path, rule, coalesce(by_rule, case when coalesce(distrust, 0) > {urls.RATIO} * coalesce(trust, 0) then 'block' else 'allow' end) as verdict
+from r left join hosts on host = h
+"""
+
+
+ORACLES["op5_url_filter"] = urls_sql()

@@ -34,3 +34,22 @@ def test_stages_keep_the_columns(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").limit(50)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert set(stage(spark, docs, sf_dir).columns) == set(docs.columns)
+
+
+def test_urls_sql_with_links(spark):
+    import random
+
+    import duckdb
+
+    from plantlens.llm import urls
+
+    rng = random.Random(11)
+    hosts = [f"{a}.example.{b}" for a in "pqrst" for b in ("com", "net", "org")]
+    rows = []
+    for i in range(150):
+        links = "".join(f'<a href="{rng.choice(["http://", "//"])}{rng.choice(hosts)}/x">' for _ in range(rng.randrange(3)))
+        rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['en/7', 'en/1', 'de/1', 'de/8', 'es/', 'fr/'])}", links))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert_same(urls.report(pages), con.sql(queries.oracle_sql()["op5_url_filter"]))
