@@ -78,7 +78,8 @@ def token_frequency(docs: DataFrame, templates: list[tuple[str, str]], text: str
         for texts in batches:
             yield pd.Series([list(known.intersection(tokens_of(t))) for t in texts])
 
-    rows = docs.select(F.explode(held(F.col(text))).alias("token")).groupBy("token").count().collect()
+    # Outer, as of a plain explode Spark would infer a filter and so evaluate the function twice.
+    rows = docs.select(F.explode_outer(held(F.col(text))).alias("token")).where("token is not null").groupBy("token").count().collect()
     return {bytes(r[0]): r[1] for r in rows}
 
 

@@ -222,5 +222,6 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     from .common import written
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    pieces = tokenized(slim, path, capacity=capacity).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
+    # Every document has a piece; of a plain explode Spark would infer a filter, and so evaluate the tokenizer twice.
+    pieces = tokenized(slim, path, capacity=capacity).select("doc_id", F.explode_outer("pieces").alias("p")).select("doc_id", "p.*")
     return place(written(pieces, "pieces"), capacity=capacity)

@@ -226,7 +226,8 @@ def fit(docs: DataFrame, text: str = "text") -> dict[tuple[str, int], int]:
     def events(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"event": e, "label": k} for e, k in counted(t)])
 
-    rows = docs.select(F.explode(events(F.col(text))).alias("e")).groupBy("e.event", "e.label").count().collect()
+    # Outer, as of a plain explode Spark would infer a filter and so evaluate the function twice.
+    rows = docs.select(F.explode_outer(events(F.col(text))).alias("e")).where("e is not null").groupBy("e.event", "e.label").count().collect()
     return {(r[0], r[1]): r[2] for r in rows}
 
 
