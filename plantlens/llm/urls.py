@@ -98,7 +98,8 @@ def judged(pages: DataFrame, url: str = "url", html: str = "html", page_id: str
     edges = one_way.select(F.lit("allow").alias("kind"), "src", "dst", "n").unionByName(one_way.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     scores = propagated(edges, seeds)
     hosts = scores.groupBy(F.col("host").alias("_host")).agg(F.sum(F.when(F.col("kind") == "allow", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("score"))).alias("distrust"))
-    out = ruled.drop("html").join(hosts, F.col("host") == F.col("_host"), "left")
+    # Written, so that Spark knows its size: it is broadcast if small, else joined with the pages of a hot host split.
+    out = ruled.drop("html").join(written(hosts, "hosts"), F.col("host") == F.col("_host"), "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     by_host = F.when(distrust > ratio * trust, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
