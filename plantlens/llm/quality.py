@@ -1,8 +1,9 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. How often a rule votes each way on good and on bad
-documents is not known; expectation-maximisation estimates it, with the share of good documents, from how the votes of
-all documents fall together. A document is kept when its posterior probability of being good reaches a threshold.
+Each rule votes good (1), bad (-1) or abstains (0) on a document. How often it votes each way on bad documents is estimated
+by expectation-maximisation from how the votes of all documents fall together; that it seldom votes bad on good documents,
+and the class balance, are beliefs the votes can't correct where a rule votes bad alone (the README has the figures). A
+document is kept when its posterior probability of being good reaches a threshold.
 """
 
 from __future__ import annotations
