@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and phrase places.
 
-A block (line) meets a template when it holds at least `threshold` of the template's distinct tokens. Tokens are ordered
-by document frequency over the whole corpus, rarest first. Of a template with n tokens, a block must hold k = ceil(n *
-threshold); so it must hold one of the n - k + 1 rarest (prefix filter) and have k tokens at least (length filter), and
-when its first shared token is the i-th, at most n - i tokens can be shared (positional filter). What passes is counted.
+A template's blocks are all windows of consecutive words, over line ends too, that are as long as its notice and a quarter
+more; so hard-wrapped notices match, and words scattered over a long line don't. A block meets a template when it holds at
+least `threshold` of the template's distinct tokens. Tokens are ordered by document frequency over the whole corpus, rarest
+first. Of a template with n tokens, a block must hold k = ceil(n * threshold); so it must hold one of the n - k + 1 rarest
+(prefix filter), the text must have k tokens at least (length filter), and when the first token shared near a rare one is
+the i-th, at most n - i tokens can be shared (positional filter). What passes is counted.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
-SCAN = "n_words long, places array<struct<label:string,word:long>>, matches array<struct<label:string,template:int,block:int,containment:double>>"
+SCAN = "n_words long, places array<struct<label:string,word:long>>, matches array<struct<label:string,template:int,word:long,containment:double>>"
+#: A block has this share of its notice's words more than the notice, for comment marks and words put in; SPARE at least.
+SLACK, SPARE = 0.25, 2
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -50,24 +54,58 @@ class Index:
             need = max(1, math.ceil(len(tokens) * threshold - 1e-9))
             for i, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(token, []).append((len(self.templates), i))
-            self.templates.append((label, tokens, need))
-
-    def matches(self, block: set[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of every template that the block meets."""
-        first: dict[int, int] = {}
-        for token in self.prefix.keys() & block:
-            for k, i in self.prefix[token]:
-                first[k] = min(i, first.get(k, i))
+            words = len(tokens_of(notice))
+            self.templates.append((label, tokens, need, words + max(SPARE, math.ceil(words * SLACK))))
+
+    def matches(self, words: list[bytes], held: set[bytes]) -> list[tuple[int, int, float]]:
+        """(template, first word, containment) of the runs of overlapping blocks that meet a template, by their best block."""
+        rare: dict[int, list[bytes]] = {}
+        for token in self.prefix.keys() & held:
+            for k, _ in self.prefix[token]:
+                rare.setdefault(k, []).append(token)
         out = []
-        for k, i in sorted(first.items()):
-            _, tokens, need = self.templates[k]
-            if len(block) >= need and len(tokens) - i >= need:
-                shared = 1 + sum(t in block for t in tokens[i + 1 :])
-                if shared >= need:
-                    out.append((k, shared / len(tokens)))
+        for k, prefix in sorted(rare.items()):
+            _, tokens, need, width = self.templates[k]
+            if len(held) < need or sum(t in held for t in tokens) < need:
+                continue
+            order = {t: i for i, t in enumerate(tokens)}
+            places = [(at, order[w]) for at, w in enumerate(words) if w in order]
+            least = {order[t] for t in prefix}
+            start = 0
+            while start < len(places):
+                # A region: places that follow each other within a block's width.
+                end = start + 1
+                while end < len(places) and places[end][0] - places[end - 1][0] < width:
+                    end += 1
+                region = places[start:end]
+                first = min(i for _, i in region)
+                if first in least and len(tokens) - first >= need and len({i for _, i in region}) >= need:
+                    out += [(k, at, shared / len(tokens)) for at, shared in best_blocks(region, width, need)]
+                start = end
         return out
 
 
+def best_blocks(places: list[tuple[int, int]], width: int, need: int) -> list[tuple[int, int]]:
+    """(first word, distinct tokens) of the best block of each run of overlapping ones with `need` tokens; places ascend."""
+    out: list[tuple[int, int]] = []
+    count: dict[int, int] = {}
+    end, last = 0, None
+    for start, (at, token) in enumerate(places):
+        while end < len(places) and places[end][0] < at + width:
+            count[places[end][1]] = count.get(places[end][1], 0) + 1
+            end += 1
+        if len(count) >= need:
+            if last is None or at >= last + width:
+                out.append((at, len(count)))
+            elif len(count) > out[-1][1]:
+                out[-1] = (at, len(count))
+            last = at
+        count[token] -= 1
+        if not count[token]:
+            del count[token]
+    return out
+
+
 def token_frequency(docs: DataFrame, templates: list[tuple[str, str]], text: str = "text") -> dict[bytes, int]:
     """How many documents hold each template token, over all documents; as many rows as the templates have tokens."""
     wanted = sorted({t for _, notice in templates for t in tokens_of(notice)})
@@ -84,10 +122,8 @@ def token_frequency(docs: DataFrame, templates: list[tuple[str, str]], text: str
 
 
 def scan_text(text: str | None, index: Index, phrases: dict[str, str]) -> tuple[int, list, list]:
-    """(words, phrase places, template matches by block) of one text."""
-    raw = utf8(text)
-    norm = raw.translate(ALNUM)
-    words = norm.split()
+    """(words, phrase places, template matches by their first word) of one text."""
+    words = tokens_of(text)
     places = []
     held = set(words)
     for phrase, label in phrases.items():
@@ -103,19 +139,17 @@ def scan_text(text: str | None, index: Index, phrases: dict[str, str]) -> tuple[
                     places.append((label, at))
     found = []
     if not held.isdisjoint(index.prefix):
-        for k, line in enumerate(raw.split(b"\n")):
-            block = set(line.translate(ALNUM).split())
-            if not block.isdisjoint(index.prefix):
-                found += [(index.templates[t][0], t, k, c) for t, c in index.matches(block)]
+        found = [(index.templates[t][0], t, at, c) for t, at, c in index.matches(words, held)]
     return len(words), sorted(places, key=lambda p: (p[1], p[0])), found
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.9, into: str = "licenses") -> DataFrame:
-    """docs with a struct column `into`: n_words, places (label, word) of phrases, matches (label, template, block, containment).
+    """docs with a struct column `into`: n_words, places (label, word) of phrases, matches (label, template, word, containment).
 
-    Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased; blocks are lines. Null and
-    empty texts have no words and match nothing; a template without tokens matches nothing; repeated rows are scanned
-    alike; other columns pass through (one named `into` is replaced).
+    Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased; a match is the best of
+    overlapping blocks and `word` the number of its first shared word. Null and empty texts have no words and match
+    nothing; a template without tokens matches nothing; repeated rows are scanned alike; other columns pass through (one
+    named `into` is replaced).
     """
     templates = [t for t in (TEMPLATES if templates is None else templates) if tokens_of(t[1])]
     phrases = PHRASES if phrases is None else phrases
@@ -130,7 +164,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
                 {
                     "n_words": [r[0] for r in rows],
                     "places": [[{"label": a, "word": b} for a, b in r[1]] for r in rows],
-                    "matches": [[{"label": a, "template": b, "block": c, "containment": d} for a, b, c, d in r[2]] for r in rows],
+                    "matches": [[{"label": a, "template": b, "word": c, "containment": d} for a, b, c, d in r[2]] for r in rows],
                 }
             )
 

@@ -97,3 +97,45 @@ def test_urls(spark):
     assert (got[3]["host"], got[3]["path"], got[3]["rule"], got[3]["verdict"]) == ("a.example.com", "/en/71", "example.com/en/7", "allow")
     assert got[4]["rule"] is None and got[6]["path"] == "" and got[7]["rule"] is None
     assert got[5]["verdict"] == "block"
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software")""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by""",
+    "mpl": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. */""",
+    "cc-by": """This work is licensed under a Creative
+Commons Attribution 4.0 International License.""",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(label, "some words before\n" + text + "\nand after") for label, text in WRAPPED.items()]
+    got = {r["doc_id"]: r for r in licenses.report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r["labels"] for k, r in got.items()} == {k: k for k in WRAPPED}
+    assert all(r["score"] >= 0.9 for r in got.values())
+
+
+def test_scattered_words_of_a_long_line_are_no_notice(spark):
+    filler = " filler" * 500
+    rows = [(1, filler.join(["released", "under", "the", "mit", "license"])), (2, filler + " released under the mit" + " license" + filler), (3, filler + " released\nunder the x mit license" + filler)]
+    got = {r["doc_id"]: r for r in licenses.report(spark.createDataFrame(rows, "doc_id int, text string"), phrases={}).collect()}
+    assert [(got[k]["labels"], got[k]["score"]) for k in (1, 2, 3)] == [("", 0.0), ("mit", 1.0), ("mit", 1.0)]
+
+
+def test_best_blocks_equal_all_windows():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(300):
+        words = [rng.randrange(6) for _ in range(rng.randrange(1, 60))]
+        places = [(at, w) for at, w in enumerate(words) if w < 4]
+        windows = [len({w for w in words[at : at + 5] if w < 4}) for at in range(len(words))]
+        got = licenses.best_blocks(places, 5, 3)
+        assert max((n for _, n in got), default=0) == (max(windows) if max(windows) >= 3 else 0)
+        assert all(windows[at] == n for at, n in got)
