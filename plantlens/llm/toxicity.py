@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-The labelled examples are a bounded sample and so is the index; every document is a query. Terms are those that tell the
-labels apart in the sample. Each term's postings are cut into blocks of examples with the block's largest weight; from a
-query's weights and these maxima follows an upper bound of the cosine in each block, blocks are scored in the order of
-their bounds, and those whose bound is under the k-th best cosine so far are never opened. The k nearest are exact.
+The labelled examples are a bounded sample and so is the index; every document is a query. All terms of the sample are in
+the index, by their document frequency over all documents; those that don't tell the labels apart in the sample weigh
+less. A query's rare terms are scored over their postings first. The largest weights of its common terms in each block of
+examples bound what these can add; only examples that this bound lets reach the k-th best cosine so far are scored in
+full. The k nearest are exact.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, fold, held_out
 
-#: Examples of each label at most, terms of each label at most, and what share of a label's examples must hold a term.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES, TERMS, LEAST_SHARE = 1500, 3000, 1024, 0.015
-#: A term must be this many times as frequent with one label as with the other, and so many standard errors from as frequent.
-LEAST_RATIO, SURE = 4.0, 3.0
+#: Examples of each label at most.
+TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1500, 3000
+#: A term tells the labels apart when it is this many times as frequent with one as with the other, and so many standard
+#: errors from as frequent; other terms weigh the share REST of their TF-IDF.
+LEAST_RATIO, SURE, REST = 4.0, 3.0, 0.1
 NEAREST, BLOCK = 15, 64
+#: Terms that over this share of the examples hold are common.
+COMMON = 1 / 8
 #: Similarity that the share of toxic labels counts for in each vote; the cut of predicted.
 PRIOR_WEIGHT, CUT = 2.0, 0.3
 
@@ -43,12 +47,50 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
     return found.dropDuplicates(["text"]), share
 
 
-def term_counts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"term": w.decode("utf-8", "replace"), "n": n} for w, n in Counter(alnum_words(t)).items()])
+def document_frequency(docs: DataFrame, text: str, terms: list[bytes]) -> tuple[int, np.ndarray]:
+    """(documents with a text, how many of them hold each term), over all documents; a task returns a row a term at most."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {w: k for k, w in enumerate(shared.value)}
+        n, counts = 0, np.zeros(len(known), np.int64)
+        for df in batches:
+            for t in df["text"]:
+                n += 1
+                counts[[known[w] for w in set(alnum_words(t)) if w in known]] += 1
+        held = np.flatnonzero(counts)
+        yield pd.DataFrame({"term": np.append(held, -1), "n": np.append(counts[held], n)})
+
+    out = np.zeros(len(terms) + 1, np.int64)
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    for term, n in texts.mapInPandas(counted, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+        out[term] = n
+    return int(out[-1]), out[:-1]
+
+
+class Lists:
+    """Lists of (number, weight) one after the other."""
+
+    def __init__(self, key: np.ndarray, number: np.ndarray, weight: np.ndarray, keys: int):
+        order = np.lexsort((number, key))
+        self.number, self.weight = number[order].astype(np.int32), weight[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=keys))]).astype(np.int64)
+        self.size = np.diff(self.start)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the keys' entries, how many each key has)."""
+        size = self.size[keys]
+        ends = np.cumsum(size)
+        return np.repeat(self.start[keys] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), size
+
+    def sums(self, keys: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        """For each number the sum of x times weight over the keys' lists."""
+        at, size = self.places(keys)
+        return np.bincount(self.number[at], self.weight[at] * np.repeat(x, size), n).astype(np.float64)
 
 
 class Index:
-    """Postings by term: example numbers ascending and weights, and each block's largest weight."""
+    """Postings by term: example numbers ascending and weights, and each block's largest weight; terms by example."""
 
     def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], class_weight: dict[int, float], prior: float):
         self.number = {w.encode(): k for k, w in enumerate(terms)}
@@ -58,18 +100,17 @@ class Index:
         self.y = np.array([e[1] for e in examples], np.float64)
         self.votes = np.array([class_weight[e[1]] for e in examples], np.float64)
         self.blocks = -(-len(examples) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
         order = {w: k for k, w in enumerate(terms)}
-        for row, (_, _, counts) in enumerate(examples):
-            weights = {order[w]: (1 + math.log(n)) * self.idf[order[w]] for w, n in counts.items()}
-            norm = math.sqrt(sum(x * x for x in weights.values()))
-            for k, x in weights.items():
-                lists[k].append((row, x / norm))
-        self.rows = [np.array([r for r, _ in p], np.int64) for p in lists]
-        self.weights = [np.array([x for _, x in p], np.float64) for p in lists]
-        self.most = np.zeros((len(lists), max(1, self.blocks)))
-        for k, (rows, weights) in enumerate(zip(self.rows, self.weights, strict=True)):
-            np.maximum.at(self.most[k], rows // BLOCK, weights)
+        row = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+        term = np.array([order[w] for e in examples for w in e[2]], np.int64)
+        weight = (1 + np.log(np.array([n for e in examples for n in e[2].values()], np.float64))) * self.idf[term] if len(term) else np.zeros(0)
+        weight = weight / np.sqrt(np.bincount(row, weight * weight, len(examples)))[row] if len(term) else weight
+        self.postings = Lists(term, row, weight, len(terms))
+        self.texts = Lists(row, term, weight, len(examples))
+        met, of = np.unique(term * max(1, self.blocks) + row // BLOCK, return_inverse=True)
+        most = np.zeros(len(met))
+        np.maximum.at(most, of, weight)
+        self.most = Lists(met // max(1, self.blocks), met % max(1, self.blocks), most, len(terms))
 
     def query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         counts = {self.number[w]: n for w, n in Counter(words).items() if w in self.number}
@@ -81,23 +122,25 @@ class Index:
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine over 0 (ties: the smaller number) and the cosines."""
-        bound = q @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        cosine = np.zeros(len(self.ids))
-        opened, least = 0, 0.0
-        width = 4
-        while opened < len(order) and bound[order[opened]] >= least:
-            now = np.zeros(self.blocks, bool)
-            now[[b for b in order[opened : opened + width] if bound[b] >= least]] = True
-            for term, x in zip(terms, q, strict=True):
-                rows = self.rows[term]
-                into = now[rows // BLOCK]
-                cosine[rows[into]] += x * self.weights[term][into]
-            opened, width = opened + width, 2 * width
-            if np.count_nonzero(cosine) >= k:
-                least = np.partition(cosine, -k)[-k] - 1e-12
-        best = np.flatnonzero(cosine >= max(least, 1e-12))
+        n = len(self.ids)
+        common = self.postings.size[terms] > max(k, COMMON * n)
+        cosine = self.postings.sums(terms[~common], q[~common], n)
+        if common.any():
+            least = np.partition(cosine, -k)[-k] - 1e-12 if n > k else 0.0
+            bound = self.most.sums(terms[common], q[common], self.blocks)
+            open_ = cosine + np.repeat(bound, BLOCK)[:n] >= max(least, 1e-12)
+            rows = np.flatnonzero(open_)
+            if len(rows) > COMMON * n:
+                cosine += self.postings.sums(terms[common], q[common], n)
+            else:
+                asked = np.zeros(len(self.idf))
+                asked[terms] = q
+                at, size = self.texts.places(rows)
+                cosine = np.zeros(n)
+                cosine[rows] = np.bincount(np.repeat(np.arange(len(rows)), size), asked[self.texts.number[at]] * self.texts.weight[at], len(rows))
+        best = np.flatnonzero(cosine >= 1e-12)
+        if len(best) > k:
+            best = best[cosine[best] >= np.partition(cosine[best], -k)[-k]]
         best = best[np.lexsort((best, -cosine[best]))][:k]
         return best, cosine[best]
 
@@ -112,29 +155,29 @@ class Index:
         return min(1.0, max(0.0, score)), self.ids[rows].tolist(), cosine.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES, terms: int = TERMS) -> Index:
-    """The index over the sampled examples. Everything brought to the driver is bounded by the sample's and terms' sizes."""
-    from .common import written
-
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> Index:
+    """The index over the sampled examples. What is brought to the driver, their texts and a count a term, the sample bounds."""
     sample, share = labelled(docs, labels, doc_id, text, toxic, toxic_examples, clean_examples)
-    counts = F.pandas_udf(term_counts, "array<struct<term:string,n:int>>")
-    held = written(sample.select("example", "y", F.explode_outer(counts(F.col("text"))).alias("t")).select("example", "y", "t.term", "t.n"), "terms")
-    sizes = {r["y"]: r["n"] for r in held.select("example", "y").distinct().groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    rows = sorted(((r["example"], r["y"], r["text"]) for r in sample.select("example", "y", "text").collect()), key=lambda r: (r[0], r[2]))
+    examples = [(i, y, Counter(alnum_words(t))) for i, y, t in rows]
+    n1 = sum(y for _, y, _ in examples)
+    n0 = len(examples) - n1
     if not n1 or not n0:
         return Index({}, [], {0: 1.0, 1: 1.0}, share)
-    by_term = held.where("term is not null").groupBy("term").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0"))
-    ratio = F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1))
-    error = F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))
-    by_term = by_term.withColumn("ratio", ratio).where(F.abs(ratio) >= SURE * error).where((F.col("d1") >= max(3, LEAST_SHARE * n1)) | (F.col("d0") >= max(3, LEAST_SHARE * n0)))
-    side = lambda c: by_term.where(c >= math.log(LEAST_RATIO)).orderBy(F.desc(c), "term").limit(terms)
-    chosen = side(F.col("ratio")).unionByName(side(-F.col("ratio"))).collect()
-    idf = {r["term"]: math.log(1 + (n1 + n0) / (r["d1"] + r["d0"])) for r in sorted(chosen, key=lambda r: r["term"])}
-    rows = held.where(F.col("term").isin(list(idf))).groupBy("example", "y").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("terms")).collect() if idf else []
-    examples = sorted(((r["example"], r["y"], r["terms"]) for r in rows), key=lambda e: e[0])
+    held = (Counter(), Counter())
+    for _, y, counts in examples:
+        held[y].update(counts.keys())
+    terms = sorted(held[0].keys() | held[1].keys())
+    total, frequency = document_frequency(docs, text, terms)
+    d0, d1 = (np.array([h[w] for w in terms], np.float64) for h in held)
+    ratio = np.abs(np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1)))
+    sure = (ratio >= SURE * np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))) & (ratio >= math.log(LEAST_RATIO))
+    weights = np.log(1 + total / np.maximum(frequency, 1)) * np.where(sure, 1.0, REST)
+    named = [w.decode("utf-8", "replace") for w in terms]
+    examples = [(i, y, {w.decode("utf-8", "replace"): n for w, n in counts.items()}) for i, y, counts in examples if counts]
     # Labels are sampled at their own rates; a vote counts as if they weren't.
     weight = {1: share / (n1 / (n1 + n0)), 0: (1 - share) / (n0 / (n1 + n0))}
-    return Index(idf, examples, weight, share)
+    return Index(dict(zip(named, weights.tolist(), strict=True)), examples, weight, share)
 
 
 def scored(docs: DataFrame, index: Index, text: str = "text", into: str = "toxicity") -> DataFrame:

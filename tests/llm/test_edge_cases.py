@@ -139,3 +139,24 @@ def test_best_blocks_equal_all_windows():
         got = licenses.best_blocks(places, 5, 3)
         assert max((n for _, n in got), default=0) == (max(windows) if max(windows) >= 3 else 0)
         assert all(windows[at] == n for at, n in got)
+
+
+def test_rare_offensive_words_count(spark):
+    import random
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    neutral = lambda: [rng.choice(words) for _ in range(12)]
+    # A hundred offensive words, each in three toxic examples of 300 (1 %).
+    rows = [(i, " ".join(neutral() + [f"slur{i % 100}"]), 1) for i in range(300)] + [(1000 + i, " ".join(neutral()), 0) for i in range(900)]
+    asked = [(5000 + i, f"slur{i} slur{i + 50} unheard", None) for i in range(20)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, toxic int")
+    labels = docs.where("toxic is not null").select("doc_id", "toxic")
+    got = toxicity.report(docs.drop("toxic"), labels).where("doc_id >= 5000").collect()
+    assert len(got) == 20 and all(r["predicted"] == 1 for r in got)
+
+
+def test_document_frequency_is_over_all_documents(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "A a c"), (3, None), (4, "d"), (5, "")], "doc_id long, text string")
+    total, counts = toxicity.document_frequency(docs.repartition(3), "text", [b"a", b"c", b"x"])
+    assert (total, counts.tolist()) == (4, [2, 1, 0])
