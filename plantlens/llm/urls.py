@@ -14,7 +14,10 @@ from .common import written
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DAMPING, ROUNDS, SETTLED = 0.85, 20, 1e-6
+DAMPING, SETTLED = 0.85, 1e-6
+#: Rounds that the SQL writes out, and rounds after which propagation that hasn't settled is an error; a round leaves at
+#: most DAMPING of the change, so 90 are enough.
+ROUNDS, MOST_ROUNDS = 20, 120
 #: A host is blocked when its distrust is over this many times its trust.
 RATIO = 1.0
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
@@ -54,11 +57,12 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.select("src", host_of(absolute).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = MOST_ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(kind, host, score) of personalised PageRank; edges: kind, src, dst, n; seeds: kind, host, weight (weights of a kind sum to 1).
 
     Both kinds go through the same rounds: a join of scores with edges on the source and a partial aggregate by target.
-    Scores of hosts without edges out return to the seeds. Hosts that no seed reaches have no row.
+    Scores of hosts without edges out return to the seeds. Hosts that no seed reaches have no row. Rounds go on until they
+    change the scores by less than `settled` in all; an error if `rounds` don't get there.
     """
     if edges.isEmpty():
         return seeds.select("kind", "host", F.col("weight").alias("score"))
@@ -71,12 +75,14 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
         moved = sent.groupBy("kind", "host").agg(F.sum("got").alias("got"))
         kept = moved.groupBy("kind").agg(F.sum("got").alias("moved"))  # one row a kind
         restart = seeds.join(F.broadcast(kept), "kind", "left").select("kind", "host", (F.col("weight") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("got"))
-        new = written(moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("got").alias("score")), "scores")
-        change = new.join(scores.withColumnRenamed("score", "old"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        scores = new
+        old = scores.select("kind", "host", F.lit(0.0).alias("got"), F.col("score").alias("old"))
+        both = moved.unionByName(restart).withColumn("old", F.lit(0.0)).unionByName(old)
+        new = written(both.groupBy("kind", "host").agg(F.sum("got").alias("score"), F.sum("old").alias("old")), "scores")
+        change = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        scores = new.select("kind", "host", "score")
         if change is None or change < settled:
-            break
-    return scores
+            return scores
+    raise RuntimeError(f"host scores still change by {change} after {rounds} rounds")
 
 
 def judged(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", rules: list[tuple[str, str, str]] | None = None, ratio: float = RATIO) -> DataFrame:

@@ -160,3 +160,15 @@ def test_document_frequency_is_over_all_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "A a c"), (3, None), (4, "d"), (5, "")], "doc_id long, text string")
     total, counts = toxicity.document_frequency(docs.repartition(3), "text", [b"a", b"c", b"x"])
     assert (total, counts.tolist()) == (4, [2, 1, 0])
+
+
+def test_propagation_settles_with_production_values(spark):
+    # A ring of 30 hosts: without ends, so that the scores settle slowly; the far ones are over 20 links from the seed.
+    n = 30
+    edges = spark.createDataFrame([("block", f"h{i}", f"h{(i + 1) % n}", 1) for i in range(n)], "kind string, src string, dst string, n int")
+    seeds = spark.createDataFrame([("block", "h0", 1.0)], "kind string, host string, weight double")
+    got = {r["host"]: r["score"] for r in urls.propagated(edges, seeds).collect()}
+    want = {f"h{i}": 0.15 * 0.85**i / (1 - 0.85**n) for i in range(n)}
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-5 for h in want)
+    with pytest.raises(RuntimeError):
+        urls.propagated(edges, seeds, rounds=3)
