@@ -65,6 +65,7 @@ def document_frequency(docs: DataFrame, text: str, terms: list[bytes]) -> tuple[
     texts = docs.select(F.col(text).alias("text")).where("text is not null")
     for term, n in texts.mapInPandas(counted, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         out[term] = n
+    shared.destroy()
     return int(out[-1]), out[:-1]
 
 
@@ -102,8 +103,8 @@ class Index:
         self.blocks = -(-len(examples) // BLOCK)
         order = {w: k for k, w in enumerate(terms)}
         row = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-        term = np.array([order[w] for e in examples for w in e[2]], np.int64)
-        weight = (1 + np.log(np.array([n for e in examples for n in e[2].values()], np.float64))) * self.idf[term] if len(term) else np.zeros(0)
+        term = np.fromiter((order[w] for e in examples for w in e[2]), np.int64)
+        weight = (1 + np.log(np.fromiter((n for e in examples for n in e[2].values()), np.float64))) * self.idf[term] if len(term) else np.zeros(0)
         weight = weight / np.sqrt(np.bincount(row, weight * weight, len(examples)))[row] if len(term) else weight
         self.postings = Lists(term, row, weight, len(terms))
         self.texts = Lists(row, term, weight, len(examples))
@@ -159,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """The index over the sampled examples. What is brought to the driver, their texts and a count a term, the sample bounds."""
     sample, share = labelled(docs, labels, doc_id, text, toxic, toxic_examples, clean_examples)
     rows = sorted(((r["example"], r["y"], r["text"]) for r in sample.select("example", "y", "text").collect()), key=lambda r: (r[0], r[2]))
-    examples = [(i, y, Counter(alnum_words(t))) for i, y, t in rows]
+    one: dict[bytes, str] = {}  # a string a term, however many examples hold it
+    examples = [(i, y, {one.setdefault(w, w.decode("utf-8", "replace")): n for w, n in Counter(alnum_words(t)).items()}) for i, y, t in rows]
+    del rows, one
     n1 = sum(y for _, y, _ in examples)
     n0 = len(examples) - n1
     if not n1 or not n0:
@@ -168,16 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for _, y, counts in examples:
         held[y].update(counts.keys())
     terms = sorted(held[0].keys() | held[1].keys())
-    total, frequency = document_frequency(docs, text, terms)
+    total, frequency = document_frequency(docs, text, [w.encode() for w in terms])
     d0, d1 = (np.array([h[w] for w in terms], np.float64) for h in held)
     ratio = np.abs(np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1)))
     sure = (ratio >= SURE * np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))) & (ratio >= math.log(LEAST_RATIO))
     weights = np.log(1 + total / np.maximum(frequency, 1)) * np.where(sure, 1.0, REST)
-    named = [w.decode("utf-8", "replace") for w in terms]
-    examples = [(i, y, {w.decode("utf-8", "replace"): n for w, n in counts.items()}) for i, y, counts in examples if counts]
+    examples = [e for e in examples if e[2]]
     # Labels are sampled at their own rates; a vote counts as if they weren't.
     weight = {1: share / (n1 / (n1 + n0)), 0: (1 - share) / (n0 / (n1 + n0))}
-    return Index(dict(zip(named, weights.tolist(), strict=True)), examples, weight, share)
+    return Index(dict(zip(terms, weights.tolist(), strict=True)), examples, weight, share)
 
 
 def scored(docs: DataFrame, index: Index, text: str = "text", into: str = "toxicity") -> DataFrame:
