@@ -1,9 +1,10 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. How often it votes each way on bad documents is estimated
-by expectation-maximisation from how the votes of all documents fall together; that it seldom votes bad on good documents,
-and the class balance, are beliefs the votes can't correct where a rule votes bad alone (the README has the figures). A
-document is kept when its posterior probability of being good reaches a threshold.
+Each rule votes good (1), bad (-1) or abstains (0) on a document; abstaining says nothing. How often each rule votes bad on
+bad and on good documents, and the share of bad documents, are estimated together by expectation-maximisation from how the
+votes of all documents fall together. Beliefs enter with the weight of a fixed number of documents only, so on a corpus
+the votes decide: a rule that fires alone, without the others, is taken for noise and not obeyed. A document is kept when
+its posterior probability of being good reaches a threshold.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from .common import fresh, written
 
 WINDOW = 5
 KEEP = 0.5
-#: What is believed before any data: the votes (bad, abstain, good) of a rule on bad and on good documents. Each holds with
-#: the weight of a share of all documents, so that the estimates behave alike at every size: rules are believed to be
-#: precise (few bad votes on good documents), while the data say how often each finds bad ones.
-BELIEF_BAD, BELIEF_GOOD, SHARE_BAD, SHARE_GOOD = (0.30, 0.05, 0.65), (0.004, 0.05, 0.946), 0.1, 4.0
-#: Odds of good to bad before any vote; the class balance is given, as the votes of one-sided rules can't tell it.
-PRIOR_ODDS = 1.0
-ROUNDS, SETTLED = 50, 1e-7
-SPACE = r"[\x20\x09-\x0D]"
+#: Beliefs before any data, each with the weight of BELIEF_WEIGHT documents: the share of bad votes among a rule's votes on
+#: bad and on good documents, and the share of bad documents.
+BELIEF_BAD, BELIEF_GOOD, BELIEF_SHARE, BELIEF_WEIGHT = 0.3, 0.02, 0.1, 20.0
+#: The first guess before any estimate: documents that this many rules call bad are bad.
+AGREEING = 2
+ROUNDS, SETTLED = 500, 1e-8
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+REST = f"{WORD}*+"
 
 
 def let(value: Column, then) -> Column:
@@ -58,6 +59,7 @@ def measured(docs: DataFrame, text: str = "text", into: str = "quality") -> Data
     count = lambda pattern: F.regexp_count(F.col(t), F.lit(pattern)).cast("long")
     measures = F.struct(
         F.size(w).cast("long").alias("n_words"),
+        F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
         let(lines, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"), F.size(a).cast("long").alias("all"))).alias("lines"),
@@ -65,31 +67,39 @@ def measured(docs: DataFrame, text: str = "text", into: str = "quality") -> Data
         count(r"[A-Z]").alias("n_upper"),
         count(r"!").alias("n_shouts"),
         count(r"[.!?]").alias("n_stops"),
+        # Each match takes the rest of its word, so these count words, in time linear in the text.
+        count(rf"[#*$%&|<>]{REST}").alias("n_marked_words"),
+        count(rf"\p{{L}}{REST}").alias("n_letter_words"),
+        count(rf"(?<!{WORD})(?=[^a-zA-Z\x20\x09-\x0D]*+[A-Z][^a-zA-Z\x20\x09-\x0D]*+[A-Z])[^a-z\x20\x09-\x0D]*+(?!{WORD})").alias("n_capital_words"),
     )
     return x.withColumn(into, measures).drop(t, words, windows)
 
 
 def votes(m: Column) -> dict[str, Column]:
-    """Each rule's vote from the measures: -1, 0 or 1."""
+    """Each rule's vote from the measures: -1, 0 or 1. Without words all but `length` abstain."""
+    n, chars = m["n_words"], m["word_chars"]
 
     def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+        return F.when(n == 0, F.lit(0)).when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
-    n, chars = m["n_words"], m["word_chars"]
     return {
-        "length": vote(n < 10, n >= 40),
+        "length": F.when(n < 10, F.lit(-1)).when(n >= 40, F.lit(1)).otherwise(F.lit(0)),
         "word_length": vote((chars < 2 * n) | (chars > 14 * n), (chars >= 3 * n) & (chars <= 9 * n)),
-        "symbols": vote(20 * m["n_symbols"] > n, 100 * m["n_symbols"] <= n),
+        "symbols": vote(10 * m["n_symbols"] > n, 100 * m["n_symbols"] <= n),
+        "marked_words": vote(5 * m["n_marked_words"] > n, 50 * m["n_marked_words"] <= n),
+        "letter_words": vote(10 * m["n_letter_words"] < 6 * n, 10 * m["n_letter_words"] >= 8 * n),
         "repeats": vote(100 * m["n_repeat_words"] > 20 * n, 100 * m["n_repeat_words"] <= 5 * n),
+        "distinct": vote(10 * m["n_distinct"] < n, 10 * m["n_distinct"] >= 3 * n),
         "lines": vote(100 * m["lines"]["dup"] > 60 * m["lines"]["all"], 10 * m["lines"]["dup"] <= m["lines"]["all"]),
         "capitals": vote(100 * m["n_upper"] > 30 * chars, 100 * m["n_upper"] <= 10 * chars),
+        "capital_words": vote(10 * m["n_capital_words"] > 3 * n, 20 * m["n_capital_words"] <= n),
         "shouts": vote(20 * m["n_shouts"] > n, m["n_shouts"] == 0),
         "stops": vote(200 * m["n_stops"] < n, (60 * m["n_stops"] >= n) & (2 * m["n_stops"] <= n)),
     }
 
 
-def fit(docs: DataFrame, votes_of: dict[str, Column]) -> dict[str, dict[int, float]]:
-    """Rule -> vote -> log likelihood ratio of good to bad, by expectation-maximisation over all documents.
+def fit(docs: DataFrame, votes_of: dict[str, Column]) -> tuple[float, dict[str, tuple[float, float]]]:
+    """(share of bad documents, rule -> share of bad votes on bad and on good documents), from all documents.
 
     Documents are counted by their votes first, at most 3 ** rules rows, so that rounds cost nothing more. An empty table
     gives the beliefs.
@@ -99,23 +109,36 @@ def fit(docs: DataFrame, votes_of: dict[str, Column]) -> dict[str, dict[int, flo
     return estimated(names, {tuple(r[f"v_{k}"] for k in names): r["n"] for r in rows})
 
 
-def estimated(names: list[str], patterns: dict[tuple[int, ...], int]) -> dict[str, dict[int, float]]:
+def log_odds(pattern: tuple[int, ...], share: float, rates: list[tuple[float, float]]) -> float:
+    """Log odds of good to bad of a document with these votes."""
+    odds = math.log((1 - share) / share)
+    for v, (bad, good) in zip(pattern, rates, strict=True):
+        if v:
+            odds += math.log(good / bad) if v < 0 else math.log((1 - good) / (1 - bad))
+    return odds
+
+
+def estimated(names: list[str], patterns: dict[tuple[int, ...], int]) -> tuple[float, dict[str, tuple[float, float]]]:
+    """Expectation-maximisation from the first guess of AGREEING bad votes, until no rate moves by SETTLED."""
     total = sum(patterns.values())
-    beliefs = [{k: dict(zip((-1, 0, 1), belief, strict=True)) for k in names} for belief in (BELIEF_BAD, BELIEF_GOOD)]
-    bad, good = beliefs
+    bad_share = {p: float(sum(v < 0 for v in p) >= AGREEING) for p in patterns}
+    share, rates = BELIEF_SHARE, [(BELIEF_BAD, BELIEF_GOOD)] * len(names)
     for _ in range(ROUNDS if total else 0):
-        sums = [{k: {v: share * total * p for v, p in belief[k].items()} for k in names} for belief, share in zip(beliefs, (SHARE_BAD, SHARE_GOOD), strict=True)]
+        sums = [[[belief * BELIEF_WEIGHT, BELIEF_WEIGHT] for belief in (BELIEF_BAD, BELIEF_GOOD)] for _ in names]
         for pattern, n in sorted(patterns.items()):
-            odds = math.log(PRIOR_ODDS) + sum(math.log(good[k][v] / bad[k][v]) for k, v in zip(names, pattern, strict=True))
-            p = n / (1 + math.exp(-odds))
-            for k, v in zip(names, pattern, strict=True):
-                sums[0][k][v] += n - p
-                sums[1][k][v] += p
-        before = bad
-        bad, good = ({k: {v: x / sum(s.values()) for v, x in s.items()} for k, s in side.items()} for side in sums)
-        if max(abs(bad[k][v] - before[k][v]) for k in names for v in bad[k]) < SETTLED:
+            weights = (n * bad_share[pattern], n * (1 - bad_share[pattern]))
+            for rule, v in zip(sums, pattern, strict=True):
+                if v:
+                    for side, w in zip(rule, weights, strict=True):
+                        side[0] += w * (v < 0)
+                        side[1] += w
+        before = rates
+        rates = [(bad[0] / bad[1], good[0] / good[1]) for bad, good in sums]
+        share = (sum(n * bad_share[p] for p, n in patterns.items()) + BELIEF_SHARE * BELIEF_WEIGHT) / (total + BELIEF_WEIGHT)
+        bad_share = {p: 1 / (1 + math.exp(min(500.0, log_odds(p, share, rates)))) for p in patterns}
+        if max(abs(x - y) for now, then in zip(rates, before, strict=True) for x, y in zip(now, then, strict=True)) < SETTLED:
             break
-    return {k: {v: math.log(good[k][v] / bad[k][v]) for v in (-1, 0, 1)} for k in names}
+    return share, dict(zip(names, rates, strict=True))
 
 
 def judged(docs: DataFrame, text: str = "text", into: str = "quality", keep: float = KEEP, keep_text: bool = True) -> DataFrame:
@@ -125,15 +148,17 @@ def judged(docs: DataFrame, text: str = "text", into: str = "quality", keep: flo
     and the verdict, so that no text is measured twice or shuffled.
 
     base_failed is n_words < 10 or more than a fifth of the words in repeated windows; such documents are not kept.
-    Null and empty texts have no words and fail; repeated rows are judged alike; an empty table stays empty; other columns
-    pass through (one named `into` is replaced).
+    Null and empty texts have no words and fail; repeated rows are judged alike; an empty table stays empty; very long
+    texts are measured whole, in time linear in their length but for a sort of repeated windows; other columns pass
+    through (one named `into` is replaced).
     """
     x = measured(docs, text, into)
     x = written(x if keep_text else x.drop(text), "quality")
     m = F.col(into)
     by_rule = votes(m)
-    ratios = fit(x, by_rule)
-    odds = reduce(lambda a, b: a + b, [F.when(v == -1, F.lit(ratios[k][-1])).when(v == 1, F.lit(ratios[k][1])).otherwise(F.lit(ratios[k][0])) for k, v in by_rule.items()], F.lit(math.log(PRIOR_ODDS)))
+    share, rates = fit(x, by_rule)
+    evidence = [F.when(v == -1, F.lit(math.log(rates[k][1] / rates[k][0]))).when(v == 1, F.lit(math.log((1 - rates[k][1]) / (1 - rates[k][0])))).otherwise(F.lit(0.0)) for k, v in by_rule.items()]
+    odds = reduce(lambda a, b: a + b, evidence, F.lit(math.log((1 - share) / share)))
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     p_good = 1 / (1 + F.exp(-odds))
     x = x.withColumn(into, m.withField("base_failed", failed).withField("p_good", p_good))
@@ -149,6 +174,10 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def filtered(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFrame:
-    """docs without those that the rules reject."""
+    """docs without those that the rules reject.
+
+    Null and empty texts go (they fail the base rule), repeated rows stay or go alike, an empty table stays empty, very long
+    texts are judged whole, and other columns stay as they are, whatever their names.
+    """
     into = fresh(docs, "quality")
     return judged(docs, text, into, keep).where(F.col(f"{into}.kept")).drop(into)

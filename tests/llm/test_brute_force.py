@@ -325,15 +325,55 @@ def test_quality_measures_equal_a_loop(spark, sf_dir):
         assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"], g["base_failed"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed)
 
 
-def test_expectation_maximisation_finds_the_bad_ones():
-    rng = random.Random(3)
-    names = ["a", "b", "c"]
-    patterns, truth = Counter(), {}
-    for _ in range(20_000):
-        bad = rng.random() < 0.1
-        votes = tuple((-1 if rng.random() < 0.5 else 1) if bad else (-1 if rng.random() < 0.002 else 1) for _ in names)
+def drawn(rng, n, share, bad, good, abstain=0.05):
+    """Counts of vote patterns of n documents, and of the bad ones among them."""
+    patterns, truth = Counter(), Counter()
+    for _ in range(n):
+        is_bad = rng.random() < share
+        rates = bad if is_bad else good
+        votes = tuple(0 if rng.random() < abstain else -1 if rng.random() < r else 1 for r in rates)
         patterns[votes] += 1
-        truth.setdefault(votes, Counter())[bad] += 1
-    ratios = quality.estimated(names, patterns)
-    wrong = sum(n for v, c in truth.items() for bad, n in c.items() if (sum(ratios[k][x] for k, x in zip(names, v)) < 0) != bad and v != (1, 1, 1))
-    assert wrong < 0.01 * 20_000
+        truth[votes] += is_bad
+    return patterns, truth
+
+
+def test_expectation_maximisation_recovers_unequal_rules():
+    bad, good = (0.7, 0.6, 0.5, 0.55, 0.8, 0.4), (0.02, 0.05, 0.3, 0.1, 0.01, 0.03)
+    names = list("abcdef")
+    patterns, truth = drawn(random.Random(3), 60_000, 0.2, bad, good)
+    share, rates = quality.estimated(names, patterns)
+    assert abs(share - 0.2) < 0.02
+    for name, b, g in zip(names, bad, good, strict=True):
+        assert abs(rates[name][0] - b) < 0.02 and abs(rates[name][1] - g) < 0.02
+    odds = {v: quality.log_odds(v, share, [rates[k] for k in names]) for v in patterns}
+    wrong = sum(truth[v] if odds[v] > 0 else n - truth[v] for v, n in patterns.items())
+    best = sum(min(truth[v], n - truth[v]) for v, n in patterns.items())
+    assert wrong <= best + 0.005 * 60_000
+
+
+@pytest.mark.parametrize("rates", [(0.03, *[0.002] * 11), (0.1, *[0.002] * 11), (0.3, *[0.002] * 11), (0.02,) * 12])
+def test_a_misfiring_rule_costs_a_clean_corpus_nothing(rates):
+    names = [str(k) for k in range(12)]
+    patterns, _ = drawn(random.Random(5), 20_000, 0.0, rates, rates)
+    share, learned = quality.estimated(names, patterns)
+    lost = sum(n for v, n in patterns.items() if quality.log_odds(v, share, [learned[k] for k in names]) < 0)
+    assert lost <= 0.001 * 20_000
+
+
+def test_word_measures_equal_a_loop(spark):
+    texts = ["a# b|c | 12 -- é1", "THE!! to THEM! A É AB1 aB", "", None, "x" * 100_000, "#" * 50_000 + " a", "A" * 50_000, "Ünd ÀB CD\tE F1G\n\x0bH.I", "漢字 漢 ΑΒ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.measured(docs).select("text", "quality.*").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        assert r["n_distinct"] == len(set(w))
+        assert r["n_marked_words"] == sum(any(c in "#*$%&|<>" for c in x) for x in w)
+        assert r["n_letter_words"] == sum(any(map(str.isalpha, x)) for x in w)
+        assert r["n_capital_words"] == sum(not re.search("[a-z]", x) and len(re.findall("[A-Z]", x)) >= 2 for x in w)
+
+
+def test_quality_of_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = common.table(spark, sf, "labels").where("quality is not null").select("doc_id", "quality")
+    rows = quality.report(common.table(spark, sf, "documents")).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows}
+    assert n.get((0, True), 0) <= 0.02 * n[0, False] and n.get((1, False), 0) <= 0.005 * n[1, True]
