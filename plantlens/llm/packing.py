@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -108,17 +110,18 @@ class WordIds:
     The tokenizer lower-cases, drops white space and never joins what white space or the step from a letter to a mark
     parts (but for apostrophes). So texts are lower-cased in ASCII, marks are set off from the letters before them, and
     the ids of a text are those of its words in a row. New words are encoded together, a separator of one known id
-    between them; words that hold the separator are encoded alone, and so are texts that may hold a special token.
+    between them; words that hold the separator, also after the tokenizer's normalisation (NFC), are encoded alone, and so
+    are texts that may hold a special token.
     """
 
     SEPARATOR, SPECIAL = "\u00b7", b"<|"
     LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     MARK_AFTER_LETTER = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)")
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, vocabulary: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(vocabulary)
         self.memo: dict[bytes, bytes] = {}
         self.memo_words = memo_words
         one = self.encoded(self.SEPARATOR)
@@ -130,17 +133,24 @@ class WordIds:
     def packed(self, text: str) -> bytes:
         return np.array(self.encoded(text), "<u4").tobytes()
 
+    def alone(self, word: bytes) -> bool:
+        return self.separator is None or not word.isascii() and self.SEPARATOR in unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+
     def learn(self, words: set[bytes]) -> None:
-        held = self.SEPARATOR.encode()
-        joint = [w for w in words if held not in w] if self.separator is not None else []
-        if len(joint) < len(words):
-            for w in words.difference(joint):
+        joint = []
+        for w in words:
+            if self.alone(w):
                 self.memo[w] = self.packed(w.decode("utf-8", "replace"))
-        between = b" " + held + b" "
+            else:
+                joint.append(w)
+        between = f" {self.SEPARATOR} ".encode()
         for start in range(0, len(joint), 5000):
             part = joint[start : start + 5000]
             ids = np.array(self.encoded(between.join(part).decode("utf-8", "replace")), "<u4")
             cuts = np.flatnonzero(ids == self.separator)
+            if len(cuts) != len(part) - 1:  # a word that yields the separator after all
+                self.memo.update((w, self.packed(w.decode("utf-8", "replace"))) for w in part)
+                continue
             raw, at = ids.tobytes(), 0
             for w, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
                 self.memo[w] = raw[4 * at : 4 * cut]
@@ -157,9 +167,9 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(vocabulary: str) -> WordIds:
     """One for each Python worker, kept between its tasks."""
-    return WordIds(path)
+    return WordIds(vocabulary)
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[dict[str, int]]:
@@ -173,11 +183,15 @@ def pieces_of(ids: bytes, capacity: int) -> list[dict[str, int]]:
 
 
 def tokenized(docs: DataFrame, path: str, text: str = "text", into: str = "pieces", capacity: int = CAPACITY) -> DataFrame:
-    """docs with an array column `into` of pieces (piece, start, length, ids_crc32); null text is empty."""
+    """docs with an array column `into` of pieces (piece, start, length, ids_crc32); null text is empty.
+
+    The tokenizer file, a few MB, is read by the driver and sent to the executors.
+    """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
     @F.pandas_udf(PIECES)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = word_ids(path)
+        ids = word_ids(vocabulary.value)
         for texts in batches:
             yield pd.Series([pieces_of(i, capacity) for i in ids.of(texts.tolist())])
 
@@ -217,7 +231,8 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are those of the tokenizer file at `path`, then id 1; a null or empty text is the id 1 alone. Repeated
-    rows are packed each by itself, equal lengths in any order; an empty table gives no rows; other columns are not kept.
+    rows are packed each by itself, equal lengths in any order; an empty table gives no rows; a very long text is tokenized
+    whole and cut into pieces; other columns are not kept.
     """
     from .common import written
 

@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -271,6 +273,22 @@ def test_packed_documents_round_trip(spark, sf_dir):
     assert len(by) == len(plain_bfd([r["length"] for r in got], 4096))
 
 
+def test_word_ids_equal_the_tokenizer_over_all_of_unicode():
+    from tokenizers import Tokenizer
+
+    vocabulary = Path(vocabulary_path()).read_text(encoding="utf-8")
+    ids, tokenizer = packing.WordIds(vocabulary), Tokenizer.from_str(vocabulary)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    assert ids.of(["a\u0387b c \u0387 d\u00b7"])[0] == np.array(tokenizer.encode("a\u0387b c \u0387 d\u00b7", add_special_tokens=False).ids, "<u4").tobytes()
+    texts = [" ".join(f"{c}x y{c} A{c}b {c} {c}{c}." for c in points[k : k + 50]) for k in range(0, 0x20000, 50)]
+    rng = random.Random(2)
+    marks = [c for c in points[:0x3100] if unicodedata.category(c)[0] in "MPSZ"] + list("aZé'<|> \n1")
+    texts += ["".join(rng.choice(marks if rng.random() < 0.7 else points) for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for text, got, w in zip(texts, ids.of(texts), want, strict=True):
+        assert got == np.array(w.ids, "<u4").tobytes(), repr(text)
+
+
 # 8 language
 def test_language_held_out(spark, sf_dir):
     docs = common.table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
