@@ -1,10 +1,16 @@
 """Personal data: patterns, and a skip-chain conditional random field that carries their labels to other mentions.
 
 The field's tokens are the candidates of a document: what the patterns find (their labels are held fixed) and further
-runs that look like numbers or addresses. Each has potentials from its features; neighbours in the text share chain
-potentials; distant repeated or similar candidates share skip potentials, so that one clear mention labels the unclear
-ones. Loopy message passing gives each candidate's label distribution. The potentials are estimated from counts over all
-documents (piecewise training with the patterns as distant labels).
+runs that look like numbers or addresses. A candidate's features are its shape and the words beside it; neighbours in the
+text share chain potentials, distant repeated or similar candidates share skip potentials, so that one clear mention
+labels the unclear ones. Loopy message passing gives each candidate's label distribution.
+
+All potentials are trained by pseudo-likelihood over the candidates of all documents: given the labels beside it, a
+candidate's label is a multinomial logistic regression, whose gradients Spark sums over partitions. Labels are distant: what
+the patterns find has its kind; other candidates are none of them, but those that share a key with a found one, whose
+labels are unknown and left out. Shapes alone nearly tell the patterns' verdicts, which would starve the other potentials,
+so each candidate is also seen without its shape, and by its neighbours' labels alone (feature bagging against weight
+undertraining).
 """
 
 from __future__ import annotations
@@ -15,18 +21,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: 0 is none of the kinds.
 LABELS = 1 + len(KINDS)
 #: Rounds of message passing, damping, characters between chain neighbours, least posterior of an added span.
-ROUNDS, DAMPING, REACH, SURE = 12, 0.5, 80, 0.9
-#: Added to each count; the least log potential of agreeing skip neighbours.
-SMOOTH, LEAST_SKIP, MOST_SKIP = 0.5, 4.0, 6.0
+ROUNDS, DAMPING, REACH, SURE = 50, 0.5, 80, 0.9
+#: Variance of the Gaussian prior on weights; steps of training at most.
+VARIANCE, STEPS = 10.0, 60
+#: Hash buckets of shapes and of each place of a context word; where each feature group starts.
+SHAPES, WORDS, PLACES = 512, 512, 3
+CONTEXT = SHAPES
+PREVIOUS, NEXT, SKIP = (SHAPES + PLACES * WORDS + k * LABELS for k in range(3))
+FEATURES = SKIP + LABELS
+NODES = "array<struct<label:int,start:int,end:int,known:boolean,features:array<int>>>"
+#: Of a document: its candidates, its edges (node, node, 0 for a chain or 1 for a skip edge).
+READ = f"nodes {NODES}, edges array<struct<a:int,b:int,kind:int>>"
 
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,8 +50,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-NUMBER = re.compile(r"(?<![0-9+])\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++")
+# Runs inside longer words, such as the digits of a hexadecimal secret, are no numbers.
+NUMBER = re.compile(r"(?<![\w+])\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++(?!\w)")
+GROUP = re.compile(r"[0-9](?:[().-]{0,2}[0-9])*+")
 ADDRESS = re.compile(r"(?<!\S)[^\s@]++@\S++")
+WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -83,33 +101,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Number- and address-like runs. Numbers side by side, of seven digits each, are runs of their own."""
+    if "@" in text:
+        yield from (m.span() for m in ADDRESS.finditer(text))
+    if DIGIT.search(text):
+        for m in NUMBER.finditer(text):
+            if m.end() - m.start() >= 7 and sum(map(str.isdigit, m[0])) >= 7:
+                groups = [g for g in GROUP.finditer(m[0]) if " " in m[0]]
+                if len(groups) > 1 and all(sum(map(str.isdigit, g[0])) >= 7 for g in groups):
+                    yield from ((m.start() + g.start(), m.start() + g.end()) for g in groups)
+                else:
+                    yield m.span()
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(label, start, end) by start: the base spans, and further number- and address-like runs that overlap none (label 0)."""
+    """(label, start, end) by start: the base spans, and further runs that overlap none (label 0)."""
     spans = sorted((a, b, k + 1) for k, a, b in base)
-    ends = 0
-    free = []
-    for pattern in (ADDRESS, NUMBER) if DIGIT.search(text) else (ADDRESS,) if "@" in text else ():
-        for m in pattern.finditer(text):
-            if pattern is ADDRESS or m.end() - m.start() >= 7 and sum(c.isdigit() for c in m[0]) >= 7:
-                free.append((*m.span(), 0))
-    out, k = [], 0
-    for a, b, label in sorted(free):
+    out, k, ends = [], 0, 0
+    for a, b in sorted(runs(text)):
         while k < len(spans) and spans[k][1] <= a:
             k += 1
         if a >= ends and not (k < len(spans) and spans[k][0] < b):
-            out.append((label, a, b))
+            out.append((0, a, b))
             ends = b
     return sorted([*out, *((label, a, b) for a, b, label in spans)], key=lambda s: (s[1], s[2]))
 
 
-def features(run: str) -> tuple[str, str]:
-    """A fine and a coarse feature of a candidate, both from small sets."""
+def bucket(feature: str, buckets: int) -> int:
+    return xxhash.xxh32_intdigest(feature.encode("utf-8", "replace")) % buckets
+
+
+def shape(run: str) -> list[int]:
+    """Features of a candidate's own characters, coarse and fine."""
     digits = [c for c in run if c.isdigit()]
-    n = min(len(digits), 20)
     if "@" in run:
-        return f"a{int('.' in run.split('@', 1)[1])}{min(run.count('@'), 2)}", "a"
-    marks = "".join(sorted(set(run) & set(" ().-+")))
-    return f"n{n}{marks}{int(luhn(''.join(digits)))}{min(run.count('.'), 4)}", f"n{n}"
+        names = ("@", f"@{int('.' in run.split('@', 1)[1])}{min(run.count('@'), 2)}")
+    else:
+        n, marks = min(len(digits), 20), "".join(sorted(set(run) & set(" ().-+")))
+        names = ("#", f"n{n}", f"n{n}{marks}", f"n{n}l{int(luhn(''.join(digits)))}", f"d{min(run.count('.'), 4)}")
+    return [bucket(x, SHAPES) for x in names]
+
+
+def context(text: str, a: int, b: int) -> list[int]:
+    """Features of the two words before and the word after a candidate; digits are alike. Few characters are looked at."""
+    before = WORD.findall(text[max(0, a - 60) : a])[-2:]
+    after = WORD.findall(text[b : b + 60])[:1]
+    words = [*[""] * (2 - len(before)), *before, *(after or [""])]
+    return [CONTEXT + k * WORDS + bucket(DIGIT.sub("0", w.lower()), WORDS) for k, w in enumerate(words)]
 
 
 def keys(run: str) -> tuple[str, str]:
@@ -136,48 +175,51 @@ def edges(text: str, nodes: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return out
 
 
-def counted(text: str | None) -> list[tuple[str, int]]:
-    """(event, label) of a text: features by label, chain and skip pairs by both labels."""
+def read(text: str | None) -> tuple[list[tuple[int, int, int, bool, list[int]]], list[tuple[int, int, int]]]:
+    """(nodes with features, edges) of a text, which is read once."""
     if not text:
-        return []
-    base = base_spans(text)
-    nodes = candidates(text, base)
-    out = []
-    for label, a, b in nodes:
-        fine, coarse = features(text[a:b])
-        out += [(f"f{fine}", label), (f"g{coarse}", label)]
-    for i, j, kind in edges(text, nodes):
-        out.append((f"{'ts'[kind]}{nodes[i][0]}", nodes[j][0]))
-    return out
+        return [], []
+    nodes = candidates(text, base_spans(text))
+    links = edges(text, nodes)
+    found = {key for label, a, b in nodes if label for key in enumerate(keys(text[a:b]))}
+    known = [bool(label) or found.isdisjoint(enumerate(keys(text[a:b]))) for label, a, b in nodes]
+    return [(label, a, b, k, shape(text[a:b]) + context(text, a, b)) for (label, a, b), k in zip(nodes, known, strict=True)], links
+
+
+def examples(nodes: list, links: list) -> Iterator[tuple[int, list[int]]]:
+    """(label, features) of the known candidates, with the labels of known ones beside them; each with, without its shape, and by its neighbours alone."""
+    beside: list[list[int]] = [[] for _ in nodes]
+    for a, b, kind in links:
+        if nodes[b]["known"]:
+            beside[a].append((NEXT, SKIP)[kind] + nodes[b]["label"])
+        if nodes[a]["known"]:
+            beside[b].append((PREVIOUS, SKIP)[kind] + nodes[a]["label"])
+    for node, near in zip(nodes, beside, strict=True):
+        if node["known"]:
+            own = list(node["features"])
+            yield node["label"], own + near
+            yield node["label"], [f for f in own if f >= CONTEXT] + near
+            if near:
+                yield node["label"], near
 
 
 class Field:
-    def __init__(self, counts: dict[tuple[str, int], int]):
-        sums: dict[str, np.ndarray] = {}
-        for (event, label), n in counts.items():
-            sums.setdefault(event, np.full(LABELS, SMOOTH))[label] += n
-        self.none = np.log(np.full(LABELS, 1.0 / LABELS))
-        self.log = {e: np.log(v / v.sum()) for e, v in sums.items()}
-        marginal = sum((v - SMOOTH for e, v in sums.items() if e[0] == "g"), np.full(LABELS, SMOOTH))
-        marginal = marginal / marginal.sum()
-        self.chain = np.zeros((LABELS, LABELS))
-        self.skip = np.zeros((LABELS, LABELS))
-        for label in range(LABELS):
-            if f"t{label}" in sums:
-                self.chain[label] = np.clip(self.log[f"t{label}"] - np.log(marginal), -2.0, 2.0)
-            # A label of the patterns is sure, none of them isn't: only agreement on a kind is rewarded.
-            if label:
-                same = self.log[f"s{label}"][label] - np.log(marginal[label]) if f"s{label}" in sums else 0.0
-                self.skip[label, label] = float(np.clip(same, LEAST_SKIP, MOST_SKIP))
-
-    def unary(self, run: str) -> np.ndarray:
-        fine, coarse = features(run)
-        return 0.5 * (self.log.get(f"f{fine}", self.none) + self.log.get(f"g{coarse}", self.none))
-
-    def posterior(self, text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
-        """Label distributions of the nodes by damped sum-product messages along all edges at once."""
-        own = np.array([np.where(np.arange(LABELS) == label, 0.0, -50.0) if label else self.unary(text[a:b]) for label, a, b in nodes])
-        links = edges(text, nodes)
+    """The potentials: weights (labels x features) and intercepts. Each pair potential is the mean of what its two ends say."""
+
+    def __init__(self, weights: np.ndarray | None = None, intercept: np.ndarray | None = None):
+        self.weights = np.zeros((LABELS, FEATURES)) if weights is None else weights
+        self.intercept = np.zeros(LABELS) if intercept is None else intercept
+        # [left label, right label]
+        self.chain = (self.weights[:, PREVIOUS : PREVIOUS + LABELS].T + self.weights[:, NEXT : NEXT + LABELS]) / 2
+        skip = self.weights[:, SKIP : SKIP + LABELS]
+        self.skip = (skip + skip.T) / 2
+
+    def unary(self, features: list[int]) -> np.ndarray:
+        return self.intercept + self.weights[:, list(features)].sum(axis=1)
+
+    def posterior(self, nodes: list, links: list) -> np.ndarray:
+        """Label distributions of the nodes by damped sum-product messages along all edges at once; found ones stay fixed."""
+        own = np.array([np.where(np.arange(LABELS) == n["label"], 0.0, -200.0) if n["label"] else self.unary(n["features"]) for n in nodes])
         if links:
             u, v, kind = (np.array(c) for c in zip(*links, strict=True))
             source, target = np.concatenate([u, v]), np.concatenate([v, u])
@@ -202,33 +244,61 @@ class Field:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def found(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) of a text."""
-    if not text:
-        return [], []
-    base = base_spans(text)
-    nodes = candidates(text, base)
-    free = [i for i, x in enumerate(nodes) if not x[0]]
+def spans_of(nodes: list, links: list, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(base spans, all spans) by kind, then start."""
+    base = sorted((n["label"] - 1, n["start"], n["end"]) for n in nodes if n["label"])
+    free = [i for i, n in enumerate(nodes) if not n["label"]]
     added = []
     if free:
-        p = field.posterior(text, nodes)
+        p = field.posterior(nodes, links)
         for i in free:
             label = int(p[i].argmax())
             if label and p[i][label] >= SURE:
-                added.append((label - 1, *nodes[i][1:]))
+                added.append((label - 1, nodes[i]["start"], nodes[i]["end"]))
     return base, sorted([*base, *added])
 
 
-def fit(docs: DataFrame, text: str = "text") -> dict[tuple[str, int], int]:
-    """Counts of features and label pairs over all documents; the features form small fixed sets, which bounds the result."""
+def candidates_of(text: Column) -> Column:
+    """A struct of nodes and edges (READ) of each text; the only pass over the texts."""
+
+    @F.pandas_udf(READ)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = [read(t) for t in texts]
+        names, ends = ("label", "start", "end", "known", "features"), ("a", "b", "kind")
+        return pd.DataFrame({"nodes": [[dict(zip(names, n, strict=True)) for n in f[0]] for f in found], "edges": [[dict(zip(ends, e, strict=True)) for e in f[1]] for f in found]})
+
+    return of(text)
+
+
+def fit(marked: DataFrame, nodes: str = "nodes", links: str = "edges") -> Field:
+    """The field trained on the candidates of all rows; without two labels to tell apart it says nothing.
 
-    @F.pandas_udf("array<struct<event:string,label:int>>")
-    def events(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"event": e, "label": k} for e, k in counted(t)])
+    The prior has the weight of a fixed number of candidates, so training behaves alike at every size.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
+    @F.pandas_udf("array<struct<label:int,features:array<string>>>")
+    def seen(all_nodes: pd.Series, all_links: pd.Series) -> pd.Series:
+        def of(ns, es):
+            return [{"label": y, "features": list(map(str, f))} for y, f in examples(list(ns), [(e["a"], e["b"], e["kind"]) for e in es])]
+
+        return pd.Series([of(ns, es) for ns, es in zip(all_nodes, all_links, strict=True)])
 
     # Outer, as of a plain explode Spark would infer a filter and so evaluate the function twice.
-    rows = docs.select(F.explode_outer(events(F.col(text))).alias("e")).where("e is not null").groupBy("e.event", "e.label").count().collect()
-    return {(r[0], r[1]): r[2] for r in rows}
+    rows = marked.where(F.size(nodes) > 0).select(F.explode_outer(seen(F.col(nodes), F.col(links))).alias("e")).where("e is not null").select("e.*")
+    rows = written(rows, "pii_examples")
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return Field()
+    # The features are their own numbers, so the vectors have fixed places.
+    vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(FEATURES)], inputCol="features", outputCol="vector").setMinTF(1.0)
+    model = LogisticRegression(featuresCol="vector", family="multinomial", maxIter=STEPS, regParam=1 / (VARIANCE * sum(n.values())), standardization=False, tol=1e-6).fit(vectors.transform(rows))
+    weights, intercept = np.zeros((LABELS, FEATURES)), np.full(LABELS, -50.0)
+    learned = model.coefficientMatrix.toArray()
+    weights[: len(learned)], intercept[: len(learned)] = learned, model.interceptVector.toArray()
+    intercept[[k for k in range(LABELS) if not n.get(k)]] = -50.0  # a kind that no document holds
+    return Field(weights, intercept)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -255,33 +325,43 @@ def redacted_text(text: str | None, spans: list[tuple[int, int, int]]) -> str |
 def marked(docs: DataFrame, text: str = "text", into: str = "pii", redact: bool = False) -> DataFrame:
     """docs with a struct column `into`: counts (base, by kind), base_sha256, spans, and redacted text if asked for.
 
-    Spans are code point offsets, end exclusive. Null and empty texts hold nothing; repeated rows are marked alike; on an
-    empty table nothing is learned or found; other columns pass through (one named `into` is replaced).
+    The candidates are written once, beside the columns of docs (without the text if not redact); both the training and the
+    verdicts read them there. Spans are code point offsets, end exclusive. Null and empty texts hold nothing; repeated rows
+    are marked alike; very long texts are read whole, in linear time; on an empty table nothing is learned or found; other
+    columns pass through (one named `into` is replaced).
     """
-    field = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
+    held = fresh(docs, f"{into}_candidates")
+    read_ = docs.withColumn(held, candidates_of(F.col(text)))
+    read_ = written(read_ if redact else read_.drop(text), "pii")
+    nodes, links = F.col(f"{held}.nodes"), F.col(f"{held}.edges")
+    field = docs.sparkSession.sparkContext.broadcast(fit(read_.select(nodes.alias("nodes"), links.alias("edges"))))
 
     @F.pandas_udf("counts array<long>, base_sha256 string, spans string, redacted string")
-    def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        learned = Field(field.value)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                base, spans = found(t, learned)
-                counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
-                rows.append((counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redacted_text(t, spans) if redact else None))
-            yield pd.DataFrame(rows, columns=["counts", "base_sha256", "spans", "redacted"])
+    def mark(all_nodes: pd.Series, all_links: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for ns, es, t in zip(all_nodes, all_links, texts, strict=True):
+            base, spans = spans_of(list(ns), [(e["a"], e["b"], e["kind"]) for e in es], field.value)
+            counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
+            rows.append((counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redacted_text(t, spans) if redact else None))
+        return pd.DataFrame(rows, columns=["counts", "base_sha256", "spans", "redacted"])
 
-    return docs.withColumn(into, mark(F.col(text)))
+    return read_.withColumn(into, mark(nodes, links, F.col(text) if redact else F.lit(None).cast("string"))).drop(held)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans of the field alone)."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     x = F.col("pii")
-    return marked(slim).select("doc_id", *[x["counts"][k].alias(f"n_{kind}") for k, kind in enumerate(KINDS)], x["base_sha256"].alias("base_sha256"), x["spans"].alias("spans"))
+    n = F.when(x["spans"] == "", 0).otherwise(F.regexp_count(x["spans"], F.lit(",")) + 1) - F.aggregate(x["counts"], F.lit(0).cast("long"), lambda a, c: a + c)
+    return marked(slim).select("doc_id", *[x["counts"][k].alias(f"n_{kind}") for k, kind in enumerate(KINDS)], x["base_sha256"].alias("base_sha256"), x["spans"].alias("spans"), n.cast("long").alias("n_added"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the spans in their texts replaced by kinds in angle brackets."""
+    """docs with the spans in their texts replaced by kinds in angle brackets.
+
+    Null texts stay null and empty ones empty, repeated rows are changed alike, very long texts are changed whole, an empty
+    table stays empty, and other columns stay as they are, whatever their names.
+    """
     into = fresh(docs, "pii")
-    return marked(docs, text, into, redact=True).withColumn(text, F.col(f"{into}.redacted")).drop(into)
+    out = marked(docs, text, into, redact=True)
+    return out.withColumn(text, F.col(f"{into}.redacted")).select(*docs.columns)
