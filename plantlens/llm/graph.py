@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 ROUNDS = 60
 
@@ -16,7 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star: each node links its larger, then its smaller neighbours to the least node it
     knows, until nothing changes, in a number of rounds logarithmic in the graph. Each round is a partial aggregate and a
     join on the node, and leaves at most as many edges as before, so no neighbourhood is gathered in one task. Null ends
-    and self links are ignored; repeated edges count once; no edges give no rows.
+    and self links are ignored; repeated edges count once; no edges give no rows; an error if ROUNDS rounds don't do.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -36,6 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if n == nodes and nxt.join(nxt.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             now = nxt
             break
+        discard(now, least)
         now = nxt
+    else:
+        raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     return now.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

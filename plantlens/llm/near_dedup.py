@@ -11,12 +11,15 @@
    yet connected and survives the posterior is checked exactly on full sets.
 4. The components of the confirmed links are the groups.
 
-Buckets and clusters over a block's size are split into blocks; each pair of blocks is a task's worth by itself.
+Buckets and clusters over a block's size are dealt to blocks by hash, and their member of the least id, the hub, goes to
+every block. Members that are linked with the hub in their block are connected with all others that are; only the rest go
+on to the other blocks. So n near copies of one page take n comparisons, and only what differs from the hub takes more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 from .common import fresh, spaced_words, written
 from .graph import components
 
+#: Words of a shingle; hashes of a signature, of a band, of a batch of the sequential verification.
 SHINGLE, HASHES, ROWS, BATCH = 3, 125, 5, 25
 #: A link needs 100 * intersection >= 85 * union.
 THRESHOLD = 85
-#: A pair is pruned when its chance to reach the threshold is under this.
+#: A pair is pruned when, after any batch, its posterior chance to reach the threshold is under this.
 MISS = 1e-6
 #: Members of a bucket or cluster, and shingles of a cluster's members, that one block holds.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1500, 2_000_000
@@ -80,6 +84,16 @@ def least_matches(threshold: float, miss: float, hashes: int = HASHES, batch: in
     return out
 
 
+def miss_rate(threshold: float, miss: float, hashes: int = HASHES, batch: int = BATCH) -> float:
+    """The chance that the batches prune a pair whose similarity is the threshold: matches are binomial, batch by batch."""
+    alive, n = np.ones(1), 0
+    step = np.array([math.comb(batch, k) * threshold**k * (1 - threshold) ** (batch - k) for k in range(batch + 1)])
+    for least in least_matches(threshold, miss, hashes, batch):
+        alive, n = np.convolve(alive, step), n + batch
+        alive[:least] = 0.0
+    return float(1 - alive.sum())
+
+
 def survivors(row: np.ndarray, others: np.ndarray, least: list[int], batch: int = BATCH) -> np.ndarray:
     """Numbers of the signatures among `others` that no batch's posterior prunes against `row`."""
     alive, matches = np.arange(len(others)), np.zeros(len(others), np.int32)
@@ -107,13 +121,6 @@ def signed(docs: DataFrame, text: str = "text", into: str = "signed", shingle: i
     return docs.withColumn(into, sign(F.col(text)))
 
 
-def blocked(members: DataFrame, key: str, row: str, blocks: str) -> DataFrame:
-    """members with columns left, right: the pairs of blocks a member meets; blocks: how many its key has (1: the pair 0, 0)."""
-    own = F.pmod(F.xxhash64(row), F.col(blocks)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")), lambda k: F.struct(F.least(own, k).alias("left"), F.greatest(own, k).alias("right")))
-    return members.withColumn("_block", own).withColumn("_pair", F.explode(pairs)).withColumns({"left": F.col("_pair.left"), "right": F.col("_pair.right")}).drop("_pair")
-
-
 def groups_in(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The runs of equal keys of a sorted partition, over batch bounds."""
     held: list[pd.DataFrame] = []
@@ -134,20 +141,20 @@ def groups_in(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def forest(df: pd.DataFrame, sig: np.ndarray, least: list[int], linked) -> pd.DataFrame:
-    """Links (a, b) that connect what `linked` confirms among the members of one pair of blocks.
+def forest(reps: np.ndarray, sig: np.ndarray, least: list[int], linked: Callable[[int, int], bool], label: np.ndarray, foreign: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (a, b) that connect what `linked` confirms among all pairs, or those of a foreign and another member.
 
-    Members that are connected already aren't compared; of the others, those that the posterior leaves are tried from the
-    most matches down. The labels of connected members are an array as long as a block.
+    `label` tells who is connected already; those aren't compared, and it is brought up to date. Of the others, those that
+    the posterior leaves are tried from the most matches down. All arrays are as long as a block, or two.
     """
-    n, reps, block = len(df), df["rep"].to_numpy(), df["_block"].to_numpy()
-    cross = df["left"].iat[0] != df["right"].iat[0]
-    label, out = np.arange(n), []
-    for i in range(n - 1):
-        open_ = label[i + 1 :] != label[i]
-        if cross:
-            open_ &= block[i + 1 :] != block[i]
-        others = np.flatnonzero(open_) + i + 1
+    out = []
+    for i in range(len(reps)) if foreign is None else np.flatnonzero(foreign).tolist():
+        open_ = label != label[i]
+        if foreign is None:
+            open_[: i + 1] = False
+        else:
+            open_ &= ~foreign
+        others = np.flatnonzero(open_)
         if not len(others):
             continue
         alive = others[survivors(sig[i], sig[others], least)]
@@ -155,16 +162,63 @@ def forest(df: pd.DataFrame, sig: np.ndarray, least: list[int], linked) -> pd.Da
             if label[i] != label[j] and linked(i, j):
                 label[label == label[j]] = label[i]
                 out.append((reps[i], reps[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
+    return out
+
+
+def tester(df: pd.DataFrame, threshold: int, shingle: int) -> Callable[[int, int], bool]:
+    """Whether two members link: on full sets where the members have texts; else the posterior has the last word."""
+    if "text" not in df:
+        return lambda i, j: True
+    sets = [shingles(t, shingle) for t in df["text"]]
+    return lambda i, j: linked_sets(sets[i], sets[j], threshold)
+
+
+def stacked(df: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(df["signature"]), np.uint32).reshape(len(df), HASHES)
+
 
+def inside(batches: Iterator[pd.DataFrame], least: list[int], threshold: int, shingle: int) -> Iterator[pd.DataFrame]:
+    """Links of each block, and as (rep, rep, small) the members that aren't connected with the hub, if there are more blocks."""
+    for df in groups_in(batches, ["key", "block"]):
+        df = df.iloc[np.argsort((df["rep"] != df["hub"]).to_numpy(), kind="stable")]
+        reps, label = df["rep"].to_numpy(), np.arange(len(df))
+        links = forest(reps, stacked(df), least, tester(df, threshold, shingle), label)
+        left = reps[label != label[0]].tolist() if df["blocks"].iat[0] > 1 else []
+        if links or left:
+            yield pd.DataFrame([(df["key"].iat[0], a, b, False) for a, b in links] + [(df["key"].iat[0], a, a, True) for a in left], columns=["key", "a", "b", "small"])
 
-def candidates(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd.DataFrame]:
-    """Forests of buckets: key, left, right, _block, rep, signature sorted by the first three."""
-    for df in groups_in(batches, ["key", "left", "right"]):
-        sig = np.frombuffer(b"".join(df["signature"]), np.uint32).reshape(len(df), HASHES)
-        out = forest(df, sig, least, lambda i, j: True)
-        if len(out):
-            yield out
+
+def across(batches: Iterator[pd.DataFrame], least: list[int], threshold: int, shingle: int) -> Iterator[pd.DataFrame]:
+    """Links of small members of other blocks with the members of a block; those connected with the hub share a label."""
+    for df in groups_in(batches, ["key", "block", "chunk"]):
+        foreign, small = df["foreign"].to_numpy(), df["small"].to_numpy()
+        if foreign.any() and not foreign.all():
+            label = np.where(small, np.arange(len(df)) + 1, 0)
+            links = forest(df["rep"].to_numpy(), stacked(df), least, tester(df, threshold, shingle), label, foreign)
+            if links:
+                yield pd.DataFrame([(df["key"].iat[0], a, b, False) for a, b in links], columns=["key", "a", "b", "small"])
+
+
+def links_among(members: DataFrame, with_payload: Callable[[DataFrame], DataFrame], least: list[int], threshold: int, shingle: int) -> DataFrame:
+    """(a, b) that connect the members of each key; members: key, rep, hub (the least rep of the key), blocks.
+
+    with_payload adds the signature, and the text where links are confirmed on full sets.
+    """
+    schema = "key long, a long, b long, small boolean"
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
+    dealt = with_payload(members.withColumn("block", F.explode(F.when(F.col("rep") == F.col("hub"), every).otherwise(F.array(own)))))
+    parts = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    found = written(parts.mapInPandas(lambda batches: inside(batches, least, threshold, shingle), schema), "links")
+    links, small = found.where("not small").select("a", "b"), found.where("small").select("key", F.col("a").alias("rep"), "small")
+    if small.isEmpty():
+        return links
+    chunks = small.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).alias("chunks"))
+    tagged = members.join(chunks, "key").join(small.distinct(), ["key", "rep"], "left").withColumn("small", F.coalesce("small", F.lit(False))).withColumn("block", own)
+    here = tagged.withColumns({"foreign": F.lit(False), "chunk": F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))})
+    guests = tagged.where("small").withColumns({"foreign": F.lit(True), "chunk": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int"), "block": F.explode(F.array_remove(every, own))})
+    parts = with_payload(here.unionByName(guests)).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+    return links.union(parts.mapInPandas(lambda batches: across(batches, least, threshold, shingle), schema).select("a", "b"))
 
 
 def linked_sets(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -174,52 +228,41 @@ def linked_sets(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def confirmed(batches: Iterator[pd.DataFrame], least: list[int], threshold: int, shingle: int) -> Iterator[pd.DataFrame]:
-    """Exact links that connect the members of clusters: cluster, left, right, _block, rep, text sorted by the first three."""
-    a, b = hash_family(HASHES)
-    for df in groups_in(batches, ["cluster", "left", "right"]):
-        sets = [shingles(t, shingle) for t in df["text"]]
-        sig = np.array([signature(s, a, b) for s in sets])
-        out = forest(df, sig, least, lambda i, j: linked_sets(sets[i], sets[j], threshold))  # noqa: B023
-        if len(out):
-            yield out
-
-
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs.
 
     Words are what ASCII white space separates, A-Z lower-cased; a document's set is its distinct shingles, with fewer
     words the whole sequence as one, without words empty. Documents link when 100 * intersection >= threshold * union;
     component_id is the smallest doc_id reachable over links, itself included; null, empty and wordless texts link with
-    nothing. Copies and repeated rows share one class; a null doc_id links with nothing; other columns are not kept.
-    A link is missed with the chance that no band agrees (4e-7 at similarity 0.85) or that the posterior prunes it.
+    nothing. Copies and repeated rows share one class; rows of one id with different texts are one document that links
+    through each of them; a null doc_id links with nothing; very long texts are compared whole; an empty table gives no
+    rows; other columns are not kept.
+
+    A link at the threshold is missed when no band of `rows` hashes agrees (4e-7 at 0.85 and 5 rows, 8e-8 at 0.80 and 4),
+    or when the posterior prunes it (`miss_rate`: 7e-6 at 0.85).
     """
     least = least_matches(threshold / 100, miss)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = written(signed(slim, shingle=shingle).select("doc_id", "signed.*"), "signed")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
+    sets = written(signed(slim, shingle=shingle).select("doc_id", "text_key", "signed.*"), "signed")
     has = sets.where("set_key is not null and doc_id is not null")
-    reps = has.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
-    reps = written(reps, "classes")
+    reps = has.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    reps = written(reps.select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "signature", "n"), "classes")
 
     # Bands: only keys that several classes have go on.
-    width = 4 * ROWS
-    bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * width + 1, F.lit(width))))).alias("key"))
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    width = 4 * rows
+    bands = reps.select("rep", "text_key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // rows - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * width + 1, F.lit(width))))).alias("key"))
+    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("hub")).where("members > 1")
     met = bands.join(full, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK_MEMBERS)).drop("members")
-    met = blocked(met, "key", "rep", "blocks").join(reps.select("rep", "signature"), "rep")
-    parts = met.select("key", "left", "right", "_block", "rep", "signature").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    pairs = parts.mapInPandas(lambda batches: candidates(batches, least), "a long, b long")
-    clusters = components(pairs)
+    signatures = reps.select("rep", "text_key", "signature")
+    clusters = components(links_among(met, lambda df: df.join(signatures, ["rep", "text_key"]), least, threshold, shingle))
 
     # Texts of clustered classes, once; blocks by how many shingles a cluster has.
-    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps.select("rep", "n"), "rep")
+    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("key")).join(reps.select("rep", "text_key", "n"), "rep")
     blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("n") / BLOCK_MEMBERS))
-    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"))
-    members = members.join(sizes, "cluster").select("rep", "cluster", "blocks")
-    texts = slim.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    parts = blocked(texts, "cluster", "rep", "blocks").select("cluster", "left", "right", "_block", "rep", "text").repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    links = parts.mapInPandas(lambda batches: confirmed(batches, least, threshold, shingle), "a long, b long")
-    found = components(links).select(F.col("node").alias("rep"), "component")
+    members = written(members.join(members.groupBy("key").agg(blocks.alias("blocks")), "key").select("key", "rep", "text_key", F.col("key").alias("hub"), "blocks"), "members")
+    texts = slim.join(members.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi").withColumnRenamed("doc_id", "rep")
+    with_texts = lambda df: df.join(signatures, ["rep", "text_key"]).join(texts.dropDuplicates(["rep", "text_key"]), ["rep", "text_key"])
+    found = components(links_among(members, with_texts, least, threshold, shingle)).select(F.col("node").alias("rep"), "component")
 
     by_set = reps.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
@@ -228,7 +271,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; of repeated rows of an id one stays, null ids all stay."""
+    """docs with one document of each group, that of the smallest id.
+
+    Null, empty and wordless texts are groups of their own and stay; of repeated rows of an id one stays, rows with a null
+    id all stay; very long texts are compared whole; an empty table stays empty; other columns stay as they are, whatever
+    their names.
+    """
     gone = classes(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
     left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
     lone = fresh(docs, "lone")
