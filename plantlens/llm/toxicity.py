@@ -5,6 +5,9 @@ the index, by their document frequency over all documents; those that don't tell
 less. A query's rare terms are scored over their postings first. The largest weights of its common terms in each block of
 examples bound what these can add; only examples that this bound lets reach the k-th best cosine so far are scored in
 full. The k nearest are exact.
+
+The votes are calibrated: each example is scored by the others, and a logistic curve from these scores to the labels turns
+votes into probabilities.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import alnum_words, fold, held_out
@@ -35,7 +38,8 @@ PRIOR_WEIGHT, CUT = 2.0, 0.3
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, toxic_examples: int, clean_examples: int) -> tuple[DataFrame, float]:
     """(example, y, text) of the sampled learnable rows, and the share of toxic labels among all learnable rows.
 
-    Of each label the ids with the smallest hashes are taken; an id with both labels counts as toxic, exact copies once.
+    Of each label the ids with the smallest hashes are taken. An id or a text with both labels counts as toxic, and exact
+    copies count once, by the smallest id.
     """
     learn = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != 2)).groupBy(F.col(doc_id).alias("example")).agg(F.max(F.when(F.col(toxic) > 0, 1).otherwise(0)).alias("y"))
     row = learn.agg(F.avg("y")).first()
@@ -44,7 +48,7 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
     ids = pick(1, toxic_examples).unionByName(pick(0, clean_examples))
     texts = docs.select(F.col(doc_id).alias("example"), F.col(text).alias("text"))
     found = texts.join(F.broadcast(ids), "example").where("text is not null")  # at most toxic_examples + clean_examples ids
-    return found.dropDuplicates(["text"]), share
+    return found.groupBy("text").agg(F.min("example").alias("example"), F.max("y").alias("y")), share
 
 
 def document_frequency(docs: DataFrame, text: str, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -77,11 +81,13 @@ class Lists:
         self.number, self.weight = number[order].astype(np.int32), weight[order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=keys))]).astype(np.int64)
         self.size = np.diff(self.start)
+        self.opened = 0  # entries read so far
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the keys' entries, how many each key has)."""
         size = self.size[keys]
         ends = np.cumsum(size)
+        self.opened += int(size.sum())
         return np.repeat(self.start[keys] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), size
 
     def sums(self, keys: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -93,17 +99,17 @@ class Lists:
 class Index:
     """Postings by term: example numbers ascending and weights, and each block's largest weight; terms by example."""
 
-    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], class_weight: dict[int, float], prior: float):
-        self.number = {w.encode(): k for k, w in enumerate(terms)}
+    def __init__(self, terms: dict[bytes, float], examples: list[tuple[int, int, dict[bytes, int]]], class_weight: dict[int, float], prior: float):
+        self.number = {w: k for k, w in enumerate(terms)}
         self.idf = np.array(list(terms.values()))
         self.prior = prior
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.y = np.array([e[1] for e in examples], np.float64)
         self.votes = np.array([class_weight[e[1]] for e in examples], np.float64)
         self.blocks = -(-len(examples) // BLOCK)
-        order = {w: k for k, w in enumerate(terms)}
+        self.curve = (1.0, 0.0)
         row = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-        term = np.fromiter((order[w] for e in examples for w in e[2]), np.int64)
+        term = np.fromiter((self.number[w] for e in examples for w in e[2]), np.int64)
         weight = (1 + np.log(np.fromiter((n for e in examples for n in e[2].values()), np.float64))) * self.idf[term] if len(term) else np.zeros(0)
         weight = weight / np.sqrt(np.bincount(row, weight * weight, len(examples)))[row] if len(term) else weight
         self.postings = Lists(term, row, weight, len(terms))
@@ -145,24 +151,78 @@ class Index:
         best = best[np.lexsort((best, -cosine[best]))][:k]
         return best, cosine[best]
 
+    def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
+        """The distance-weighted share of toxic labels among these examples, drawn to the share among all labels."""
+        vote = cosine * self.votes[rows]
+        return (PRIOR_WEIGHT * self.prior + float((vote * self.y[rows]).sum())) / (PRIOR_WEIGHT + float(vote.sum()))
+
+    def left_out(self, row: int) -> float:
+        """The vote on an example by the others."""
+        at, _ = self.texts.places(np.array([row]))
+        terms, q = self.texts.number[at].astype(np.int64), self.texts.weight[at]
+        rows, cosine = self.nearest(terms, q / np.sqrt((q * q).sum()), NEAREST + 1)
+        others = rows != row
+        return self.vote(rows[others][:NEAREST], cosine[others][:NEAREST])
+
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """(score, evidence: ids of the nearest examples, their cosines)."""
         asked = self.query(alnum_words(text)) if len(self.ids) else None
         if asked is None:
             return self.prior, [], []
         rows, cosine = self.nearest(*asked)
-        vote = cosine * self.votes[rows]
-        score = (PRIOR_WEIGHT * self.prior + float((vote * self.y[rows]).sum())) / (PRIOR_WEIGHT + float(vote.sum()))
-        return min(1.0, max(0.0, score)), self.ids[rows].tolist(), cosine.tolist()
+        slope, shift = self.curve
+        return logistic(slope * logit(self.vote(rows, cosine)) + shift), self.ids[rows].tolist(), cosine.tolist()
+
+
+def logit(p: float) -> float:
+    p = min(1 - 1e-6, max(1e-6, p))
+    return math.log(p / (1 - p))
+
+
+def logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-min(500.0, max(-500.0, x))))
+
+
+def fitted_curve(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from logits of votes to labels, by Newton steps on the weighted likelihood.
+
+    A Gaussian prior (variance 10) around slope 1 and shift 0 keeps it finite where the votes tell the labels apart.
+    """
+    x = np.stack([[logit(v) for v in votes], np.ones(len(votes))], axis=1)
+    start = np.array([1.0, 0.0])
+    at = start.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        gradient = x.T @ (weight * (y - p)) - (at - start) / 10
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2) / 10, gradient)
+        at = at + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(at[0]), float(at[1])
+
+
+def calibrated(spark: SparkSession, index: Index) -> Index:
+    """index with its curve, from the votes on each example by the others; tasks score shares of the bounded sample."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"id": df["id"], "vote": [shared.value.left_out(r) for r in df["id"].tolist()]})
+
+    rows = spark.range(len(index.ids)).repartition(max(1, min(32, len(index.ids) // 100))).mapInPandas(left_out, "id long, vote double").collect()
+    votes = np.zeros(len(index.ids))
+    for i, vote in rows:
+        votes[i] = vote
+    index.curve = fitted_curve(votes, index.y, index.votes)
+    return index
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> Index:
     """The index over the sampled examples. What is brought to the driver, their texts and a count a term, the sample bounds."""
     sample, share = labelled(docs, labels, doc_id, text, toxic, toxic_examples, clean_examples)
-    rows = sorted(((r["example"], r["y"], r["text"]) for r in sample.select("example", "y", "text").collect()), key=lambda r: (r[0], r[2]))
-    one: dict[bytes, str] = {}  # a string a term, however many examples hold it
-    examples = [(i, y, {one.setdefault(w, w.decode("utf-8", "replace")): n for w, n in Counter(alnum_words(t)).items()}) for i, y, t in rows]
-    del rows, one
+    one: dict[bytes, bytes] = {}  # an object a term, however many examples hold it
+    examples = sorted(((r["example"], r["y"], {one.setdefault(w, w): n for w, n in Counter(alnum_words(r["text"])).items()}) for r in sample.select("example", "y", "text").toLocalIterator()), key=lambda e: (e[0], e[1], sorted(e[2].items())))
+    del one
     n1 = sum(y for _, y, _ in examples)
     n0 = len(examples) - n1
     if not n1 or not n0:
@@ -171,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for _, y, counts in examples:
         held[y].update(counts.keys())
     terms = sorted(held[0].keys() | held[1].keys())
-    total, frequency = document_frequency(docs, text, [w.encode() for w in terms])
+    total, frequency = document_frequency(docs, text, terms)
     d0, d1 = (np.array([h[w] for w in terms], np.float64) for h in held)
     ratio = np.abs(np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1)))
     sure = (ratio >= SURE * np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))) & (ratio >= math.log(LEAST_RATIO))
@@ -179,15 +239,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     examples = [e for e in examples if e[2]]
     # Labels are sampled at their own rates; a vote counts as if they weren't.
     weight = {1: share / (n1 / (n1 + n0)), 0: (1 - share) / (n0 / (n1 + n0))}
-    return Index(dict(zip(terms, weights.tolist(), strict=True)), examples, weight, share)
+    index = Index(dict(zip(terms, weights.tolist(), strict=True)), examples, weight, share)
+    del examples, held, terms
+    return calibrated(docs.sparkSession, index) if len(index.ids) > 1 else index
 
 
 def scored(docs: DataFrame, index: Index, text: str = "text", into: str = "toxicity") -> DataFrame:
     """docs with a struct column `into`: score, nearest (example ids), cosines.
 
-    The score is the distance-weighted share of toxic labels among the nearest examples, drawn to the share among all
-    labels. A text without any term of the index (null and empty ones too), or an index without examples, has that share
-    as its score and no evidence. Repeated rows score alike; other columns pass through (one named `into` is replaced).
+    The score is the calibrated distance-weighted share of toxic labels among the nearest examples, drawn to the share
+    among all labels. A text without any term of the index (null and empty ones too), or an index without examples, has
+    that share as its score and no evidence. Ties go to the examples of the smaller ids; repeated rows score alike; very
+    long texts are scored whole; an empty table stays empty; other columns pass through (one named `into` is replaced).
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
