@@ -104,7 +104,7 @@ with a as (select page_id, html, {after.format('url')} as t from pages),
 p as (select page_id, html, {host.format('t')} as host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) as path from a),
 r as (select *, case {rule} end as rule, case {verdict} end as by_rule from p),
 seeds as (select kind, host, n / sum(n) over (partition by kind) as weight from (select by_rule as kind, host, count(*) as n from r where by_rule is not null and host <> '' group by 1, 2)),
-u as (select host as src, case when starts_with(x, '//') then 'x:' || x else x end as x from (select host, unnest(list_distinct(list_filter(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda y: contains(y, '//')))) as x from r)),
+u as (select host as src, case when starts_with(x, '//') then 'x:' || x else x end as x from (select host, unnest(list_distinct(list_filter(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda y: regexp_matches(y, '{urls.ABSOLUTE}')))) as x from r)),
 l as (select src, {host.format(after.format('x'))} as dst from u),
 one_way as (select src, dst, count(*) as n from l where src <> '' and dst <> '' and src <> dst group by 1, 2),
 edges as (select 'allow' as kind, src, dst, n from one_way union all select 'block', dst, src, n from one_way),

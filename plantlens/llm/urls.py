@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -21,6 +21,7 @@ ROUNDS, MOST_ROUNDS = 20, 120
 #: A host is blocked when its distrust is over this many times its trust.
 RATIO = 1.0
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
+ABSOLUTE = "^([A-Za-z][A-Za-z0-9+.-]*:)?//"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,15 +44,15 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     `rules` is a short list, written into the plan; of equally long ones the first wins.
     """
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])) if rules else []:
+    for kind, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
     return rule, verdict
 
 
 def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """(src, dst, n): links between different hosts; relative links stay on their host and are left out early."""
-    targets = F.filter(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1)), lambda u: u.contains("//"))
+    """(src, dst, n): links between different hosts; relative links, also with an address inside, stay on their host."""
+    targets = F.filter(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1)), lambda u: u.rlike(ABSOLUTE))
     links = pages.select(F.col(host).alias("src"), F.explode(F.array_distinct(targets)).alias("u"))
     absolute = F.when(F.col("u").startswith("//"), F.concat(F.lit("x:"), F.col("u"))).otherwise(F.col("u"))
     return links.select("src", host_of(absolute).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -70,6 +71,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     shares = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
     seeds = written(seeds, "seeds")
     scores = seeds.select("kind", "host", F.col("weight").alias("score"))
+    last = None
     for _ in range(rounds):
         sent = scores.join(shares, (scores["kind"] == shares["kind"]) & (scores["host"] == shares["src"])).select(shares["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("got"))
         moved = sent.groupBy("kind", "host").agg(F.sum("got").alias("got"))
@@ -79,7 +81,9 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
         both = moved.unionByName(restart).withColumn("old", F.lit(0.0)).unionByName(old)
         new = written(both.groupBy("kind", "host").agg(F.sum("got").alias("score"), F.sum("old").alias("old")), "scores")
         change = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-        scores = new.select("kind", "host", "score")
+        if last is not None:
+            discard(last)
+        last, scores = new, new.select("kind", "host", "score")
         if change is None or change < settled:
             return scores
     raise RuntimeError(f"host scores still change by {change} after {rounds} rounds")
