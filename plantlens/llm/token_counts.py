@@ -7,6 +7,7 @@ match takes from what the node spells; only how many pieces that pops is kept, s
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
@@ -90,19 +91,29 @@ def read_pieces(path: str, end: str = "</w>") -> list[bytes]:
     return out
 
 
+#: The automaton that this Python worker built last and the counts it remembers, by the name of its broadcast.
+_built: dict[str, tuple[LongestMatch, dict[bytes, int]]] = {}
+
+
+def built(name: str, pieces: list[bytes]) -> tuple[LongestMatch, dict[bytes, int]]:
+    if name not in _built:
+        _built.clear()
+        _built[name] = LongestMatch(pieces), {}
+    return _built[name]
+
+
 def count_tokens(docs: DataFrame, pieces: list[bytes], text: str = "text", into: str = "tokens", memo_words: int = MEMO_WORDS) -> DataFrame:
     """docs with a struct column `into`: n_words, n_tokens, n_unknown.
 
     Words are what ASCII white space separates, A-Z lower-cased. A word that greedy longest match cannot cover is one
-    unknown piece. Null and empty texts have no words; repeated rows count alike; other columns pass through (one named
-    `into` is replaced). The vocabulary's size is that of its file, which bounds the broadcast.
+    unknown piece. Null and empty texts have no words; repeated rows count alike; very long texts are counted whole; an empty
+    table stays empty; other columns pass through (one named `into` is replaced). The vocabulary's size is that of its file, which bounds the broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared, name = docs.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
 
     @F.pandas_udf(COUNTS)
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        match = LongestMatch(shared.value)
-        memo: dict[bytes, int] = {}
+        match, memo = built(name, shared.value)
         for texts in batches:
             rows = []
             for t in texts:
