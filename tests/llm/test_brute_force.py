@@ -117,7 +117,8 @@ def test_redaction(spark):
 
 
 # 2 near-dedup
-def test_near_dedup_equals_all_pairs(spark):
+@pytest.mark.parametrize(("size", "threshold", "rows"), [(3, 85, 5), (5, 80, 4)])
+def test_near_dedup_equals_all_pairs(spark, size, threshold, rows):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(4000)]
     texts = []
@@ -129,11 +130,12 @@ def test_near_dedup_equals_all_pairs(spark):
                 t[rng.randrange(len(t))] = rng.choice(vocab)
             texts.append(" ".join(t))
     texts += ["a b", "A  b", "a", "", texts[0]]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(df, threshold=threshold, shingle=size, rows=rows).collect()}
     sets = []
     for t in texts:
         w = t.lower().split()
-        sets.append(set() if not w else {tuple(w)} if len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+        sets.append(set() if not w else {tuple(w)} if len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
     up = list(range(len(texts)))
 
     def find(x):
@@ -143,7 +145,7 @@ def test_near_dedup_equals_all_pairs(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
@@ -151,13 +153,16 @@ def test_near_dedup_equals_all_pairs(spark):
 
 def test_blocks_give_the_same_groups(spark, monkeypatch):
     rng = random.Random(8)
-    base = [f"w{rng.randrange(500)}" for _ in range(120)]
     rows = []
-    for i in range(60):
-        t = list(base)
-        for _ in range(rng.randrange(0, 5)):
-            t[rng.randrange(120)] = f"x{rng.randrange(50)}"
-        rows.append((i, " ".join(t)))
+    for page in range(3):  # the third page's copies drift, so that many aren't linked with their hub
+        base = [f"w{page}_{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(40):
+            t = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                t[rng.randrange(120)] = f"x{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(t)))
+            if page == 2:
+                base[rng.randrange(120)] = f"y{rng.randrange(500)}"
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one = sorted(near_dedup.classes(df).select("doc_id", "component_id").collect())
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
@@ -165,6 +170,34 @@ def test_blocks_give_the_same_groups(spark, monkeypatch):
     assert sorted(near_dedup.classes(df).select("doc_id", "component_id").collect()) == one
 
 
+def test_near_copies_of_a_page_take_linear_work(spark, monkeypatch):
+    """Copies that link with their hub stay in one block each; only the hub goes to all of them."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 10)
+    seen = []
+    real = near_dedup.forest
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 32, near_dedup.HASHES, dtype=np.uint64).astype(np.uint32)
+    monkeypatch.setattr(near_dedup, "forest", lambda reps, *a: seen.append(len(reps)) or real(reps, *a))
+    frame = __import__("pandas").DataFrame({"key": 1, "block": np.repeat(np.arange(20), 10), "blocks": 20, "rep": np.where(np.arange(200) % 10 == 0, 0, np.arange(200)), "hub": 0, "signature": [sig.tobytes()] * 200})
+    out = list(near_dedup.inside(iter([frame]), near_dedup.least_matches(0.85, 1e-6), 85, 3))
+    assert sum(len(o) for o in out) == 180 and not any(o["small"].any() for o in out) and sum(seen) == 200
+
+
+def test_an_id_with_two_texts_links_through_both(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "other words here now")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_miss_rate_equals_draws():
+    rng = np.random.default_rng(2)
+    least = near_dedup.least_matches(0.85, 1e-2)
+    matches = rng.binomial(25, 0.85, (400_000, 5)).cumsum(axis=1)
+    assert abs((matches < least).any(axis=1).mean() - near_dedup.miss_rate(0.85, 1e-2)) < 2e-3
+    assert near_dedup.miss_rate(0.85, near_dedup.MISS) < 1e-5 and near_dedup.miss_rate(0.80, near_dedup.MISS) < 1e-5
+
+
 def test_posterior_bound_is_the_beta_tail():
     rng = np.random.default_rng(1)
     for n, m in zip(range(25, 126, 25), near_dedup.least_matches(0.85, 1e-3), strict=True):
@@ -199,53 +232,145 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-def test_decontamination_equals_a_loop(spark):
+@pytest.mark.parametrize("size", [1, 4, 5])
+def test_decontamination_equals_a_loop(spark, size):
     rng = random.Random(2)
     vocab = ["a", "B", "é", "c1", "D"]
     text = lambda n: " ".join(rng.choice(vocab) + rng.choice(["", ",", "\n"]) for _ in range(n))
     docs = [(i, text(rng.randrange(0, 60))) for i in range(60)]
-    items = [(i, text(rng.randrange(0, 8))) for i in range(9)]
-    args = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    for options in ({"size": 4}, {"size": 4, "block_words": 20}):
-        got = {r["doc_id"]: r for r in decontamination.report(*args, **options).collect()}
-        for i, t in docs:
-            w = WORD.findall(lower(t))
-            hit, found = set(), set()
-            for k, item in items:
-                v = WORD.findall(lower(item))
-                for s in range(max(1, len(v) - 3)) if v else ():
-                    win = v[s : s + 4]
-                    for p in range(len(w) - len(win) + 1):
-                        if w[p : p + len(win)] == win:
-                            hit |= set(range(p, p + len(win)))
-                            found.add(str(k))
-            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
+    items = [(i, text(rng.randrange(0, 12))) for i in range(9)]
+    marked = decontamination.mark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=size)
+    got = {r["doc_id"]: r for r in marked.select("doc_id", "text", "contamination.*").collect()}
+    for i, t in docs:
+        w = WORD.findall(lower(t))
+        places = [m.span() for m in WORD.finditer(lower(t))]
+        hit, found = set(), set()
+        for k, item in items:
+            v = WORD.findall(lower(item))
+            for s in range(max(1, len(v) - size + 1)) if v else ():
+                win = v[s : s + size]
+                for p in range(len(w) - len(win) + 1):
+                    if w[p : p + len(win)] == win:
+                        hit |= set(range(p, p + len(win)))
+                        found.add(str(k))
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(found))
+        assert {k for h in got[i]["hits"] for k in range(h["start"], h["end"])} == hit
+        assert all((h["from"], h["to"]) == (places[h["start"]][0], places[h["end"] - 1][1]) for h in got[i]["hits"])
+
+
+def test_the_automaton_takes_about_a_node_a_word():
+    rng = random.Random(6)
+    items = [(str(i), " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(300)]
+    windows = decontamination.Windows(items, 10)
+    assert windows.machine.get_stats()["nodes_count"] <= 1.1 * 300 * 60
+    assert windows.found([w.encode() for w in items[7][1].split()])[1] == {windows.ids.index("7")}
+
+
+def test_a_benchmark_that_is_too_large_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_WORDS", 3)
+    items = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        decontamination.benchmark_items(items, "item_id", "text")
 
 
 # 4 toxicity
 def test_nearest_equals_all_cosines():
     rng = random.Random(9)
-    terms = {f"t{i}": 1.0 + rng.random() for i in range(40)}
+    terms = {f"t{i}".encode(): 1.0 + rng.random() for i in range(40)}
     examples = [(i, i % 2, {w: rng.randrange(1, 4) for w in rng.sample(list(terms), rng.randrange(1, 9))}) for i in range(500)]
     index = toxicity.Index(terms, examples, {0: 1.0, 1: 1.0}, 0.5)
     for _ in range(60):
-        words = [rng.choice(list(terms)).encode() for _ in range(rng.randrange(1, 12))]
+        words = [rng.choice(list(terms)) for _ in range(rng.randrange(1, 12))]
         asked = index.query(words)
         rows, cosines = index.nearest(*asked)
         weight = lambda c: {w: (1 + math.log(n)) * terms[w] for w, n in c.items()}
-        q = weight(Counter(w.decode() for w in words))
+        q = weight(Counter(words))
         norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
         all_ = sorted((-sum(q.get(w, 0) * x for w, x in weight(c).items()) / norm(q) / norm(weight(c)), i) for i, _, c in examples)
         want = [(i, -c) for c, i in all_[: toxicity.NEAREST] if c < 0]
         assert [round(c, 9) for c in cosines] == [round(c, 9) for _, c in want]
 
 
+def test_far_blocks_are_skipped():
+    """Postings of common terms are not opened for blocks whose bound can't reach the k-th best."""
+    rng = random.Random(3)
+    examples = [(i, i % 2, {b"common": 1, f"rare{i // 50}".encode(): 3, f"own{i}".encode(): 1}) for i in range(6400)]
+    terms = {w: 1.0 for _, _, c in examples for w in c}
+    index = toxicity.Index(terms, examples, {0: 1.0, 1: 1.0}, 0.5)
+    every = sum(len(c) for _, _, c in examples)
+    for _ in range(5):
+        i = rng.randrange(6400)
+        before = index.postings.opened + index.texts.opened
+        rows, _ = index.nearest(*index.query([b"common", f"rare{i // 50}".encode()]))
+        assert {r // 50 for r in rows.tolist()} == {i // 50}
+        assert index.postings.opened + index.texts.opened - before < every / 50
+
+
+def plain_scores(docs, labels):
+    """Every score by plain loops over all examples, as the docstrings define it."""
+    words = {i: Counter(WORD.findall(lower(t))) for i, t in docs.items() if t is not None}
+    learn = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+    share = sum(learn.values()) / len(learn)
+    by_text = {}
+    for i, y in sorted(learn.items()):
+        if i in words:
+            a, b = by_text.get(docs[i], (i, 0))
+            by_text[docs[i]] = (a, max(b, y))
+    ex = [(i, y, words[i]) for i, y in sorted(by_text.values())]
+    n1, n0 = sum(y for _, y, _ in ex), sum(1 - y for _, y, _ in ex)
+    df, d0, d1 = (Counter(w for c in cs for w in c) for cs in (words.values(), [c for _, y, c in ex if not y], [c for _, y, c in ex if y]))
+    idf = {}
+    for w in d0.keys() | d1.keys():
+        ratio = abs(math.log((d1[w] + 0.5) / (n1 + 1)) - math.log((d0[w] + 0.5) / (n0 + 1)))
+        sure = ratio >= 3 * math.sqrt(1 / (d1[w] + 0.5) + 1 / (d0[w] + 0.5)) and ratio >= math.log(4)
+        idf[w] = math.log(1 + len(words) / df[w]) * (1 if sure else 0.1)
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * idf[w] for w, n in c.items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    ex = [(i, y, vector(c)) for i, y, c in ex if c]
+    weight = {1: share / (n1 / (n1 + n0)), 0: (1 - share) / (n0 / (n1 + n0))}
+
+    def vote(v, without=None):
+        near = sorted((-sum(v.get(w, 0) * x for w, x in u.items()), i, y) for i, y, u in ex if i != without)[:15]
+        near = [(-c, i, y) for c, i, y in near if -c >= 1e-12]
+        return (2 * share + sum(c * weight[y] * y for c, _, y in near)) / (2 + sum(c * weight[y] for c, _, y in near))
+
+    left_out = [vote(u, i) for i, _, u in ex]
+    slope, shift = toxicity.fitted_curve(np.array(left_out), np.array([y for _, y, _ in ex], float), np.array([weight[y] for _, y, _ in ex]))
+    return {i: toxicity.logistic(slope * toxicity.logit(vote(v)) + shift) if (v := vector(words.get(i, {}) if any(w in idf for w in words.get(i, {})) else {})) else share for i in docs}
+
+
+def test_scores_equal_plain_loops(spark):
+    rng = random.Random(12)
+    docs = {i: " ".join([f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 15))] + ([f"bad{rng.randrange(4)}"] if i % 5 == 0 else [])) for i in range(240)}
+    docs |= {500: None, 501: "", 502: "unheard", 503: docs[3], 504: docs[5]}
+    labels = {i: int(i % 5 == 0) for i in [*range(200), 503, 504]}
+    got = toxicity.report(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
+    want = plain_scores(docs, labels)
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6) for r in got) and len(got) == len(docs)
+
+
+def test_the_curve_calibrates():
+    rng = np.random.default_rng(5)
+    votes = rng.random(20_000)
+    y = (rng.random(20_000) < votes**2 / (votes**2 + (1 - votes) ** 2)).astype(float)
+    slope, shift = toxicity.fitted_curve(votes, y, np.ones(20_000))
+    assert abs(slope - 2) < 0.1 and abs(shift) < 0.1
+
+
 def test_toxicity_held_out(spark, sf_dir):
-    d = sf_dir.replace("sf0.001", "sf0.01")
+    d = sf_dir.replace("sf0.001", "sf0.1")
     labels = common.table(spark, d, "labels")
-    x = toxicity.report(common.table(spark, d, "documents"), labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
-    clean = [r for r in x if r["toxic"] == 0]
-    assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean)
+    x = toxicity.report(common.table(spark, d, "documents"), labels).join(labels, "doc_id").where("held_out and toxic is not null").select("toxic", "predicted", "score").collect()
+    clean, toxic = [r for r in x if r["toxic"] == 0], [r for r in x if r["toxic"] == 1]
+    assert sum(r["predicted"] for r in clean) <= 0.03 * len(clean)
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
+    # Calibration: of the documents in a band of scores, about that share is toxic.
+    assert np.mean([(r["score"] - r["toxic"]) ** 2 for r in x]) < 0.03
+    assert abs(np.mean([r["score"] for r in x]) - len(toxic) / len(x)) < 0.03
 
 
 # 5 urls
@@ -346,6 +471,27 @@ def test_language_held_out(spark, sf_dir):
     assert x.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def test_language_equals_plain_zstandard(spark, sf_dir):
+    import zstandard as zstd
+
+    docs = common.table(spark, sf_dir, "documents")
+    bodies = language.fit_dictionaries(docs)
+    got = {r["doc_id"]: r["language"] for r in language.predict(docs.select("doc_id", "text"), bodies).collect()}
+    for r in docs.collect():
+        t = r["text"]
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[r["doc_id"]]["lang"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        sizes = {}
+        for lang, body in bodies.items():
+            how = zstd.ZstdCompressionParameters.from_level(language.LEVEL, dict_size=len(body), min_match=language.LEAST_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = len(zstd.ZstdCompressor(compression_params=how, dict_data=zstd.ZstdCompressionDict(body, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress(t.lower().encode() + language.PAD))
+        first, second = sorted(sizes.values())[:2]
+        assert got[r["doc_id"]]["lang"] == min(k for k, v in sizes.items() if v == first)
+        assert got[r["doc_id"]]["narrow"] == (1 - first / second < language.MARGIN)
+        assert got[r["doc_id"]]["sizes"] == list(sizes.values())
+
+
 # 9 token counts
 def plain_match(word, pieces):
     word, n, i = word + token_counts.END, 0, 0

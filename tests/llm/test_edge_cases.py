@@ -99,6 +99,31 @@ def test_urls(spark):
     assert got[5]["verdict"] == "block"
 
 
+def test_equal_rules_and_embedded_addresses(spark):
+    rules = [("block", "a.com", "/x"), ("allow", "com", "/xxx")]
+    assert len("a.com/x") == len("com/xxx") == 7
+    pages = spark.createDataFrame([(1, "http://a.com/xxx", '<a href="/go?u=http://other.org/"><a href=//b.org><a href="HTTPS://c.org/">')], "page_id long, url string, html string")
+    r = urls.report(pages, rules=rules).first()
+    assert (r["rule"], r["verdict"]) == ("a.com/x", "block")
+    edges = urls.host_edges(pages.withColumn("host", urls.host_of(F.col("url"))), "host", "html")
+    assert sorted(e["dst"] for e in edges.collect()) == ["b.org", "c.org"]
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "near_dedup", "decontamination", "pii"])
+def test_stages_on_odd_rows_and_empty_tables(spark, docs, sf_dir, stage):
+    """Each stage keeps the columns, and no stage fails on nulls, long texts, repeated rows or an empty table."""
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    rows = docs.withColumn("n_chars", F.lit(1).cast("long"))
+    assert run(spark, rows.limit(0), sf_dir).count() == 0
+    got = run(spark, rows, sf_dir)
+    assert set(got.columns) == set(rows.columns)
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.select("doc_id").collect())
+    every = [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (False, 5), (False, 6), (True, 0)]
+    assert ids == {"quality_rules": [(False, 5), (False, 5), (False, 6)], "near_dedup": [*every[:5], (True, 0)], "decontamination": every, "pii": every}[stage]
+
+
 WRAPPED = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining
 a copy of this software and associated documentation files (the "Software")""",

@@ -21,7 +21,7 @@ def test_pipeline(spark, sf_dir):
     kept = common.written(kept.select(*docs.columns), "kept")
     from plantlens.llm import decontamination, near_dedup, pii
 
-    groups = near_dedup.classes(kept).where("kept").select("doc_id")
+    groups = near_dedup.classes(kept, threshold=80, shingle=5, rows=4).where("kept").select("doc_id")
     clean = decontamination.report(kept, common.table(spark, sf_dir, "benchmark")).where("not contaminated").select("doc_id")
     left = common.written(kept.join(groups, "doc_id", "left_semi").join(clean, "doc_id", "left_semi").select(*docs.columns), "left")
     left = pii.redacted(left)
