@@ -16,9 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingles, four fifths of them shared."""
     modest_batches(spark)
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, threshold=80, shingle=5, rows=4)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
