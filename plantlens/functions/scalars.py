@@ -60,11 +60,11 @@ def season(ts: Column) -> tuple[Column, Column]:
 
 def normalized_code(text: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:
     """The code of the first rule (pattern, code) found in the lower-cased text; blank or unmatched: default."""
-    low = F.lower(F.trim(text))
+    low = F.lower(text)
     out = F.lit(default)
     for pattern, code in reversed(rules):
         out = F.when(low.rlike(pattern), code).otherwise(out)
-    return F.when(text.isNull() | (low == ""), default).otherwise(out)
+    return F.when(text.isNull() | (F.trim(text) == ""), default).otherwise(out)
 
 
 def without_prefix(text: Column, prefixes: tuple[str, ...]) -> Column:
@@ -81,6 +81,16 @@ def quantities(text: Column, outer: str = ";", inner: str = ":") -> Column:
     return F.transform(F.split(text, outer), lambda x: F.struct(F.split_part(x, F.lit(inner), F.lit(1)).alias("code"), F.split_part(x, F.lit(inner), F.lit(2)).cast("double").alias("qty")))
 
 
+def labels_of(text: Column, drop: str, separator: str = ";") -> Column:
+    """Labels of a separated text as an array, each without `drop`: `end_of_fill_pressure_bar;x` and `_bar` give end_of_fill_pressure, x."""
+    return F.transform(F.split(text, separator), lambda x: F.replace(x, F.lit(drop), F.lit("")))
+
+
+def cavity_key(cell_code: Column, cavity: Column, most: int = 32) -> Column:
+    """One number for a cavity of a cell."""
+    return cell_code * most + cavity
+
+
 def numbers(text: Column, separator: str = ";") -> Column:
     return F.transform(F.split(text, separator), lambda x: x.try_cast("double"))
 

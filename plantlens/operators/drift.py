@@ -1,14 +1,19 @@
 """Drift detection: resets, EWMA, block and variance CUSUM, re-arming, step tests.
 
-Recurrences whose state depends on the data (CUSUM, re-arming) are folds over one series' ordered array, after the rows
-have been thinned to blocks or excursions; the others are windows.
+Recurrences whose state depends on the data (CUSUM, re-arming) stream over sorted partitions with one state a series,
+after the rows have been thinned to blocks or excursions; the others are windows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import wilson
 from .windows import START, rolling_spread, trailing_mean
 
 
@@ -27,17 +32,18 @@ def segments(df: DataFrame, keys: list[str], order: list[str], reset: str = "res
     return df.withColumn(into, F.sum(F.col(reset).cast("int")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(START, 0)))
 
 
-def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, reset: str = "reset", weight: float = 0.2, depth: int = 100, baseline: int = 500, limit: float = 3.5) -> DataFrame:
+def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, reset: str = "reset", weight: float = 0.2, baseline: int = 500, limit: float = 3.5, lost: float = 1e-9) -> DataFrame:
     """Exponentially weighted mean that restarts at a reset, its limits from the first `baseline` rows, and the signal.
 
-    The value is carried over nulls, then 0. A series begins at the baseline's mean, a segment at its first value. Only
-    the last `depth` rows of a segment count, what is before them weighs (1 - weight) ** depth.
+    The value is carried over nulls, then 0. A series begins at the mean of the baseline's values, a segment at its first
+    value. So many rows of a segment count that what is before them weighs less than `lost`.
     """
+    depth = math.ceil(math.log(lost) / math.log(1 - weight))
     w = Window.partitionBy(*keys).orderBy(*order)
     x = segments(df, keys, order, reset, "_segment").withColumn("_no", F.row_number().over(w))
     x = x.withColumn("_x", F.coalesce(F.last(value, ignorenulls=True).over(w.rowsBetween(START, 0)), F.lit(0.0)))
     whole = Window.partitionBy(*keys)
-    x = x.withColumn("_start", F.avg(F.when(F.col("_no") <= baseline, F.col("_x"))).over(whole))
+    x = x.withColumn("_start", F.coalesce(F.avg(F.when(F.col("_no") <= baseline, F.col(value))).over(whole), F.lit(0.0)))
     own = Window.partitionBy(*keys, "_segment").orderBy(*order)
     x = x.withColumns({"_in": F.row_number().over(own), "_last": F.collect_list("_x").over(own.rowsBetween(1 - depth, 0))})
     first = F.when(F.col("_in") > depth, F.get("_last", F.lit(0))).when(F.col("_segment") == 0, F.col("_start")).otherwise(F.get("_last", F.lit(0)))
@@ -62,24 +68,57 @@ def block_z(df: DataFrame, keys: list[str], order: list[str], value: str, block:
     return x.withColumn("z", z).where(F.col("_pos") % block == block - 1).drop("_n", "_mean", "_sd", "_pos")
 
 
-def cusum(blocks: DataFrame, keys: list[str], order: str, z: str = "z", k: float = 0.375, h: float = 5.0, side: int = 1, into: str = "cusum") -> DataFrame:
-    """One-sided CUSUM over a series' blocks, zero after a signal and at a reset; a null z leaves the sum as it is.
+def streamed(df: DataFrame, keys: list[str], order: str, columns: list[str], out: str, step: Callable) -> DataFrame:
+    """Each series' rows in order through step(state, order, *columns) -> (state, row or None); a series starts with state None.
 
-    The fold runs over one series' blocks in order, an array that is a block's share of the series' rows.
+    `out` is the schema of the rows, which get the keys before them. Partitions are sorted and streamed: a task holds a
+    batch of rows and one state, however long a series is.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(z).cast("double").alias("z"), F.col("reset").alias("r"))
-    rows = F.array_sort(F.collect_list(item))
-    row_type = f"array<struct<o:{blocks.schema[order].dataType.simpleString()},s:double,f:boolean>>"
-    zero = F.struct(F.lit(0.0).alias("s"), F.array().cast(row_type).alias("out"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), out])
+    names, read = [c.split(" ")[0] for c in schema.split(", ")], [*keys, order, *columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series = state = None
+        for batch in batches:
+            rows = []
+            for row in zip(*(batch[c].tolist() for c in read), strict=True):
+                if row[: len(keys)] != series:
+                    series, state = row[: len(keys)], None
+                state, got = step(state, *row[len(keys) :])
+                if got is not None:
+                    rows.append((*series, *got))
+            yield pd.DataFrame(rows, columns=names)
+
+    return df.select(*read).repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
+def cusum(blocks: DataFrame, keys: list[str], order: str, z: str = "z", k: float = 0.375, h: float = 5.0, side: int = 1, into: str = "cusum") -> DataFrame:
+    """One-sided CUSUM over a series' blocks, zero after a signal and at a reset; a null z leaves the sum as it is."""
+
+    def step(state: float | None, at: int, value: float, reset: bool) -> tuple[float, tuple]:
+        s = 0.0 if state is None or reset else state
+        if pd.isna(value):
+            return s, (at, s, False)
+        s = max(0.0, s + side * value - k)
+        return (0.0 if s > h else s), (at, s, s > h)
+
+    kind = blocks.schema[order].dataType.simpleString()
+    return streamed(blocks.withColumn(z, F.col(z).cast("double")), keys, order, [z, "reset"], f"{order} {kind}, {into} double, {into}_signal boolean", step)
 
-    def step(a: Column, x: Column) -> Column:
-        start = F.when(x["r"], F.lit(0.0)).otherwise(a["s"])
-        s = F.when(x["z"].isNull(), start).otherwise(F.greatest(F.lit(0.0), start + side * x["z"] - k))
-        fired = x["z"].isNotNull() & (s > h)
-        return F.struct(F.when(fired, F.lit(0.0)).otherwise(s).alias("s"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), s.alias("s"), fired.alias("f")))).alias("out"))
 
-    folded = blocks.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.explode(F.aggregate("_rows", zero, step)["out"]).alias("_x"))
-    return folded.select(*keys, F.col("_x.o").alias(order), F.col("_x.s").alias(into), F.col("_x.f").alias(f"{into}_signal"))
+def two_sided(blocks: DataFrame, keys: list[str], order: str, z: str = "z", k: float = 0.375, h: float = 5.0, into: str = "cusum") -> DataFrame:
+    """The CUSUMs of both sides in one pass: the larger sum, and a signal of either."""
+
+    def step(state: tuple[float, float] | None, at: int, value: float, reset: bool) -> tuple[tuple[float, float], tuple]:
+        sums = (0.0, 0.0) if state is None or reset else state
+        if not pd.isna(value):
+            sums = tuple(max(0.0, s + side * value - k) for s, side in zip(sums, (1, -1), strict=True))
+        fired = not pd.isna(value) and max(sums) > h
+        return tuple(0.0 if s > h else s for s in sums), (at, max(sums), fired)
+
+    kind = blocks.schema[order].dataType.simpleString()
+    return streamed(blocks.withColumn(z, F.col(z).cast("double")), keys, order, [z, "reset"], f"{order} {kind}, {into} double, {into}_signal boolean", step)
 
 
 def log_spread(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 200, least: int = 100, first: int = 100, last: int = 500, every: int = 50) -> DataFrame:
@@ -95,19 +134,48 @@ def log_spread(df: DataFrame, keys: list[str], order: list[str], value: str, siz
 def rearmed(df: DataFrame, keys: list[str], order: list[str], signal: str, reset: str = "reset", rearm: int = 3000) -> DataFrame:
     """Rows where a detector fires: starts of signal runs at least `rearm` rows after the last kept start, or after a reset since.
 
-    The fold runs over a series' run starts, which are few.
+    Only a series' run starts, which are few, go through the stream.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     x = df.withColumns({"position": F.row_number().over(w) - 1, "_run": F.sum(F.col(reset).cast("int")).over(w.rowsBetween(START, 0))})
-    start = F.col(signal) & ~F.coalesce(F.lag(signal).over(w), F.lit(False))
-    starts = x.withColumn("_start", start).where("_start").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "_run"))).alias("_s"))
-    zero = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).cast("long").alias("run"), F.array().cast("array<int>").alias("kept"))
+    starts = x.withColumn("_start", F.col(signal) & ~F.coalesce(F.lag(signal).over(w), F.lit(False))).where("_start")
+
+    def step(state: tuple[int, int] | None, position: int, run: int) -> tuple[tuple[int, int], tuple | None]:
+        if state is None or position - state[0] >= rearm or run > state[1]:
+            return (position, run), (position,)
+        return state, None
 
-    def step(a: Column, s: Column) -> Column:
-        keep = a["at"].isNull() | (s["position"] - a["at"] >= rearm) | (s["_run"] > a["run"])
-        return F.struct(F.when(keep, s["position"]).otherwise(a["at"]).alias("at"), F.when(keep, s["_run"]).otherwise(a["run"]).cast("long").alias("run"), F.when(keep, F.concat(a["kept"], F.array(s["position"]))).otherwise(a["kept"]).alias("kept"))
+    return streamed(starts, keys, "position", ["_run"], "position int", step)
 
-    return starts.select(*keys, F.explode(F.aggregate("_s", zero, step)["kept"]).alias("position"))
+
+def kept_signals(df: DataFrame, keys: list[str], order: list[str], detectors: list[str], reset: str = "reset", rearm: int = 3000) -> DataFrame:
+    """df with the signals of all detectors re-armed: `{d}_signal` stays on in kept runs only, `{d}_fire` marks their starts.
+
+    Only rows on which some detector signals go through the stream.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    x = df.withColumns({"_position": F.row_number().over(w) - 1, "_run": F.sum(F.col(reset).cast("int")).over(w.rowsBetween(START, 0))})
+    signals = [f"{d}_signal" for d in detectors]
+    hot = x.where(F.greatest(*[F.col(c).cast("int") for c in signals], F.lit(0)) > 0)
+
+    def step(state: dict | None, position: int, run: int, *on: bool) -> tuple[dict, tuple]:
+        """state: detector -> (position and resets at the last kept start, position of the last signal, whether its run is kept)."""
+        state, row = dict(state or {}), [position]
+        for k, signal in enumerate(on):
+            at, resets_, last, kept = state.get(k, (None, 0, -2, False))
+            fire = False
+            if signal:
+                if last != position - 1:
+                    fire = kept = at is None or position - at >= rearm or run > resets_
+                    at, resets_ = (position, run) if fire else (at, resets_)
+                state[k] = (at, resets_, position, kept)
+            row += [signal and kept, fire]
+        return state, tuple(row)
+
+    out = "_position int, " + ", ".join(f"_{d}_kept boolean, _{d}_fire boolean" for d in detectors)
+    x = x.join(streamed(hot, keys, "_position", ["_run", *signals], out, step), [*keys, "_position"], "left")
+    on = {f"{d}_signal": F.coalesce(f"_{d}_kept", F.lit(False)) for d in detectors} | {f"{d}_fire": F.coalesce(f"_{d}_fire", F.lit(False)) for d in detectors}
+    return x.withColumns(on).drop("_position", "_run", *[f"_{d}_{c}" for d in detectors for c in ("kept", "fire")])
 
 
 def first_signals(df: DataFrame, keys: list[str], order: list[str], fired: list[str], segment: str = "segment") -> DataFrame:
@@ -127,7 +195,36 @@ def step_test(near: DataFrame, event: list[str], value: str, least: int = 50, in
     return x.withColumns({"step": step, "t": step / F.nullif(scale, F.lit(0.0))})
 
 
+def relative_steps(near: DataFrame, event: list[str], value: str, rows: int) -> DataFrame:
+    """One row per event with whole windows: the mean after it over the mean before, less 1."""
+    on = lambda side: F.when(F.col("side") == side, F.col(value))
+    x = near.groupBy(*event).agg(F.count(on("before")).alias("_b"), F.count(on("after")).alias("_a"), F.avg(on("before")).alias("_mb"), F.avg(on("after")).alias("_ma"))
+    return x.where((F.col("_b") == rows) & (F.col("_a") == rows)).select(*event, (F.col("_ma") / F.nullif(F.col("_mb"), F.lit(0.0)) - 1).alias("step"))
+
+
 def local_steps(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = 300) -> DataFrame:
     """At each row, the mean of the rows from it on less that of the rows before it."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("step", F.avg(value).over(w.rowsBetween(0, rows - 1)) - trailing_mean(F.col(value), w, rows, 1))
+
+
+def step_response(df: DataFrame, keys: list[str], order: list[str], changed: Column, value: str, fire: str, rows: int = 300, within: int = 500) -> DataFrame:
+    """Changes with whole windows: the step of the value over `rows` on each side, and how many rows until the detector fires, within the window.
+
+    `changed` marks the first row of each change; changes with fewer rows before, or less than the window after, are left out.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    x = local_steps(df.withColumn("_no", F.row_number().over(w) - 1), keys, order, value, rows)
+    ahead = w.rowsBetween(0, within - 1)
+    x = x.withColumns({"_changed": changed & (F.col("_no") > 0), "_fired": F.min(F.when(F.col(fire), F.col("_no"))).over(ahead), "_ahead": F.count(F.lit(1)).over(ahead)})
+    x = x.where(F.col("_changed") & (F.col("_no") >= rows) & (F.col("_ahead") == within))
+    return x.withColumns({"fired": F.col("_fired").isNotNull(), "rows_to_fire": F.col("_fired") - F.col("_no")}).drop("_no", "_changed", "_fired", "_ahead")
+
+
+def fired_shares(responses: DataFrame, step: float, no_step: float) -> DataFrame:
+    """Two rows: how many changes with a step, and without, the detector fired on, with Wilson intervals; those between are left out."""
+    size = F.abs(F.col("step"))
+    x = responses.withColumn("stepped", F.when(size >= step, True).when(size < no_step, False)).where("stepped is not null")
+    x = x.groupBy("stepped").agg(F.count(F.lit(1)).alias("n"), F.count_if("fired").alias("fired"), F.median("rows_to_fire").alias("median_rows"))
+    low, high = wilson(F.col("fired"), F.col("n"))
+    return x.withColumns({"share": F.col("fired") / F.col("n"), "low": low, "high": high})

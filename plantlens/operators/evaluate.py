@@ -24,6 +24,30 @@ def rates(df: DataFrame, by: list[str], flag: str, bad: str) -> DataFrame:
     return x.withColumns({"rate_bad": p, "rate_good": q, "above_chance": p - q})
 
 
+def poisson_weight(unit: Column, replicate: Column, seed: int) -> Column:
+    """A Poisson(1) draw from a hash of the unit and the replicate."""
+    u = F.pmod(F.xxhash64(unit.cast("string"), replicate, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    steps, total, term = [], 0.0, 0.36787944117144233
+    for k in range(1, 12):
+        total += term
+        term /= k
+        steps.append(F.when(u >= total, 1).otherwise(0))
+    return sum(steps[1:], steps[0])
+
+
+def median_interval(df: DataFrame, keys: list[str], unit: str, value: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """One row per key: the median of a value and the 2.5 and 97.5 % points of its medians over resampled rows.
+
+    For values of events, which are few a key: a replicate costs a row an event. Null values are left out.
+    """
+    own = df.where(F.col(value).isNotNull()).select(*keys, unit, value)
+    w = poisson_weight(F.col(unit), F.col("replicate"), seed)
+    drawn = own.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", w).where("_w > 0")
+    one = drawn.groupBy(*keys, "replicate").agg(F.percentile(value, F.lit(0.5), F.col("_w")).alias("_m"))
+    ends = one.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
+    return own.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("n")).join(ends, keys)
+
+
 def bootstrap_interval(df: DataFrame, cluster: str, flag: str, bad: str, replicates: int = 400, seed: int = 7) -> DataFrame:
     """One row: 2.5 and 97.5 % points of the difference of rates over resampled clusters.
 
@@ -31,18 +55,73 @@ def bootstrap_interval(df: DataFrame, cluster: str, flag: str, bad: str, replica
     by cluster first, so a replicate costs one row a cluster.
     """
     per = rates(df, [cluster], flag, bad)
-    u = F.pmod(F.xxhash64(F.col(cluster).cast("string"), "replicate", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        total += term
-        term /= k
-        steps.append(F.when(u >= total, 1).otherwise(0))
-    drawn = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", sum(steps[1:], steps[0]))
+    drawn = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.col(cluster), F.col("replicate"), seed))
     s = lambda c: F.sum(F.col("w") * F.col(c))
     one = drawn.groupBy("replicate").agg((s("flagged_bad") / F.greatest(s("n_bad"), F.lit(1)) - s("flagged_good") / F.greatest(s("n_good"), F.lit(1))).alias("d"))
     return one.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
 
 
+def layer_flags(shots: DataFrame, flagged: DataFrame, predictions: DataFrame, key: str, predicted: str, limit: float = 0.75) -> DataFrame:
+    """Shots with a flag a layer: template_sort, rules, drift as the shot has them, anomaly by id, virtual_metrology by the largest prediction.
+
+    shots: key, unit_alarm_state, we1, we2, drift_any_signal; flagged: ids; predictions: a row a shot and cavity.
+    """
+    ids = flagged.select(key).distinct().withColumn("_flagged", F.lit(True))
+    most = predictions.groupBy(key).agg(F.max(F.abs(F.col(predicted))).alias("_most"))
+    on = lambda c: F.coalesce(c, F.lit(False))
+    x = shots.join(ids, key, "left").join(most, key, "left")
+    flags = {
+        "template_sort": on(F.col("unit_alarm_state") == "alarm"),
+        "rules": on(F.col("we1")) | on(F.col("we2")),
+        "drift": on(F.col("drift_any_signal")),
+        "anomaly": on(F.col("_flagged")),
+        "virtual_metrology": on(F.col("_most") > limit),
+    }
+    return x.withColumns(flags).drop("_flagged", "_most")
+
+
+def validated(after_approval: Column, position: Column, state: Column, confirmed: Column, rejects: Column, settled: int = 500) -> Column:
+    """Whether a shot is known good: settled production, no alarm, and nothing found in sort or audit."""
+    nothing = (F.coalesce(confirmed, F.lit(0)) == 0) & (F.coalesce(rejects, F.lit(0)) == 0)
+    return F.coalesce(after_approval & (position >= settled) & (state == "none") & nothing, F.lit(False))
+
+
+def rates_by_target(df: DataFrame, by: list[str], layers: list[str], targets: dict[str, Column], bad: str) -> DataFrame:
+    """Rates of each layer for each target: among the bad rows that the target's condition holds for, and among all good rows.
+
+    One aggregate over the table; the long form has a row a group, layer and target.
+    """
+    d = F.col(bad)
+    sums = {}
+    for i, layer in enumerate(layers):
+        f = F.coalesce(F.col(layer), F.lit(False))
+        sums[f"_g{i}"] = F.count_if(f & ~d)
+        for j, condition in enumerate(targets.values()):
+            sums[f"_b{i}_{j}"] = F.count_if(f & d & F.coalesce(condition, F.lit(False)))
+    for j, condition in enumerate(targets.values()):
+        sums[f"_n{j}"] = F.count_if(d & F.coalesce(condition, F.lit(False)))
+    x = df.groupBy(*by).agg(F.count_if(~d).alias("_good"), *[c.alias(k) for k, c in sums.items()])
+    rows = [
+        F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("target"), F.col(f"_b{i}_{j}").alias("flagged_bad"), F.col(f"_n{j}").alias("n_bad"), F.col(f"_g{i}").alias("flagged_good"), F.col("_good").alias("n_good"))
+        for i, layer in enumerate(layers)
+        for j, name in enumerate(targets)
+    ]
+    x = x.select(*by, F.explode(F.array(*rows)).alias("_x")).select(*by, "_x.*")
+    p, q = (F.col(f"flagged_{k}") / F.greatest(F.col(f"n_{k}"), F.lit(1)) for k in ("bad", "good"))
+    return x.withColumns({"rate_bad": p, "rate_good": q, "above_chance": p - q})
+
+
+def coverage_and_chance(credited: DataFrame, qty: str, good: DataFrame, good_id: list[str], alarms: DataFrame, key: str, hour: str, layers: dict[str, int]) -> DataFrame:
+    """One row: share of the defects' quantity that a layer is credited with, and the share of good pieces that any layer would be.
+
+    `credited`: defects with `credited` (see lookback_credit); good pieces have an id, key and hour.
+    """
+    d = credited.agg(ratio(F.sum(F.when(F.col("credited").isNotNull(), F.col(qty)).otherwise(0)).cast("double"), F.sum(qty)).alias("detected"), F.sum(qty).cast("double").alias("n_defects"))
+    g = lookback_credit(good.select(*good_id, key, hour), alarms, key, hour, layers)
+    g = g.agg(F.avg(F.col("credited").isNotNull().cast("int")).alias("chance"), F.count(F.lit(1)).alias("n_good"))
+    return d.crossJoin(g)  # one row each
+
+
 def incremental(df: DataFrame, flags: list[str]) -> DataFrame:
     """Flags of layers in order that no earlier layer raised, as `{flag}_only`."""
     earlier, out = F.lit(False), {}
@@ -52,10 +131,10 @@ def incremental(df: DataFrame, flags: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def lookback_credit(defects: DataFrame, alarms: DataFrame, key: str, hour: str, layers: dict[str, int]) -> DataFrame:
+def lookback_credit(defects: DataFrame, alarms: DataFrame, key: str, hour: str, layers: dict[str, int], only: dict[str, Column] | None = None) -> DataFrame:
     """Each defect with the layer whose alarm lies furthest back within its look-back (hours); ties go to the earlier layer.
 
-    `alarms` has key, hour (a number) and layer; `defects` an id, key and hour. A defect meets one row per hour it looks back.
+    `only`: for a layer, the condition on defects that it can be credited with (metrology: dimensional ones). `alarms` has key, hour (a number) and layer; `defects` an id, key and hour. A defect meets one row per hour it looks back.
     """
     order = {name: k for k, name in enumerate(layers)}
     most = max(layers.values())
@@ -66,17 +145,48 @@ def lookback_credit(defects: DataFrame, alarms: DataFrame, key: str, hour: str,
     for name, back in layers.items():
         reach = F.when(F.col("layer") == name, back).otherwise(reach)
         rank = F.when(F.col("layer") == name, order[name]).otherwise(rank)
-    met = met.where(F.col("_back") <= reach)
+    allowed = F.lit(True)
+    for name, condition in (only or {}).items():
+        allowed = allowed & ((F.col("layer") != name) | condition)
+    met = met.where((F.col("_back") <= reach) & allowed)
     best = met.groupBy(*defects.columns).agg(F.max_by("layer", F.struct(F.col("_back"), -rank)).alias("credited"), F.max("_back").alias("hours_back"))
     return defects.join(best, defects.columns, "left")
 
 
+def kth_largest(df: DataFrame, score: str, k: int) -> tuple[float, int]:
+    """(the k-th largest score, how many scores are larger), exactly, without sorting the table in one task.
+
+    Approximate quantiles cut the scores into ranges, counts tell which range holds the k-th, and only that one is sorted.
+    """
+    cuts = sorted(set(df.approxQuantile(score, [i / 64 for i in range(65)], 1 / 512)))
+    part = F.lit(0)
+    for i, cut in enumerate(cuts):
+        part = F.when(F.col(score) >= cut, i + 1).otherwise(part)
+    x = df.select(F.col(score).alias("_s"), part.alias("_part")).where("_s is not null")
+    larger = 0
+    for part_, n in sorted(x.groupBy("_part").count().collect(), reverse=True):  # as many rows as cuts
+        if larger + n >= k:
+            # Equal scores are counted together, so what is sorted is distinct scores of one range.
+            own = x.where(F.col("_part") == part_).groupBy("_s").count().orderBy(F.desc("_s"))
+            for s_, m in own.toLocalIterator():
+                if larger + m >= k:
+                    return s_, larger
+                larger += m
+        larger += n
+    raise ValueError(f"there are no {k} scores")
+
+
 def recall_at_rate(df: DataFrame, score: str, bad: str, tie: str, rate: float) -> DataFrame:
-    """One row: how many of the bad rows are among the round(rate * n) highest scores."""
+    """One row: how many of the bad rows are among the round(rate * n) highest scores; rows without a score come last."""
     n = df.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * rate)).cast("int")).first()[0]
-    top = df.orderBy(F.col(score).desc(), tie).limit(n)
+    s = F.coalesce(F.col(score), F.lit(float("-inf")))
+    df = df.withColumn("_score", s)
+    edge, larger = kth_largest(df, "_score", n)
+    # Only ties at the edge are ordered.
+    at_edge = df.where(F.col("_score") == edge).orderBy(tie).limit(n - larger)
     d = F.sum(F.col(bad).cast("int"))
-    return df.agg(d.alias("positives")).crossJoin(top.agg(d.alias("captured"), F.count(F.lit(1)).alias("k"))).withColumn("recall", ratio(F.col("captured").cast("double"), F.col("positives")))  # one row each
+    top = df.where(F.col("_score") > edge).unionByName(at_edge).agg(d.alias("captured"), F.count(F.lit(1)).alias("k"))
+    return df.agg(d.alias("positives")).crossJoin(top).withColumn("recall", ratio(F.col("captured").cast("double"), F.col("positives")))  # one row each
 
 
 def average_precision(df: DataFrame, score: str, bad: str) -> DataFrame:
@@ -91,6 +201,16 @@ def average_precision(df: DataFrame, score: str, bad: str) -> DataFrame:
     return x.agg((F.sum(F.col("y") * F.col("cy") / F.col("cn")) / F.nullif(F.sum("y"), F.lit(0))).alias("average_precision"))
 
 
+def retest(df: DataFrame, scores: list[str], bad: str, tie: str, rate: float) -> DataFrame:
+    """One row a score: rows, positives, recall at the rate and average precision."""
+    out = None
+    for score in scores:
+        r = recall_at_rate(df, score, bad, tie, rate).select("positives", "recall")
+        x = r.crossJoin(average_precision(df, score, bad)).crossJoin(df.agg(F.count(F.lit(1)).alias("n"))).withColumn("score", F.lit(score))  # one row each
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def order_statistic_threshold(df: DataFrame, keys: list[str], order: list[str], score: str, rate: float, k: int = 2, n: int = 10) -> DataFrame:
     """One row per the table: the score threshold at which `k of the last n over it` covers the rate of the rows.
 

@@ -37,6 +37,16 @@ def matched_windows(worn: DataFrame, unworn: DataFrame, keys: list[str], value:
     return worn.join(base, [*keys, "run"], "left")
 
 
+def matched_jobs(worn: DataFrame, unworn: DataFrame, mold: str, job: str, length: str, first_fire: str) -> DataFrame:
+    """Worn jobs with how many unworn jobs of their mould are as long, and how many of these fired within as many shots.
+
+    Both have one row a job: mould, job, length, and the position of the first firing (null: none).
+    """
+    u = unworn.select(F.col(mold).alias("_mold"), F.col(length).alias("_n"), F.col(first_fire).alias("_fire"), F.lit(1).alias("_one"))
+    x = worn.join(u, (F.col(mold) == F.col("_mold")) & (F.col("_n") >= F.col(length)), "left")
+    return x.groupBy(job, length, F.col(first_fire).isNotNull().alias("fired")).agg(F.count("_one").alias("n_matched"), F.count_if(F.col("_fire") < F.col(length)).alias("n_fired"))
+
+
 def shift_after_events(near: DataFrame, event: list[str], kind: str, value: str, least: int = 300) -> DataFrame:
     """One row per kind of event: the median of absolute mean change over the spread before, from nearest rows by side."""
     on = lambda s: F.when(F.col("side") == s, F.col(value))

@@ -72,3 +72,23 @@ def error_measures(df: DataFrame, keys: list[str], order: list[str], measured: s
 def per_unit(df: DataFrame, units: Column, into: str = "unit") -> DataFrame:
     """One row per unit 1..units of each row."""
     return df.withColumn(into, F.explode(F.when(units >= 1, F.sequence(F.lit(1), units)).otherwise(F.array().cast("array<int>"))))
+
+
+def medians(df: DataFrame, by: list, measures: list[str]) -> DataFrame:
+    """Medians of measures by group, such as months, or warm months and others."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.median(m).alias(m) for m in measures])
+
+
+def rolling_origin(df: DataFrame, period: str, first: str, fit) -> DataFrame:
+    """Rows of each period from `first` on, scored by a model of all rows before the period.
+
+    `fit` takes the past rows and returns a function that scores a DataFrame. Periods are few; each fit is a Spark job of
+    its own, and the scored periods are one union.
+    """
+    periods = sorted(r[0] for r in df.where(F.col(period) >= F.lit(first).cast("timestamp_ntz")).select(period).distinct().collect())
+    out = None
+    for at in periods:
+        edge = F.lit(str(at)).cast("timestamp_ntz")
+        now = fit(df.where(F.col(period) < edge))(df.where(F.col(period) == edge))
+        out = now if out is None else out.unionByName(now)
+    return df.limit(0) if out is None else out

@@ -72,15 +72,16 @@ def overlay(df: DataFrame, keys: list[str], order: str, value: str, runs: int =
 
 
 def followed_by(causes: DataFrame, effects: DataFrame, key: str, ts: str, effect_ts: str, code: str, within_s: float, least: int) -> DataFrame:
-    """Causes followed within the time by at least so many effects of one code, with the commonest code.
+    """Causes followed within the time by at least so many effects of a new code, with the commonest such code.
 
-    Effects are joined on key and hour bucket of the window, so a key's rows are not all paired.
+    A code is new when the key had none of it in as long a time before the cause; the time after starts with the cause.
+    Effects are joined on key and hour bucket of both windows, so a key's rows are not all paired.
     """
     hours = int(within_s // 3600) + 1
     bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / 3600)
-    c = causes.withColumn("_h", bucket(ts)).withColumn("_h", F.explode(F.sequence(F.col("_h"), F.col("_h") + hours)))
+    c = causes.withColumn("_h", bucket(ts)).withColumn("_h", F.explode(F.sequence(F.col("_h") - hours, F.col("_h") + hours)))
     e = effects.select(F.col(key).alias("_key"), bucket(effect_ts).alias("_eh"), F.col(effect_ts).alias("_at"), F.col(code).alias("_code"))
     gap = F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    met = c.join(e, (F.col(key) == F.col("_key")) & (F.col("_h") == F.col("_eh"))).where((gap > 0) & (gap <= within_s * 1e6))
-    n = met.groupBy(*causes.columns, "_code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    met = c.join(e, (F.col(key) == F.col("_key")) & (F.col("_h") == F.col("_eh"))).withColumn("_gap", gap).where((F.col("_gap") >= -within_s * 1e6) & (F.col("_gap") < within_s * 1e6))
+    n = met.groupBy(*causes.columns, "_code").agg(F.count_if(F.col("_gap") >= 0).alias("n"), F.count_if(F.col("_gap") < 0).alias("_before")).where((F.col("n") >= least) & (F.col("_before") == 0))
     return n.groupBy(*causes.columns).agg(F.max_by("_code", F.struct("n", "_code")).alias("effect"), F.max("n").alias("n"))

@@ -71,6 +71,13 @@ def pooled_sigma(residuals: DataFrame, run_keys: list[str], group_keys: list[str
     return runs.withColumn("sigma", F.coalesce(pooled, F.col("sigma_own")))
 
 
+def z_scores(value: str = "value") -> dict[str, Column]:
+    """z of the residual, and of the value by the textbook's sigma (moving range) and the baseline's spread."""
+    over = lambda x, sigma: x / F.nullif(F.col(sigma), F.lit(0.0))
+    off = F.col(value) - F.col("centre")
+    return {"z": over(F.col("residual"), "sigma"), "z_textbook": over(off, "sigma_range"), "z_baseline": over(off, "sigma_baseline")}
+
+
 def run_rules(points: DataFrame, keys: list[str], order: list[str], z: str, limit1: float = 3.0, limit2: float = 2.0, prefix: str = "") -> DataFrame:
     """Western Electric rules 1, 2, 4 and 5 on z as flags; a null z counts as no; early points see the points there are."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -88,6 +95,14 @@ def run_rules(points: DataFrame, keys: list[str], order: list[str], z: str, limi
     return points.withColumns({f"{prefix}{k}": f for k, f in flags.items()})
 
 
+def scaled_rules(points: DataFrame, keys: list[str], order: list[str], z: str, scale: str) -> DataFrame:
+    """Points with `flag`: rule 1 or 2 at `scale` times the textbook limits; a null z counts as 0."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-2, 0)
+    v, c = F.coalesce(F.col(z), F.lit(0.0)), F.col(scale)
+    two = lambda side: F.sum((side * v > 2 * c).cast("int")).over(w) >= 2
+    return points.withColumn("flag", (F.abs(v) > 3 * c) | two(1) | two(-1))
+
+
 def range_rule(points: DataFrame, mr_bar: str = "mr_bar") -> DataFrame:
     return points.withColumn("mr_rule", F.col("moving_range") > RANGE_LIMIT * F.col(mr_bar))
 

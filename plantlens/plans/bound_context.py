@@ -154,7 +154,7 @@ def template_bands(spark, d):
 
 #: Rules for free text, first match wins.
 RULES = [("short|tin", "short_shot"), ("bra(ss)?", "burn"), ("st(eel)?", "sink"), ("copper|nickel", "contamination")]
-CASES = " ".join(f"when regexp_matches(lower(trim({{0}})), '{p}') then '{c}'" for p, c in RULES)
+CASES = " ".join(f"when regexp_matches(lower({{0}}), '{p}') then '{c}'" for p, c in RULES)
 
 
 @BOUND(f"select p_partkey, case when p_type is null or trim(p_type) = '' then 'other' {CASES.format('p_type')} else 'other' end as code, regexp_replace(upper(trim(p_brand)), '^(BRAND|PN|P)[- ]?', '') as brand_key from part")

@@ -76,8 +76,8 @@ def linkage_coverage(spark, d):
     return L.coverage(x, ["l_returnflag"], F.col("o_orderkey").isNotNull()).select("l_returnflag", "n", "n_linked", r6("share"))
 
 
-D2_SQL = "case least(10, greatest(2, round({0})::int)) when 2 then 1.128 when 3 then 1.693 when 4 then 2.059 when 5 then 2.326 when 6 then 2.534 when 7 then 2.704 when 8 then 2.847 when 9 then 2.970 else 3.078 end::double"
-D4_SQL = "case least(10, greatest(2, round({0})::int)) when 2 then 3.267 when 3 then 2.574 when 4 then 2.282 when 5 then 2.114 when 6 then 2.004 when 7 then 1.924 when 8 then 1.864 when 9 then 1.816 else 1.777 end::double"
+D2_SQL = "case when {0} <= 2.5 then 1.128 when {0} <= 3.5 then 1.693 when {0} <= 4.5 then 2.059 when {0} <= 5.5 then 2.326 when {0} <= 6.5 then 2.534 when {0} <= 7.5 then 2.704 when {0} <= 8.5 then 2.847 when {0} <= 9.5 then 2.970 when {0} <= 11 then 3.078 when {0} <= 13.5 then 3.258 when {0} <= 17.5 then 3.472 else 3.735 end::double"
+D4_SQL = "case when {0} <= 2.5 then 3.267 when {0} <= 3.5 then 2.574 when {0} <= 4.5 then 2.282 when {0} <= 5.5 then 2.114 when {0} <= 6.5 then 2.004 when {0} <= 7.5 then 1.924 when {0} <= 8.5 then 1.864 when {0} <= 9.5 then 1.816 else 1.777 end::double"
 
 
 @BOUND(f"""

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
 from ..streaming.drift_state import drift_stream, run_available
 from .binding import Bound, table
 
 BOUND = Bound()
 
 
-def shared_dir(spark) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-
-
 @BOUND("""
 with recursive n as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as p from events),
 e as (select user_id, event_id, p, value as ewma, greatest(0, (value - 20) / 20 - 0.375) as s from n where p = 1
@@ -25,7 +20,7 @@ e as (select user_id, event_id, p, value as ewma, greatest(0, (value - 20) / 20
 select user_id, event_id, round(ewma, 5) as ewma, round(s, 5) as cusum, s > 5 as signal from e""")
 def streaming_drift(spark, d):
     schema = table(spark, d, "events").schema
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     folder, pattern = (d, "events.parquet")
     x = run_available(spark, folder, pattern, schema, lambda s: drift_stream(s, "user_id", "ts", "event_id", "value", 20.0, 20.0), out)
     return x.select("user_id", "event_id", F.round("ewma", 5).alias("ewma"), F.round("cusum", 5).alias("cusum"), "signal")

@@ -77,7 +77,8 @@ def run_overlay(spark, d):
 
 @BOUND("""
 with c as (select event_id as log_id, user_id, ts from events where event_type = 'purchase'),
-j as (select log_id, e.event_type, count(*) as n from c join events e on e.user_id = c.user_id and e.ts > c.ts and e.ts <= c.ts + interval 24 hour group by 1, 2 having count(*) >= 2)
+b as (select distinct log_id, e.event_type from c join events e on e.user_id = c.user_id and e.ts >= c.ts - interval 24 hour and e.ts < c.ts),
+j as (select log_id, e.event_type, count(*) as n from c join events e on e.user_id = c.user_id and e.ts >= c.ts and e.ts < c.ts + interval 24 hour anti join b using (log_id, event_type) group by 1, 2 having count(*) >= 2)
 select log_id, effect, n from (select log_id, event_type as effect, n, row_number() over (partition by log_id order by n desc, event_type desc) as k from j) where k = 1""")
 def tampering_followed(spark, d):
     c = log(spark, d, "purchase").select("log_id", "user_id", "log_ts")

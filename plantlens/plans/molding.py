@@ -25,7 +25,24 @@ MOLD_EVENTS = ("vent_cleaning", "hot_runner_tip", "PM", "cavity_block", "cavity_
 PARAMETERS = ("injection_velocity_mm_s", "switchover_position_mm", "hold_pressure_bar", "mold_temp_c", "melt_temp_c")
 DRIFT_REASONS = ("drift_correction", "defect_response")
 SNAPSHOT, MATURITY_DAYS = "2026-04-30 00:00:00", 21
-CODES = [("short", "short_shot"), ("flash", "flash"), ("sink", "sink"), ("void|bubble", "void"), ("splay|silver", "splay"), ("burn", "burn"), ("weld|knit", "weld_line"), ("warp|bow", "warp"), ("dim|oversize|undersize", "dimensional"), ("black|speck", "black_specks"), ("contam", "contamination"), ("gate|vestige", "gate_vestige"), ("none|good|^ok$", "none")]
+#: Patterns of free-text defect codes in the order they are tried, and the code that each stands for.
+CODES = [
+    ("short|non.?fill", "short_shot"),
+    ("flash|flsh", "flash"),
+    ("sink", "sink"),
+    ("void|bubble", "void"),
+    ("splay|silver", "splay"),
+    ("burn|diesel", "burn"),
+    ("weld|knit", "weld_line"),
+    ("warp", "warp"),
+    ("^dim|oot|out of tol", "dimensional"),
+    ("speck|blk", "black_specks"),
+    ("contam|foreign", "contamination"),
+    ("gate|vestige", "gate_vestige"),
+    ("^(none|ok|pass)$", "none"),
+]
+DETECTORS = ("ewma_pack", "ewma_fill", "cusum_eof", "cusum_gate_seal", "cusum_pack_var")
+CAVITIES_A_CELL = 32
 
 
 def banded_sensors(sensors: DataFrame, templates: DataFrame) -> DataFrame:
@@ -43,9 +60,11 @@ def banded_sensors(sensors: DataFrame, templates: DataFrame) -> DataFrame:
 
 def shot_summary(sensors: DataFrame) -> DataFrame:
     """One row per shot from its sensor rows."""
-    values = {f"{v}_{p}": (v, f"sensor_position = '{p}'") for v in (*BANDED, "cooling_rate") for p in ("post_gate", "end_of_fill")}
+    places = ("post_gate", "end_of_fill")
+    values = {f"{v}_{p}": (v, f"sensor_position = '{p}'") for v in (*BANDED, "cooling_rate") for p in places}
+    values |= {f"{v}_dev_{p}": (f"{v}_dev", f"sensor_position = '{p}'") for v in BANDED for p in places}
     x = D.rolled_up(sensors, ["shot_id"], "recomputed_state", [f"{v}_dev" for v in BANDED], "sensor_id", values)
-    head = sensors.groupBy("shot_id").agg(*[F.min(c).alias(c) for c in ("press_id", "mold_id", "shot_ts", "cycle_no")], F.min("job_id").alias("unit_job_id"), F.bool_or(F.col("sort_signal") == "reject").alias("rejected"), F.bool_or("curve_retained").alias("curve_retained"), F.min("template_match_score").alias("match_score"), F.count_if(F.col("pack_integral").isNull()).alias("n_dropouts"))
+    head = sensors.groupBy("shot_id").agg(*[F.min(c).alias(c) for c in ("press_id", "mold_id", "shot_ts", "cycle_no")], F.min("job_id").alias("unit_job_id"), F.bool_or(F.col("sort_signal") == "reject").alias("rejected"), F.bool_or("curve_retained").alias("curve_retained"), F.min("template_match_score").alias("match_score"), F.count_if(F.col("pack_integral").isNull()).alias("n_dropouts"), F.count_distinct("cavity_no").alias("active_cavities"), D.state_label(F.max(D.state_code(F.col("alarm_state")))).alias("unit_alarm_state"))
     return head.join(x, "shot_id")
 
 
@@ -140,10 +159,10 @@ def chart_points(sensors: DataFrame, context: DataFrame) -> DataFrame:
     long = C.unpivoted(own.where("pack_integral is not null"), ["shot_id", "shot_ts", "job_id", "mold_id", "press_id", "sensor_id"], list(BANDED))
     order = ["shot_ts", "shot_id"]
     x = C.charted(long, keys, order)
-    limits = C.imr_limits(x, keys).select(*keys, "mr_bar")
+    limits = C.imr_limits(x, keys).select(*keys, "mr_bar", "centre", "sigma_range", "sigma_baseline")
     r = C.ar1_residual(x, C.ar1_fit(x, keys, 200, 1000), keys, order)
     sigma = C.pooled_sigma(r, ["job_id"], ["mold_id", "press_id", "sensor_id", "metric"], "shot_ts", 200, 200, 1000).select("job_id", "sensor_id", "metric", "sigma")
-    r = r.join(sigma, keys).join(limits, keys).withColumn("z", F.col("residual") / F.nullif(F.col("sigma"), F.lit(0.0)))
+    r = r.join(sigma, keys).join(limits, keys).withColumns(C.z_scores())
     return C.range_rule(C.run_rules(r, keys, order, "z", 4.05, 2.70))
 
 
@@ -151,34 +170,140 @@ def shot_flags(points: DataFrame, baseline: int = 500) -> DataFrame:
     return points.where(F.col("point_no") > baseline).groupBy("shot_id").agg(*[F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in ("we1", "we2", "we4", "we5", "mr_rule")])
 
 
-def drift_state(shots: DataFrame, context: DataFrame) -> DataFrame:
-    """EWMA of the fill integral per shot, with resets from context; see operators.drift for the CUSUMs."""
-    x = shots.select("shot_id", "fill_integral_post_gate").join(context.where("after_approval").select("shot_id", "job_id", "shot_ts", "correction_at", "lot_change_at", "shots_since_vent_cleaning", "shots_since_PM", "ring_days"), "shot_id")
-    x = R.resets(x, ["job_id"], ["shot_ts", "shot_id"], ("correction_at", "lot_change_at"), {"shots_since_vent_cleaning": 0.0, "shots_since_PM": 0.0, "ring_days": 0.5})
-    return R.ewma(x, ["job_id"], ["shot_ts", "shot_id"], "fill_integral_post_gate")
-
-
-def confirmed_defects(t: dict[str, DataFrame], shots: DataFrame) -> DataFrame:
-    """Defects of five sources by job, hour and code; per-shift reviews are spread over the hours by sorted shots."""
+def drift_state(shots: DataFrame, context: DataFrame, rearm: int = 3000, baseline: int = 500, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Five detectors per production shot: EWMAs of pack and fill, CUSUMs of end of fill (low side), gate seal (both sides) and pack spread.
+
+    All restart at corrections, lot changes, vent cleaning, PM and a new check ring; signals are re-armed. `keep` is applied
+    to what several steps read.
+    """
+    keys, order = ["job_id"], ["shot_ts", "shot_id"]
+    devs = {"pack": "pack_integral_dev_post_gate", "fill": "fill_integral_dev_post_gate", "eof": "end_of_fill_pressure_bar_dev_end_of_fill", "gate": "gate_seal_time_s_dev_post_gate"}
+    x = shots.select("shot_id", *[F.col(c).alias(k) for k, c in devs.items()]).join(context.where("after_approval").select("shot_id", "job_id", "shot_ts", "correction_at", "lot_change_at", "shots_since_vent_cleaning", "shots_since_PM", "ring_days"), "shot_id")
+    x = R.resets(x, keys, order, ("correction_at", "lot_change_at"), {"shots_since_vent_cleaning": 0.0, "shots_since_PM": 0.0, "ring_days": 0.5})
+    for name in ("pack", "fill"):
+        x = R.ewma(x, keys, order, name, baseline=baseline).withColumnsRenamed({"ewma": f"ewma_{name}", "ewma_signal": f"ewma_{name}_signal"}).drop("ewma_mean", "ewma_sd")
+    x = keep(W.numbered(x, keys, order, "position"))
+    read = (
+        R.cusum(R.block_z(x, keys, order, "eof", baseline=baseline), keys, "position", side=-1, into="cusum_eof"),
+        R.two_sided(R.block_z(x, keys, order, "gate", baseline=baseline), keys, "position", into="cusum_gate_seal"),
+        R.cusum(spread_blocks(x, keys, order, baseline), keys, "position", k=0.10, h=1.2, into="cusum_pack_var"),
+    )
+    for df in read:
+        x = x.join(df, [*keys, "position"], "left")
+    x = keep(x.withColumns({f"{d}_signal": F.coalesce(f"{d}_signal", F.lit(False)) for d in DETECTORS}))
+    x = R.kept_signals(x, keys, order, list(DETECTORS), rearm=rearm)
+    any_of = lambda what: F.greatest(*[F.col(f"{d}_{what}").cast("int") for d in DETECTORS]) > 0
+    x = x.withColumns({"drift_any_signal": any_of("signal"), "drift_any_fire": any_of("fire")})
+    return x.select("shot_id", "job_id", "shot_ts", F.col("reset").alias("drift_reset"), *DETECTORS, *[f"{d}_{c}" for d in DETECTORS for c in ("signal", "fire")], "drift_any_signal", "drift_any_fire")
+
+
+def spread_blocks(x: DataFrame, keys: list[str], order: list[str], baseline: int, every: int = 50) -> DataFrame:
+    """Readings of the log spread; reset if any row since the reading before was one."""
+    since = F.max("reset").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - every, 0))
+    return R.log_spread(x.withColumn("reset", since), keys, order, "pack", last=baseline, every=every)
+
+
+def drift_signals(state: DataFrame, lot_steps: DataFrame) -> DataFrame:
+    """The first signal of each detector in each segment between resets, and lot changes whose step is over three t."""
+    x = R.segments(state, ["job_id"], ["shot_ts", "shot_id"], "drift_reset")
+    first = R.first_signals(x.withColumnsRenamed({f"{d}_signal": f"_{d}" for d in DETECTORS}).select("job_id", "segment", "shot_ts", "shot_id", *[F.col(f"_{d}").alias(d) for d in DETECTORS]), ["job_id"], ["shot_ts", "shot_id"], list(DETECTORS))
+    steps = lot_steps.where(F.abs("t") > 3).select("job_id", "shot_ts", "shot_id", F.lit("lot_step").alias("detector"))
+    return first.select("job_id", "shot_ts", "shot_id", "detector").unionByName(steps)
+
+
+def lot_step_tests(shots: DataFrame, changes: DataFrame, value: str = "fill_integral_dev_post_gate", each: int = 300) -> DataFrame:
+    """The step of a value at each lot change of a press, with the job and shot it first holds for."""
+    near = W.nearest_rows(shots, changes.withColumn("change_no", F.xxhash64("press_id", "change_ts")), ["press_id"], "shot_ts", "shot_id", "change_ts", "change_no", each)
+    first = near.where("side = 'after'").groupBy("change_no").agg(F.min_by(F.struct("job_id", "shot_ts", "shot_id"), F.struct("shot_ts", "shot_id")).alias("_x"))
+    return R.step_test(near, ["change_no"], value).join(first, "change_no").select("_x.*", "step", "t")
+
+
+def confirmed_defects(t: dict[str, DataFrame], context: DataFrame) -> DataFrame:
+    """Defects of four sources by job, hour, shot, cavity and code.
+
+    Reviews count where pieces were confirmed. Those of indexed trays have their shot; per-shift ones are spread over the
+    shift's hours by the shots sorted there after approval. `context`: shot_id, job_id, shot_ts, rejected, after_approval.
+    """
     code = lambda c: S.normalized_code(F.col(c), CODES).alias("code")
-    cols = ["job_id", "hour_ts", "shot_id", "cavity_id", "code", "qty"]
-    sorts = t["sort_dispositions"]
-    hour_of = shots.select("shot_id", S.truncated("hour", F.col("shot_ts")).alias("hour_ts"))
-    one = L.exploded_codes(sorts.where("review_mode = 'indexed_tray'"), "defect_codes", ["job_id", "shot_id"]).join(hour_of, "shot_id", "left").withColumn("code", code("code"))
-    per_hour = shots.where("rejected").select("job_id", S.shift_date(F.col("shot_ts")).alias("shift_date"), S.shift_label(F.col("shot_ts")).alias("shift"), S.truncated("hour", F.col("shot_ts")).alias("hour_ts")).groupBy("job_id", "shift_date", "shift", "hour_ts").agg(F.count(F.lit(1)).alias("sorted"))
-    totals = L.exploded_codes(sorts.where("review_mode = 'per_shift'"), "defect_codes", ["review_id", "job_id", "shift_date", "shift"])
-    spread = totals.join(per_hour.withColumn("share", F.col("sorted") / F.sum("sorted").over(Window.partitionBy("job_id", "shift_date", "shift"))), ["job_id", "shift_date", "shift"]).select("job_id", "hour_ts", code("code"), (F.col("qty") * F.col("share")).alias("qty"))
+    hour = S.truncated("hour", F.col("shot_ts")).alias("hour_ts")
+    sorts = t["sort_dispositions"].where("pieces_confirmed_defective > 0")
+    one = L.exploded_codes(sorts.where("review_mode = 'indexed_tray'"), "defect_codes", ["job_id", "shot_id"]).join(context.select("shot_id", hour), "shot_id")
+    sorted_ = context.where("rejected and after_approval").select("job_id", S.shift_date(F.col("shot_ts")).alias("shift_date"), S.shift_label(F.col("shot_ts")).alias("shift"), hour)
+    shift = ["job_id", "shift_date", "shift"]
+    per_hour = sorted_.groupBy(*shift, "hour_ts").agg(F.count(F.lit(1)).alias("sorted"))
+    totals = L.exploded_codes(sorts.where("review_mode = 'per_shift'"), "defect_codes", shift)
+    spread = L.allocated(totals, per_hour, shift, "qty", "sorted").select("job_id", "hour_ts", "code", F.col("allocated").alias("qty"))
+    sorts = one.select("job_id", "shot_id", "hour_ts", "code", "qty").unionByName(spread, allowMissingColumns=True)
     audits = t["audit_pieces_linked"].where("defect_codes is not null").select("job_id", "shot_id", "cavity_id", "hour_ts", F.explode(F.split("defect_codes", ";")).alias("code"), F.lit(1.0).alias("qty"))
     tallies = t["scrap_tallies"].select("job_id", "hour_ts", "cavity_id", code("defect_code"), F.col("qty").cast("double").alias("qty"))
     returns = t["customer_returns"].select(F.col("attributed_job_id").alias("job_id"), F.col("attributed_cavity_id").alias("cavity_id"), code("defect_code"), F.col("qty").cast("double").alias("qty"))
-    scrap = t["scrap_events"].join(t["production_orders"].select("work_order_id", "job_id"), "work_order_id").select("job_id", F.col("scrap_date").cast("timestamp_ntz").alias("hour_ts"), code("defect_code"), F.col("quantity_scrapped").cast("double").alias("qty"))
-    out = L.union_sources({"sort_indexed": one, "sort_shift": spread, "audit": audits, "tally": tallies, "return": returns, "scrap": scrap})
-    return out.select("source", *[c for c in cols if c in out.columns])
+    out = L.union_sources({"sort": sorts, "audit": audits, "tally": tallies, "return": returns})
+    return out.select("source", "job_id", "hour_ts", "shot_id", "cavity_id", "code", "qty")
+
+
+def by_source(defects: DataFrame, keys: list[str]) -> DataFrame:
+    """Confirmed quantities of each source by key."""
+    qty = lambda *names: F.sum(F.when(F.col("source").isin(*names), F.col("qty")))
+    return defects.groupBy(*keys).agg(qty("sort").alias("confirmed_sort"), qty("audit").alias("confirmed_audit"), qty("tally").alias("confirmed_tally"), qty("return").alias("returned"), qty("sort", "audit", "tally").alias("confirmed_total"))
+
+
+def _zeros(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in names})
+
+
+def job_fact(jobs: DataFrame, shots: DataFrame, defects: DataFrame) -> DataFrame:
+    """One row per job: header, shots, pieces, sorted and alarmed shots, agreement with the unit, confirmed defects."""
+    after = F.coalesce("after_approval", F.lit(False))
+    s = shots.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("shots"),
+        F.sum(F.when(after, F.col("active_cavities"))).alias("pieces"),
+        F.count_if(after & F.col("rejected")).alias("sorted_shots"),
+        F.count_if(after & (F.col("unit_alarm_state") == "alarm")).alias("alarm_shots"),
+        F.avg(F.when(after, (F.col("unit_alarm_state") == F.col("state")).cast("int"))).alias("unit_state_agreement"),
+        F.avg(F.col("unit_job_stale").cast("int")).alias("unit_job_stale_share"),
+    )
+    d = by_source(defects.where("job_id is not null"), ["job_id"]).drop("confirmed_total")
+    return _zeros(jobs.join(s, "job_id", "left").join(d, "job_id", "left"), ("confirmed_sort", "confirmed_audit", "confirmed_tally", "returned"))
+
+
+def job_hour_fact(shots: DataFrame, defects: DataFrame, alarms: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """One row per job and hour: shots, what each layer raised, confirmed defects, new chart alarms and drift signals."""
+    after = F.coalesce("after_approval", F.lit(False))
+    on = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))) if c in shots.columns else F.lit(0).cast("long")
+    hour = S.truncated("hour", F.col("shot_ts")).alias("hour_ts")
+    s = shots.groupBy("job_id", "press_id", "mold_id", hour).agg(
+        F.count(F.lit(1)).alias("shots"),
+        F.sum("active_cavities").alias("pieces"),
+        F.count_if(after).alias("production_shots"),
+        F.count_if(F.col("unit_alarm_state") == "alarm").alias("unit_alarm_shots"),
+        F.count_if(after & F.col("rejected")).alias("sorted_shots"),
+        on("spc_any").alias("spc_rule_shots"),
+        on("drift_any_signal").alias("drift_signal_shots"),
+        F.avg("pack_integral_dev_post_gate").alias("mean_pack_dev"),
+        F.avg("fill_integral_dev_post_gate").alias("mean_fill_dev"),
+        F.avg("end_of_fill_pressure_bar_dev_end_of_fill").alias("mean_eof_dev"),
+    )
+    keys = ["job_id", "hour_ts"]
+    s = s.join(by_source(defects.where("hour_ts is not null and job_id is not null"), keys).drop("returned"), keys, "left")
+    for name, df in (("spc_alarms", alarms), ("drift_signals", signals)):
+        if df is not None:
+            s = s.join(df.groupBy("job_id", hour).agg(F.count(F.lit(1)).alias(name)), keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return _zeros(s, ("confirmed_sort", "confirmed_audit", "confirmed_tally", "confirmed_total"))
+
+
+def audit_fact(pieces: DataFrame, attributes: DataFrame, shots: DataFrame) -> DataFrame:
+    """Gauged pieces with their part's nominal values, a key of their cavity, and their shot's features where it is known."""
+    a = attributes.select("mold_id", "nominal_weight_g", F.col("critical_dimension_mm").alias("nominal_dimension_mm"), "dimension_tolerance_mm", "gauge_sd_weight_g", "gauge_sd_dimension_mm", "standard_cost")
+    # Codes of cells ascend by name; cells are few, so one window numbers them.
+    cells = pieces.select("mold_id", "press_id").distinct().withColumn("cell_code", F.row_number().over(Window.orderBy("mold_id", "press_id")) - 1)
+    x = pieces.drop("shot_ts").join(cells, ["mold_id", "press_id"]).withColumns({"cavity_key": S.cavity_key(F.col("cell_code"), F.col("cavity_id"), CAVITIES_A_CELL), "linked_to_shot": F.col("shot_id").isNotNull()})
+    taken = set(x.columns) | set(a.columns)
+    return x.join(a, "mold_id", "left").join(shots.select("shot_id", *[c for c in shots.columns if c not in taken]), "shot_id", "left")
 
 
 def audit_pieces(pieces: DataFrame, audits: DataFrame, shots: DataFrame) -> DataFrame:
     """Gauged pieces with the shot they came from: the sampled cycle and their row in the tray. Hand-pulled ones stay unlinked."""
-    x = pieces.join(audits.select("audit_id", "job_id", "audit_ts", "sampled_shot_cycle_no"), "audit_id").withColumn("cycle_no", (F.col("sampled_shot_cycle_no") + F.col("tray_row")).cast("long"))
+    x = pieces.join(audits.select("audit_id", "job_id", "press_id", "mold_id", "audit_ts", "sampled_shot_cycle_no"), "audit_id").withColumn("cycle_no", (F.col("sampled_shot_cycle_no") + F.col("tray_row")).cast("long"))
     x = x.join(shots.select("job_id", "cycle_no", "shot_id", "shot_ts"), ["job_id", "cycle_no"], "left")
     return x.withColumn("hour_ts", S.truncated("hour", F.coalesce("shot_ts", "audit_ts")))
 
@@ -188,19 +313,28 @@ def build(t: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lamb
     t = dict(t)
     t["sensors"] = keep(banded_sensors(t["cavity_shot_summary"], t["templates"]))
     t["shots"] = keep(shot_jobs(shot_summary(t["sensors"]), t["production_orders"]))
-    t["jobs"] = jobs(t["production_orders"], t["first_shot_approvals"], t["shots"], t["technicians"])
-    t["mold_events"] = mold_events(t["mold_maintenance"], t["equipment_service"], t["shots"])
+    t["jobs"] = keep(jobs(t["production_orders"], t["first_shot_approvals"], t["shots"], t["technicians"]))
+    t["mold_events"] = keep(mold_events(t["mold_maintenance"], t["equipment_service"], t["shots"]))
     t["lot_changes"] = lot_changes(t["material_loads"])
     head = t["shots"].select("shot_id", "press_id", "mold_id", "shot_ts", "job_id")
     t["shot_context"] = keep(shot_context(head, t))
-    t["chart_points"] = chart_points(t["sensors"], t["shot_context"])
+    t["chart_points"] = keep(chart_points(t["sensors"], t["shot_context"]))
     t["shot_flags"] = shot_flags(t["chart_points"])
-    t["drift_state"] = drift_state(t["shots"], t["shot_context"])
+    t["drift_state"] = keep(drift_state(t["shots"], t["shot_context"], keep=keep))
     t["audit_pieces_linked"] = audit_pieces(t["qc_audit_pieces"], t["qc_audits"], t["shots"])
-    t["confirmed_defects"] = confirmed_defects(t, t["shots"])
-    values = [c for c in t["shots"].columns if c.endswith("_post_gate")]
+    x = t["shots"].join(t["shot_context"].select("shot_id", "after_approval"), "shot_id")
+    t["confirmed_defects"] = keep(confirmed_defects(t, x))
+    values = [f"{v}_{p}" for v in (*BANDED, "cooling_rate") for p in ("post_gate",)]
     rel = L.relative_to_baseline(t["shots"].select("job_id", "shot_id", "shot_ts", *values), ["job_id"], ["shot_ts", "shot_id"], values)
     fact = t["shots"].join(t["shot_context"].drop("press_id", "mold_id", "shot_ts", "job_id"), "shot_id")
-    fact = fact.join(rel.select("shot_id", *[f"{v}_rel" for v in values]), "shot_id").join(t["shot_flags"], "shot_id", "left").join(t["drift_state"].select("shot_id", "ewma", "ewma_signal"), "shot_id", "left")
-    t["shot_fact"] = fact
+    flags = t["shot_flags"].withColumn("spc_any", F.col("we1") | F.col("we2") | F.col("we4") | F.col("we5") | F.col("mr_rule"))
+    fact = fact.join(rel.select("shot_id", *[f"{v}_rel" for v in values]), "shot_id").join(flags, "shot_id", "left").join(t["drift_state"].drop("job_id", "shot_ts"), "shot_id", "left")
+    t["shot_fact"] = keep(fact)
+    t["lot_step_tests"] = lot_step_tests(t["shots"], t["lot_changes"])
+    t["drift_signals"] = drift_signals(t["drift_state"], t["lot_step_tests"])
+    t["spc_alarms"] = C.new_alarms(t["chart_points"].where(F.col("point_no") > 500), ["job_id", "sensor_id", "metric"], {"we1": "1", "we2": "2", "we4": "4", "we5": "5", "mr_rule": "MR"})
+    t["job_fact"] = job_fact(t["jobs"], t["shot_fact"], t["confirmed_defects"])
+    t["job_hour_fact"] = job_hour_fact(t["shot_fact"], t["confirmed_defects"], t["spc_alarms"], t["drift_signals"])
+    if "part_attributes" in t:
+        t["audit_fact"] = audit_fact(t["audit_pieces_linked"], t["part_attributes"], t["shot_fact"])
     return t

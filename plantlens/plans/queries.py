@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bound_context, bound_detection, bound_mechanisms, bound_models, bound_reports, bound_series, bound_stream, bound_tables
+from . import bound_context, bound_detection, bound_mechanisms, bound_models, bound_molding, bound_reports, bound_series, bound_status, bound_stream, bound_tables
 
-BINDINGS = (bound_context, bound_series, bound_reports, bound_detection, bound_mechanisms, bound_models, bound_stream, bound_tables)
+BINDINGS = (bound_context, bound_series, bound_reports, bound_detection, bound_mechanisms, bound_models, bound_molding, bound_status, bound_stream, bound_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,6 +33,15 @@ CSV: dict[str, str] = {
     "toolroom/mold_maintenance": "mold_id string, event_ts timestamp_ntz, event_type string, shots_at_event double, technician_id string, notes string",
     "seeds/resin_grades": "resin_id string, mfi_nominal double, mfi_band_low double, mfi_band_high double, hygroscopic boolean, min_residence_h double",
 }
+#: The seed tables' rows.
+SEEDS = {
+    "resin_grades": [
+        ("PA66 GF30", 12.0, 9.0, 15.0, True, 4.0),
+        ("PC/ABS", 18.0, 14.0, 22.0, True, 3.0),
+        ("POM", 9.0, 7.5, 10.5, False, 0.0),
+        ("PP copolymer", 20.0, 16.0, 24.0, False, 0.0),
+    ]
+}
 #: Written as text throughout; staged with casts that turn what doesn't parse into null.
 TEXT_CSV: dict[str, tuple[str, ...]] = {
     "qms/first_shot_approvals": ("job_id", "press_id", "mold_id", "approval_ts", "technician_id", "inspector_id", "shots_to_approval", "part_weight_g", "dimension_values", "visual_result", "approved", "template_id_established"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,46 @@ def partitioned(df: DataFrame, path: str, ts: str = "shot_ts", also: tuple[str,
     x.hint("rebalance", "month", *also).write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).partitionBy("month", *also).mode("overwrite").parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where that is unset a temporary one, on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """A model as a table of its own, read again by the models above it: short plans, and no rework for lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def view(df: DataFrame, name: str) -> DataFrame:
+    """A model as a view of the session."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
+def result(df: DataFrame, path: str) -> None:
+    """A result where path ends in .parquet, .csv (with header) or .json; CSV and JSON are for small summaries, one file each."""
+    kind = path.rsplit(".", 1)[-1]
+    if kind not in ("parquet", "csv", "json"):
+        raise ValueError(f"no sink for {path}")
+    if kind == "parquet":
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    else:
+        df.coalesce(1).write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(path)
+
+
+def seed(spark: SparkSession, name: str) -> DataFrame:
+    """A seed table of schemas.SEEDS, small by its definition."""
+    return spark.createDataFrame(schemas.SEEDS[name], schemas.CSV[f"seeds/{name}"])
+
+
 def with_month_of(df: DataFrame, shots: DataFrame, key: str = "shot_id", ts: str = "shot_ts", default: str = "unknown") -> DataFrame:
     """Month of a table without a timestamp, from another by key."""
     months = shots.groupBy(key).agg(F.date_format(F.min(ts), "yyyy-MM").alias("month"))
@@ -90,3 +133,35 @@ def staged_setpoints(df: DataFrame) -> DataFrame:
 def staged_shots(df: DataFrame) -> DataFrame:
     """Sensor rows; a dropout has no pack integral."""
     return df.withColumn("dropout", F.col("pack_integral").isNull())
+
+
+def staged_returns(df: DataFrame) -> DataFrame:
+    """Returns; a cavity that isn't known is null, quantities are numbers."""
+    return df.withColumns({"attributed_cavity_id": F.col("attributed_cavity_id").cast("int"), "qty": F.col("qty").cast("double")})
+
+
+def staged_inspections(df: DataFrame) -> DataFrame:
+    """Inspection records with the share that failed."""
+    from ..functions.scalars import ratio
+
+    return df.withColumn("failed_share", ratio(F.col("quantity_failed").cast("double"), F.col("quantity_inspected")))
+
+
+#: What each source is staged with; the others are read as they are declared.
+STAGED = {
+    "qms/first_shot_approvals": staged_approvals,
+    "erp/production_orders": staged_orders,
+    "qms/sort_dispositions": staged_sorts,
+    "qms/scrap_tallies": staged_tallies,
+    "qms/setpoint_changes": staged_setpoints,
+    "qms/customer_returns": staged_returns,
+    "qms/inspection_records": staged_inspections,
+    "monitoring/cavity_shot_summary": staged_shots,
+}
+
+
+def staged(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All 25 sources by their last name, staged; the seed beside them."""
+    names = [*(n for n in schemas.CSV if not n.startswith("seeds/")), *schemas.TEXT_CSV, *schemas.PARQUET]
+    out = {n.split("/")[1]: STAGED.get(n, lambda df: df)(read(spark, root, n)) for n in names}
+    return out | {"resin_grades": seed(spark, "resin_grades")}

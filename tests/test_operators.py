@@ -166,3 +166,58 @@ def test_checks_on_empty(spark):
     df = spark.createDataFrame([], "a int, b double")
     assert checks.not_unique(df, ["a"]).count() == 0
     assert [r["passed"] for r in checks.range_checks({"m": (df, F.avg("b"), 0, 1)}).collect()] == [False]
+
+
+def test_streamed_folds_are_linear_and_keep_series_apart(spark):
+    from plantlens.operators import drift
+
+    rows = [(k, i, float(1 if i % 7 else -2), i == 40) for k in range(3) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, i int, z double, reset boolean")
+    got = {(r["k"], r["i"]): (r["cusum"], r["cusum_signal"]) for r in drift.cusum(df, ["k"], "i", k=0.25, h=3.0).collect()}
+    for k in range(3):
+        s = 0.0
+        for i in range(100):
+            s = 0.0 if i == 40 else s
+            s = max(0.0, s + (1 if i % 7 else -2) - 0.25)
+            assert got[k, i] == (s, s > 3.0)
+            s = 0.0 if s > 3.0 else s
+
+
+def test_kth_largest_and_recall_with_ties(spark):
+    import random
+
+    from plantlens.operators import evaluate
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0.1, 0.5, rng.random(), None]), rng.random() < 0.2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, s double, bad boolean")
+    held = sorted((s for _, s, _ in rows if s is not None), reverse=True)
+    for k in (1, 2, 300, len(held)):
+        v, larger = evaluate.kth_largest(df, "s", k)
+        assert v == held[k - 1] and larger == sum(x > v for x in held)
+    top = sorted(rows, key=lambda r: (-(r[1] if r[1] is not None else float("-inf")), r[0]))[:600]
+    r = evaluate.recall_at_rate(df, "s", "bad", "i", 0.2).first()
+    assert (r["k"], r["captured"]) == (600, sum(b for _, _, b in top))
+
+
+def test_median_interval_is_near_numpys(spark):
+    import numpy as np
+
+    from plantlens.operators import evaluate
+
+    x = np.random.default_rng(2).exponential(10, 60)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "g string, i int, v double")
+    r = evaluate.median_interval(df, ["g"], "i", "v").first()
+    rng = np.random.default_rng(3)
+    m = np.median(x[rng.integers(0, 60, (2000, 60))], axis=1)
+    assert r["median"] == np.median(x) and abs(r["low"] - np.quantile(m, 0.025)) < 1.5 and abs(r["high"] - np.quantile(m, 0.975)) < 2.5
+
+
+def test_sizes_between_the_tables_take_the_nearest(spark):
+    from pyspark.sql import functions as F
+
+    from plantlens.operators import capability
+
+    df = spark.createDataFrame([(n,) for n in (2, 10, 11, 12, 13, 14, 17, 18, 20, 50)], "n int")
+    got = {r["n"]: r["d"] for r in df.select("n", capability.by_size(capability.D2, F.col("n")).alias("d")).collect()}
+    assert got == {2: 1.128, 10: 3.078, 11: 3.078, 12: 3.258, 13: 3.258, 14: 3.472, 17: 3.472, 18: 3.735, 20: 3.735, 50: 3.735}
