@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from . import urls
-from .licenses import PHRASES, TEMPLATES, tokens_of
+from .licenses import PHRASES, SLACK, SPARE, TEMPLATES, tokens_of
 
 ORACLES: dict[str, str] = {}
 
@@ -56,21 +56,23 @@ select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id, s.doc_id = c.co
 
 
 def licenses_sql(threshold: float = 0.9) -> str:
-    """Containment of each template by brute force: every line against every template."""
+    """Containment of each template by brute force: every window of words against every template whose words a text has."""
     rows = []
     for label, notice in TEMPLATES:
         tokens = sorted({t.decode() for t in tokens_of(notice)})
         need = max(1, math.ceil(len(tokens) * threshold - 1e-9))
-        rows.append(f"('{label}', {tokens}, {need})")
+        words = len(tokens_of(notice))
+        rows.append(f"('{label}', {tokens}, {need}, {words + max(SPARE, math.ceil(words * SLACK))})")
     phrases = ", ".join(f"('{label}', {phrase.split(' ')})" for phrase, label in PHRASES.items())
     return rf"""
-with templates(label, tokens, need) as (values {", ".join(rows)}), phrases(label, parts) as (values {phrases}),
+with templates(label, tokens, need, width) as (values {", ".join(rows)}), phrases(label, parts) as (values {phrases}),
 low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 words as (select doc_id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from low),
 places as (select doc_id, label, i - 1 as word from (select doc_id, w, label, parts, unnest(range(1, len(w) + 1)) as i from words, phrases where list_has_all(w, parts)) where w[i : i + len(parts) - 1] = parts),
 base as (select doc_id, count(*) as n, min(word) as a, max(word) as b, string_agg(distinct label, ',' order by label) as labels from places group by 1),
-lines as (select doc_id, list_distinct(string_split_regex(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as s from (select doc_id, unnest(string_split(t, chr(10))) as line from low)),
-met as (select doc_id, label, len(list_intersect(s, tokens)) / len(tokens) as c from lines, templates where list_has_any(s, tokens) and len(list_intersect(s, tokens)) >= need),
+near as (select doc_id, w, label, tokens, need, width from words, templates where list_has_any(w, tokens) and len(list_intersect(tokens, w)) >= need),
+blocks as (select doc_id, label, need, len(tokens) as n, len(list_intersect(tokens, w[i : i + width - 1])) as k from (select *, unnest(range(1, len(w) + 1)) as i from near)),
+met as (select doc_id, label, max(k / n) as c from blocks where k >= need group by 1, 2),
 best as (select doc_id, max(c) as c from met group by 1),
 named as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from met union all select doc_id, label from places) group by 1)
 select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, b::bigint as last_word, coalesce(base.labels, '') as base_labels, coalesce(named.labels, '') as labels,

@@ -53,3 +53,18 @@ def test_urls_sql_with_links(spark):
     con = duckdb.connect()
     con.register("pages", pages.toPandas())
     assert_same(urls.report(pages), con.sql(queries.oracle_sql()["op5_url_filter"]))
+
+
+def test_licenses_sql_with_wrapped_notices(spark):
+    import duckdb
+
+    from plantlens.llm import licenses
+
+    from .test_edge_cases import WRAPPED
+
+    filler = " filler" * 60
+    texts = [*WRAPPED.values(), None, "", *(n for _, n in licenses.TEMPLATES), filler.join("released under the mit license".split()), filler + " released\nunder x the mit license twice released under the mit license" + filler]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert_same(licenses.report(docs), con.sql(queries.oracle_sql()["op6_licenses"]))
