@@ -99,25 +99,40 @@ class Lists:
 class Index:
     """Postings by term: example numbers ascending and weights, and each block's largest weight; terms by example."""
 
+    #: What is sent to workers, a few bytes a posting; they build the rest from it.
+    SENT = ("terms", "idf", "prior", "curve", "ids", "y", "votes", "row", "term", "count")
+
     def __init__(self, terms: dict[bytes, float], examples: list[tuple[int, int, dict[bytes, int]]], class_weight: dict[int, float], prior: float):
-        self.number = {w: k for k, w in enumerate(terms)}
-        self.idf = np.array(list(terms.values()))
-        self.prior = prior
+        self.terms, self.idf = list(terms), np.array(list(terms.values()), np.float64)
+        self.prior, self.curve = prior, (1.0, 0.0)
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.y = np.array([e[1] for e in examples], np.float64)
         self.votes = np.array([class_weight[e[1]] for e in examples], np.float64)
-        self.blocks = -(-len(examples) // BLOCK)
-        self.curve = (1.0, 0.0)
-        row = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-        term = np.fromiter((self.number[w] for e in examples for w in e[2]), np.int64)
-        weight = (1 + np.log(np.fromiter((n for e in examples for n in e[2].values()), np.float64))) * self.idf[term] if len(term) else np.zeros(0)
-        weight = weight / np.sqrt(np.bincount(row, weight * weight, len(examples)))[row] if len(term) else weight
-        self.postings = Lists(term, row, weight, len(terms))
-        self.texts = Lists(row, term, weight, len(examples))
-        met, of = np.unique(term * max(1, self.blocks) + row // BLOCK, return_inverse=True)
+        number = {w: k for k, w in enumerate(self.terms)}
+        self.row = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])
+        self.term = np.fromiter((number[w] for e in examples for w in e[2]), np.int32)
+        self.count = np.fromiter((n for e in examples for n in e[2].values()), np.int32)
+        self.build()
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in self.SENT}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.build()
+
+    def build(self) -> None:
+        n, row, term = len(self.ids), self.row, self.term
+        self.number = {w: k for k, w in enumerate(self.terms)}
+        self.blocks = -(-n // BLOCK)
+        weight = (1 + np.log(self.count)) * self.idf[term] if len(term) else np.zeros(0)
+        weight = weight / np.sqrt(np.bincount(row, weight * weight, n))[row] if len(term) else weight
+        self.postings = Lists(term, row, weight, len(self.terms))
+        self.texts = Lists(row, term, weight, n)
+        met, of = np.unique(term.astype(np.int64) * max(1, self.blocks) + row // BLOCK, return_inverse=True)
         most = np.zeros(len(met))
         np.maximum.at(most, of, weight)
-        self.most = Lists(met // max(1, self.blocks), met % max(1, self.blocks), most, len(terms))
+        self.most = Lists(met // max(1, self.blocks), met % max(1, self.blocks), most, len(self.terms))
 
     def query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         counts = {self.number[w]: n for w, n in Counter(words).items() if w in self.number}
@@ -213,6 +228,7 @@ def calibrated(spark: SparkSession, index: Index) -> Index:
     votes = np.zeros(len(index.ids))
     for i, vote in rows:
         votes[i] = vote
+    shared.destroy()
     index.curve = fitted_curve(votes, index.y, index.votes)
     return index
 
