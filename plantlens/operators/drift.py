@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import wilson
-from .windows import START, rolling_spread, trailing_mean
+from .windows import START, filled, rolling_spread, trailing_mean
 
 
 def resets(df: DataFrame, keys: list[str], order: list[str], changed: tuple[str, ...] = (), dropped: dict[str, float] | None = None, into: str = "reset") -> DataFrame:
@@ -41,7 +41,7 @@ def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, reset: st
     depth = math.ceil(math.log(lost) / math.log(1 - weight))
     w = Window.partitionBy(*keys).orderBy(*order)
     x = segments(df, keys, order, reset, "_segment").withColumn("_no", F.row_number().over(w))
-    x = x.withColumn("_x", F.coalesce(F.last(value, ignorenulls=True).over(w.rowsBetween(START, 0)), F.lit(0.0)))
+    x = x.withColumn("_x", F.coalesce(filled(F.col(value), w), F.lit(0.0)))
     whole = Window.partitionBy(*keys)
     x = x.withColumn("_start", F.coalesce(F.avg(F.when(F.col("_no") <= baseline, F.col(value))).over(whole), F.lit(0.0)))
     own = Window.partitionBy(*keys, "_segment").orderBy(*order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +30,24 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df)
 
 
+def _with_missing(scored: DataFrame, df: DataFrame, features: list[str], into: str) -> DataFrame:
+    """Scored rows, and with a null score those that a missing feature (null or NaN) keeps from being scored."""
+    missing = reduce(lambda a, b: a | b, [F.col(f).isNull() | F.isnan(F.col(f).cast("double")) for f in features])
+    return scored.unionByName(df.where(missing).withColumn(into, F.lit(None).cast("double")))
+
+
 def boosted(df: DataFrame, features: list[str], target: str, split: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "predicted") -> DataFrame:
-    """df with a boosted regression's prediction, fit on train rows with early stopping on valid rows."""
+    """df with a boosted regression's prediction, fit on train rows with early stopping on valid rows; null where a feature is missing."""
     from pyspark.ml.regression import GBTRegressor
 
     x = _assembled(df, features).withColumn("_valid", F.col(split) == "valid")
     gbt = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol=into, maxIter=rounds, maxDepth=depth, seed=seed, validationIndicatorCol="_valid")
     fit = gbt.fit(x.where(F.col(split).isin("train", "valid") & F.col(target).isNotNull()).select("_features", target, "_valid"))
-    return fit.transform(x).drop("_features", "_valid")
+    return _with_missing(fit.transform(x).drop("_features", "_valid"), df, features, into)
 
 
 def classified(df: DataFrame, features: list[str], label: str, split: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "score") -> DataFrame:
-    """df with a class-weighted boosted classifier's probability of label 1."""
+    """df with a class-weighted boosted classifier's probability of label 1; null where a feature is missing."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
@@ -49,7 +57,8 @@ def classified(df: DataFrame, features: list[str], label: str, split: str, round
     own = own.withColumn("_w", F.when(F.col("_y") == 1, (1 - share) / max(share, 1e-9)).otherwise(1.0))
     gbt = GBTClassifier(featuresCol="_features", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed, validationIndicatorCol="_valid")
     out = gbt.fit(own.select("_features", "_y", "_w", "_valid")).transform(x)
-    return out.withColumn(into, vector_to_array("probability")[1]).drop("_features", "_valid", "_y", "rawPrediction", "probability", "prediction")
+    out = out.withColumn(into, vector_to_array("probability")[1]).drop("_features", "_valid", "_y", "rawPrediction", "probability", "prediction")
+    return _with_missing(out, df, features, into)
 
 
 def error_measures(df: DataFrame, keys: list[str], order: list[str], measured: str, predicted: str, gauge: Column) -> DataFrame:

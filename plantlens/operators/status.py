@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio, truncated
 from .capability import D2, by_size
 from .deviation import outside
+from .metrology import unscaled
 
 
 def figures(measures: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -130,7 +131,7 @@ def predicted_trace(shots: DataFrame, predictions: DataFrame, audits: DataFrame,
     """Shots with the mean predicted dimension of their cavities, un-scaled, and the mean gauged one where a piece was audited."""
     p = predictions.groupBy(key).agg(F.avg(predicted).alias("_p"), F.max(F.abs(F.col(predicted))).alias("largest"))
     a = audits.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(measured).alias("measured"))
-    return shots.join(p, key).join(a, key, "left").withColumn("predicted", nominal + F.col("_p") * tolerance).drop("_p")
+    return shots.join(p, key).join(a, key, "left").withColumn("predicted", unscaled(F.col("_p"), nominal, tolerance)).drop("_p")
 
 
 def templates_wide(long: DataFrame, keys: list[str], metric: str, metrics: list[str], statistics: list[str], reference: DataFrame | None = None, reference_key: str | None = None) -> DataFrame:

@@ -309,12 +309,6 @@ def molding_drift_state(spark, d):
     return M.drift_state(shots, materialised(context_of(t, shots), "shot_context"), rearm=100, baseline=100, keep=lambda df: materialised(df, "drift"))
 
 
-@BOUND()
-def molding_shot_fact(spark, d):
-    """The whole build: shots with context, chart flags, drift state and values over their baseline."""
-    return M.build(sources(spark, d), lambda df: materialised(df, "model"))["shot_fact"]
-
-
 @BOUND()
 def molding_job_hours(spark, d):
     """The whole build's job and hour table, with chart alarms and drift signals."""
