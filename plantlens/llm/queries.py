@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, licenses, near_dedup, packing, pii, quality, token_counts, toxicity, urls
+from . import centroids, decontamination, html_text, language, licenses, near_dedup, packing, pii, quality, resampling, token_counts, toxicity, urls
 from .common import table
 from .sql import ORACLES
 
@@ -58,8 +58,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_near_dedup, op3_decontamination, op4_toxicity, op5_url_filter, op6_licenses, op7_packing, op8_language, op9_token_counts, op10_quality)}
+    own = (op1_pii, op2_near_dedup, op3_decontamination, op4_toxicity, op5_url_filter, op6_licenses, op7_packing, op8_language, op9_token_counts, op10_quality, op11_centroids, op12_resampling, op13_html)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

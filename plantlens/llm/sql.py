@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import urls
+from . import centroids, resampling, urls
 from .licenses import PHRASES, SLACK, SPARE, TEMPLATES, tokens_of
 
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,65 @@ from r left join hosts on host = h
 
 
 ORACLES["op5_url_filter"] = urls_sql()
+
+
+def centroids_sql(components: int = centroids.COMPONENTS, scale: int = centroids.SCALE, k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS, salt: str = centroids.SALT) -> str:
+    """All distances of all rounds computed anew, in integers."""
+    near = """
+a{r} as materialized (
+    select vec_id, v, arg_min(cluster, (d, cluster)) as cluster, min(d) as distance
+    from (select vec_id, i, v, cluster, list_sum(list_transform(range(1, {n} + 1), lambda j: (v[j] - m[j]) * (v[j] - m[j]))) as d from x, c{r}) group by vec_id, i, v
+)"""
+    move = """,
+p{r} as (select cluster, j, sum(v[j]) as s, count(*) as n from (select cluster, v, unnest(range(1, {n} + 1)) as j from a{r}) group by 1, 2),
+m{r} as (select cluster, list((s - ((s % n) + n) % n) // n order by j) as m from p{r} group by 1),
+c{next} as materialized (select c.cluster, coalesce(m{r}.m, c.m)::bigint[] as m from c{r} c left join m{r} using (cluster)),"""
+    steps = "".join(near.format(r=r, n=components) + (move.format(r=r, next=r + 1, n=components) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+with x as materialized (
+    select vec_id, row_number() over () as i, list_transform(embedding, lambda e: floor({scale} * e::double)::bigint) as v
+    from embeddings where len(embedding) = {components} and len(list_filter(embedding, lambda e: isfinite(e))) = {components}
+), f as (select v, row_number() over (order by sha256('{salt}' || coalesce(vec_id::varchar, '')), v) - 1 as cluster from x),
+c0 as materialized (select cluster, v as m from f where cluster < {k}),{steps},
+t as (select cluster, sum(distance) as own from a{rounds} group by 1)
+select vec_id, cluster::int as cluster, distance::bigint as distance, own::bigint as cluster_inertia, (select sum(distance) from a{rounds})::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} join t using (cluster) join c{rounds} using (cluster)
+"""
+
+
+ORACLES["op11_centroids"] = centroids_sql()
+
+
+def resampling_sql(longest: int = resampling.LONGEST, buckets: int = resampling.BUCKETS, least: int = resampling.LEAST_WORDS, percent: int = resampling.PERCENT, salt: str = resampling.SALT) -> str:
+    """Every distinct n-gram built and its CRC32 folded byte by byte."""
+    codes = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = (byte >> 1) ^ (resampling.POLYNOMIAL if byte & 1 else 0)
+        codes.append(byte)
+    crc = "xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, codes[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+    low = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    grams = " union all ".join(f"select {{0}}, array_to_string(w[i : i + {m} - 1], ' ') as g from (select {{0}}, w, unnest(range(1, len(w) - {m} + 2)) as i from {{1}} where len(w) >= {m})" for m in range(1, longest + 1))
+    return rf"""
+with d as materialized (select doc_id, row_number() over () as r, {low} as w from documents),
+b as (select {low} as w from benchmark),
+dg as materialized ({grams.format('r', 'd')}), bg as materialized ({grams.format('1 as r', 'b')}),
+every as (select g, hex(encode(g)) as h from (select g from dg union select g from bg)),
+coded as materialized (select g, {crc} % {buckets} as bucket from every, (select {codes}::bigint[] as codes)),
+s as (select bucket, count(*) as s from dg join coded using (g) group by 1), t as (select bucket, count(*) as t from bg join coded using (g) group by 1),
+gains as (
+    select bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select count(*) from dg) + {buckets})::double) / ((s + 1)::double * ((select count(*) from bg) + {buckets})::double)))::bigint as gain
+    from s left join t using (bucket)
+), sums as (select r, count(*) as n, sum(gain) as total from dg join coded using (g) join gains using (bucket) group by 1),
+weights as (
+    select doc_id, r, len(w) as n_words, coalesce(n, 0) as n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint as weight,
+        ('0x' || substr(sha256('{salt}' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h
+    from d left join sums using (r)
+), scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from weights),
+ranked as (select r, row_number() over (order by score desc, doc_id nulls first, n_features, weight) as place from scored where n_words >= {least})
+select doc_id, n_features::bigint as n_features, weight, score::bigint as score, (case when place <= {percent} * (select count(*) from ranked) // 100 then place end)::bigint as rank
+from scored left join ranked using (r)
+"""
+
+
+ORACLES["op12_resampling"] = resampling_sql()
