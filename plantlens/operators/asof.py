@@ -54,13 +54,27 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     return out.select("_left.*", hit("_at").alias(f"{prefix}at"), *[hit(c).alias(f"{prefix}{c}") for c in columns])
 
 
-def asof_fused(left: DataFrame, log: DataFrame, keys: list[str], left_ts: str, log_ts: str, kind: str, kinds: list[str], columns: list[str], tie: str | None = None) -> DataFrame:
-    """left with, for each kind of logged event, `{kind}_{column}` and `{kind}_at` of the last one, all in one window pass."""
+def asof_fused(left: DataFrame, log: DataFrame, keys: list[str], left_ts: str, log_ts: str, kind: str, kinds: list[str], columns: list[str], tie: str | None = None, bucket: str | None = None) -> DataFrame:
+    """left with, for each kind of logged event, `{kind}_{column}` and `{kind}_at` of the last one, all in one window pass.
+
+    With `bucket` (a unit of date_trunc) rows are ordered within key and bucket only; the last event of each kind before a
+    bucket comes from a table of one row a key and bucket, so a key that holds most rows is worked on by many tasks.
+    """
     both = _union(left, log.where(F.col(kind).isin(kinds)), keys, left_ts, log_ts, [kind, *columns], tie)
-    w = Window.partitionBy(*keys).orderBy("_ts", "_side", F.col("_tie").asc_nulls_first()).rowsBetween(START, 0)
-    last = {k: F.last(F.when(F.col(f"_right.{kind}") == k, F.col("_right")), ignorenulls=True).over(w) for k in kinds}
-    out = both.withColumns({f"_last_{k}": v for k, v in last.items()}).where("_side = 1")
-    ok = _no_null(keys)
+    part = list(keys)
+    if bucket:
+        both = both.withColumn("_bucket", F.date_trunc(bucket, F.col("_ts")))
+        part.append("_bucket")
+    own = {k: F.when(F.col(f"_right.{kind}") == k, F.col("_right")) for k in kinds}
+    w = Window.partitionBy(*part).orderBy("_ts", "_side", F.col("_tie").asc_nulls_first()).rowsBetween(START, 0)
+    out = both.withColumns({f"_last_{k}": F.last(v, ignorenulls=True).over(w) for k, v in own.items()}).where("_side = 1")
+    if bucket:
+        at = F.struct(F.unix_micros(F.col("_ts").cast("timestamp")).alias("t"), F.col("_tie"))
+        edges = both.groupBy(*part).agg(*[F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_edge_{k}") for k, v in own.items()])
+        along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(START, -1)
+        carry = edges.select(*part, *[F.last(f"_edge_{k}", ignorenulls=True).over(along).alias(f"_carry_{k}") for k in kinds])
+        out = out.join(carry, part, "left").withColumns({f"_last_{k}": F.coalesce(f"_last_{k}", f"_carry_{k}") for k in kinds})
+    ok = _no_null(keys) & F.col("_ts").isNotNull()
     pick = [F.when(ok, F.col(f"_last_{k}.{c}")).alias(f"{k}_{'at' if c == '_at' else c}") for k in kinds for c in ("_at", *columns)]
     return out.select("_left.*", *pick)
 
@@ -71,12 +85,30 @@ def validity(log: DataFrame, keys: list[str], ts: str, tie: str | None = None) -
     return log.withColumns({"valid_from": F.col(ts), "valid_to": F.lead(ts).over(w)})
 
 
-def interval_join(left: DataFrame, log: DataFrame, keys: list[str], left_ts: str, log_ts: str, columns: list[str], tie: str | None = None) -> DataFrame:
-    """The as-of join for a small log: equal keys and a validity range. Spark broadcasts the log if its size allows."""
-    r = validity(log, keys, log_ts, tie).select(*[F.col(k).alias(f"_{k}") for k in keys], "valid_from", "valid_to", *columns)
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-    on = on & (F.col(left_ts) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(left_ts) < F.col("valid_to")))
-    return left.join(r, on, "left").drop(*[f"_{k}" for k in keys])
+def range_join(left: DataFrame, ranges: DataFrame, keys: list[str], ts: str, low: str, high: str, closed: bool = False, how: str = "left", bucket_s: int = 86_400) -> DataFrame:
+    """left with every range of its keys that holds its time: low <= ts < high, or <= high if `closed`; a null high is open.
+
+    Ranges are cut at buckets of time and met by an equi-join on keys and bucket with the exact condition beside it, so no
+    key's rows are scanned range by range, and a key that holds most rows is dealt to tasks by bucket. Open and long ranges
+    are laid out within the buckets that left has. `left` and `ranges` share no column but the keys. how: left or inner.
+    """
+    number = lambda c: F.floor(epoch(F.col(c)) / bucket_s)
+    rows = left.withColumn("_bucket", number(ts))
+    seen = rows.agg(F.min("_bucket").alias("_b0"), F.max("_bucket").alias("_b1"))  # one row
+    r = ranges.withColumnsRenamed({k: f"_{k}" for k in keys}).crossJoin(F.broadcast(seen))
+    first, last = F.greatest(number(low), F.col("_b0")), F.when(F.col(high).isNull(), F.col("_b1")).otherwise(F.least(number(high), F.col("_b1")))
+    r = r.withColumns({"_b0": first, "_b1": last}).where("_b0 <= _b1")
+    r = r.withColumn("_at", F.explode(F.sequence("_b0", "_b1"))).drop("_b0", "_b1")
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], F.col("_bucket") == F.col("_at"))
+    before = F.col(ts) <= F.col(high) if closed else F.col(ts) < F.col(high)
+    on = on & (F.col(ts) >= F.col(low)) & (F.col(high).isNull() | before)
+    return rows.join(r, on, how).drop("_bucket", "_at", *[f"_{k}" for k in keys])
+
+
+def interval_join(left: DataFrame, log: DataFrame, keys: list[str], left_ts: str, log_ts: str, columns: list[str], tie: str | None = None, bucket_s: int = 86_400) -> DataFrame:
+    """The as-of join by validity ranges: each log row holds from its time until the next one of its key."""
+    r = validity(log, keys, log_ts, tie).select(*keys, "valid_from", "valid_to", *columns)
+    return range_join(left, r, keys, left_ts, "valid_from", "valid_to", bucket_s=bucket_s)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], tie: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import elapsed, epoch, ratio
-from .asof import asof_join
+from .asof import asof_join, range_join
 from .windows import START, series
 
 
@@ -80,17 +80,16 @@ def changes_around(signals: DataFrame, changes: DataFrame, keys: list[str], ts:
     return asof_join(x, changes, keys, ts, change_ts, columns, direction="forward", tolerance_s=after_s, tie=tie, prefix="next_")
 
 
-def event_credit(events: DataFrame, rows: DataFrame, keys: list[str], ts: str, flags: list[str], start: str = "start_ts", end: str = "end_ts") -> DataFrame:
-    """Per event (a time range of a key), the first flagged row of each layer within it and its lead in minutes over the end.
+def event_credit(events: DataFrame, rows: DataFrame, keys: list[str], ts: str, flags: list[str], start: str = "start_ts", end: str = "end_ts", bucket_s: int = 86_400) -> DataFrame:
+    """Per event (a time range of a key, both ends in it), the first flagged row of each layer within it and its lead in minutes over the end.
 
-    Events are few: Spark broadcasts them if their size allows, else it joins on the key.
+    Rows meet events by key and bucket of time; what they have is summed up per event before it is joined back.
     """
-    r = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(ts).alias("_ts"), *flags)
-    on = F.col(keys[0]) == F.col(f"_{keys[0]}")
-    for k in keys[1:]:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    x = events.join(r, on & F.col("_ts").between(F.col(start), F.col(end)), "left")
-    out = x.groupBy(*events.columns).agg(*[F.min(F.when(F.col(f), F.col("_ts"))).alias(f"first_{f}") for f in flags], F.count("_ts").alias("n_rows"))
+    named = events.withColumn("_event", F.xxhash64(*events.columns))
+    r = rows.select(*keys, F.col(ts).alias("_ts"), *flags)
+    met = range_join(r, named.select(*keys, "_event", F.col(start).alias("_start"), F.col(end).alias("_end")).distinct(), keys, "_ts", "_start", "_end", closed=True, how="inner", bucket_s=bucket_s)
+    sums = met.groupBy("_event").agg(*[F.min(F.when(F.col(f), F.col("_ts"))).alias(f"first_{f}") for f in flags], F.count("_ts").alias("n_rows"))
+    out = named.distinct().join(sums, "_event", "left").drop("_event").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     return out.withColumns({f"minutes_{f}": (epoch(F.col(end)) - epoch(F.col(f"first_{f}"))) / 60.0 for f in flags})
 
 

@@ -12,8 +12,23 @@ def series(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], into: str = "point_no") -> DataFrame:
-    return df.withColumn(into, F.row_number().over(series(keys, order)))
+def numbered(df: DataFrame, keys: list[str], order: list[str], into: str = "point_no", bucket: str | None = None) -> DataFrame:
+    """Row numbers of each series, from 1.
+
+    With `bucket` (a unit of date_trunc, applied to the first of `order`) rows are numbered within key and bucket, and the
+    rows of earlier buckets are added from a table of counts, so that no task orders a whole key. df is read twice.
+    """
+    if bucket is None:
+        return df.withColumn(into, F.row_number().over(series(keys, order)))
+    x = df.withColumn("_bucket", F.date_trunc(bucket, F.col(order[0])))
+    counts = x.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(START, -1)
+    before = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    on = F.col("_bucket").eqNullSafe(F.col("_at"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = F.row_number().over(series([*keys, "_bucket"], order))
+    return x.withColumn(into, own).join(before, on).withColumn(into, F.col(into) + F.col("_before")).drop("_bucket", "_at", "_before", *[f"_{k}" for k in keys])
 
 
 def trailing_mean(value: Column, w, before: int, least: int) -> Column:
@@ -80,7 +95,7 @@ def nearest_rows(df: DataFrame, events: DataFrame, keys: list[str], ts: str, ord
     Rows are numbered once; an event becomes a row number by a count, and its rows are an equi-join on the key and the
     number's bucket of `each` rows, so that no series is joined with itself.
     """
-    rows = df.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy(ts, order)))
+    rows = numbered(df, keys, [ts, order], "_no")
     marks = df.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_n"), F.lit(None).cast("long").alias("_event")).unionByName(events.select(*keys, F.col(event_ts).alias("_ts"), F.lit(0).alias("_n"), F.col(event_id).cast("long").alias("_event")))
     passed = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_ts", "_n").rowsBetween(START, 0)), F.lit(0))
     placed = marks.withColumn("_passed", passed).where("_event is not null").select(*keys, F.col("_event").alias(event_id), F.col("_passed").alias("_from"))
