@@ -94,31 +94,49 @@ def streamed(df: DataFrame, keys: list[str], order: str, columns: list[str], out
 
 
 def cusum(blocks: DataFrame, keys: list[str], order: str, z: str = "z", k: float = 0.375, h: float = 5.0, side: int = 1, into: str = "cusum") -> DataFrame:
-    """One-sided CUSUM over a series' blocks, zero after a signal and at a reset; a null z leaves the sum as it is."""
+    """One-sided CUSUM over a series' blocks, zero after a signal and at a reset; a null z leaves the sum as it is.
+
+    `{into}_held` is the sum that goes on from there: 0 after a signal.
+    """
 
     def step(state: float | None, at: int, value: float, reset: bool) -> tuple[float, tuple]:
         s = 0.0 if state is None or reset else state
         if pd.isna(value):
-            return s, (at, s, False)
+            return s, (at, s, False, s)
         s = max(0.0, s + side * value - k)
-        return (0.0 if s > h else s), (at, s, s > h)
+        held = 0.0 if s > h else s
+        return held, (at, s, s > h, held)
 
     kind = blocks.schema[order].dataType.simpleString()
-    return streamed(blocks.withColumn(z, F.col(z).cast("double")), keys, order, [z, "reset"], f"{order} {kind}, {into} double, {into}_signal boolean", step)
+    return streamed(blocks.withColumn(z, F.col(z).cast("double")), keys, order, [z, "reset"], f"{order} {kind}, {into} double, {into}_signal boolean, {into}_held double", step)
 
 
 def two_sided(blocks: DataFrame, keys: list[str], order: str, z: str = "z", k: float = 0.375, h: float = 5.0, into: str = "cusum") -> DataFrame:
-    """The CUSUMs of both sides in one pass: the larger sum, and a signal of either."""
+    """The CUSUMs of both sides in one pass: the larger sum, a signal of either, and the larger sum that goes on."""
 
     def step(state: tuple[float, float] | None, at: int, value: float, reset: bool) -> tuple[tuple[float, float], tuple]:
         sums = (0.0, 0.0) if state is None or reset else state
         if not pd.isna(value):
             sums = tuple(max(0.0, s + side * value - k) for s, side in zip(sums, (1, -1), strict=True))
         fired = not pd.isna(value) and max(sums) > h
-        return tuple(0.0 if s > h else s for s in sums), (at, max(sums), fired)
+        held = tuple(0.0 if s > h else s for s in sums)
+        return held, (at, max(sums), fired, max(held))
 
     kind = blocks.schema[order].dataType.simpleString()
-    return streamed(blocks.withColumn(z, F.col(z).cast("double")), keys, order, [z, "reset"], f"{order} {kind}, {into} double, {into}_signal boolean", step)
+    return streamed(blocks.withColumn(z, F.col(z).cast("double")), keys, order, [z, "reset"], f"{order} {kind}, {into} double, {into}_signal boolean, {into}_held double", step)
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], into: str, reset: str = "reset") -> DataFrame:
+    """df with the statistic `into` of every row: the reading's where there is one, else the sum held since, 0 after a reset and before any reading.
+
+    Rows with a reading have `{into}_held`, which is dropped.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(START, 0)
+    x = df.withColumn("_at", F.row_number().over(w))
+    x = x.withColumns({"_reset": F.max(F.when(F.col(reset), F.col("_at"))).over(upto), "_read": F.last(F.when(F.col(f"{into}_held").isNotNull(), F.struct(F.col("_at").alias("at"), F.col(f"{into}_held").alias("held"))), ignorenulls=True).over(upto)})
+    held = F.when(F.col("_reset").isNull() | (F.col("_read.at") >= F.col("_reset")), F.col("_read.held"))
+    return x.withColumn(into, F.coalesce(F.col(into), held, F.lit(0.0))).drop("_at", "_reset", "_read", f"{into}_held")
 
 
 def log_spread(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 200, least: int = 100, first: int = 100, last: int = 500, every: int = 50) -> DataFrame:

@@ -35,12 +35,12 @@ def imr_limits(points: DataFrame, keys: list[str], baseline: int = 500, value: s
     return out.withColumns({"sigma_range": sigma, "upper": F.col("centre") + 3 * sigma, "lower": F.col("centre") - 3 * sigma, "range_upper": RANGE_LIMIT * F.col("mr_bar")})
 
 
-def ar1_fit(points: DataFrame, keys: list[str], first: int, last: int, value: str = "value") -> DataFrame:
-    """One row per series: mean, spread and lag-1 coefficient (0 to 0.98) over the points first < point_no <= last.
+def ar1_fit(points: DataFrame, keys: list[str], first: int, last: int, value: str = "value", position: str = "point_no") -> DataFrame:
+    """One row per series: mean, spread and lag-1 coefficient (0 to 0.98) over the points first < position <= last.
 
     The coefficient is that of sums, which a constant series makes null; then, as in least(0.98, null), it is 0.98.
     """
-    own = points.where((F.col("point_no") > first) & (F.col("point_no") <= last))
+    own = points.where((F.col(position) > first) & (F.col(position) <= last))
     pair = F.col(value).isNotNull() & F.col("previous").isNotNull()
     x, y = F.when(pair, F.col(value)), F.when(pair, F.col("previous"))
     out = own.groupBy(*keys).agg(F.count(value).alias("ar_n"), F.avg(value).alias("ar_mean"), F.stddev_samp(value).alias("ar_sd"), F.covar_samp(x, y).alias("_c"), (F.stddev_samp(x) * F.stddev_samp(y)).alias("_s"))
@@ -48,18 +48,18 @@ def ar1_fit(points: DataFrame, keys: list[str], first: int, last: int, value: st
     return out.withColumn("phi", phi).drop("_c", "_s")
 
 
-def ar1_residual(points: DataFrame, fit: DataFrame, keys: list[str], order: list[str], level_rows: int = 500, least: int = 100, value: str = "value") -> DataFrame:
-    """Points with their level (trailing mean, with few rows the fit's mean) and the AR(1) residual about it."""
+def ar1_residual(points: DataFrame, fit: DataFrame, keys: list[str], order: list[str], level_rows: int = 500, least: int = 100, value: str = "value", how: str = "inner") -> DataFrame:
+    """Points with their level (trailing mean, with few rows the fit's mean) and the AR(1) residual about it; how="left" keeps series without a fit."""
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-level_rows, -1)
-    x = points.withColumns({"recent_mean": F.avg(value).over(frame), "recent_n": F.count(value).over(frame)}).join(fit, keys)
+    x = points.withColumns({"recent_mean": F.avg(value).over(frame), "recent_n": F.count(value).over(frame)}).join(fit, keys, how)
     x = x.withColumn("level", F.when(F.col("recent_n") >= least, F.col("recent_mean")).otherwise(F.col("ar_mean")))
     return x.withColumn("residual", (F.col(value) - F.col("level")) - F.col("phi") * (F.col("previous") - F.col("level")))
 
 
-def pooled_sigma(residuals: DataFrame, run_keys: list[str], group_keys: list[str], run_order: str, skip: int, own_first: int, own_last: int) -> DataFrame:
+def pooled_sigma(residuals: DataFrame, run_keys: list[str], group_keys: list[str], run_order: str, skip: int, own_first: int, own_last: int, position: str = "point_no") -> DataFrame:
     """One row per run: sigma pooled over every earlier run of its group; a first run has its own (points own_first < no <= own_last)."""
-    used = (F.col("point_no") > skip) & F.col("residual").isNotNull()
-    own = (F.col("point_no") > own_first) & (F.col("point_no") <= own_last)
+    used = (F.col(position) > skip) & F.col("residual").isNotNull()
+    own = (F.col(position) > own_first) & (F.col(position) <= own_last)
     runs = residuals.groupBy(*dict.fromkeys([*run_keys, *group_keys])).agg(
         F.min(run_order).alias("starts"),
         F.sum(F.when(used, F.col("residual") * F.col("residual"))).alias("ss"),
@@ -78,8 +78,8 @@ def z_scores(value: str = "value") -> dict[str, Column]:
     return {"z": over(F.col("residual"), "sigma"), "z_textbook": over(off, "sigma_range"), "z_baseline": over(off, "sigma_baseline")}
 
 
-def run_rules(points: DataFrame, keys: list[str], order: list[str], z: str, limit1: float = 3.0, limit2: float = 2.0, prefix: str = "") -> DataFrame:
-    """Western Electric rules 1, 2, 4 and 5 on z as flags; a null z counts as no; early points see the points there are."""
+def run_rules(points: DataFrame, keys: list[str], order: list[str], z: str, limit1: float = 3.0, limit2: float = 2.0, prefix: str = "", rules: tuple[str, ...] = ("we1", "we2", "we4", "we5")) -> DataFrame:
+    """Western Electric rules (1, 2, 4 and 5, or those named) on z as flags; a null z counts as no; early points see the points there are."""
     w = Window.partitionBy(*keys).orderBy(*order)
     v = F.coalesce(F.col(z), F.lit(0.0))
 
@@ -92,7 +92,7 @@ def run_rules(points: DataFrame, keys: list[str], order: list[str], z: str, limi
         "we4": (count(v > 1, 5) >= 4) | (count(v < -1, 5) >= 4),
         "we5": (count(v > 0, 8) >= 8) | (count(v < 0, 8) >= 8),
     }
-    return points.withColumns({f"{prefix}{k}": f for k, f in flags.items()})
+    return points.withColumns({f"{prefix}{k}": f for k, f in flags.items() if k in rules})
 
 
 def scaled_rules(points: DataFrame, keys: list[str], order: list[str], z: str, scale: str) -> DataFrame:
@@ -122,7 +122,7 @@ def new_alarms(points: DataFrame, keys: list[str], flags: dict[str, str]) -> Dat
     return fired.withColumn("_before", before).where("_before is null or point_no - _before > 1").drop("_before")
 
 
-def alarm_disposition(alarms: DataFrame, changes: DataFrame, keys: list[str], ts: str, change_ts: str, columns: list[str], within_s: float = 3600, tie: str | None = None) -> DataFrame:
+def alarm_disposition(alarms: DataFrame, changes: DataFrame, keys: list[str], ts: str, change_ts: str, columns: list[str], within_s: float = 3600, tie: str | None = None, bucket: str | None = None) -> DataFrame:
     """Alarms with the next change within the time, if any."""
-    x = asof_join(alarms, changes, keys, ts, change_ts, columns, direction="forward", tolerance_s=within_s, tie=tie, prefix="change_")
+    x = asof_join(alarms, changes, keys, ts, change_ts, columns, direction="forward", tolerance_s=within_s, tie=tie, prefix="change_", bucket=bucket)
     return x.withColumn("disposition", F.when(F.col("change_at").isNotNull(), "changed").otherwise("none"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from ..functions import scalars as S
-from ..operators import labels as L
 from ..sources.schemas import BANDED
 from ..sources.tables import materialised
 from . import molding as M
@@ -42,8 +41,8 @@ def sensor_rows(position: str, v: str) -> str:
     values = ", ".join(f"{start} + {slope} * ({v}) as {name}" for name, (start, slope) in VALUES.items() if name != "pack_integral")
     dropout = "event_type = 'error' and value < 5" if position == "post_gate" else "1 = 0"
     return f"""select {SHOT}, 'U' as unit_id, 'S-{position}' as sensor_id, '{position}' as sensor_position, 1 as cavity_no, {job_of('(ts - interval 2 hours)')} as job_id,
-        row_number() over (partition by user_id % 6 order by ts, event_id) as cycle_no, {values}, case when {dropout} then null else 200.0 + 0.2 * ({v}) end as pack_integral,
-        500.0 + {v} as cycle_integral, 1.0 + 0.001 * ({v}) as cooling_rate, 1.0 - value / 600.0 as template_match_score,
+        row_number() over (partition by user_id % 2 order by ts, event_id) as cycle_no, {values}, case when {dropout} then null else 200.0 + 0.2 * ({v}) end as pack_integral,
+        500.0 + {v} as cycle_integral, 1.0 + 0.001 * ({v}) as cooling_rate, 0.5 + 0.0007 * ({v}) as fill_time_to_sensor_s, 2.0 + 0.003 * ({v}) as time_to_peak_s, 310.0 + {v} as pressure_at_transfer_bar, 1.0 - value / 600.0 as template_match_score,
         case when value > 150 then 'alarm' when value > 120 then 'warning' else 'none' end as alarm_state, case when value > 150 then 'reject' else 'pass' end as sort_signal, event_type = 'click' as curve_retained
     from {{events}}"""
 
@@ -60,24 +59,25 @@ SOURCES: dict[str, str] = {
         for k, days, shift in ((1, 0, 0.0), (2, 15, 4.0))
     ),
     "production_orders": f"""select {job_of('ts')} as job_id, 'W' || {job_of('ts')} as work_order_id, 'M' || cast(user_id % 6 as string) as mold_id, 'P' || cast(user_id % 2 as string) as press_id,
-        date_trunc('hour', min(ts)) as actual_start from {{events}} group by user_id % 6, user_id % 2, {K.format('ts')}""",
-    "first_shot_approvals": "select job_id, mold_id, press_id, actual_start + interval 2 hours as approval_ts, 'T' || cast(length(job_id) % 3 + hour(actual_start) % 2 as string) as technician_id, 5 as shots_to_approval, hour(actual_start) % 7 <> 6 as approved from {production_orders}",
+        date_trunc('hour', min(ts)) as actual_start from {{events}} group by user_id % 6, user_id % 2, {K.format('ts')}
+        union all select 'M' || cast(user_id % 6 as string) || '-idle', 'WX' || cast(user_id % 6 as string), 'M' || cast(user_id % 6 as string), 'P' || cast(user_id % 2 as string), max(ts) + interval 1 days from {{events}} group by user_id % 6, user_id % 2""",
+    "first_shot_approvals": "select job_id, mold_id, press_id, actual_start + interval 2 hours as approval_ts, 'T' || cast(length(job_id) % 3 + hour(actual_start) % 2 as string) as technician_id, 'I' as inspector_id, 5 as shots_to_approval, hour(actual_start) % 7 <> 6 as approved, 'T1' as template_id_established from {production_orders} where hour(actual_start) % 9 <> 8",
     "technicians": "select distinct technician_id, cast('2023-06-01' as date) as hire_date from {first_shot_approvals}",
     "mold_maintenance": f"select 'M' || cast(user_id % 6 as string) as mold_id, ts as event_ts, {EVENT} as event_type from {{events}} where event_type = 'error' and value > 100",
     "equipment_service": "select 'P' || cast(user_id % 2 as string) as press_id, ts as event_ts, case when value < 4 then 'check_ring' else 'mold_temperature_controller' end as equipment, case when value < 4 then 'replace' else 'service' end as event_type from {events} where event_type = 'error' and value <= 8",
     "material_loads": "select 'L' || cast(event_id as string) as load_id, 'P' || cast(user_id % 2 as string) as press_id, ts as load_ts, 'R' || cast(cast(floor(value / 10) as int) % 9 as string) as resin_lot_id, 'D' || cast(event_id % 3 as string) as dryer_id, value / 10 as regrind_pct from {events} where event_type = 'signup' and value > 60",
-    "resin_lots": "select distinct resin_lot_id as lot_id, 'G' || cast(cast(substr(resin_lot_id, 2, 1) as int) % 2 as string) as resin_id, 'S' || cast(cast(substr(resin_lot_id, 2, 1) as int) % 3 as string) as supplier_id, 10.0 + cast(substr(resin_lot_id, 2, 1) as int) as cert_melt_flow_index from {material_loads}",
+    "resin_lots": "select distinct resin_lot_id as lot_id, 'G' || cast(cast(substr(resin_lot_id, 2, 1) as int) % 2 as string) as resin_id, 'S' || cast(cast(substr(resin_lot_id, 2, 1) as int) % 3 as string) as supplier_id, 10.0 + cast(substr(resin_lot_id, 2, 1) as int) as cert_melt_flow_index, 0.1 as cert_moisture_pct from {material_loads}",
     "resin_grades": "select distinct resin_id, 9.0 as mfi_band_low, 20.0 as mfi_band_high, resin_id = 'G0' as hygroscopic, 4.0 as min_residence_h from {resin_lots}",
     "dryer_log": "select 'D' || cast(event_id % 3 as string) as dryer_id, ts, -40 + value / 20 as dew_point_c, 80 + value / 50 as actual_temp_c from {events} where event_type = 'view'",
-    "setpoint_changes": f"select cast(event_id as string) as change_id, 'P' || cast(user_id % 2 as string) as press_id, {job_of('ts')} as job_id, ts as change_ts, {PARAMETER} as parameter, 500.0 as old_value, 500.0 + floor(value / 20) as new_value, case when value > 30 then 'drift_correction' when value > 10 then 'defect_response' end as reason from {{events}} where event_type = 'purchase'",
+    "setpoint_changes": f"select cast(event_id as string) as change_id, 'P' || cast(user_id % 2 as string) as press_id, {job_of('ts')} as job_id, ts as change_ts, {PARAMETER} as parameter, case when event_id % 13 = 0 then null else 500.0 end as old_value, case when event_id % 11 = 0 then null else 500.0 + floor(value / 20) end as new_value, case when value > 30 then 'drift_correction' when value > 10 then 'defect_response' end as reason from {{events}} where event_type = 'purchase'",
     "process_sheets": "select mold_id, press_id, 50.0 as injection_velocity_mm_s, 12.0 as switchover_position_mm, 500.0 as hold_pressure_bar, 60.0 as mold_temp_c, 230.0 as melt_temp_c, 5.0 as window_hold_pressure_pct, 4.0 as window_mold_temp_c, 8.0 as window_melt_temp_c from {templates} group by mold_id, press_id",
-    "machine_shot_data": "select event_id as shot_id, 5 + value / 100 as cushion_mm, 500 + value as hold_pressure_bar, 230 + value / 20 as nozzle_actual_c, 60 + value / 50 as mold_temp_a_c, 61 + value / 40 as mold_temp_b_c from {events}",
-    "qc_audits": f"select 'A' || cast(shot_id as string) as audit_id, job_id, press_id, mold_id, audit_ts, case when value < 150 then cast(cycle_no as double) end as sampled_shot_cycle_no, value from (select {SHOT}, event_type, {job_of('ts')} as job_id, ts as audit_ts, row_number() over (partition by user_id % 6 order by ts, event_id) as cycle_no from {{events}}) as x where event_type = 'click' and value > 80",
-    "qc_audit_pieces": " union all ".join(f"select audit_id, {row} as tray_row, cast(1 + (cast(substr(audit_id, 2) as int) + {row}) % 4 as int) as cavity_id, 20 + value / 100 + {row} as part_weight_g, 10 + value / 1000 - {row} as dimension_1, case when value > 110 and {row} = 1 then 'flash;sink' when value > 100 and {row} = 2 then 'warp' end as defect_codes from {{qc_audits}}" for row in (0, 1, 2)),
-    "sort_dispositions": f"select 'V' || cast(event_id as string) as review_id, case when user_id % 2 = 0 then 'indexed_tray' else 'per_shift' end as review_mode, case when user_id % 2 = 0 then event_id end as shot_id, {job_of('ts')} as job_id, cast(ts - interval 6 hours as date) as shift_date, {SHIFT} as shift, case when value > 60 then 3 else 0 end as pieces_confirmed_defective, 4 as pieces_reviewed, case when value > 60 then 1 else 4 end as pieces_good, case when value > 90 then 'flash:1;sink:2' else 'short_shot:3' end as defect_codes from {{events}} where event_type = 'view' and value > 50",
-    "scrap_tallies": f"select {job_of('ts')} as job_id, date_trunc('hour', ts) as hour_ts, cast(1 + event_id % 4 as int) as cavity_id, {TEXTS} as defect_code, 1 + cast(floor(value) as int) as qty from {{events}} where event_type = 'click' and value < 8",
+    "machine_shot_data": "select event_id as shot_id, 5 + value / 100 as cushion_mm, 500 + value as hold_pressure_bar, 230 + value / 30 as nozzle_actual_c, 60 + value / 30 as mold_temp_a_c, 61 + value / 90 as mold_temp_b_c, 20 + value / 70 as cycle_time_s, 1 + value / 700 as fill_time_s, 4 + value / 300 as recovery_time_s, 800 + value as peak_injection_pressure_bar, 600 + value / 3 as switchover_pressure_bar from {events}",
+    "qc_audits": f"select 'A' || cast(shot_id as string) as audit_id, job_id, press_id, mold_id, audit_ts, case when value < 150 then cast(cycle_no as double) end as sampled_shot_cycle_no, value from (select {SHOT}, event_type, {job_of('ts')} as job_id, ts as audit_ts, row_number() over (partition by user_id % 2 order by ts, event_id) as cycle_no from {{events}}) as x where event_type = 'click' and value > 80",
+    "qc_audit_pieces": " union all ".join(f"select audit_id, {row} as tray_row, cast(1 + (cast(substr(audit_id, 2) as int) + {row}) % 4 as int) as cavity_id, 20 + value / 100 + {row} as part_weight_g, 10 + value / 1000 - {row} as dimension_1, case when value > 100 then 'reject' else 'pass' end as visual_result, case when value > 110 and {row} = 1 then 'flash;sink' when value > 100 and {row} = 2 then 'warp' end as defect_codes from {{qc_audits}}" for row in (0, 1, 2)),
+    "sort_dispositions": f"select 'V' || cast(event_id as string) as review_id, case when user_id % 2 = 0 then 'indexed_tray' else 'per_shift' end as review_mode, case when user_id % 2 = 0 then event_id end as shot_id, {job_of('ts')} as job_id, 'P' || cast(user_id % 2 as string) as press_id, 'M' || cast(user_id % 6 as string) as mold_id, cast(ts - interval 6 hours as date) as shift_date, {SHIFT} as shift, case when value > 60 then 3 else 0 end as pieces_confirmed_defective, 4 as pieces_reviewed, case when value > 60 then 1 else 4 end as pieces_good, case when value > 90 then 'flash:1;sink:2' else 'short_shot:3' end as defect_codes from {{events}} where event_type = 'view' and value > 50",
+    "scrap_tallies": f"select {job_of('ts')} as job_id, 'P' || cast(user_id % 2 as string) as press_id, date_trunc('hour', ts) as hour_ts, cast(1 + event_id % 4 as int) as cavity_id, {TEXTS} as defect_code, 1 + cast(floor(value) as int) as qty from {{events}} where event_type = 'click' and value < 8",
     "customer_returns": f"select case when value < 140 then {job_of('ts')} end as attributed_job_id, cast(1 + event_id % 4 as int) as attributed_cavity_id, {TEXTS} as defect_code, 1 + cast(floor(value / 50) as int) as qty from {{events}} where event_type = 'signup' and value > 110",
-    "part_attributes": "select distinct mold_id, 20.5 as nominal_weight_g, 10.0 as critical_dimension_mm, 0.05 as dimension_tolerance_mm, 0.01 as gauge_sd_weight_g, 0.002 as gauge_sd_dimension_mm, 1.25 as standard_cost from {templates}",
+    "part_attributes": "select distinct mold_id, 4 + cast(substr(mold_id, 2) as int) % 3 as cavities, 20.5 as nominal_weight_g, 10.0 as critical_dimension_mm, 0.05 as dimension_tolerance_mm, 0.01 as gauge_sd_weight_g, 0.002 as gauge_sd_dimension_mm, 1.25 as standard_cost from {templates}",
 }
 
 
@@ -95,11 +95,20 @@ def shots_of(t: dict[str, DataFrame]) -> DataFrame:
     return materialised(M.shot_jobs(M.shot_summary(sensors), t["production_orders"]), "shots")
 
 
-def context_of(t: dict[str, DataFrame], shots: DataFrame) -> DataFrame:
+def models_of(t: dict[str, DataFrame], shots: DataFrame) -> dict[str, DataFrame]:
+    """t with the models between shots and facts."""
     events = materialised(M.mold_events(t["mold_maintenance"], t["equipment_service"], shots), "mold_events")
     jobs = materialised(M.jobs(t["production_orders"], t["first_shot_approvals"], shots, t["technicians"]), "jobs")
-    t = t | {"jobs": jobs, "mold_events": events, "lot_changes": M.lot_changes(t["material_loads"])}
-    return M.shot_context(shots.select("shot_id", "press_id", "mold_id", "shot_ts", "job_id"), t)
+    t = t | {"shots": shots, "jobs": jobs, "mold_events": events, "lot_changes": M.lot_changes(t["material_loads"])}
+    t["shot_context"] = materialised(M.shot_context(shots.select("shot_id", "press_id", "mold_id", "shot_ts", "job_id"), t), "shot_context")
+    t["audit_pieces_linked"] = M.audit_pieces(t["qc_audit_pieces"], t["qc_audits"], shots)
+    head = shots.drop("press_id", "mold_id", "shot_ts", "job_id")
+    t["fact"] = M.with_pieces(t["shot_context"].join(head, "shot_id"), t["part_attributes"])
+    return t
+
+
+def context_of(t: dict[str, DataFrame], shots: DataFrame) -> DataFrame:
+    return models_of(t, shots)["shot_context"]
 
 
 def plain(sql: str) -> str:
@@ -117,53 +126,59 @@ def any_of(low: str, high: str) -> str:
 
 CODE_SQL = "case when {0} is null or trim({0}) = '' then 'other' " + " ".join(f"when regexp_matches(lower({{0}}), '{p}') then '{c}'" for p, c in M.CODES) + " else 'other' end"
 STAGED = "with " + ",\n".join(f"{name} as ({plain(sql)})" for name, sql in SOURCES.items())
+POST = ("cooling_rate", "cycle_integral", "fill_time_to_sensor_s", "time_to_peak_s")
 SHOTS = STAGED + f""",
-banded as (select s.*, {", ".join(f"{dev(v)} as {v}_dev" for v in BANDED)},
+banded as (select s.*, template_id, {", ".join(f"{dev(v)} as {v}_dev" for v in BANDED)},
     case when pack_integral is null then 0 when {any_of('alarm_low', 'alarm_high')} or template_match_score < match_score_threshold then 2 when {any_of('warning_low', 'warning_high')} then 1 else 0 end as state
     from cavity_shot_summary s asof left join templates t on s.mold_id = t.mold_id and s.press_id = t.press_id and s.sensor_id = t.sensor_id and s.shot_ts >= t.effective_from),
 summary as (select shot_id, min(press_id) as press_id, min(mold_id) as mold_id, min(shot_ts) as shot_ts, min(cycle_no) as cycle_no, min(job_id) as unit_job_id, bool_or(sort_signal = 'reject') as rejected, count(*) filter (where pack_integral is null) as n_dropouts,
     max(state) as state_code, max(alarm_state) filter (where alarm_state = 'alarm') is not null as unit_alarm, max(case alarm_state when 'alarm' then 2 when 'warning' then 1 else 0 end) as unit_code,
-    greatest({", ".join(f"coalesce(max(abs({v}_dev)), 0)" for v in BANDED)}) as max_abs_deviation, coalesce(string_agg(distinct sensor_id, ';' order by sensor_id) filter (where state = 2), '') as alarmed, count(distinct cavity_no) as active_cavities,
-    avg(fill_integral) filter (where sensor_position = 'post_gate') as fill_post, max(fill_integral) filter (where sensor_position = 'post_gate') as fill_top,
-    avg(pack_integral_dev) filter (where sensor_position = 'post_gate') as pack_dev, avg(fill_integral_dev) filter (where sensor_position = 'post_gate') as fill_dev, avg(end_of_fill_pressure_bar_dev) filter (where sensor_position = 'end_of_fill') as eof_dev
+    greatest({", ".join(f"coalesce(max(abs({v}_dev)), 0)" for v in BANDED)}) as max_abs_deviation, coalesce(string_agg(distinct sensor_id, ';' order by sensor_id) filter (where state = 2), '') as alarmed,
+    avg(fill_integral) filter (where sensor_position = 'post_gate') as fill_post, {", ".join(f"avg({v}) filter (where sensor_position = 'post_gate') as {v}_post_gate" for v in POST)},
+    avg(pack_integral_dev) filter (where sensor_position = 'post_gate') as pack_dev, avg(fill_integral_dev) filter (where sensor_position = 'post_gate') as fill_dev, avg(peak_pressure_bar_dev) filter (where sensor_position = 'post_gate') as peak_dev, avg(gate_seal_time_s_dev) filter (where sensor_position = 'post_gate') as gate_dev, avg(end_of_fill_pressure_bar_dev) filter (where sensor_position = 'end_of_fill') as eof_dev
     from banded group by shot_id),
-shots as (select s.*, o.job_id, o.work_order_id from summary s asof left join production_orders o on s.mold_id = o.mold_id and s.press_id = o.press_id and s.shot_ts >= o.actual_start)"""
+shots as (select s.*, o.job_id, o.work_order_id, s.unit_job_id <> o.job_id as stale from summary s asof left join production_orders o on s.mold_id = o.mold_id and s.press_id = o.press_id and s.shot_ts >= o.actual_start)"""
 JOBS = SHOTS + """,
 run as (select job_id, min(shot_ts) as first_shot_ts, max(shot_ts) as last_shot_ts, count(*) as n_shots from shots group by 1),
-approved_jobs as (select a.*, count(job_id) over (partition by mold_id, technician_id order by approval_ts, job_id rows between unbounded preceding and 1 preceding) as prior_runs, datediff('day', hire_date, approval_ts) as tenure_days from first_shot_approvals a left join technicians using (technician_id) where approved),
-jobs as (select o.job_id, o.mold_id, o.press_id, first_shot_ts, last_shot_ts, n_shots, approval_ts, technician_id, prior_runs, tenure_days, last_shot_ts + interval 21 day <= timestamp '2026-04-30' as matured from production_orders o join run using (job_id) left join approved_jobs a using (job_id))"""
-CONTEXT = JOBS + """,
-counted as (select *, row_number() over (partition by mold_id order by shot_ts, shot_id) as mold_counter, row_number() over (partition by press_id order by shot_ts, shot_id) as press_counter from shots),
-molds as (select m.mold_id, m.event_ts, m.event_type, c.mold_counter as at_event from mold_maintenance m asof left join counted c on m.mold_id = c.mold_id and m.event_ts >= c.shot_ts),
-services as (select m.press_id, m.event_ts, equipment || '_' || event_type as event_type, c.press_counter as at_event from equipment_service m asof left join counted c on m.press_id = c.press_id and m.event_ts >= c.shot_ts),
-loads as (select *, min(load_ts) over (partition by press_id, resin_lot_id) as first_load_ts, lag(resin_lot_id) over (partition by press_id order by load_ts, load_id) as lot_before from material_loads),
-lot_changes as (select press_id, load_ts as change_ts from loads where lot_before is not null and lot_before <> resin_lot_id),
-corrections as (select press_id, change_ts from setpoint_changes where reason in ('drift_correction', 'defect_response') and old_value is distinct from new_value)"""
+jobs as (select o.job_id, o.mold_id, o.press_id, first_shot_ts, last_shot_ts, n_shots, approval_ts, technician_id, datediff('day', hire_date, approval_ts) as tenure_days, last_shot_ts + interval 21 day <= timestamp '2026-04-30' as matured,
+    count(*) over (partition by o.mold_id, technician_id order by approval_ts nulls last, o.job_id rows between unbounded preceding and 1 preceding) as prior_runs
+    from production_orders o left join first_shot_approvals a using (job_id) left join run using (job_id) left join technicians using (technician_id))"""
 EVENTS = {"vent_cleaning": "v", "hot_runner_tip": "h", "PM": "p", "cavity_block": "b", "cavity_unblock": "u", "sensor_recalibration": "r"}
+CONTEXT = JOBS + f""",
+counted as (select s.*, approval_ts, shot_ts >= approval_ts as after_approval, row_number() over (partition by s.mold_id order by shot_ts, shot_id) as mold_counter, row_number() over (partition by s.press_id order by shot_ts, shot_id) as press_counter,
+    row_number() over (partition by job_id, shot_ts >= approval_ts order by shot_ts, shot_id) as up, row_number() over (partition by job_id, shot_ts >= approval_ts order by shot_ts desc, shot_id desc) as down from shots s left join (select job_id, approval_ts from first_shot_approvals) using (job_id)),
+molds as (select m.mold_id, m.event_ts, m.event_type, coalesce(c.mold_counter, 0) as at_event from mold_maintenance m asof left join counted c on m.mold_id = c.mold_id and m.event_ts >= c.shot_ts),
+services as (select m.press_id, m.event_ts, equipment || '_' || event_type as event_type, coalesce(c.press_counter, 0) as at_event from equipment_service m asof left join counted c on m.press_id = c.press_id and m.event_ts >= c.shot_ts),
+loads as (select *, min(load_ts) over (partition by press_id, resin_lot_id) as first_load_ts, lag(resin_lot_id) over (partition by press_id order by load_ts, load_id) as lot_before from material_loads),
+lot_changes as (select press_id, load_ts as change_ts from loads where lot_before is distinct from resin_lot_id),
+corrections as (select press_id, change_ts from setpoint_changes where reason in ('drift_correction', 'defect_response') and old_value <> new_value),
+by_mold as (select c.shot_id, {", ".join(f"c.mold_counter - {a}.at_event as shots_since_{e}, datediff('day', {a}.event_ts, c.shot_ts) as days_since_{e}" for e, a in EVENTS.items())} from counted c {" ".join(f"asof left join (select * from molds where event_type = '{e}') {a} on c.mold_id = {a}.mold_id and c.shot_ts >= {a}.event_ts" for e, a in EVENTS.items())}),
+blocks as (select shot_id, coalesce(shots_since_cavity_block is not null and (shots_since_cavity_unblock is null or shots_since_cavity_block < shots_since_cavity_unblock), false) as cavity_blocked from by_mold),
+after as (select c.*, case when after_approval then up - 1 else -down end as shots_after_approval, cavities - cavity_blocked::int as active_cavities from counted c join blocks using (shot_id) left join part_attributes using (mold_id))"""
 PRESS = CONTEXT + """,
-by_press as (select c.shot_id, c.press_id, c.mold_id, c.job_id, c.shot_ts, l.resin_lot_id, l.dryer_id, l.regrind_pct, datediff('minute', l.first_load_ts, c.shot_ts) / 60.0 as residence_h, c.press_counter - k.at_event as shots_since_check_ring, (epoch_us(c.shot_ts) - epoch_us(k.event_ts)) / 86400e6 as ring_days, x.change_ts as lot_change_at, datediff('hour', x.change_ts, c.shot_ts) as hours_since_lot_change, d.change_ts as correction_at
+by_press as (select c.shot_id, c.press_id, c.mold_id, c.job_id, c.shot_ts, l.resin_lot_id, l.dryer_id, l.regrind_pct, datediff('minute', l.first_load_ts, c.shot_ts) / 60.0 as residence_h, c.press_counter - k.at_event as shots_since_check_ring, datediff('hour', k.event_ts, c.shot_ts) / 24.0 as ring_days, datediff('hour', q.event_ts, c.shot_ts) / 24.0 as controller_days, x.change_ts as lot_change_at, datediff('hour', x.change_ts, c.shot_ts) as hours_since_lot_change, d.change_ts as correction_at
     from counted c
     asof left join loads l on c.press_id = l.press_id and c.shot_ts >= l.load_ts
     asof left join (select * from services where event_type = 'check_ring_replace') k on c.press_id = k.press_id and c.shot_ts >= k.event_ts
+    asof left join (select * from services where event_type = 'mold_temperature_controller_service') q on c.press_id = q.press_id and c.shot_ts >= q.event_ts
     asof left join lot_changes x on c.press_id = x.press_id and c.shot_ts >= x.change_ts
     asof left join corrections d on c.press_id = d.press_id and c.shot_ts >= d.change_ts)"""
-DEFECTS = JOBS + f""",
-linked as (select a.audit_id, tray_row, cavity_id, part_weight_g, defect_codes, a.job_id, a.press_id, a.mold_id, s.shot_id, date_trunc('hour', coalesce(s.shot_ts, audit_ts)) as hour_ts
-    from qc_audit_pieces p join qc_audits a using (audit_id) left join shots s on s.job_id = a.job_id and s.cycle_no = (a.sampled_shot_cycle_no + tray_row)::bigint),
-after as (select s.*, s.shot_ts >= j.approval_ts as after_approval from shots s left join jobs j using (job_id)),
-codes as (select review_mode, shot_id, job_id, shift_date, shift, split_part(c, ':', 1) as code, split_part(c, ':', 2)::double as qty from (select *, unnest(string_split(defect_codes, ';')) as c from sort_dispositions where pieces_confirmed_defective > 0)),
+DEFECTS = CONTEXT + """,
+linked as (select a.audit_id, tray_row, cavity_id, part_weight_g, visual_result, defect_codes, a.job_id, a.press_id, a.mold_id, s.shot_id, date_trunc('hour', coalesce(s.shot_ts, audit_ts)) as hour_ts
+    from qc_audit_pieces p join qc_audits a using (audit_id) left join shots s on s.press_id = a.press_id and s.cycle_no = a.sampled_shot_cycle_no + tray_row),
+codes as (select review_mode, shot_id, job_id, press_id, mold_id, shift_date, shift, split_part(c, ':', 1) as code, split_part(c, ':', 2)::double as qty from (select *, unnest(string_split(defect_codes, ';')) as c from sort_dispositions where pieces_confirmed_defective > 0)),
 sorted_hours as (select job_id, (shot_ts - interval 6 hour)::date as shift_date, case when hour(shot_ts) >= 6 and hour(shot_ts) < 14 then 'A' when hour(shot_ts) >= 14 and hour(shot_ts) < 22 then 'B' else 'C' end as shift, date_trunc('hour', shot_ts) as hour_ts, count(*) as n from after where rejected and after_approval group by all),
 hour_share as (select *, n / sum(n) over (partition by job_id, shift_date, shift) as share from sorted_hours),
 defects as (
-    select 'sort' as source, c.job_id, date_trunc('hour', s.shot_ts) as hour_ts, c.shot_id, null::integer as cavity_id, c.code, c.qty from codes c join shots s using (shot_id) where review_mode = 'indexed_tray'
-    union all select 'sort', c.job_id, h.hour_ts, null, null, c.code, c.qty * h.share from codes c join hour_share h using (job_id, shift_date, shift) where review_mode = 'per_shift'
-    union all select 'audit', job_id, hour_ts, shot_id, cavity_id, code, 1.0 from (select *, unnest(string_split(defect_codes, ';')) as code from linked where defect_codes is not null)
-    union all select 'tally', job_id, hour_ts, null, cavity_id, {CODE_SQL.format('defect_code')}, qty from scrap_tallies
-    union all select 'return', attributed_job_id, null, null, attributed_cavity_id, {CODE_SQL.format('defect_code')}, qty from customer_returns),
+    select 'sort' as source, c.job_id, c.press_id, c.mold_id, date_trunc('hour', s.shot_ts) as hour_ts, c.shot_id, null::integer as cavity_id, c.code, c.qty from codes c join shots s using (shot_id) where review_mode = 'indexed_tray'
+    union all select 'sort', c.job_id, c.press_id, c.mold_id, h.hour_ts, null, null, c.code, c.qty * h.share from codes c join hour_share h using (job_id, shift_date, shift) where review_mode = 'per_shift'
+    union all select 'audit', job_id, press_id, mold_id, hour_ts, shot_id, cavity_id, defect_codes, 1.0 from linked where defect_codes is not null
+    union all select 'tally', t.job_id, t.press_id, j.mold_id, hour_ts, null, cavity_id, defect_code, qty from scrap_tallies t left join jobs j using (job_id)
+    union all select 'return', attributed_job_id, j.press_id, j.mold_id, null, null, attributed_cavity_id, defect_code, qty from customer_returns r left join jobs j on j.job_id = r.attributed_job_id),
 sums as (select job_id, hour_ts, sum(qty) filter (where source = 'sort') as s, sum(qty) filter (where source = 'audit') as a, sum(qty) filter (where source = 'tally') as t, sum(qty) filter (where source = 'return') as r, sum(qty) filter (where source <> 'return') as total from defects group by 1, 2)"""
 
 
-@BOUND(SHOTS + "select shot_id, job_id, work_order_id, unit_job_id is distinct from job_id as unit_job_stale, ['none', 'warning', 'alarm'][state_code + 1] as state, ['none', 'warning', 'alarm'][unit_code + 1] as unit_alarm_state, alarmed, round(max_abs_deviation, 6) as max_abs_deviation, n_dropouts, rejected, round(fill_post, 6) as fill_integral_post_gate, round(pack_dev, 6) as pack_dev from shots")
+@BOUND(SHOTS + "select shot_id, job_id, work_order_id, stale as unit_job_stale, ['none', 'warning', 'alarm'][state_code + 1] as state, ['none', 'warning', 'alarm'][unit_code + 1] as unit_alarm_state, alarmed, round(max_abs_deviation, 6) as max_abs_deviation, n_dropouts, rejected, round(fill_post, 6) as fill_integral_post_gate, round(pack_dev, 6) as pack_dev from shots")
 def molding_shots(spark, d):
     x = shots_of(sources(spark, d))
     return x.select("shot_id", "job_id", "work_order_id", "unit_job_stale", "state", "unit_alarm_state", "alarmed", r6("max_abs_deviation"), "n_dropouts", "rejected", r6("fill_integral_post_gate"), r6("pack_integral_dev_post_gate", "pack_dev"))
@@ -183,29 +198,23 @@ def molding_event_counters(spark, d):
     return x.select("source", "mold_id", "press_id", "event_ts", "event_type", F.col("counter_at_event").cast("long").alias("counter_at_event"))
 
 
-@BOUND(
-    CONTEXT
-    + " select c.shot_id, "
-    + ", ".join(f"c.mold_counter - {a}.at_event as shots_since_{e}, datediff('day', {a}.event_ts, c.shot_ts) as days_since_{e}" for e, a in EVENTS.items())
-    + ", coalesce(b.event_ts is not null and (u.event_ts is null or u.event_ts < b.event_ts), false) as cavity_blocked from counted c"
-    + "".join(f" asof left join (select * from molds where event_type = '{e}') {a} on c.mold_id = {a}.mold_id and c.shot_ts >= {a}.event_ts" for e, a in EVENTS.items())
-)
+@BOUND(CONTEXT + " select m.*, cavity_blocked, active_cavities::bigint as active_cavities from by_mold m join blocks using (shot_id) join (select shot_id, active_cavities from after) using (shot_id)")
 def molding_mold_context(spark, d):
     t = sources(spark, d)
-    x = context_of(t, shots_of(t))
-    return x.select("shot_id", *[F.col(c).cast("long").alias(c) for e in EVENTS for c in (f"shots_since_{e}", f"days_since_{e}")], F.coalesce("cavity_blocked", F.lit(False)).alias("cavity_blocked"))
+    x = models_of(t, shots_of(t))["fact"]
+    return x.select("shot_id", *[F.col(c).cast("long").alias(c) for e in EVENTS for c in (f"shots_since_{e}", f"days_since_{e}")], "cavity_blocked", F.col("active_cavities").cast("long").alias("active_cavities"))
 
 
 @BOUND(
     PRESS
-    + """ select p.shot_id, p.resin_lot_id, p.dryer_id, round(regrind_pct, 6) as regrind_pct, round(residence_h, 6) as residence_h, shots_since_check_ring, round(ring_days, 6) as ring_days, hours_since_lot_change, correction_at, round(w.dew_point_c, 6) as dryer_dew_point_c, round(w.actual_temp_c, 6) as dryer_actual_temp_c,
-    supplier_id, round((cert_melt_flow_index - mfi_band_low) / nullif(mfi_band_high - mfi_band_low, 0), 6) as cert_position, coalesce(hygroscopic, false) and residence_h < min_residence_h as below_min_residence
+    + """ select p.shot_id, p.resin_lot_id, p.dryer_id, round(regrind_pct, 6) as regrind_pct, round(residence_h, 6) as residence_h, shots_since_check_ring, round(ring_days, 6) as ring_days, round(controller_days, 6) as controller_days, hours_since_lot_change, correction_at, round(w.dew_point_c, 6) as dryer_dew_point_c, round(w.actual_temp_c, 6) as dryer_actual_temp_c,
+    supplier_id, round((cert_melt_flow_index - mfi_band_low) / nullif(mfi_band_high - mfi_band_low, 0), 6) as cert_position, hygroscopic and residence_h < min_residence_h as below_min_residence
     from by_press p asof left join dryer_log w on p.dryer_id = w.dryer_id and p.shot_ts >= w.ts left join resin_lots l on p.resin_lot_id = l.lot_id left join resin_grades using (resin_id)"""
 )
 def molding_material_context(spark, d):
     t = sources(spark, d)
     x = context_of(t, shots_of(t))
-    return x.select("shot_id", "resin_lot_id", "dryer_id", *[r6(c) for c in ("regrind_pct", "residence_h")], F.col("shots_since_check_ring").cast("long").alias("shots_since_check_ring"), r6("ring_days"), "hours_since_lot_change", "correction_at", *[r6(c) for c in ("dryer_dew_point_c", "dryer_actual_temp_c")], "supplier_id", r6("cert_position"), "below_min_residence")
+    return x.select("shot_id", "resin_lot_id", "dryer_id", *[r6(c) for c in ("regrind_pct", "residence_h")], F.col("shots_since_check_ring").cast("long").alias("shots_since_check_ring"), r6("ring_days"), r6("controller_days"), "hours_since_lot_change", "correction_at", *[r6(c) for c in ("dryer_dew_point_c", "dryer_actual_temp_c")], "supplier_id", r6("cert_position"), "below_min_residence")
 
 
 @BOUND(
@@ -214,10 +223,10 @@ def molding_material_context(spark, d):
     + ", ".join(f"round(coalesce({a}.new_value, s.{p}) - s.{p}, 6) as delta_{p}" for p, a in zip(M.PARAMETERS, ("q1", "q2", "q3", "q4", "q5"), strict=True))
     + """, round((cushion_mm - 5.0) / 1.5, 6) as cushion_position, round((m.hold_pressure_bar / nullif(s.hold_pressure_bar, 0) - 1) * 100 / nullif(window_hold_pressure_pct, 0), 6) as hold_position,
     round((nozzle_actual_c - s.melt_temp_c) / nullif(window_melt_temp_c, 0), 6) as melt_position, round(((mold_temp_a_c + mold_temp_b_c) / 2 - s.mold_temp_c) / nullif(window_mold_temp_c, 0), 6) as mold_position, round(mold_temp_b_c - mold_temp_a_c, 6) as mold_half_difference,
-    c.shot_ts >= j.approval_ts as after_approval, case when c.shot_ts >= j.approval_ts then row_number() over (partition by c.job_id, c.shot_ts >= j.approval_ts order by c.shot_ts, c.shot_id) - 1 else -row_number() over (partition by c.job_id, c.shot_ts >= j.approval_ts order by c.shot_ts desc, c.shot_id desc) end as shots_after_approval,
+    c.after_approval, case when c.after_approval then up - 1 else -down end as shots_after_approval,
     round(sin(2 * pi() * dayofyear(c.shot_ts) / 365.25), 6) as season_sin, round(cos(2 * pi() * dayofyear(c.shot_ts) / 365.25), 6) as season_cos from counted c"""
-    + "".join(f" asof left join (select * from setpoint_changes where parameter = '{p}') {a} on c.job_id = {a}.job_id and c.shot_ts >= {a}.change_ts" for p, a in zip(M.PARAMETERS, ("q1", "q2", "q3", "q4", "q5"), strict=True))
-    + " left join process_sheets s on c.mold_id = s.mold_id and c.press_id = s.press_id left join machine_shot_data m on c.shot_id = m.shot_id left join jobs j on c.job_id = j.job_id"
+    + "".join(f" asof left join (select * from setpoint_changes where parameter = '{p}' and new_value is not null) {a} on c.job_id = {a}.job_id and c.shot_ts >= {a}.change_ts" for p, a in zip(M.PARAMETERS, ("q1", "q2", "q3", "q4", "q5"), strict=True))
+    + " left join process_sheets s on c.mold_id = s.mold_id and c.press_id = s.press_id left join machine_shot_data m on c.shot_id = m.shot_id"
 )
 def molding_process_context(spark, d):
     t = sources(spark, d)
@@ -233,32 +242,24 @@ def molding_audit_pieces(spark, d):
     return x.select("audit_id", "tray_row", "cavity_id", "job_id", "shot_id", "hour_ts")
 
 
-def with_approval(t: dict[str, DataFrame], shots: DataFrame) -> DataFrame:
-    jobs = M.jobs(t["production_orders"], t["first_shot_approvals"], shots, t["technicians"])
-    return shots.join(jobs.select("job_id", "approval_ts"), "job_id", "left").withColumn("after_approval", F.col("shot_ts") >= F.col("approval_ts"))
-
-
-def defects_of(t: dict[str, DataFrame], shots: DataFrame) -> DataFrame:
-    return M.confirmed_defects(t | {"audit_pieces_linked": M.audit_pieces(t["qc_audit_pieces"], t["qc_audits"], shots)}, with_approval(t, shots))
-
-
-@BOUND(DEFECTS + "select source, job_id, hour_ts, shot_id, cavity_id, code, round(qty, 6) as qty from defects")
+@BOUND(DEFECTS + "select source, job_id, press_id, mold_id, hour_ts, shot_id, cavity_id, code, round(qty, 6) as qty from defects")
 def molding_confirmed_defects(spark, d):
     t = sources(spark, d)
-    return defects_of(t, shots_of(t)).withColumn("qty", r6("qty"))
+    t = models_of(t, shots_of(t))
+    return M.confirmed_defects(t, t["fact"]).withColumn("qty", r6("qty"))
 
 
 @BOUND(
     DEFECTS
-    + """, s as (select job_id, count(*) as shots, sum(active_cavities) filter (where after_approval)::bigint as pieces, count(*) filter (where after_approval and rejected) as sorted_shots, count(*) filter (where after_approval and unit_alarm) as alarm_shots, avg((unit_code = state_code)::int) filter (where after_approval) as unit_state_agreement, avg((unit_job_id is distinct from job_id)::int) as unit_job_stale_share from after group by 1),
+    + """, s as (select job_id, count(*) as shots, sum(active_cavities) filter (where after_approval)::bigint as pieces, count(*) filter (where after_approval and rejected) as sorted_shots, count(*) filter (where after_approval and unit_alarm) as alarm_shots, avg((unit_code = state_code)::int) filter (where after_approval) as unit_state_agreement, avg(stale::int) as unit_job_stale_share from after group by 1),
 q as (select job_id, sum(s) as s, sum(a) as a, sum(t) as t, sum(r) as r from sums group by 1)
 select j.job_id, j.technician_id, j.matured, s.shots, pieces, sorted_shots, alarm_shots, round(unit_state_agreement, 6) as unit_state_agreement, round(unit_job_stale_share, 6) as unit_job_stale_share, round(coalesce(q.s, 0), 6) as confirmed_sort, round(coalesce(q.a, 0), 6) as confirmed_audit, round(coalesce(q.t, 0), 6) as confirmed_tally, round(coalesce(q.r, 0), 6) as returned
 from jobs j left join s using (job_id) left join q using (job_id)"""
 )
 def molding_job_fact(spark, d):
     t = sources(spark, d)
-    shots = shots_of(t)
-    x = M.job_fact(M.jobs(t["production_orders"], t["first_shot_approvals"], shots, t["technicians"]), with_approval(t, shots), defects_of(t, shots))
+    t = models_of(t, shots_of(t))
+    x = M.job_fact(t["jobs"], t["fact"], M.confirmed_defects(t, t["fact"]))
     return x.select("job_id", "technician_id", "matured", "shots", "pieces", "sorted_shots", "alarm_shots", *[r6(c) for c in ("unit_state_agreement", "unit_job_stale_share", "confirmed_sort", "confirmed_audit", "confirmed_tally", "returned")])
 
 
@@ -270,8 +271,8 @@ from s left join sums q on s.job_id = q.job_id and s.hour_ts = q.hour_ts"""
 )
 def molding_job_hour_fact(spark, d):
     t = sources(spark, d)
-    shots = shots_of(t)
-    x = M.job_hour_fact(with_approval(t, shots), defects_of(t, shots))
+    t = models_of(t, shots_of(t))
+    x = M.job_hour_fact(t["fact"], M.confirmed_defects(t, t["fact"]))
     return x.select("job_id", "press_id", "mold_id", "hour_ts", "shots", "pieces", "production_shots", "unit_alarm_shots", "sorted_shots", *[r6(c) for c in ("mean_pack_dev", "mean_fill_dev", "mean_eof_dev", "confirmed_sort", "confirmed_audit", "confirmed_tally", "confirmed_total")])
 
 
@@ -287,17 +288,53 @@ def molding_audit_fact(spark, d):
     return x.select("audit_id", "tray_row", F.col("cavity_key").cast("long").alias("cavity_key"), "linked_to_shot", r6(F.col("part_weight_g") / F.col("nominal_weight_g") - 1, "weight_off"), r6("fill_integral_post_gate"))
 
 
-@BOUND(SHOTS + """, b as (select job_id, median(fill_post) as m from (select *, row_number() over (partition by job_id order by shot_ts, shot_id) as no from shots) where no <= 500 group by 1) select shot_id, round(fill_post / nullif(m, 0) - 1, 6) as fill_rel from shots left join b using (job_id)""")
+@BOUND(
+    CONTEXT
+    + f""", x as (select * from after left join machine_shot_data using (shot_id)), b as (select job_id, {", ".join(f"median({c}) as m_{k}" for k, c in M.RELATIVE.items())} from x where after_approval and shots_after_approval < 500 group by 1)
+select shot_id, {", ".join(f"round({c} / nullif(m_{k}, 0) - 1, 6) as {k}" for k, c in M.RELATIVE.items())} from x left join b using (job_id)"""
+)
 def molding_relative(spark, d):
-    x = shots_of(sources(spark, d))
-    x = L.relative_to_baseline(x, ["job_id"], ["shot_ts", "shot_id"], ["fill_integral_post_gate"])
-    return x.select("shot_id", r6("fill_integral_post_gate_rel", "fill_rel"))
+    t = sources(spark, d)
+    return M.relative_values(models_of(t, shots_of(t))["fact"]).select("shot_id", *[r6(c) for c in M.RELATIVE])
+
+
+@BOUND(
+    PRESS
+    + """, c as (select a.shot_id, a.job_id, a.press_id, a.mold_id, a.shot_ts, p.resin_lot_id, p.lot_change_at, a.fill_dev, a.peak_dev from after a join by_press p using (shot_id) where a.after_approval),
+firsts as (select job_id, min(shot_ts) as first_ts from c group by 1),
+changes as (select job_id, lot_change_at, min(resin_lot_id) as resin_lot_id from c join firsts using (job_id) where lot_change_at > first_ts group by 1, 2),
+w as (select g.job_id, g.lot_change_at, g.resin_lot_id, c.shot_ts >= g.lot_change_at as later, c.shot_id, c.press_id, c.mold_id, c.shot_ts, fill_dev, peak_dev,
+    row_number() over (partition by g.job_id, g.lot_change_at, c.shot_ts >= g.lot_change_at order by abs(epoch_us(c.shot_ts) - epoch_us(g.lot_change_at)), case when c.shot_ts >= g.lot_change_at then c.shot_id else -c.shot_id end) as k from changes g join c on c.job_id = g.job_id),
+agg as (select job_id, lot_change_at, min(resin_lot_id) as resin_lot_id, min(press_id) as press_id, min(mold_id) as mold_id, min(case when later and k = 1 then shot_id end) as shot_id, min(case when later and k = 1 then shot_ts end) as shot_ts,
+    avg(case when later then fill_dev end) - avg(case when not later then fill_dev end) as fill_step, avg(case when later then peak_dev end) - avg(case when not later then peak_dev end) as peak_step, stddev_samp(fill_dev) as fill_sd, count(*) filter (where later) as n_after, count(*) filter (where not later) as n_before from w where k <= 200 group by 1, 2)
+select job_id, lot_change_at, resin_lot_id, press_id, mold_id, shot_id, shot_ts, round(fill_step, 6) as fill_step, round(peak_step, 6) as peak_step, n_after, n_before, round(fill_step / nullif(fill_sd * sqrt(8.0 * (1.0 / n_after + 1.0 / n_before)), 0), 6) as step_t from agg where n_after >= 8 and n_before >= 8"""
+)
+def molding_lot_steps(spark, d):
+    """Steps at lot changes within a job; 8 shots on each side are enough here, as a derived job has few."""
+    t = sources(spark, d)
+    t = models_of(t, shots_of(t))
+    x = M.lot_step_tests(t["shots"], t["shot_context"], least=8)
+    return x.select("job_id", "lot_change_at", "resin_lot_id", "press_id", "mold_id", "shot_id", "shot_ts", r6("fill_step"), r6("peak_step"), "n_after", "n_before", r6("step_t"))
+
+
+@BOUND(
+    DEFECTS
+    + """, r as (select shot_id, pieces_reviewed, pieces_confirmed_defective, array_to_string(list_transform(string_split(defect_codes, ';'), lambda c: split_part(c, ':', 1)), ';') as sort_defect_codes from sort_dispositions where review_mode = 'indexed_tray'),
+g as (select shot_id, count(*) as audit_pieces, count(*) filter (where visual_result = 'reject') as audit_rejects, string_agg(defect_codes, ';' order by defect_codes) filter (where defect_codes is not null) as audit_defect_codes from linked where shot_id is not null group by 1)
+select shot_id, pieces_reviewed, pieces_confirmed_defective, sort_defect_codes, audit_pieces, audit_rejects, audit_defect_codes from shots left join r using (shot_id) left join g using (shot_id)"""
+)
+def molding_shot_labels(spark, d):
+    """The labels that link to a shot: its tray review and its gauged pieces."""
+    t = sources(spark, d)
+    shots = shots_of(t)
+    reviews, gauged = M.shot_labels(t["sort_dispositions"], M.audit_pieces(t["qc_audit_pieces"], t["qc_audits"], shots))
+    return shots.select("shot_id").join(reviews, "shot_id", "left").join(gauged, "shot_id", "left")
 
 
 @BOUND("select event_id, " + CODE_SQL.format(TEXTS) + " as code from events")
 def molding_defect_codes(spark, d):
     """Free texts in the variants that shops write, as codes."""
-    text = F.expr(TEXTS.replace("split_part", "split_part"))
+    text = F.expr(TEXTS)
     return table(spark, d, "events").select("event_id", S.normalized_code(text, M.CODES).alias("code"))
 
 

@@ -43,6 +43,23 @@ CODES = [
 ]
 DETECTORS = ("ewma_pack", "ewma_fill", "cusum_eof", "cusum_gate_seal", "cusum_pack_var")
 CAVITIES_A_CELL = 32
+#: Chart metrics; values taken relative to a job's start, with the shot column each comes from; the machine's own values.
+CHARTED = ("fill_integral", "pack_integral", "cycle_integral", "end_of_fill_pressure_bar", "gate_seal_time_s")
+RELATIVE = {
+    "pg_fill_time_to_sensor_rel": "fill_time_to_sensor_s_post_gate",
+    "pg_time_to_peak_rel": "time_to_peak_s_post_gate",
+    "pg_cooling_rate_rel": "cooling_rate_post_gate",
+    "pg_cycle_integral_rel": "cycle_integral_post_gate",
+    "fill_time_rel": "fill_time_s",
+    "recovery_time_rel": "recovery_time_s",
+    "peak_injection_pressure_rel": "peak_injection_pressure_bar",
+    "switchover_pressure_rel": "switchover_pressure_bar",
+    "cycle_time_rel": "cycle_time_s",
+}
+MACHINE = ("cycle_time_s", "fill_time_s", "switchover_position_mm", "switchover_pressure_bar", "peak_injection_pressure_bar", "cushion_mm", "hold_pressure_bar", "recovery_time_s", "back_pressure_bar", "screw_rpm", "barrel_zone_3_actual_c", "nozzle_actual_c", "mold_temp_a_c", "mold_temp_b_c", "clamp_tonnage", "press_alarm_code")
+RULE_LABELS = {"we1": "WE1", "we2": "WE2", "we4": "WE4", "we5": "WE5", "mr_rule": "MR"}
+#: Presses and moulds see years of shots: their logs and counters are worked on by this bucket of time.
+BUCKET = "day"
 
 
 def banded_sensors(sensors: DataFrame, templates: DataFrame) -> DataFrame:
@@ -61,113 +78,169 @@ def banded_sensors(sensors: DataFrame, templates: DataFrame) -> DataFrame:
 def shot_summary(sensors: DataFrame) -> DataFrame:
     """One row per shot from its sensor rows."""
     places = ("post_gate", "end_of_fill")
-    values = {f"{v}_{p}": (v, f"sensor_position = '{p}'") for v in (*BANDED, "cooling_rate") for p in places}
+    plain = ("cooling_rate", "cycle_integral", "fill_time_to_sensor_s", "time_to_peak_s", "pressure_at_transfer_bar")
+    values = {f"{v}_{p}": (v, f"sensor_position = '{p}'") for v in (*BANDED, *plain) for p in places}
     values |= {f"{v}_dev_{p}": (f"{v}_dev", f"sensor_position = '{p}'") for v in BANDED for p in places}
     x = D.rolled_up(sensors, ["shot_id"], "recomputed_state", [f"{v}_dev" for v in BANDED], "sensor_id", values)
-    head = sensors.groupBy("shot_id").agg(*[F.min(c).alias(c) for c in ("press_id", "mold_id", "shot_ts", "cycle_no")], F.min("job_id").alias("unit_job_id"), F.bool_or(F.col("sort_signal") == "reject").alias("rejected"), F.bool_or("curve_retained").alias("curve_retained"), F.min("template_match_score").alias("match_score"), F.count_if(F.col("pack_integral").isNull()).alias("n_dropouts"), F.count_distinct("cavity_no").alias("active_cavities"), D.state_label(F.max(D.state_code(F.col("alarm_state")))).alias("unit_alarm_state"))
+    head = sensors.groupBy("shot_id").agg(*[F.min(c).alias(c) for c in ("press_id", "mold_id", "shot_ts", "cycle_no", "template_id")], F.min("job_id").alias("unit_job_id"), F.bool_or(F.col("sort_signal") == "reject").alias("rejected"), F.bool_or("curve_retained").alias("curve_retained"), F.min("template_match_score").alias("match_score"), F.count_if(F.col("pack_integral").isNull()).alias("n_dropouts"), D.state_label(F.max(D.state_code(F.col("alarm_state")))).alias("unit_alarm_state"))
     return head.join(x, "shot_id")
 
 
 def shot_jobs(shots: DataFrame, orders: DataFrame) -> DataFrame:
-    """Shots with the job that the latest order of their press and mould gives, and whether the unit's own field is stale."""
+    """Shots with the job that the latest order of their press and mould gives, and whether the unit's own field differs.
+
+    Where either job is not known, unit_job_stale is null.
+    """
     o = orders.where("actual_start is not null").select("press_id", "mold_id", "actual_start", "job_id", "work_order_id")
-    x = A.asof_join(shots, o, ["press_id", "mold_id"], "shot_ts", "actual_start", ["job_id", "work_order_id"], tie="job_id", bucket="day").drop("at")
-    return x.withColumn("unit_job_stale", ~F.col("unit_job_id").eqNullSafe(F.col("job_id")))
+    x = A.asof_join(shots, o, ["press_id", "mold_id"], "shot_ts", "actual_start", ["job_id", "work_order_id"], tie="job_id", bucket=BUCKET).drop("at")
+    return x.withColumn("unit_job_stale", F.col("unit_job_id") != F.col("job_id"))
+
+
+def cell_orders(orders: DataFrame, presses: list[str] | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """Orders of the instrumented cell: of the given presses, and of moulds whose part is known."""
+    x = orders if presses is None else orders.where(F.col("press_id").isin(presses))
+    return x if parts is None else x.join(parts.select("mold_id").distinct(), "mold_id", "left_semi")
 
 
 def jobs(orders: DataFrame, approvals: DataFrame, shots: DataFrame, technicians: DataFrame) -> DataFrame:
-    """Job header: order, approval, run window, maturity, the technician's earlier approvals on the mould and tenure."""
-    a = approvals.where("approved").select("job_id", F.col("mold_id").alias("_mold"), "approval_ts", "technician_id", "shots_to_approval")
-    before = Window.partitionBy("_mold", "technician_id").orderBy("approval_ts", "job_id").rowsBetween(W.START, -1)
-    a = a.withColumn("prior_runs", F.count("job_id").over(before)).join(technicians.select("technician_id", "hire_date"), "technician_id", "left")
-    a = a.withColumn("tenure_days", S.boundaries("day", F.col("hire_date").cast("timestamp_ntz"), F.col("approval_ts"))).drop("_mold", "hire_date")
+    """Job header: order, approval, run window, maturity, the technician's earlier approvals on the mould and tenure.
+
+    Every order has a row, also one without shots or approval. Earlier approvals count orders of the same mould and
+    technician, those without a time last.
+    """
     run = shots.groupBy("job_id").agg(F.min("shot_ts").alias("first_shot_ts"), F.max("shot_ts").alias("last_shot_ts"), F.count(F.lit(1)).alias("n_shots"))
-    x = orders.join(run, "job_id").join(a, "job_id", "left")
+    a = approvals.select("job_id", "approval_ts", "technician_id", "inspector_id", "shots_to_approval", "approved", "template_id_established")
+    x = orders.join(a, "job_id", "left").join(run, "job_id", "left").join(technicians.select("technician_id", "hire_date"), "technician_id", "left")
+    before = Window.partitionBy("mold_id", "technician_id").orderBy(F.col("approval_ts").asc_nulls_last(), "job_id").rowsBetween(W.START, -1)
     matures = F.col("last_shot_ts") + F.make_dt_interval(days=F.lit(MATURITY_DAYS))
-    return x.withColumns({"matures_on": matures, "matured": matures <= F.lit(SNAPSHOT).cast("timestamp_ntz")})
+    return x.withColumns({
+        "prior_runs": F.count(F.lit(1)).over(before),
+        "tenure_days": S.boundaries("day", F.col("hire_date").cast("timestamp_ntz"), F.col("approval_ts")),
+        "matures_on": matures,
+        "matured": matures <= F.lit(SNAPSHOT).cast("timestamp_ntz"),
+    }).drop("hire_date")
 
 
 def mold_events(maintenance: DataFrame, service: DataFrame, shots: DataFrame) -> DataFrame:
-    """Maintenance and equipment events in one table, with the shot counter of the mould or press when they happened."""
-    counted = lambda key: W.numbered(shots, [key], ["shot_ts", "shot_id"], "counter_at_event").select(key, F.col("shot_ts").alias("_ts"), "counter_at_event")
-    m = A.asof_join(maintenance.select("mold_id", "event_ts", "event_type"), counted("mold_id"), ["mold_id"], "event_ts", "_ts", ["counter_at_event"], tie="counter_at_event")
-    p = service.select("press_id", "event_ts", F.concat_ws("_", "equipment", "event_type").alias("event_type"))
-    p = A.asof_join(p, counted("press_id"), ["press_id"], "event_ts", "_ts", ["counter_at_event"], tie="counter_at_event")
-    return L.union_sources({"mold_maintenance": m.drop("at"), "equipment_service": p.drop("at")})
+    """Maintenance and equipment events in one table, with the shot counter of the mould or press when they happened: 0 before any shot."""
+
+    def counted(log: DataFrame, key: str) -> DataFrame:
+        at = W.numbered(shots.select(key, "shot_ts", "shot_id"), [key], ["shot_ts", "shot_id"], "counter_at_event", BUCKET).select(key, F.col("shot_ts").alias("_ts"), "counter_at_event")
+        x = A.asof_join(log, at, [key], "event_ts", "_ts", ["counter_at_event"], tie="counter_at_event", bucket=BUCKET)
+        return x.withColumn("counter_at_event", F.coalesce("counter_at_event", F.lit(0))).drop("at")
+
+    m = counted(maintenance.select("mold_id", "event_ts", "event_type"), "mold_id")
+    p = counted(service.select("press_id", "event_ts", F.concat_ws("_", "equipment", "event_type").alias("event_type")), "press_id")
+    return L.union_sources({"mold_maintenance": m, "equipment_service": p})
 
 
 def lot_changes(loads: DataFrame) -> DataFrame:
-    """Loads that bring another lot to a press."""
+    """Loads that bring another lot to a press than the one before; its first load is such a change."""
     before = F.lag("resin_lot_id").over(Window.partitionBy("press_id").orderBy("load_ts", "load_id"))
-    return loads.withColumn("_before", before).where("_before is not null and _before is distinct from resin_lot_id").select("press_id", F.col("load_ts").alias("change_ts"), F.col("load_id").alias("change_id"))
+    return loads.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("resin_lot_id"))).select("press_id", F.col("load_ts").alias("change_ts"), F.col("load_id").alias("change_id"))
 
 
-def shot_context(shots: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """Everything a shot's context needs, one fused as-of pass per key: mould, press, job, dryer."""
-    x = W.numbered(W.numbered(shots, ["mold_id"], ["shot_ts", "shot_id"], "mold_counter"), ["press_id"], ["shot_ts", "shot_id"], "press_counter")
-    events = t["mold_events"]
-    own = events.where("mold_id is not null").select("mold_id", "event_ts", "event_type", "counter_at_event")
-    x = A.asof_fused(x, own, ["mold_id"], "shot_ts", "event_ts", "event_type", list(MOLD_EVENTS), ["counter_at_event"])
-    for e in MOLD_EVENTS:
-        x = x.withColumns({f"shots_since_{e}": F.col("mold_counter") - F.col(f"{e}_counter_at_event"), f"days_since_{e}": S.boundaries("day", F.col(f"{e}_at"), F.col("shot_ts"))}).drop(f"{e}_counter_at_event")
-    # Press: loads, lot changes, corrections and equipment in one log.
+def press_log(t: dict[str, DataFrame]) -> DataFrame:
+    """Loads, lot changes, corrections and equipment events of presses in one log. A correction has two different known values."""
     loads = t["material_loads"].withColumn("first_load_ts", F.min("load_ts").over(Window.partitionBy("press_id", "resin_lot_id")))
-    drift = t["setpoint_changes"].where(F.col("reason").isin(*DRIFT_REASONS) & ~F.col("old_value").eqNullSafe(F.col("new_value")))
-    press_log = L.union_sources({
-        "load": loads.select("press_id", F.col("load_ts").alias("log_ts"), F.lit("load").alias("kind"), "resin_lot_id", "dryer_id", "regrind_pct", "first_load_ts"),
+    drift = t["setpoint_changes"].where(F.col("reason").isin(*DRIFT_REASONS) & (F.col("old_value") != F.col("new_value")))
+    return L.union_sources({
+        "load": loads.select("press_id", F.col("load_ts").alias("log_ts"), F.lit("load").alias("kind"), "load_id", "resin_lot_id", "dryer_id", "regrind_pct", "first_load_ts"),
         "lot_change": t["lot_changes"].select("press_id", F.col("change_ts").alias("log_ts"), F.lit("lot_change").alias("kind")),
         "correction": drift.select("press_id", F.col("change_ts").alias("log_ts"), F.lit("correction").alias("kind")),
-        "service": events.where("press_id is not null").select("press_id", F.col("event_ts").alias("log_ts"), F.col("event_type").alias("kind"), F.col("counter_at_event")),
+        "service": t["mold_events"].where("press_id is not null").select("press_id", F.col("event_ts").alias("log_ts"), F.col("event_type").alias("kind"), F.col("counter_at_event")),
     })
+
+
+def shot_context(shots: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """Everything a shot's context needs, one fused as-of pass per key (mould, press, dryer, job), by buckets where keys are hot."""
+    order = ["shot_ts", "shot_id"]
+    x = W.numbered(W.numbered(shots, ["mold_id"], order, "mold_counter", BUCKET), ["press_id"], order, "press_counter", BUCKET)
+    own = t["mold_events"].where("mold_id is not null").select("mold_id", "event_ts", "event_type", "counter_at_event")
+    x = A.asof_fused(x, own, ["mold_id"], "shot_ts", "event_ts", "event_type", list(MOLD_EVENTS), ["counter_at_event"], tie="counter_at_event", bucket=BUCKET)
+    for e in MOLD_EVENTS:
+        x = x.withColumns({f"shots_since_{e}": F.col("mold_counter") - F.col(f"{e}_counter_at_event"), f"days_since_{e}": S.boundaries("day", F.col(f"{e}_at"), F.col("shot_ts"))}).drop(f"{e}_counter_at_event")
     kinds = ["load", "lot_change", "correction", "check_ring_replace", "mold_temperature_controller_service"]
-    x = A.asof_fused(x, press_log, ["press_id"], "shot_ts", "log_ts", "kind", kinds, ["resin_lot_id", "dryer_id", "regrind_pct", "first_load_ts", "counter_at_event"])
-    keep = {"load": ("resin_lot_id", "dryer_id", "regrind_pct", "first_load_ts"), "check_ring_replace": ("counter_at_event",)}
-    x = x.drop(*[f"{k}_{c}" for k in kinds for c in ("resin_lot_id", "dryer_id", "regrind_pct", "first_load_ts", "counter_at_event") if c not in keep.get(k, ())])
-    x = x.withColumnsRenamed({"load_resin_lot_id": "resin_lot_id", "load_dryer_id": "dryer_id", "load_regrind_pct": "regrind_pct"})
-    x = x.withColumns({"residence_h": S.boundaries("minute", F.col("load_first_load_ts"), F.col("shot_ts")) / 60.0, "shots_since_check_ring": F.col("press_counter") - F.col("check_ring_replace_counter_at_event"), "ring_days": S.elapsed("day", F.col("check_ring_replace_at"), F.col("shot_ts")), "hours_since_lot_change": S.boundaries("hour", F.col("lot_change_at"), F.col("shot_ts"))})
+    held = ["load_id", "resin_lot_id", "dryer_id", "regrind_pct", "first_load_ts", "counter_at_event"]
+    x = A.asof_fused(x, press_log(t), ["press_id"], "shot_ts", "log_ts", "kind", kinds, held, tie="load_id", bucket=BUCKET)
+    keep = {"load": held[:-1], "check_ring_replace": ("counter_at_event",)}
+    x = x.drop(*[f"{k}_{c}" for k in kinds for c in held if c not in keep.get(k, ())])
+    x = x.withColumnsRenamed({"load_load_id": "load_id", "load_resin_lot_id": "resin_lot_id", "load_dryer_id": "dryer_id", "load_regrind_pct": "regrind_pct"})
+    days = lambda kind: S.boundaries("hour", F.col(f"{kind}_at"), F.col("shot_ts")) / 24.0
+    x = x.withColumns({
+        "residence_h": S.boundaries("minute", F.col("load_first_load_ts"), F.col("shot_ts")) / 60.0,
+        "shots_since_check_ring": F.col("press_counter") - F.col("check_ring_replace_counter_at_event"),
+        "ring_days": days("check_ring_replace"),
+        "controller_days": days("mold_temperature_controller_service"),
+        "hours_since_lot_change": S.boundaries("hour", F.col("lot_change_at"), F.col("shot_ts")),
+    })
     # The dryer is known only from the load.
     dryer = t["dryer_log"].select("dryer_id", F.col("ts").alias("_ts"), "dew_point_c", "actual_temp_c")
-    x = A.asof_join(x, dryer, ["dryer_id"], "shot_ts", "_ts", ["dew_point_c", "actual_temp_c"], prefix="dryer_", bucket="day")
-    lots = t["resin_lots"].join(t["resin_grades"], "resin_id", "left").select(F.col("lot_id").alias("resin_lot_id"), "supplier_id", "hygroscopic", "min_residence_h", S.ratio(F.col("cert_melt_flow_index") - F.col("mfi_band_low"), F.col("mfi_band_high") - F.col("mfi_band_low")).alias("cert_position"))
-    x = x.join(lots, "resin_lot_id", "left").withColumn("below_min_residence", F.coalesce(F.col("hygroscopic"), F.lit(False)) & (F.col("residence_h") < F.col("min_residence_h")))
-    # Setpoints in force by job, else those of the process sheet.
-    changes = t["setpoint_changes"].select("job_id", "change_ts", "parameter", "new_value", "change_id")
+    x = A.asof_join(x, dryer, ["dryer_id"], "shot_ts", "_ts", ["dew_point_c", "actual_temp_c"], prefix="dryer_", bucket=BUCKET)
+    position = (F.col("cert_melt_flow_index") - F.col("mfi_band_low")) / F.nullif(F.col("mfi_band_high") - F.col("mfi_band_low"), F.lit(0.0))
+    lots = t["resin_lots"].join(t["resin_grades"], "resin_id", "left").select(F.col("lot_id").alias("resin_lot_id"), "resin_id", "supplier_id", "cert_melt_flow_index", "cert_moisture_pct", "hygroscopic", "min_residence_h", position.alias("cert_position"))
+    x = x.join(lots, "resin_lot_id", "left").withColumn("below_min_residence", F.col("hygroscopic") & (F.col("residence_h") < F.col("min_residence_h")))
+    # Setpoints in force by job, else those of the process sheet; a change without a new value changes nothing.
+    changes = t["setpoint_changes"].where("new_value is not null").select("job_id", "change_ts", "parameter", "new_value", "change_id")
     x = A.asof_fused(x, changes, ["job_id"], "shot_ts", "change_ts", "parameter", list(PARAMETERS), ["new_value"], tie="change_id")
     sheet = t["process_sheets"].select("mold_id", "press_id", *[F.col(p).alias(f"sheet_{p}") for p in PARAMETERS], "window_hold_pressure_pct", "window_mold_temp_c", "window_melt_temp_c")
     x = x.join(sheet, ["mold_id", "press_id"], "left")
     x = x.withColumns({f"delta_{p}": F.coalesce(F.col(f"{p}_new_value"), F.col(f"sheet_{p}")) - F.col(f"sheet_{p}") for p in PARAMETERS}).drop(*[f"{p}_{c}" for p in PARAMETERS for c in ("new_value", "at")])
-    m = t["machine_shot_data"].select("shot_id", "cushion_mm", F.col("hold_pressure_bar").alias("_hold"), "nozzle_actual_c", "mold_temp_a_c", "mold_temp_b_c")
-    x = x.join(m, "shot_id", "left").withColumns({
+    machine = t["machine_shot_data"]
+    x = x.join(machine.select("shot_id", *[c for c in MACHINE if c in machine.columns]), "shot_id", "left").withColumns({
         "cushion_position": (F.col("cushion_mm") - 5.0) / 1.5,
-        "hold_position": S.ratio((S.ratio(F.col("_hold"), F.col("sheet_hold_pressure_bar")) - 1) * 100, F.col("window_hold_pressure_pct")),
+        "hold_position": S.ratio((S.ratio(F.col("hold_pressure_bar"), F.col("sheet_hold_pressure_bar")) - 1) * 100, F.col("window_hold_pressure_pct")),
         "melt_position": S.ratio(F.col("nozzle_actual_c") - F.col("sheet_melt_temp_c"), F.col("window_melt_temp_c")),
         "mold_position": S.ratio((F.col("mold_temp_a_c") + F.col("mold_temp_b_c")) / 2 - F.col("sheet_mold_temp_c"), F.col("window_mold_temp_c")),
         "mold_half_difference": F.col("mold_temp_b_c") - F.col("mold_temp_a_c"),
-    }).drop("_hold")
+    })
     # Before and after the job's approval.
-    x = x.join(t["jobs"].select("job_id", "approval_ts"), "job_id", "left").withColumn("after_approval", F.col("shot_ts") >= F.col("approval_ts"))
+    x = x.join(t["first_shot_approvals"].select("job_id", "approval_ts"), "job_id", "left").withColumn("after_approval", F.col("shot_ts") >= F.col("approval_ts"))
     sine, cosine = S.season(F.col("shot_ts"))
-    x = W.around(x, ["job_id"], ["shot_ts", "shot_id"], "after_approval", "shots_after_approval").withColumns({"season_sin": sine, "season_cos": cosine})
-    blocked = F.col("cavity_block_at").isNotNull() & (F.col("cavity_unblock_at").isNull() | (F.col("cavity_unblock_at") < F.col("cavity_block_at")))
-    return x.withColumn("cavity_blocked", blocked)
+    x = W.around(x, ["job_id"], order, "after_approval", "shots_after_approval").withColumns({"season_sin": sine, "season_cos": cosine, "shot_month": F.month("shot_ts")})
+    blocked, freed = F.col("shots_since_cavity_block"), F.col("shots_since_cavity_unblock")
+    return x.withColumn("cavity_blocked", blocked.isNotNull() & (freed.isNull() | (blocked < freed)))
 
 
 def chart_points(sensors: DataFrame, context: DataFrame) -> DataFrame:
-    """Long chart points of production shots with residuals and rules, baseline 500 shots."""
-    keys = ["job_id", "sensor_id", "metric"]
-    own = sensors.drop("job_id").join(context.where("after_approval").select("shot_id", "job_id"), "shot_id")
-    long = C.unpivoted(own.where("pack_integral is not null"), ["shot_id", "shot_ts", "job_id", "mold_id", "press_id", "sensor_id"], list(BANDED))
-    order = ["shot_ts", "shot_id"]
+    """Long chart points of production shots with residuals, z scores and rules: of the residual, of the textbook's and of the baseline's sigma.
+
+    Fits and own spreads are over the shots 200 to 1,000 after approval; a job without them has points without residuals.
+    """
+    keys, order = ["job_id", "sensor_id", "metric"], ["shot_ts", "shot_id"]
+    own = sensors.drop("job_id").join(context.where("after_approval").select("shot_id", "job_id", "shots_after_approval"), "shot_id")
+    long = C.unpivoted(own.where("pack_integral is not null"), ["shot_id", "shot_ts", "job_id", "mold_id", "press_id", "sensor_id", "shots_after_approval"], list(CHARTED))
     x = C.charted(long, keys, order)
     limits = C.imr_limits(x, keys).select(*keys, "mr_bar", "centre", "sigma_range", "sigma_baseline")
-    r = C.ar1_residual(x, C.ar1_fit(x, keys, 200, 1000), keys, order)
-    sigma = C.pooled_sigma(r, ["job_id"], ["mold_id", "press_id", "sensor_id", "metric"], "shot_ts", 200, 200, 1000).select("job_id", "sensor_id", "metric", "sigma")
-    r = r.join(sigma, keys).join(limits, keys).withColumns(C.z_scores())
-    return C.range_rule(C.run_rules(r, keys, order, "z", 4.05, 2.70))
+    fit = C.ar1_fit(x.where("previous is not null"), keys, 199, 1000, position="shots_after_approval")
+    r = C.ar1_residual(x, fit, keys, order, how="left")
+    sigma = C.pooled_sigma(r, ["job_id"], ["mold_id", "press_id", "sensor_id", "metric"], "shot_ts", 200, 199, 1000, position="shots_after_approval").select("job_id", "sensor_id", "metric", "sigma")
+    r = r.join(sigma, keys, "left").join(limits, keys).withColumns(C.z_scores())
+    r = C.run_rules(r, keys, order, "z", 4.05, 2.70)
+    for sigma_of in ("textbook", "baseline"):
+        r = C.run_rules(r, keys, order, f"z_{sigma_of}", prefix=f"{sigma_of}_", rules=("we1", "we2"))
+    return C.range_rule(r)
 
 
 def shot_flags(points: DataFrame, baseline: int = 500) -> DataFrame:
-    return points.where(F.col("point_no") > baseline).groupBy("shot_id").agg(*[F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in ("we1", "we2", "we4", "we5", "mr_rule")])
+    """Per shot: which rules fired on any of its charts after the baseline, how many charts it has, the largest z."""
+    on = lambda *flags: F.bool_or(F.greatest(*[F.coalesce(F.col(c), F.lit(False)).cast("int") for c in flags], F.lit(0)).cast("boolean") & (F.col("point_no") > baseline))
+    rules = list(RULE_LABELS)
+    return points.groupBy("shot_id").agg(
+        *[on(c).alias(c) for c in rules],
+        on(*rules).alias("spc_any"),
+        on("textbook_we1", "textbook_we2").alias("rule12_textbook"),
+        on("baseline_we1", "baseline_we2").alias("rule12_baseline"),
+        F.count(F.lit(1)).alias("charts"),
+        F.max(F.abs("z")).alias("largest_z"),
+    )
+
+
+def chart_alarms(points: DataFrame, changes: DataFrame, baseline: int = 500, within_s: float = 3600) -> DataFrame:
+    """New alarms after the baseline with the rule, and the press's next setpoint change if it comes within an hour."""
+    alarms = C.new_alarms(points.where(F.col("point_no") > baseline), ["job_id", "sensor_id", "metric"], RULE_LABELS)
+    real = changes.where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    return C.alarm_disposition(alarms, real, ["press_id"], "shot_ts", "change_ts", ["change_id", "parameter", "reason"], within_s, tie="change_id", bucket=BUCKET)
 
 
 def drift_state(shots: DataFrame, context: DataFrame, rearm: int = 3000, baseline: int = 500, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -188,8 +261,8 @@ def drift_state(shots: DataFrame, context: DataFrame, rearm: int = 3000, baselin
         R.two_sided(R.block_z(x, keys, order, "gate", baseline=baseline), keys, "position", into="cusum_gate_seal"),
         R.cusum(spread_blocks(x, keys, order, baseline), keys, "position", k=0.10, h=1.2, into="cusum_pack_var"),
     )
-    for df in read:
-        x = x.join(df, [*keys, "position"], "left")
+    for name, df in zip(("cusum_eof", "cusum_gate_seal", "cusum_pack_var"), read, strict=True):
+        x = R.carried(x.join(df, [*keys, "position"], "left"), keys, order, name)
     x = keep(x.withColumns({f"{d}_signal": F.coalesce(f"{d}_signal", F.lit(False)) for d in DETECTORS}))
     x = R.kept_signals(x, keys, order, list(DETECTORS), rearm=rearm)
     any_of = lambda what: F.greatest(*[F.col(f"{d}_{what}").cast("int") for d in DETECTORS]) > 0
@@ -203,42 +276,66 @@ def spread_blocks(x: DataFrame, keys: list[str], order: list[str], baseline: int
     return R.log_spread(x.withColumn("reset", since), keys, order, "pack", last=baseline, every=every)
 
 
-def drift_signals(state: DataFrame, lot_steps: DataFrame) -> DataFrame:
-    """The first signal of each detector in each segment between resets, and lot changes whose step is over three t."""
-    x = R.segments(state, ["job_id"], ["shot_ts", "shot_id"], "drift_reset")
-    first = R.first_signals(x.withColumnsRenamed({f"{d}_signal": f"_{d}" for d in DETECTORS}).select("job_id", "segment", "shot_ts", "shot_id", *[F.col(f"_{d}").alias(d) for d in DETECTORS]), ["job_id"], ["shot_ts", "shot_id"], list(DETECTORS))
-    steps = lot_steps.where(F.abs("t") > 3).select("job_id", "shot_ts", "shot_id", F.lit("lot_step").alias("detector"))
-    return first.select("job_id", "shot_ts", "shot_id", "detector").unionByName(steps)
+def drift_signals(state: DataFrame, context: DataFrame, lot_steps: DataFrame, limit: float = 3.0) -> DataFrame:
+    """The first signal of each detector in each segment between resets with its statistic, and lot changes whose step is over `limit` t."""
+    x = R.segments(state, ["job_id"], ["shot_ts", "shot_id"], "drift_reset").join(context.select("shot_id", "press_id", "mold_id"), "shot_id")
+    one = lambda d: F.struct(F.lit(d).alias("detector"), F.col(d).cast("double").alias("statistic"), F.col(f"{d}_signal").alias("on"))
+    long = x.select("job_id", "segment", "shot_id", "press_id", "mold_id", "shot_ts", F.explode(F.array(*[one(d) for d in DETECTORS])).alias("_x")).where("_x.on")
+    head = ["shot_id", "press_id", "mold_id", "shot_ts"]
+    row = F.struct(*head, F.col("_x.statistic").alias("statistic"))
+    first = long.groupBy("job_id", "segment", F.col("_x.detector").alias("detector")).agg(F.min_by(row, F.struct("shot_ts", "shot_id")).alias("_first"))
+    steps = lot_steps.where(F.abs("step_t") > limit).select(*head, "job_id", F.lit("lot_step").alias("detector"), F.col("step_t").alias("statistic"))
+    return first.select("_first.*", "job_id", "detector").unionByName(steps)
 
 
-def lot_step_tests(shots: DataFrame, changes: DataFrame, value: str = "fill_integral_dev_post_gate", each: int = 300) -> DataFrame:
-    """The step of a value at each lot change of a press, with the job and shot it first holds for."""
-    near = W.nearest_rows(shots, changes.withColumn("change_no", F.xxhash64("press_id", "change_ts")), ["press_id"], "shot_ts", "shot_id", "change_ts", "change_no", each)
-    first = near.where("side = 'after'").groupBy("change_no").agg(F.min_by(F.struct("job_id", "shot_ts", "shot_id"), F.struct("shot_ts", "shot_id")).alias("_x"))
-    return R.step_test(near, ["change_no"], value).join(first, "change_no").select("_x.*", "step", "t")
+def lot_step_tests(shots: DataFrame, context: DataFrame, each: int = 200, least: int = 50, inflation: float = 8.0) -> DataFrame:
+    """At each lot change within a job's production: steps of fill integral and peak pressure over the `each` nearest shots on either side.
+
+    One row per job and change after the job's first production shot, with `least` shots on both sides: the shot it first
+    holds for, the steps, the spread of fill over all these shots, and t with the sample shrunk for autocorrelation.
+    """
+    values = {"fill": "fill_integral_dev_post_gate", "peak": "peak_pressure_bar_dev_post_gate"}
+    own = context.where("after_approval").select("shot_id", "job_id", "press_id", "mold_id", "shot_ts", "resin_lot_id", "lot_change_at")
+    own = own.join(shots.select("shot_id", *[F.col(c).alias(k) for k, c in values.items()]), "shot_id")
+    seen = own.groupBy("job_id", "lot_change_at").agg(F.min("resin_lot_id").alias("lot"), F.min("shot_ts").alias("_seen"))
+    started = Window.partitionBy("job_id")
+    changes = seen.withColumn("_first", F.min("_seen").over(started)).where("lot_change_at > _first").withColumn("change_no", F.xxhash64("job_id", "lot_change_at"))
+    near = W.nearest_rows(own.drop("lot_change_at", "resin_lot_id"), changes, ["job_id"], "shot_ts", "shot_id", "lot_change_at", "change_no", each)
+    on = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    after, before = F.count_if(F.col("side") == "after"), F.count_if(F.col("side") == "before")
+    x = near.groupBy("change_no").agg(
+        F.min_by(F.struct("shot_id", "shot_ts", "press_id", "mold_id"), F.when(F.col("side") == "after", F.struct("shot_ts", "shot_id"))).alias("_x"),
+        *[(F.avg(on("after", k)) - F.avg(on("before", k))).alias(f"{k}_step") for k in values],
+        F.stddev_samp("fill").alias("fill_sd"), after.alias("n_after"), before.alias("n_before"),
+    )
+    x = x.where((F.col("n_after") >= least) & (F.col("n_before") >= least)).join(changes.select("change_no", "job_id", "lot_change_at", "lot"), "change_no")
+    scale = F.col("fill_sd") * F.sqrt(inflation * (1 / F.col("n_after") + 1 / F.col("n_before")))
+    return x.select("job_id", "lot_change_at", F.col("lot").alias("resin_lot_id"), "_x.*", "fill_step", "peak_step", "fill_sd", "n_after", "n_before", (F.col("fill_step") / F.nullif(scale, F.lit(0.0))).alias("step_t"))
 
 
 def confirmed_defects(t: dict[str, DataFrame], context: DataFrame) -> DataFrame:
-    """Defects of four sources by job, hour, shot, cavity and code.
+    """Defects of four sources by job, press, mould, hour, shot, cavity and code.
 
     Reviews count where pieces were confirmed. Those of indexed trays have their shot; per-shift ones are spread over the
-    shift's hours by the shots sorted there after approval. `context`: shot_id, job_id, shot_ts, rejected, after_approval.
+    shift's hours by the shots sorted there after approval. A gauged piece with codes counts as one, under its text of codes;
+    press and mould of tallies and returns are those of their job. `context`: shot_id, job_id, shot_ts, rejected, after_approval.
     """
-    code = lambda c: S.normalized_code(F.col(c), CODES).alias("code")
     hour = S.truncated("hour", F.col("shot_ts")).alias("hour_ts")
     sorts = t["sort_dispositions"].where("pieces_confirmed_defective > 0")
-    one = L.exploded_codes(sorts.where("review_mode = 'indexed_tray'"), "defect_codes", ["job_id", "shot_id"]).join(context.select("shot_id", hour), "shot_id")
+    cell = ["press_id", "mold_id"]
+    one = L.exploded_codes(sorts.where("review_mode = 'indexed_tray'"), "defect_codes", ["job_id", *cell, "shot_id"]).join(context.select("shot_id", hour), "shot_id")
     sorted_ = context.where("rejected and after_approval").select("job_id", S.shift_date(F.col("shot_ts")).alias("shift_date"), S.shift_label(F.col("shot_ts")).alias("shift"), hour)
     shift = ["job_id", "shift_date", "shift"]
     per_hour = sorted_.groupBy(*shift, "hour_ts").agg(F.count(F.lit(1)).alias("sorted"))
-    totals = L.exploded_codes(sorts.where("review_mode = 'per_shift'"), "defect_codes", shift)
-    spread = L.allocated(totals, per_hour, shift, "qty", "sorted").select("job_id", "hour_ts", "code", F.col("allocated").alias("qty"))
-    sorts = one.select("job_id", "shot_id", "hour_ts", "code", "qty").unionByName(spread, allowMissingColumns=True)
-    audits = t["audit_pieces_linked"].where("defect_codes is not null").select("job_id", "shot_id", "cavity_id", "hour_ts", F.explode(F.split("defect_codes", ";")).alias("code"), F.lit(1.0).alias("qty"))
-    tallies = t["scrap_tallies"].select("job_id", "hour_ts", "cavity_id", code("defect_code"), F.col("qty").cast("double").alias("qty"))
-    returns = t["customer_returns"].select(F.col("attributed_job_id").alias("job_id"), F.col("attributed_cavity_id").alias("cavity_id"), code("defect_code"), F.col("qty").cast("double").alias("qty"))
+    totals = L.exploded_codes(sorts.where("review_mode = 'per_shift'"), "defect_codes", [*shift, *cell])
+    spread = L.allocated(totals, per_hour, shift, "qty", "sorted").select("job_id", *cell, "hour_ts", "code", F.col("allocated").alias("qty"))
+    sorts = one.select("job_id", *cell, "shot_id", "hour_ts", "code", "qty").unionByName(spread, allowMissingColumns=True)
+    audits = t["audit_pieces_linked"].where("defect_codes is not null").select("job_id", *cell, "shot_id", "cavity_id", "hour_ts", F.col("defect_codes").alias("code"), F.lit(1.0).alias("qty"))
+    homes = t["jobs"].select("job_id", *[F.col(c).alias(f"_{c}") for c in cell])
+    tallies = t["scrap_tallies"].join(homes, "job_id", "left").select("job_id", "press_id", F.col("_mold_id").alias("mold_id"), "hour_ts", "cavity_id", F.col("defect_code").alias("code"), F.col("qty").cast("double").alias("qty"))
+    returns = t["customer_returns"].withColumn("job_id", F.col("attributed_job_id")).join(homes, "job_id", "left").select("job_id", *[F.col(f"_{c}").alias(c) for c in cell], F.col("attributed_cavity_id").alias("cavity_id"), F.col("defect_code").alias("code"), F.col("qty").cast("double").alias("qty"))
     out = L.union_sources({"sort": sorts, "audit": audits, "tally": tallies, "return": returns})
-    return out.select("source", "job_id", "hour_ts", "shot_id", "cavity_id", "code", "qty")
+    return out.select("source", "job_id", *cell, "hour_ts", "shot_id", "cavity_id", "code", "qty")
 
 
 def by_source(defects: DataFrame, keys: list[str]) -> DataFrame:
@@ -302,18 +399,58 @@ def audit_fact(pieces: DataFrame, attributes: DataFrame, shots: DataFrame) -> Da
 
 
 def audit_pieces(pieces: DataFrame, audits: DataFrame, shots: DataFrame) -> DataFrame:
-    """Gauged pieces with the shot they came from: the sampled cycle and their row in the tray. Hand-pulled ones stay unlinked."""
+    """Gauged pieces with the shot they came from: the press's sampled cycle and their row in the tray. Hand-pulled ones stay unlinked."""
     x = pieces.join(audits.select("audit_id", "job_id", "press_id", "mold_id", "audit_ts", "sampled_shot_cycle_no"), "audit_id").withColumn("cycle_no", (F.col("sampled_shot_cycle_no") + F.col("tray_row")).cast("long"))
-    x = x.join(shots.select("job_id", "cycle_no", "shot_id", "shot_ts"), ["job_id", "cycle_no"], "left")
+    x = x.join(shots.select("press_id", "cycle_no", "shot_id", "shot_ts"), ["press_id", "cycle_no"], "left")
     return x.withColumn("hour_ts", S.truncated("hour", F.coalesce("shot_ts", "audit_ts")))
 
 
-def build(t: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
-    """All models from staged tables by their names; `keep` is applied to those that several others read (write or persist)."""
+def with_pieces(shots: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Shots with the cavities of their part and how many are active: all but a blocked one. `shots` has cavity_blocked."""
+    x = shots.join(attributes.select("mold_id", "cavities").dropDuplicates(["mold_id"]), "mold_id", "left")
+    return x.withColumn("active_cavities", F.col("cavities") - F.col("cavity_blocked").cast("int"))
+
+
+def relative_values(shots: DataFrame, first: int = 500) -> DataFrame:
+    """Per shot, values without a template over the median of the job's first `first` production shots, less 1.
+
+    `shots` has after_approval, shots_after_approval and the columns of RELATIVE; those it lacks are left out.
+    """
+    names = {k: c for k, c in RELATIVE.items() if c in shots.columns}
+    own = shots.where(F.col("after_approval") & (F.col("shots_after_approval") < first))
+    base = own.groupBy("job_id").agg(*[F.median(c).alias(f"_{k}") for k, c in names.items()])
+    return shots.select("shot_id", "job_id", *names.values()).join(base, "job_id", "left").select("shot_id", *[(S.ratio(F.col(c), F.col(f"_{k}")) - 1).alias(k) for k, c in names.items()])
+
+
+def shot_labels(sorts: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per shot: its tray review (pieces reviewed and confirmed, codes), and its gauged pieces (number, rejects, codes)."""
+    reviews = sorts.where("review_mode = 'indexed_tray'").select("shot_id", "pieces_reviewed", "pieces_confirmed_defective", F.array_join(F.transform(F.split("defect_codes", ";"), lambda x: F.split_part(x, F.lit(":"), F.lit(1))), ";").alias("sort_defect_codes"))
+    gauged = pieces.where("shot_id is not null").groupBy("shot_id").agg(F.count(F.lit(1)).alias("audit_pieces"), F.count_if(F.col("visual_result") == "reject").alias("audit_rejects"), F.array_join(F.array_sort(F.collect_list("defect_codes")), ";").alias("audit_defect_codes"))
+    return reviews, gauged.withColumn("audit_defect_codes", F.nullif("audit_defect_codes", F.lit("")))
+
+
+def shot_fact(t: dict[str, DataFrame]) -> DataFrame:
+    """One row per shot: context, sensed and relative values, chart rules, drift, and the labels that link to it."""
+    head = t["shots"].drop("press_id", "mold_id", "shot_ts", "job_id")
+    x = with_pieces(t["shot_context"].join(head, "shot_id"), t["part_attributes"])
+    x = x.join(t["jobs"].select("job_id", "technician_id", "prior_runs", "tenure_days", "matured"), "job_id", "left")
+    x = x.join(relative_values(x), "shot_id", "left")
+    reviews, gauged = shot_labels(t["sort_dispositions"], t["audit_pieces_linked"])
+    x = x.join(t["shot_flags"], "shot_id", "left").join(t["drift_state"].drop("job_id", "shot_ts"), "shot_id", "left").join(reviews, "shot_id", "left").join(gauged, "shot_id", "left")
+    off = [*RULE_LABELS, "spc_any", "drift_any_signal", "drift_any_fire"]
+    return x.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in off})
+
+
+def build(t: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda df: df, presses: list[str] | None = None) -> dict[str, DataFrame]:
+    """All models from staged tables by their names; `keep` is applied to those that several others read (write or persist).
+
+    `presses`: those of the instrumented cell, all if None; its moulds are those with part attributes.
+    """
     t = dict(t)
+    orders = cell_orders(t["production_orders"], presses)
     t["sensors"] = keep(banded_sensors(t["cavity_shot_summary"], t["templates"]))
-    t["shots"] = keep(shot_jobs(shot_summary(t["sensors"]), t["production_orders"]))
-    t["jobs"] = keep(jobs(t["production_orders"], t["first_shot_approvals"], t["shots"], t["technicians"]))
+    t["shots"] = keep(shot_jobs(shot_summary(t["sensors"]), orders))
+    t["jobs"] = keep(jobs(cell_orders(orders, None, t["part_attributes"]), t["first_shot_approvals"], t["shots"], t["technicians"]))
     t["mold_events"] = keep(mold_events(t["mold_maintenance"], t["equipment_service"], t["shots"]))
     t["lot_changes"] = lot_changes(t["material_loads"])
     head = t["shots"].select("shot_id", "press_id", "mold_id", "shot_ts", "job_id")
@@ -322,19 +459,12 @@ def build(t: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lamb
     t["shot_flags"] = shot_flags(t["chart_points"])
     t["drift_state"] = keep(drift_state(t["shots"], t["shot_context"], keep=keep))
     t["audit_pieces_linked"] = audit_pieces(t["qc_audit_pieces"], t["qc_audits"], t["shots"])
-    x = t["shots"].join(t["shot_context"].select("shot_id", "after_approval"), "shot_id")
-    t["confirmed_defects"] = keep(confirmed_defects(t, x))
-    values = [f"{v}_{p}" for v in (*BANDED, "cooling_rate") for p in ("post_gate",)]
-    rel = L.relative_to_baseline(t["shots"].select("job_id", "shot_id", "shot_ts", *values), ["job_id"], ["shot_ts", "shot_id"], values)
-    fact = t["shots"].join(t["shot_context"].drop("press_id", "mold_id", "shot_ts", "job_id"), "shot_id")
-    flags = t["shot_flags"].withColumn("spc_any", F.col("we1") | F.col("we2") | F.col("we4") | F.col("we5") | F.col("mr_rule"))
-    fact = fact.join(rel.select("shot_id", *[f"{v}_rel" for v in values]), "shot_id").join(flags, "shot_id", "left").join(t["drift_state"].drop("job_id", "shot_ts"), "shot_id", "left")
-    t["shot_fact"] = keep(fact)
-    t["lot_step_tests"] = lot_step_tests(t["shots"], t["lot_changes"])
-    t["drift_signals"] = drift_signals(t["drift_state"], t["lot_step_tests"])
-    t["spc_alarms"] = C.new_alarms(t["chart_points"].where(F.col("point_no") > 500), ["job_id", "sensor_id", "metric"], {"we1": "1", "we2": "2", "we4": "4", "we5": "5", "mr_rule": "MR"})
+    t["shot_fact"] = keep(shot_fact(t))
+    t["confirmed_defects"] = keep(confirmed_defects(t, t["shot_fact"]))
+    t["lot_step_tests"] = keep(lot_step_tests(t["shots"], t["shot_context"]))
+    t["drift_signals"] = keep(drift_signals(t["drift_state"], t["shot_context"], t["lot_step_tests"]))
+    t["spc_alarms"] = keep(chart_alarms(t["chart_points"], t["setpoint_changes"]))
     t["job_fact"] = job_fact(t["jobs"], t["shot_fact"], t["confirmed_defects"])
     t["job_hour_fact"] = job_hour_fact(t["shot_fact"], t["confirmed_defects"], t["spc_alarms"], t["drift_signals"])
-    if "part_attributes" in t:
-        t["audit_fact"] = audit_fact(t["audit_pieces_linked"], t["part_attributes"], t["shot_fact"])
+    t["audit_fact"] = audit_fact(t["audit_pieces_linked"], t["part_attributes"], t["shot_fact"])
     return t
