@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import normalized_code, ratio, without_prefix
 from . import schemas
 
 
@@ -105,10 +106,8 @@ def staged_approvals(df: DataFrame) -> DataFrame:
 
 
 def staged_orders(df: DataFrame) -> DataFrame:
-    """Production orders, part numbers in one form."""
-    from ..functions.scalars import without_prefix
-
-    return df.withColumn("part_id", F.concat(F.lit("PN-"), without_prefix(F.col("part_number"), ("PART", "PN", "P"))))
+    """Production orders, part numbers in one form: P- and what follows the prefix that was typed."""
+    return df.withColumn("part_number", F.concat(F.lit("P-"), without_prefix(F.col("part_number"), ("PART", "PN", "P"))))
 
 
 def staged_sorts(df: DataFrame) -> DataFrame:
@@ -142,8 +141,6 @@ def staged_returns(df: DataFrame) -> DataFrame:
 
 def staged_inspections(df: DataFrame) -> DataFrame:
     """Inspection records with the share that failed."""
-    from ..functions.scalars import ratio
-
     return df.withColumn("failed_share", ratio(F.col("quantity_failed").cast("double"), F.col("quantity_inspected")))
 
 
