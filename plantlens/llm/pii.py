@@ -30,10 +30,11 @@ from .common import fresh, written
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: 0 is none of the kinds.
 LABELS = 1 + len(KINDS)
-#: Rounds of message passing, damping, characters between chain neighbours, least posterior of an added span.
-ROUNDS, DAMPING, REACH, SURE = 50, 0.5, 80, 0.9
-#: Variance of the Gaussian prior on weights; steps of training at most.
-VARIANCE, STEPS = 10.0, 60
+#: Rounds after which messages that haven't settled are reported as such, damping, characters between chain neighbours,
+#: least posterior of an added span.
+ROUNDS, DAMPING, REACH, SURE = 200, 0.5, 80, 0.9
+#: Variance of the Gaussian prior on weights; steps after which training that hasn't settled is an error.
+VARIANCE, STEPS = 10.0, 500
 #: Hash buckets of shapes and of each place of a context word; where each feature group starts.
 SHAPES, WORDS, PLACES = 512, 512, 3
 CONTEXT = SHAPES
@@ -107,10 +108,11 @@ def runs(text: str) -> Iterator[tuple[int, int]]:
         yield from (m.span() for m in ADDRESS.finditer(text))
     if DIGIT.search(text):
         for m in NUMBER.finditer(text):
-            if m.end() - m.start() >= 7 and sum(map(str.isdigit, m[0])) >= 7:
-                groups = [g for g in GROUP.finditer(m[0]) if " " in m[0]]
-                if len(groups) > 1 and all(sum(map(str.isdigit, g[0])) >= 7 for g in groups):
-                    yield from ((m.start() + g.start(), m.start() + g.end()) for g in groups)
+            run = m[0]
+            if len(run) >= 7 and sum(map(str.isdigit, run)) >= 7:
+                groups = [g.span() for g in GROUP.finditer(run)] if " " in run else []
+                if len(groups) > 1 and all(sum(map(str.isdigit, run[a:b])) >= 7 for a, b in groups):
+                    yield from ((m.start() + a, m.start() + b) for a, b in groups)
                 else:
                     yield m.span()
 
@@ -217,8 +219,9 @@ class Field:
     def unary(self, features: list[int]) -> np.ndarray:
         return self.intercept + self.weights[:, list(features)].sum(axis=1)
 
-    def posterior(self, nodes: list, links: list) -> np.ndarray:
-        """Label distributions of the nodes by damped sum-product messages along all edges at once; found ones stay fixed."""
+    def posterior(self, nodes: list, links: list) -> tuple[np.ndarray, bool]:
+        """(label distributions of the nodes, whether the messages settled), by damped sum-product along all edges at once; found ones stay fixed."""
+        done = True
         own = np.array([np.where(np.arange(LABELS) == n["label"], 0.0, -200.0) if n["label"] else self.unary(n["features"]) for n in nodes])
         if links:
             u, v, kind = (np.array(c) for c in zip(*links, strict=True))
@@ -241,21 +244,21 @@ class Field:
                     break
             np.add.at(own, target, message)
         p = np.exp(own - own.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        return p / p.sum(axis=1, keepdims=True), bool(done)
 
 
-def spans_of(nodes: list, links: list, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) by kind, then start."""
+def spans_of(nodes: list, links: list, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
+    """(base spans, all spans, both by kind, then start; whether the field settled)."""
     base = sorted((n["label"] - 1, n["start"], n["end"]) for n in nodes if n["label"])
     free = [i for i, n in enumerate(nodes) if not n["label"]]
-    added = []
+    added, settled = [], True
     if free:
-        p = field.posterior(nodes, links)
+        p, settled = field.posterior(nodes, links)
         for i in free:
             label = int(p[i].argmax())
             if label and p[i][label] >= SURE:
                 added.append((label - 1, nodes[i]["start"], nodes[i]["end"]))
-    return base, sorted([*base, *added])
+    return base, sorted([*base, *added]), settled
 
 
 def candidates_of(text: Column) -> Column:
@@ -294,6 +297,8 @@ def fit(marked: DataFrame, nodes: str = "nodes", links: str = "edges") -> Field:
     # The features are their own numbers, so the vectors have fixed places.
     vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(FEATURES)], inputCol="features", outputCol="vector").setMinTF(1.0)
     model = LogisticRegression(featuresCol="vector", family="multinomial", maxIter=STEPS, regParam=1 / (VARIANCE * sum(n.values())), standardization=False, tol=1e-6).fit(vectors.transform(rows))
+    if model.summary.totalIterations >= STEPS:
+        raise RuntimeError(f"the potentials have not settled after {STEPS} steps")
     weights, intercept = np.zeros((LABELS, FEATURES)), np.full(LABELS, -50.0)
     learned = model.coefficientMatrix.toArray()
     weights[: len(learned)], intercept[: len(learned)] = learned, model.interceptVector.toArray()
@@ -323,7 +328,9 @@ def redacted_text(text: str | None, spans: list[tuple[int, int, int]]) -> str |
 
 
 def marked(docs: DataFrame, text: str = "text", into: str = "pii", redact: bool = False) -> DataFrame:
-    """docs with a struct column `into`: counts (base, by kind), base_sha256, spans, and redacted text if asked for.
+    """docs with a struct column `into`: counts (base, by kind), base_sha256, spans, redacted text if asked for, and settled.
+
+    settled is false where messages of a document still changed after ROUNDS; its spans are those of the last round.
 
     The candidates are written once, beside the columns of docs (without the text if not redact); both the training and the
     verdicts read them there. Spans are code point offsets, end exclusive. Null and empty texts hold nothing; repeated rows
@@ -336,24 +343,24 @@ def marked(docs: DataFrame, text: str = "text", into: str = "pii", redact: bool
     nodes, links = F.col(f"{held}.nodes"), F.col(f"{held}.edges")
     field = docs.sparkSession.sparkContext.broadcast(fit(read_.select(nodes.alias("nodes"), links.alias("edges"))))
 
-    @F.pandas_udf("counts array<long>, base_sha256 string, spans string, redacted string")
+    @F.pandas_udf("counts array<long>, base_sha256 string, spans string, redacted string, settled boolean")
     def mark(all_nodes: pd.Series, all_links: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = []
         for ns, es, t in zip(all_nodes, all_links, texts, strict=True):
-            base, spans = spans_of(list(ns), [(e["a"], e["b"], e["kind"]) for e in es], field.value)
+            base, spans, settled = spans_of(list(ns), [(e["a"], e["b"], e["kind"]) for e in es], field.value)
             counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
-            rows.append((counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redacted_text(t, spans) if redact else None))
-        return pd.DataFrame(rows, columns=["counts", "base_sha256", "spans", "redacted"])
+            rows.append((counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redacted_text(t, spans) if redact else None, settled))
+        return pd.DataFrame(rows, columns=["counts", "base_sha256", "spans", "redacted", "settled"])
 
     return read_.withColumn(into, mark(nodes, links, F.col(text) if redact else F.lit(None).cast("string"))).drop(held)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans of the field alone)."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans of the field alone), settled."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     x = F.col("pii")
     n = F.when(x["spans"] == "", 0).otherwise(F.regexp_count(x["spans"], F.lit(",")) + 1) - F.aggregate(x["counts"], F.lit(0).cast("long"), lambda a, c: a + c)
-    return marked(slim).select("doc_id", *[x["counts"][k].alias(f"n_{kind}") for k, kind in enumerate(KINDS)], x["base_sha256"].alias("base_sha256"), x["spans"].alias("spans"), n.cast("long").alias("n_added"))
+    return marked(slim).select("doc_id", *[x["counts"][k].alias(f"n_{kind}") for k, kind in enumerate(KINDS)], x["base_sha256"].alias("base_sha256"), x["spans"].alias("spans"), n.cast("long").alias("n_added"), x["settled"].alias("settled"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ KEEP = 0.5
 BELIEF_BAD, BELIEF_GOOD, BELIEF_SHARE, BELIEF_WEIGHT = 0.3, 0.02, 0.1, 20.0
 #: The first guess before any estimate: documents that this many rules call bad are bad.
 AGREEING = 2
-ROUNDS, SETTLED = 500, 1e-8
+#: Rounds after which rates that still move by SETTLED are reported as unsettled.
+ROUNDS, SETTLED = 5000, 1e-8
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 REST = f"{WORD}*+"
 
@@ -98,8 +100,8 @@ def votes(m: Column) -> dict[str, Column]:
     }
 
 
-def fit(docs: DataFrame, votes_of: dict[str, Column]) -> tuple[float, dict[str, tuple[float, float]]]:
-    """(share of bad documents, rule -> share of bad votes on bad and on good documents), from all documents.
+def fit(docs: DataFrame, votes_of: dict[str, Column]) -> tuple[float, dict[str, tuple[float, float]], bool]:
+    """(share of bad documents, rule -> share of bad votes on bad and on good documents, whether they settled), from all documents.
 
     Documents are counted by their votes first, at most 3 ** rules rows, so that rounds cost nothing more. An empty table
     gives the beliefs.
@@ -109,40 +111,34 @@ def fit(docs: DataFrame, votes_of: dict[str, Column]) -> tuple[float, dict[str,
     return estimated(names, {tuple(r[f"v_{k}"] for k in names): r["n"] for r in rows})
 
 
-def log_odds(pattern: tuple[int, ...], share: float, rates: list[tuple[float, float]]) -> float:
-    """Log odds of good to bad of a document with these votes."""
-    odds = math.log((1 - share) / share)
-    for v, (bad, good) in zip(pattern, rates, strict=True):
-        if v:
-            odds += math.log(good / bad) if v < 0 else math.log((1 - good) / (1 - bad))
-    return odds
-
-
-def estimated(names: list[str], patterns: dict[tuple[int, ...], int]) -> tuple[float, dict[str, tuple[float, float]]]:
-    """Expectation-maximisation from the first guess of AGREEING bad votes, until no rate moves by SETTLED."""
-    total = sum(patterns.values())
-    bad_share = {p: float(sum(v < 0 for v in p) >= AGREEING) for p in patterns}
-    share, rates = BELIEF_SHARE, [(BELIEF_BAD, BELIEF_GOOD)] * len(names)
-    for _ in range(ROUNDS if total else 0):
-        sums = [[[belief * BELIEF_WEIGHT, BELIEF_WEIGHT] for belief in (BELIEF_BAD, BELIEF_GOOD)] for _ in names]
-        for pattern, n in sorted(patterns.items()):
-            weights = (n * bad_share[pattern], n * (1 - bad_share[pattern]))
-            for rule, v in zip(sums, pattern, strict=True):
-                if v:
-                    for side, w in zip(rule, weights, strict=True):
-                        side[0] += w * (v < 0)
-                        side[1] += w
-        before = rates
-        rates = [(bad[0] / bad[1], good[0] / good[1]) for bad, good in sums]
-        share = (sum(n * bad_share[p] for p, n in patterns.items()) + BELIEF_SHARE * BELIEF_WEIGHT) / (total + BELIEF_WEIGHT)
-        bad_share = {p: 1 / (1 + math.exp(min(500.0, log_odds(p, share, rates)))) for p in patterns}
-        if max(abs(x - y) for now, then in zip(rates, before, strict=True) for x, y in zip(now, then, strict=True)) < SETTLED:
+def estimated(names: list[str], patterns: dict[tuple[int, ...], int]) -> tuple[float, dict[str, tuple[float, float]], bool]:
+    """Expectation-maximisation from the first guess of AGREEING bad votes, until no rate moves by SETTLED.
+
+    A round is a few products of the table of patterns (at most 3 ** rules rows). The last value is false if rates still
+    moved after ROUNDS of them, as they can where the votes hold next to nothing about the rules.
+    """
+    votes_cast = np.array(sorted(patterns), dtype=np.int8).reshape(len(patterns), len(names))
+    n = np.array([patterns[p] for p in sorted(patterns)], dtype=np.float64)
+    cast, against = (votes_cast != 0).astype(np.float64), (votes_cast < 0).astype(np.float64)
+    bad = (against.sum(axis=1) >= AGREEING).astype(np.float64)
+    beliefs = np.array([[BELIEF_BAD], [BELIEF_GOOD]])
+    share, rates, settled = BELIEF_SHARE, np.repeat(beliefs, len(names), axis=1), True
+    for _ in range(ROUNDS if len(n) else 0):
+        weights = np.stack([n * bad, n * (1 - bad)])
+        before, rates = rates, (weights @ against + beliefs * BELIEF_WEIGHT) / (weights @ cast + BELIEF_WEIGHT)
+        share = (weights[0].sum() + BELIEF_SHARE * BELIEF_WEIGHT) / (n.sum() + BELIEF_WEIGHT)
+        by_vote = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+        odds = math.log((1 - share) / share) + against @ by_vote[0] + (cast - against) @ by_vote[1]
+        bad = 1 / (1 + np.exp(np.clip(odds, -500, 500)))
+        settled = bool(np.abs(rates - before).max() < SETTLED)
+        if settled:
             break
-    return share, dict(zip(names, rates, strict=True))
+    return float(share), {k: (float(rates[0][i]), float(rates[1][i])) for i, k in enumerate(names)}, settled
 
 
 def judged(docs: DataFrame, text: str = "text", into: str = "quality", keep: float = KEEP, keep_text: bool = True) -> DataFrame:
-    """docs with a struct column `into`: the measures, base_failed, p_good (posterior) and kept.
+    """docs with a struct column `into`: the measures, base_failed, p_good (posterior), settled (false if the
+    rules' rates still moved when the fit ended) and kept.
 
     The measures are written once, with the columns of docs (without the text if not keep_text), and read by both the fit
     and the verdict, so that no text is measured twice or shuffled.
@@ -156,20 +152,20 @@ def judged(docs: DataFrame, text: str = "text", into: str = "quality", keep: flo
     x = written(x if keep_text else x.drop(text), "quality")
     m = F.col(into)
     by_rule = votes(m)
-    share, rates = fit(x, by_rule)
+    share, rates, settled = fit(x, by_rule)
     evidence = [F.when(v == -1, F.lit(math.log(rates[k][1] / rates[k][0]))).when(v == 1, F.lit(math.log((1 - rates[k][1]) / (1 - rates[k][0])))).otherwise(F.lit(0.0)) for k, v in by_rule.items()]
     odds = reduce(lambda a, b: a + b, evidence, F.lit(math.log((1 - share) / share)))
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     p_good = 1 / (1 + F.exp(-odds))
-    x = x.withColumn(into, m.withField("base_failed", failed).withField("p_good", p_good))
+    x = x.withColumn(into, m.withField("base_failed", failed).withField("p_good", p_good).withField("settled", F.lit(settled)))
     return x.withColumn(into, m.withField("kept", ~m["base_failed"] & (m["p_good"] >= keep)))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good."""
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good, settled."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     m = F.col("quality")
-    names = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "base_failed", "kept", "p_good")
+    names = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "base_failed", "kept", "p_good", "settled")
     return judged(slim, keep_text=False).select("doc_id", *[m[c].alias(c) for c in names], m["lines"]["dup"].alias("n_dup_lines"))
 
 

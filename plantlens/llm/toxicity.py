@@ -26,8 +26,9 @@ from .common import alnum_words, fold, held_out
 #: Examples of each label at most.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1500, 3000
 #: A term tells the labels apart when it is this many times as frequent with one as with the other, and so many standard
-#: errors from as frequent; other terms weigh the share REST of their TF-IDF.
-LEAST_RATIO, SURE, REST = 4.0, 3.0, 0.1
+#: errors from as frequent; other terms weigh the share REST of their TF-IDF, words that no example holds too, as if one
+#: document held them. REST was chosen on folds of learnable rows (README).
+LEAST_RATIO, SURE, REST = 4.0, 3.0, 0.2
 NEAREST, BLOCK = 15, 64
 #: Terms that over this share of the examples hold are common.
 COMMON = 1 / 8
@@ -100,9 +101,10 @@ class Index:
     """Postings by term: example numbers ascending and weights, and each block's largest weight; terms by example."""
 
     #: What is sent to workers, a few bytes a posting; they build the rest from it.
-    SENT = ("terms", "idf", "prior", "curve", "ids", "y", "votes", "row", "term", "count")
+    SENT = ("terms", "idf", "unknown", "prior", "curve", "ids", "y", "votes", "row", "term", "count")
 
-    def __init__(self, terms: dict[bytes, float], examples: list[tuple[int, int, dict[bytes, int]]], class_weight: dict[int, float], prior: float):
+    def __init__(self, terms: dict[bytes, float], examples: list[tuple[int, int, dict[bytes, int]]], class_weight: dict[int, float], prior: float, unknown: float = 0.0):
+        self.unknown = unknown  # the weight of a word that isn't in the index
         self.terms, self.idf = list(terms), np.array(list(terms.values()), np.float64)
         self.prior, self.curve = prior, (1.0, 0.0)
         self.ids = np.array([e[0] for e in examples], np.int64)
@@ -135,12 +137,18 @@ class Index:
         self.most = Lists(met // max(1, self.blocks), met % max(1, self.blocks), most, len(self.terms))
 
     def query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
-        counts = {self.number[w]: n for w, n in Counter(words).items() if w in self.number}
+        """(terms of the index, their weights over the norm of all words of the text); None without any."""
+        counts, others = {}, 0.0
+        for w, n in Counter(words).items():
+            if w in self.number:
+                counts[self.number[w]] = n
+            else:
+                others += (1 + math.log(n)) ** 2
         if not counts:
             return None
         terms = np.array(sorted(counts))
         q = np.array([1 + math.log(counts[k]) for k in terms]) * self.idf[terms]
-        return terms, q / np.sqrt((q * q).sum())
+        return terms, q / np.sqrt((q * q).sum() + others * self.unknown**2)
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine over 0 (ties: the smaller number) and the cosines."""
@@ -198,10 +206,11 @@ def logistic(x: float) -> float:
     return 1 / (1 + math.exp(-min(500.0, max(-500.0, x))))
 
 
-def fitted_curve(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def fitted_curve(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, float]:
     """Slope and shift of the logistic curve from logits of votes to labels, by Newton steps on the weighted likelihood.
 
-    A Gaussian prior (variance 10) around slope 1 and shift 0 keeps it finite where the votes tell the labels apart.
+    A Gaussian prior (variance 10) around slope 1 and shift 0 keeps it finite where the votes tell the labels apart. An
+    error if it hasn't settled after `rounds` steps.
     """
     x = np.stack([[logit(v) for v in votes], np.ones(len(votes))], axis=1)
     start = np.array([1.0, 0.0])
@@ -212,8 +221,8 @@ def fitted_curve(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: i
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2) / 10, gradient)
         at = at + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
-            break
-    return float(at[0]), float(at[1])
+            return float(at[0]), float(at[1])
+    raise RuntimeError(f"the calibration has not settled after {rounds} steps")
 
 
 def calibrated(spark: SparkSession, index: Index) -> Index:
@@ -233,11 +242,23 @@ def calibrated(spark: SparkSession, index: Index) -> Index:
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> Index:
-    """The index over the sampled examples. What is brought to the driver, their texts and a count a term, the sample bounds."""
+def term_counts(sample: DataFrame) -> DataFrame:
+    """(example, y, words, counts) of the examples' texts, words in order."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            found = [sorted(Counter(alnum_words(t)).items()) for t in df["text"]]
+            yield pd.DataFrame({"example": df["example"], "y": df["y"], "words": [[w for w, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]})
+
+    kind = sample.schema["example"].dataType.simpleString()
+    return sample.select("example", "y", "text").mapInPandas(counted, f"example {kind}, y int, words array<binary>, counts array<int>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES, rest: float = REST) -> Index:
+    """The index over the sampled examples. What is brought to the driver, a count a term of each, the sample bounds."""
     sample, share = labelled(docs, labels, doc_id, text, toxic, toxic_examples, clean_examples)
     one: dict[bytes, bytes] = {}  # an object a term, however many examples hold it
-    examples = sorted(((r["example"], r["y"], {one.setdefault(w, w): n for w, n in Counter(alnum_words(r["text"])).items()}) for r in sample.select("example", "y", "text").toLocalIterator()), key=lambda e: (e[0], e[1], sorted(e[2].items())))
+    examples = sorted(((r["example"], r["y"], {one.setdefault(w, w): n for w, n in zip(map(bytes, r["words"]), r["counts"], strict=True)}) for r in term_counts(sample).toLocalIterator()), key=lambda e: (e[0], e[1], sorted(e[2].items())))
     del one
     n1 = sum(y for _, y, _ in examples)
     n0 = len(examples) - n1
@@ -251,11 +272,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     d0, d1 = (np.array([h[w] for w in terms], np.float64) for h in held)
     ratio = np.abs(np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1)))
     sure = (ratio >= SURE * np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))) & (ratio >= math.log(LEAST_RATIO))
-    weights = np.log(1 + total / np.maximum(frequency, 1)) * np.where(sure, 1.0, REST)
+    weights = np.log(1 + total / np.maximum(frequency, 1)) * np.where(sure, 1.0, rest)
     examples = [e for e in examples if e[2]]
     # Labels are sampled at their own rates; a vote counts as if they weren't.
     weight = {1: share / (n1 / (n1 + n0)), 0: (1 - share) / (n0 / (n1 + n0))}
-    index = Index(dict(zip(terms, weights.tolist(), strict=True)), examples, weight, share)
+    index = Index(dict(zip(terms, weights.tolist(), strict=True)), examples, weight, share, rest * math.log(1 + total))
     del examples, held, terms
     return calibrated(docs.sparkSession, index) if len(index.ids) > 1 else index
 

@@ -87,7 +87,7 @@ def test_skip_edges_carry_the_label(spark):
     assert field.skip[4, 4] > 2 and field.skip[1, 1] > 2
     for r in read.where("doc_id % 5 < 2").collect():
         free = [i for i, n in enumerate(r["nodes"]) if not n["label"]]
-        alone = field.posterior(r["nodes"], [])
+        alone = field.posterior(r["nodes"], [])[0]
         assert all(alone[i][[1, 4][r["doc_id"] % 5 == 0]] < pii.SURE for i in free)
 
 
@@ -103,7 +103,7 @@ def test_messages_equal_enumeration():
             for i, k in enumerate(y):
                 want[i, k] += np.exp(score)
         want /= want.sum(axis=1, keepdims=True)
-        assert np.abs(field.posterior(nodes, links) - want).max() < loose
+        assert np.abs(field.posterior(nodes, links)[0] - want).max() < loose
 
 
 def test_numbers_side_by_side_are_runs_of_their_own():
@@ -323,10 +323,10 @@ def plain_scores(docs, labels):
     for w in d0.keys() | d1.keys():
         ratio = abs(math.log((d1[w] + 0.5) / (n1 + 1)) - math.log((d0[w] + 0.5) / (n0 + 1)))
         sure = ratio >= 3 * math.sqrt(1 / (d1[w] + 0.5) + 1 / (d0[w] + 0.5)) and ratio >= math.log(4)
-        idf[w] = math.log(1 + len(words) / df[w]) * (1 if sure else 0.1)
+        idf[w] = math.log(1 + len(words) / df[w]) * (1 if sure else 0.2)
 
     def vector(c):
-        v = {w: (1 + math.log(n)) * idf[w] for w, n in c.items() if w in idf}
+        v = {w: (1 + math.log(n)) * idf.get(w, 0.2 * math.log(1 + len(words))) for w, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
@@ -346,7 +346,7 @@ def plain_scores(docs, labels):
 def test_scores_equal_plain_loops(spark):
     rng = random.Random(12)
     docs = {i: " ".join([f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 15))] + ([f"bad{rng.randrange(4)}"] if i % 5 == 0 else [])) for i in range(240)}
-    docs |= {500: None, 501: "", 502: "unheard", 503: docs[3], 504: docs[5]}
+    docs |= {500: None, 501: "", 502: "unheard", 503: docs[3], 504: docs[5], 505: docs[5] + " unheard of words, unheard again"}
     labels = {i: int(i % 5 == 0) for i in [*range(200), 503, 504]}
     got = toxicity.report(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
     want = plain_scores(docs, labels)
@@ -539,6 +539,74 @@ def test_quality_measures_equal_a_loop(spark, sf_dir):
         assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"], g["base_failed"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed)
 
 
+def log_odds(votes, share, rates):
+    """Log odds of good to bad of a document with these votes."""
+    by_vote = {-1: lambda b, g: math.log(g / b), 0: lambda b, g: 0.0, 1: lambda b, g: math.log((1 - g) / (1 - b))}
+    return math.log((1 - share) / share) + sum(by_vote[v](*r) for v, r in zip(votes, rates, strict=True))
+
+
+def test_unsettled_fits_are_reported(monkeypatch):
+    patterns, _ = drawn(random.Random(3), 2000, 0.2, (0.7, 0.6, 0.5), (0.02, 0.05, 0.3))
+    monkeypatch.setattr(quality, "ROUNDS", 2)
+    assert not quality.estimated(list("abc"), patterns)[2]
+    monkeypatch.undo()
+    assert quality.estimated(list("abc"), patterns)[2]
+    assert quality.estimated(list("abc"), {})[::2] == (quality.BELIEF_SHARE, True)
+    votes = np.linspace(0.01, 0.99, 50)
+    with pytest.raises(RuntimeError, match="not settled"):
+        toxicity.fitted_curve(votes, (votes > 0.8).astype(float), np.ones(50), rounds=2)
+
+
+def test_many_vote_patterns_are_fitted_quickly():
+    import time
+    from itertools import product
+
+    patterns = {p: 1 + sum(v < 0 for v in p) for p in product((-1, 0, 1), repeat=9)}
+    start = time.perf_counter()
+    quality.estimated([str(k) for k in range(9)], patterns)
+    assert time.perf_counter() - start < 60
+
+
+def test_messages_that_have_not_settled_are_reported(monkeypatch):
+    nodes, links = pii.read("call +49 30 1234567, or 0049 30 1234567 today, or 49301234567")
+    nodes = [dict(zip(("label", "start", "end", "known", "features"), n, strict=True)) for n in nodes]
+    field = pii.Field(np.random.default_rng(1).normal(size=(pii.LABELS, pii.FEATURES)))
+    assert links and pii.spans_of(nodes, links, field)[2]
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    assert not pii.spans_of(nodes, links, field)[2]
+
+
+@pytest.mark.parametrize("piece", ["1234567 ", "1 ", "12-", "1234567-", "+1 (2) ", "a@b ", "4111 1111 1111 1111 "])
+def test_candidates_take_time_in_proportion(piece):
+    import time
+
+    def took(n):
+        text = piece * (n // len(piece))
+        start = time.perf_counter()
+        pii.read(text)
+        return time.perf_counter() - start
+
+    took(20_000)
+    assert took(800_000) < 24 * max(took(100_000), 0.02)
+
+
+def test_the_benchmark_limit_counts_words(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a-b c, D " * 10), (2, None), (None, "x y z " * 99)], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "MOST_WORDS", 40)
+    assert len(decontamination.benchmark_items(items, "item_id", "text")) == 2
+    monkeypatch.setattr(decontamination, "MOST_WORDS", 39)
+    with pytest.raises(ValueError, match="40 words"):
+        decontamination.benchmark_items(items, "item_id", "text")
+
+
+def test_unknown_words_count_in_the_norm():
+    examples = [(k, int(k < 5), {b"bad": 1, f"x{k}".encode(): 1} if k < 5 else {b"fine": 1, f"x{k}".encode(): 1}) for k in range(10)]
+    terms = {b"bad": 3.0, b"fine": 3.0} | {f"x{k}".encode(): 0.3 for k in range(10)}
+    index = toxicity.Index(terms, examples, {0: 1.0, 1: 1.0}, 0.5, 0.5)
+    alone, among = index.score("bad"), index.score("bad " + " ".join(f"u{k}" for k in range(20_000)))
+    assert alone[2][0] > 0.9 and among[2][0] < 0.05 and abs(among[0] - 0.5) < abs(alone[0] - 0.5) / 4
+
+
 def drawn(rng, n, share, bad, good, abstain=0.05):
     """Counts of vote patterns of n documents, and of the bad ones among them."""
     patterns, truth = Counter(), Counter()
@@ -555,11 +623,11 @@ def test_expectation_maximisation_recovers_unequal_rules():
     bad, good = (0.7, 0.6, 0.5, 0.55, 0.8, 0.4), (0.02, 0.05, 0.3, 0.1, 0.01, 0.03)
     names = list("abcdef")
     patterns, truth = drawn(random.Random(3), 60_000, 0.2, bad, good)
-    share, rates = quality.estimated(names, patterns)
+    share, rates, _ = quality.estimated(names, patterns)
     assert abs(share - 0.2) < 0.02
     for name, b, g in zip(names, bad, good, strict=True):
         assert abs(rates[name][0] - b) < 0.02 and abs(rates[name][1] - g) < 0.02
-    odds = {v: quality.log_odds(v, share, [rates[k] for k in names]) for v in patterns}
+    odds = {v: log_odds(v, share, [rates[k] for k in names]) for v in patterns}
     wrong = sum(truth[v] if odds[v] > 0 else n - truth[v] for v, n in patterns.items())
     best = sum(min(truth[v], n - truth[v]) for v, n in patterns.items())
     assert wrong <= best + 0.005 * 60_000
@@ -569,8 +637,8 @@ def test_expectation_maximisation_recovers_unequal_rules():
 def test_a_misfiring_rule_costs_a_clean_corpus_nothing(rates):
     names = [str(k) for k in range(12)]
     patterns, _ = drawn(random.Random(5), 20_000, 0.0, rates, rates)
-    share, learned = quality.estimated(names, patterns)
-    lost = sum(n for v, n in patterns.items() if quality.log_odds(v, share, [learned[k] for k in names]) < 0)
+    share, learned, _ = quality.estimated(names, patterns)
+    lost = sum(n for v, n in patterns.items() if log_odds(v, share, [learned[k] for k in names]) < 0)
     assert lost <= 0.001 * 20_000
 
 
