@@ -15,16 +15,26 @@ def curve_features(df: DataFrame, keys: list[str], t: str, value: str, transfer:
     return first.join(second, keys, "left")
 
 
-def resampled(df: DataFrame, keys: list[str], t: str, value: str, bins: int = 120, margin: float = 10) -> DataFrame:
-    """Curves on `bins` bins of their own length: bin means carried forward, the first taken off, scaled to a peak of 1."""
-    last = df.groupBy(*keys).agg(F.max(t).alias("_last"))
-    placed = df.join(last, keys).withColumn("bin", F.floor(F.col(t) / (F.col("_last") + margin) * bins).cast("int")).groupBy(*keys, "bin").agg(F.avg(value).alias("_v"))
-    grid = last.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+def resampled(df: DataFrame, keys: list[str], t: str, value: str, bins: int = 120, margin: float = 10, tail: int = 12, scale_by: list[str] | None = None) -> DataFrame:
+    """Curves on `bins` bins of their own length: bin means carried forward, the median of the last `tail` bins taken off, scaled.
+
+    What is taken off is the sensor's reading once the part has released. The scale is the median of the peaks of the
+    curves that share `scale_by` (a job), which df has beside the keys; the curve's own peak if None.
+    """
+    last = df.groupBy(*keys).agg(F.max(t).alias("_last"), *[F.min(c).alias(c) for c in scale_by or []])
+    placed = df.join(last.select(*keys, "_last"), keys).withColumn("bin", F.floor(F.col(t) / (F.col("_last") + margin) * bins).cast("int")).groupBy(*keys, "bin").agg(F.avg(value).alias("_v"))
+    grid = last.select(*keys, *(scale_by or []), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    x = grid.join(placed, [*keys, "bin"], "left").withColumn("_v", F.last("_v", ignorenulls=True).over(w))
+    x = grid.join(placed, [*keys, "bin"], "left").withColumn("_v", F.coalesce(F.last("_v", ignorenulls=True).over(w), F.lit(0.0)))
     whole = Window.partitionBy(*keys)
-    x = x.withColumn("_v", F.coalesce(F.col("_v"), F.lit(0.0)) - F.min_by("_v", "bin").over(whole))
-    return x.withColumn("level", F.col("_v") / F.nullif(F.max("_v").over(whole), F.lit(0.0))).drop("_v")
+    x = x.withColumn("_v", F.col("_v") - F.median(F.when(F.col("bin") >= bins - tail, F.col("_v"))).over(whole))
+    x = x.withColumn("_peak", F.max("_v").over(whole))
+    if scale_by:
+        peaks = x.where("bin = 0").groupBy(*scale_by).agg(F.median("_peak").alias("_scale"))
+        x = x.join(peaks, scale_by, "left")
+    else:
+        x = x.withColumn("_scale", F.col("_peak"))
+    return x.withColumn("level", F.col("_v") / F.nullif(F.col("_scale"), F.lit(0.0))).drop("_v", "_peak", "_scale")
 
 
 def mean_by_phase(df: DataFrame, phase: Column, t: str, value: str) -> DataFrame:

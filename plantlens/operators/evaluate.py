@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +26,20 @@ def rates(df: DataFrame, by: list[str], flag: str, bad: str) -> DataFrame:
     return x.withColumns({"rate_bad": p, "rate_good": q, "above_chance": p - q})
 
 
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) from the md5 of seed and parts, the same on every engine."""
+    named = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+#: Where the distribution function of a Poisson(1) count passes 0, 1, 2, ... (a count over 11 has chance 1e-9).
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
 def poisson_weight(unit: Column, replicate: Column, seed: int) -> Column:
     """A Poisson(1) draw from a hash of the unit and the replicate."""
-    u = F.pmod(F.xxhash64(unit.cast("string"), replicate, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        total += term
-        term /= k
-        steps.append(F.when(u >= total, 1).otherwise(0))
-    return sum(steps[1:], steps[0])
+    passed = lambda u: sum(((u >= c).cast("int") for c in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+    return F.get(F.transform(F.array(uniform(seed, unit, replicate)), passed), F.lit(0))
 
 
 def median_interval(df: DataFrame, keys: list[str], unit: str, value: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
@@ -49,16 +56,54 @@ def median_interval(df: DataFrame, keys: list[str], unit: str, value: str, repli
 
 
 def bootstrap_interval(df: DataFrame, cluster: str, flag: str, bad: str, replicates: int = 400, seed: int = 7) -> DataFrame:
-    """One row: 2.5 and 97.5 % points of the difference of rates over resampled clusters.
+    """One row: the rates of one flag with intervals over resampled clusters; see rates_with_intervals."""
+    return rates_with_intervals(df, [], cluster, [flag], {"all": F.lit(True)}, bad, replicates, seed).drop("layer", "target")
+
 
-    A cluster's weight in a replicate is Poisson(1) from a hash of both, which any task computes alike; rows are summed
-    by cluster first, so a replicate costs one row a cluster.
+def rates_with_intervals(df: DataFrame, by: list[str], cluster: str, layers: list[str], targets: dict[str, Column], bad: str, replicates: int = 400, seed: int = 7) -> DataFrame:
+    """rates_by_target with 2.5 and 97.5 % points of all three rates over resampled clusters.
+
+    Rows are summed by cluster first, for all layers and targets at once. A cluster's weight in a replicate is Poisson(1)
+    from a hash of both, which any task computes alike; replicates are sums of one pass over clusters, with partial
+    aggregates, and replicate 0 holds the plain sums. Clusters share a weight between groups of `by`.
     """
-    per = rates(df, [cluster], flag, bad)
-    drawn = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.col(cluster), F.col("replicate"), seed))
-    s = lambda c: F.sum(F.col("w") * F.col(c))
-    one = drawn.groupBy("replicate").agg((s("flagged_bad") / F.greatest(s("n_bad"), F.lit(1)) - s("flagged_good") / F.greatest(s("n_good"), F.lit(1))).alias("d"))
-    return one.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+    sums, rows = _target_sums(layers, targets, bad)
+    per = df.groupBy(*by, F.col(cluster).alias("_cluster")).agg(*[c.alias(k) for k, c in sums.items()])
+    weight = F.when(F.col("replicate") == 0, 1).otherwise(poisson_weight(F.col("_cluster"), F.col("replicate"), seed))
+    drawn = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("_w", weight).where("_w > 0 or replicate = 0")
+    total = drawn.groupBy(*by, "replicate").agg(*[F.sum(F.col("_w") * F.col(k)).alias(k) for k in sums])
+    long = _rates(total.select(*by, "replicate", F.explode(F.array(*rows)).alias("_x")).select(*by, "replicate", "_x.*"))
+    own = F.col("replicate") == 0
+    first = lambda c: F.max(F.when(own, F.col(c))).alias(c)
+    ends = [F.percentile(F.when(~own, F.col(c)), F.lit(q)).alias(f"{c}_{end}") for c in RATES for q, end in ((0.025, "low"), (0.975, "high"))]
+    return long.groupBy(*by, "layer", "target").agg(*[first(c) for c in ("flagged_bad", "n_bad", "flagged_good", "n_good", *RATES)], *ends)
+
+
+RATES = ("rate_bad", "rate_good", "above_chance")
+
+
+def _target_sums(layers: list[str], targets: dict[str, Column], bad: str) -> tuple[dict[str, Column], list[Column]]:
+    """Aggregates of all layers and targets, and a struct a layer and target that picks its own."""
+    d = F.col(bad)
+    sums = {"_good": F.count_if(~d)}
+    for i, layer in enumerate(layers):
+        f = F.coalesce(F.col(layer), F.lit(False))
+        sums[f"_g{i}"] = F.count_if(f & ~d)
+        for j, condition in enumerate(targets.values()):
+            sums[f"_b{i}_{j}"] = F.count_if(f & d & F.coalesce(condition, F.lit(False)))
+    for j, condition in enumerate(targets.values()):
+        sums[f"_n{j}"] = F.count_if(d & F.coalesce(condition, F.lit(False)))
+    rows = [
+        F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("target"), F.col(f"_b{i}_{j}").alias("flagged_bad"), F.col(f"_n{j}").alias("n_bad"), F.col(f"_g{i}").alias("flagged_good"), F.col("_good").alias("n_good"))
+        for i, layer in enumerate(layers)
+        for j, name in enumerate(targets)
+    ]
+    return sums, rows
+
+
+def _rates(df: DataFrame) -> DataFrame:
+    p, q = (F.col(f"flagged_{k}") / F.greatest(F.col(f"n_{k}"), F.lit(1)) for k in ("bad", "good"))
+    return df.withColumns({"rate_bad": p, "rate_good": q, "above_chance": p - q})
 
 
 def layer_flags(shots: DataFrame, flagged: DataFrame, predictions: DataFrame, key: str, predicted: str, limit: float = 0.75) -> DataFrame:
@@ -91,33 +136,19 @@ def rates_by_target(df: DataFrame, by: list[str], layers: list[str], targets: di
 
     One aggregate over the table; the long form has a row a group, layer and target.
     """
-    d = F.col(bad)
-    sums = {}
-    for i, layer in enumerate(layers):
-        f = F.coalesce(F.col(layer), F.lit(False))
-        sums[f"_g{i}"] = F.count_if(f & ~d)
-        for j, condition in enumerate(targets.values()):
-            sums[f"_b{i}_{j}"] = F.count_if(f & d & F.coalesce(condition, F.lit(False)))
-    for j, condition in enumerate(targets.values()):
-        sums[f"_n{j}"] = F.count_if(d & F.coalesce(condition, F.lit(False)))
-    x = df.groupBy(*by).agg(F.count_if(~d).alias("_good"), *[c.alias(k) for k, c in sums.items()])
-    rows = [
-        F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("target"), F.col(f"_b{i}_{j}").alias("flagged_bad"), F.col(f"_n{j}").alias("n_bad"), F.col(f"_g{i}").alias("flagged_good"), F.col("_good").alias("n_good"))
-        for i, layer in enumerate(layers)
-        for j, name in enumerate(targets)
-    ]
-    x = x.select(*by, F.explode(F.array(*rows)).alias("_x")).select(*by, "_x.*")
-    p, q = (F.col(f"flagged_{k}") / F.greatest(F.col(f"n_{k}"), F.lit(1)) for k in ("bad", "good"))
-    return x.withColumns({"rate_bad": p, "rate_good": q, "above_chance": p - q})
+    sums, rows = _target_sums(layers, targets, bad)
+    x = df.groupBy(*by).agg(*[c.alias(k) for k, c in sums.items()])
+    return _rates(x.select(*by, F.explode(F.array(*rows)).alias("_x")).select(*by, "_x.*"))
 
 
-def coverage_and_chance(credited: DataFrame, qty: str, good: DataFrame, good_id: list[str], alarms: DataFrame, key: str, hour: str, layers: dict[str, int]) -> DataFrame:
+def coverage_and_chance(credited: DataFrame, qty: str, good: DataFrame, good_id: list[str], alarms: DataFrame, key: str, hour: str, layers: dict[str, int], without: tuple[str, ...] = ("virtual_metrology",)) -> DataFrame:
     """One row: share of the defects' quantity that a layer is credited with, and the share of good pieces that any layer would be.
 
-    `credited`: defects with `credited` (see lookback_credit); good pieces have an id, key and hour.
+    `credited`: defects with `credited` (see lookback_credit); good pieces have an id, key and hour. Layers named in
+    `without` say nothing of a good piece's hour (metrology is of a single cavity) and are left out of the chance.
     """
     d = credited.agg(ratio(F.sum(F.when(F.col("credited").isNotNull(), F.col(qty)).otherwise(0)).cast("double"), F.sum(qty)).alias("detected"), F.sum(qty).cast("double").alias("n_defects"))
-    g = lookback_credit(good.select(*good_id, key, hour), alarms, key, hour, layers)
+    g = lookback_credit(good.select(*good_id, key, hour), alarms, key, hour, {k: v for k, v in layers.items() if k not in without})
     g = g.agg(F.avg(F.col("credited").isNotNull().cast("int")).alias("chance"), F.count(F.lit(1)).alias("n_good"))
     return d.crossJoin(g)  # one row each
 

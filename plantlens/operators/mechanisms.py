@@ -5,29 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import elapsed, epoch, ratio
+from ..functions.scalars import elapsed, epoch, ratio, wilson
 from .asof import asof_join, range_join
+from .evaluate import median_interval, uniform
 from .windows import START, series
 
 
-def first_exceedance(df: DataFrame, keys: list[str], order: list[str], event: str, size: int, least: float, times: float, base: Column) -> DataFrame:
-    """One row per key: the first position whose trailing event sum is over max(least, times * base)."""
+def first_exceedance(df: DataFrame, keys: list[str], order: list[str], event: str, size: int = 1000, least: float = 3.0, times: float = 3.0, base_rows: int = 3000) -> DataFrame:
+    """One row per key: the first position whose trailing sum of `size` events is over max(least, times * base), and how many rows there are.
+
+    Only whole windows have a sum; the base is the mean of the sums among the key's first `base_rows` rows, 0 if there are none.
+    """
     w = series(keys, order)
-    x = df.withColumns({"_pos": F.row_number().over(w) - 1, "_sum": F.sum(F.col(event).cast("double")).over(w.rowsBetween(1 - size, 0))})
-    return x.groupBy(*keys).agg(F.min(F.when(F.col("_sum") > F.greatest(F.lit(float(least)), times * base), F.col("_pos"))).alias("exceeds_at"), F.count(F.lit(1)).alias("n"))
+    frame = w.rowsBetween(1 - size, 0)
+    x = df.withColumns({"_pos": F.row_number().over(w) - 1, "_sum": F.when(F.count(F.lit(1)).over(frame) == size, F.sum(F.col(event).cast("double")).over(frame))})
+    base = F.coalesce(F.avg(F.when(F.col("_pos") < base_rows, F.col("_sum"))).over(Window.partitionBy(*keys)), F.lit(0.0))
+    x = x.withColumn("_base", base)
+    return x.groupBy(*keys).agg(F.min(F.when(F.col("_sum") > F.greatest(F.lit(float(least)), times * F.col("_base")), F.col("_pos"))).alias("exceeds_at"), F.count(F.lit(1)).alias("n"))
 
 
 def lead(fires: DataFrame, rises: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key, how many positions the first firing (`fires_at`) is ahead of the rise (`exceeds_at`)."""
-    x = rises.join(fires, keys, "left")
-    return x.withColumns({"lead": F.col("exceeds_at") - F.col("fires_at"), "ahead": F.coalesce(F.col("fires_at") <= F.col("exceeds_at"), F.lit(False))})
+    """Per key, whether the first firing (`fires_at`) comes before the rise (`exceeds_at`), and then by how many positions."""
+    x = rises.join(fires, keys, "left").withColumn("ahead", F.coalesce(F.col("fires_at") < F.col("exceeds_at"), F.lit(False)))
+    return x.withColumn("lead", F.when(F.col("ahead"), F.col("exceeds_at") - F.col("fires_at")))
 
 
-def chance_of_lead(intervals: DataFrame, keys: list[str], draws: int = 2000, seed: int = 7) -> DataFrame:
-    """One row: the share of draws of a random position in each interval that is ahead of its rise; a draw is a hash, so runs agree."""
-    x = intervals.where("exceeds_at is not null").withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64(*keys, "_d", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    return x.agg(F.avg((u * F.col("n") <= F.col("exceeds_at")).cast("double")).alias("chance"))
+def chance_of_lead(leads: DataFrame, keys: list[str], first: int = 1000, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """One row: had the rises come at random places of their intervals, how often firings would be ahead, and by how much.
+
+    Each draw places every interval's rise evenly between `first`, where it can first be seen, and the interval's end, and
+    leaves its firing. `leads`: exceeds_at, fires_at, n; intervals without a rise are left out. Draws are hashes.
+    """
+    x = leads.where("exceeds_at is not null").withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    x = x.withColumn("_rise", first + (F.col("n") - first) * uniform(seed, *[F.col(k) for k in keys], F.col("_d")))
+    ahead = F.coalesce(F.col("fires_at") < F.col("_rise"), F.lit(False))
+    one = x.groupBy("_d").agg(F.avg(ahead.cast("int")).alias("_share"), F.median(F.when(ahead, F.col("_rise") - F.col("fires_at"))).alias("_lead"))
+    return one.agg(F.avg("_share").alias("chance"), F.percentile("_share", F.lit(0.025)).alias("chance_low"), F.percentile("_share", F.lit(0.975)).alias("chance_high"), F.median("_lead").alias("chance_lead"))
+
+
+def lead_summary(leads: DataFrame, keys: list[str], within: tuple[int, int] = (2000, 6000), replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """One row: intervals, those with a rise and with a firing, the share ahead with its interval, median lead with its, the share within a range."""
+    own = leads.withColumn("_key", F.concat_ws(":", *keys))
+    rise = F.col("exceeds_at").isNotNull()
+    counts = own.agg(
+        F.count(F.lit(1)).alias("intervals"), F.count_if(rise).alias("with_rise"), F.count_if(F.col("fires_at").isNotNull()).alias("with_firing"),
+        F.count_if(F.col("ahead")).alias("n_ahead"), F.count_if(F.col("lead").between(*within)).alias("n_within"),
+    )
+    low, high = wilson(F.col("n_ahead"), F.col("with_rise"))
+    counts = counts.withColumns({"share_ahead": ratio(F.col("n_ahead").cast("double"), F.col("with_rise")), "share_low": low, "share_high": high})
+    middle = median_interval(own.withColumn("_all", F.lit(1)), ["_all"], "_key", "lead", replicates, seed)
+    return counts.join(middle.select(F.col("median").alias("lead"), F.col("low").alias("lead_low"), F.col("high").alias("lead_high")), how="left", on=F.lit(True))  # one row each
 
 
 def matched_windows(worn: DataFrame, unworn: DataFrame, keys: list[str], value: str, length: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import evaluate as E
 from ..operators import windows as W
+from .bound_mechanisms import poisson_sql
 from .binding import Bound, points, r6, table
 from .bound_series import EPISODES
 
@@ -25,9 +26,14 @@ def detection_above_chance(spark, d):
     return E.rates(labelled(spark, d), ["source"], "long_text", "bad").select("source", r6("rate_bad"), r6("rate_good"), r6("above_chance"))
 
 
-@BOUND()
+@BOUND(f"""with {SET}, c as (select source, count(*) filter (where long_text and bad) as fb, count(*) filter (where bad) as nb, count(*) filter (where long_text and not bad) as fg, count(*) filter (where not bad) as ng from e group by 1),
+d as (select *, {poisson_sql('source', 'replicate')} as w from (select *, unnest(range(1, 401)) as replicate from c)),
+r as (select replicate, sum(w * fb) / greatest(sum(w * nb), 1) as rate_bad, sum(w * fg) / greatest(sum(w * ng), 1) as rate_good from d group by 1)
+select {", ".join(f"round(quantile_cont({e}, {q}), 6) as {c}_{end}" for c, e in (("rate_bad", "rate_bad"), ("rate_good", "rate_good"), ("above_chance", "rate_bad - rate_good")) for q, end in ((0.025, "low"), (0.975, "high")))} from r""")
 def detection_interval(spark, d):
-    return E.bootstrap_interval(labelled(spark, d), "source", "long_text", "bad")
+    """The intervals of all three rates, over resampled sources."""
+    x = E.bootstrap_interval(labelled(spark, d), "source", "long_text", "bad")
+    return x.select(*[r6(f"{c}_{end}") for c in E.RATES for end in ("low", "high")])
 
 
 @BOUND(f"with {SET} select doc_id, long_text as long_text_only, odd and not long_text as odd_only from e")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import evaluate as E
 from ..operators import mechanisms as M
 from ..operators import windows as W
 from .binding import Bound, log, points, r6, table
@@ -14,22 +15,52 @@ KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 NUM = "n as (select *, row_number() over (partition by user_id order by ts, event_id) as no from events)"
 
 
-@BOUND(f"""
-with {NUM}, s as (select user_id, no - 1 as pos, sum((value > 40)::int) over (partition by user_id order by no rows between 9 preceding and current row) as sm from n),
-r as (select user_id, min(pos) filter (where sm > 2) as exceeds_at, count(*) as n from s group by 1),
-f as (select user_id, min(no - 1) as fires_at from n where value > 60 group by 1)
-select user_id, exceeds_at::integer as exceeds_at, fires_at::integer as fires_at, (exceeds_at - fires_at)::integer as lead, coalesce(fires_at <= exceeds_at, false) as ahead from r left join f using (user_id)""")
-def vent_lead(spark, d):
+RISES = f"""{NUM}, s as (select user_id, no - 1 as pos, case when count(*) over w = 10 then sum((value > 40)::int) over w end as sm from n window w as (partition by user_id order by no rows between 9 preceding and current row)),
+b as (select user_id, coalesce(avg(sm) filter (where pos < 30), 0) as base from s group by 1),
+r as (select user_id, min(pos) filter (where sm > greatest(2, 1.2 * base)) as exceeds_at, count(*) as n from s join b using (user_id) group by 1),
+f as (select user_id, min(no - 1) as fires_at from n where value > 100 group by 1),
+leads as (select user_id, exceeds_at, fires_at, n, coalesce(fires_at < exceeds_at, false) as ahead, case when fires_at < exceeds_at then exceeds_at - fires_at end as lead from r left join f using (user_id))"""
+
+
+def leads_of(spark, d):
     p = W.numbered(points(spark, d), KEYS, ORDER).withColumn("hot", F.col("value") > 40)
-    rises = M.first_exceedance(p, KEYS, ORDER, "hot", 10, 2, 0.0, F.lit(0.0))
-    fires = p.where("value > 60").groupBy("user_id").agg(F.min(F.col("point_no") - 1).alias("fires_at"))
-    return M.lead(fires, rises, KEYS).select("user_id", "exceeds_at", "fires_at", "lead", "ahead")
+    rises = M.first_exceedance(p, KEYS, ORDER, "hot", 10, 2, 1.2, 30)
+    fires = p.where("value > 100").groupBy("user_id").agg(F.min(F.col("point_no") - 1).alias("fires_at"))
+    return M.lead(fires, rises, KEYS)
+
+
+@BOUND(f"with {RISES} select user_id, exceeds_at::integer as exceeds_at, fires_at::integer as fires_at, lead::integer as lead, ahead from leads")
+def vent_lead(spark, d):
+    return leads_of(spark, d).select("user_id", "exceeds_at", "fires_at", "lead", "ahead")
+
+
+def uniform_sql(seed: int, *parts: str) -> str:
+    named = " || ':' || ".join([f"'{seed}'", *(f"coalesce({p}::varchar, '')" for p in parts)])
+    return f"(('0x' || substr(md5({named}), 1, 8))::bigint / 4294967296.0::double)"
+
+
+def poisson_sql(unit: str, replicate: str, seed: int = 7) -> str:
+    return "list_sum(list_transform([" + ", ".join(repr(c) for c in E.POISSON) + f"], lambda c: ({uniform_sql(seed, unit, replicate)} >= c)::int))::bigint"
 
 
-@BOUND()
+@BOUND(f"""with {RISES}, x as (select user_id, fires_at, draw, 10 + (n - 10) * {uniform_sql(7, 'user_id', 'draw')} as rise from (select *, unnest(range(1, 201)) as draw from leads where exceeds_at is not null)),
+one as (select draw, avg(coalesce(fires_at < rise, false)::int) as share, median(rise - fires_at) filter (where fires_at < rise) as lead from x group by 1)
+select round(avg(share), 6) as chance, round(quantile_cont(share, 0.025), 6) as chance_low, round(quantile_cont(share, 0.975), 6) as chance_high, round(median(lead), 6) as chance_lead from one""")
 def vent_lead_by_chance(spark, d):
-    p = points(spark, d).withColumn("hot", F.col("value") > 40)
-    return M.chance_of_lead(M.first_exceedance(p, KEYS, ORDER, "hot", 10, 2, 0.0, F.lit(0.0)), KEYS, draws=200)
+    x = M.chance_of_lead(leads_of(spark, d), KEYS, first=10, draws=200)
+    return x.select(*[r6(c) for c in ("chance", "chance_low", "chance_high", "chance_lead")])
+
+
+@BOUND(f"""with {RISES}, own as (select * from leads where lead is not null), drawn as (select *, {poisson_sql('user_id', 'replicate')} as w from (select user_id, lead, unnest(range(1, 201)) as replicate from own)),
+m as (select replicate, median(lead) as m from (select replicate, lead, unnest(range(w)) from drawn) group by 1),
+c as (select count(*) as intervals, count(exceeds_at) as with_rise, count(fires_at) as with_firing, count(*) filter (where ahead) as n_ahead, count(*) filter (where lead between 2 and 6) as n_within from leads), p as (select *, n_ahead / nullif(with_rise, 0) as share from c)
+select intervals, with_rise, with_firing, n_ahead, n_within, round(share, 6) as share_ahead, round((share + 1.96 * 1.96 / (2 * with_rise)) / (1 + 1.96 * 1.96 / with_rise) - 1.96 * sqrt(share * (1 - share) / with_rise + 1.96 * 1.96 / (4 * with_rise * with_rise)) / (1 + 1.96 * 1.96 / with_rise), 6) as share_low,
+    round((share + 1.96 * 1.96 / (2 * with_rise)) / (1 + 1.96 * 1.96 / with_rise) + 1.96 * sqrt(share * (1 - share) / with_rise + 1.96 * 1.96 / (4 * with_rise * with_rise)) / (1 + 1.96 * 1.96 / with_rise), 6) as share_high,
+    (select round(median(lead), 6) from own) as lead, (select round(quantile_cont(m, 0.025), 6) from m) as lead_low, (select round(quantile_cont(m, 0.975), 6) from m) as lead_high from p""")
+def vent_summary(spark, d):
+    """How often the detector is ahead of the rise, and by how much, with intervals."""
+    x = M.lead_summary(leads_of(spark, d), KEYS, (2, 6), replicates=200)
+    return x.select("intervals", "with_rise", "with_firing", "n_ahead", "n_within", *[r6(c) for c in ("share_ahead", "share_low", "share_high", "lead", "lead_low", "lead_high")])
 
 
 @BOUND(f"""

@@ -107,6 +107,10 @@ def models_of(t: dict[str, DataFrame], shots: DataFrame) -> dict[str, DataFrame]
     return t
 
 
+def with_approval(t: dict[str, DataFrame], shots: DataFrame) -> DataFrame:
+    return shots.join(t["first_shot_approvals"].select("job_id", "approval_ts"), "job_id", "left").withColumn("after_approval", F.col("shot_ts") >= F.col("approval_ts"))
+
+
 def context_of(t: dict[str, DataFrame], shots: DataFrame) -> DataFrame:
     return models_of(t, shots)["shot_context"]
 

@@ -203,11 +203,14 @@ def curve_features(spark, d):
 @BOUND(f"""
 with c as (select * from {CURVE}), l as (select vec_id, max(t) as last from c group by 1),
 p as (select vec_id, floor(t / (last + 10) * 24)::integer as bin, avg(v) as v from c join l using (vec_id) group by 1, 2),
-g as (select vec_id, unnest(range(24))::integer as bin from l), j as (select vec_id, bin, last_value(v ignore nulls) over (partition by vec_id order by bin) as v from g left join p using (vec_id, bin)),
-b as (select *, coalesce(v, 0) - first_value(v) over (partition by vec_id order by bin) as w from j)
-select vec_id, bin, round(w / nullif(max(w) over (partition by vec_id), 0), 6) as level from b""")
+g as (select vec_id, unnest(range(24))::integer as bin from l), j as (select vec_id, bin, coalesce(last_value(v ignore nulls) over (partition by vec_id order by bin), 0) as v from g left join p using (vec_id, bin)),
+b as (select vec_id, median(v) as held from j where bin >= 12 group by 1), k as (select vec_id, bin, v - held as w from j join b using (vec_id)),
+m as (select label, median(peak) as scale from (select vec_id, max(w) as peak from k group by 1) join embeddings using (vec_id) group by 1)
+select vec_id, bin, round(w / nullif(scale, 0), 6) as level from k join embeddings using (vec_id) join m using (label)""")
 def curve_resample(spark, d):
-    return V.resampled(curves(spark, d), ["vec_id"], "t", "v", bins=24).select("vec_id", "bin", r6("level"))
+    """Each vector is a curve, its label the job."""
+    x = curves(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    return V.resampled(x, ["vec_id"], "t", "v", bins=24, scale_by=["label"]).select("vec_id", "bin", r6("level"))
 
 
 @BOUND(f"with c as (select * from {CURVE}) select case when label < 5 then 'early' else 'late' end as phase, t, round(avg(v), 6) as mean, count(v) as n from c join embeddings using (vec_id) group by 1, 2")

@@ -17,6 +17,7 @@ from ..operators import status as T
 from ..operators import windows as W
 from . import bound_molding as B
 from . import molding as M
+from .bound_mechanisms import poisson_sql
 from .binding import Bound, log, points, r6, table
 
 BOUND = Bound()
@@ -201,17 +202,16 @@ def sensor_rates(spark, d):
     return x.select("name", r6("value"))
 
 
-@BOUND(B.CONTEXT + """, last as (select c.shot_id, arg_max(s.new_value, s.change_ts) as v from counted c join setpoint_changes s on s.job_id = c.job_id and s.parameter = 'hold_pressure_bar' and s.change_ts <= c.shot_ts group by 1)
+@BOUND(B.CONTEXT + """, last as (select c.shot_id, arg_max(s.new_value, s.change_ts) as v from counted c join setpoint_changes s on s.job_id = c.job_id and s.parameter = 'hold_pressure_bar' and s.new_value is not null and s.change_ts <= c.shot_ts group by 1)
 select 'setpoint_in_force' as check_name, count(*) as n, count(v) as n_changed, 0::bigint as n_violations from counted left join last using (shot_id)
 union all select 'load_before_shot', count(*), count(l.load_ts), 0 from counted c asof left join loads l on c.press_id = l.press_id and c.shot_ts >= l.load_ts
 union all select 'counters_not_negative', count(*), count(m.event_ts), 0 from counted c asof left join (select * from molds where event_type = 'PM') m on c.mold_id = m.mold_id and c.shot_ts >= m.event_ts""")
 def context_replay(spark, d):
-    """The context against another way to the same: the setpoint in force by max_by over an inequality join, times, signs."""
+    """The context against another way to the same: the setpoint in force by validity ranges, times, signs."""
     t = B.sources(spark, d)
     x = B.context_of(t, B.shots_of(t))
-    c = t["setpoint_changes"].where("parameter = 'hold_pressure_bar'").select(F.col("job_id").alias("_job"), "change_ts", "new_value")
-    last = x.select("shot_id", "job_id", "shot_ts").join(c, (F.col("job_id") == F.col("_job")) & (F.col("change_ts") <= F.col("shot_ts"))).groupBy("shot_id").agg(F.max_by("new_value", "change_ts").alias("v"))
-    y = x.join(last, "shot_id", "left")
+    c = t["setpoint_changes"].where("parameter = 'hold_pressure_bar' and new_value is not null").select("job_id", "change_ts", "change_id", F.col("new_value").alias("v"))
+    y = A.interval_join(x, c, ["job_id"], "shot_ts", "change_ts", ["v"], tie="change_id")
     off = F.abs(F.coalesce("v", "sheet_hold_pressure_bar") - F.col("sheet_hold_pressure_bar") - F.col("delta_hold_pressure_bar")) > 1e-6
     row = lambda name, changed, bad: y.agg(F.count(F.lit(1)).alias("n"), F.count(changed).alias("n_changed"), F.count_if(bad).alias("n_violations")).select(F.lit(name).alias("check_name"), "n", "n_changed", "n_violations")
     return row("setpoint_in_force", "v", off).unionByName(row("load_before_shot", "load_at", F.col("load_at") > F.col("shot_ts"))).unionByName(row("counters_not_negative", "shots_since_PM", F.col("shots_since_PM") < 0))
@@ -225,54 +225,121 @@ def defect_loads(spark, d):
     return A.asof_join(defects, t["material_loads"], ["press_id"], "ts", "load_ts", ["load_id", "dryer_id"], tie="load_id").select("event_id", "load_id", "dryer_id")
 
 
-PIECES = """p as (select l_orderkey as audit_id, l_linenumber, l_returnflag = 'R' as defective, l_shipdate, case when l_returnflag = 'R' then ['flash', 'sink', 'dimensional', 'warp', 'splay'][1 + l_partkey % 5] end as code,
-    l_quantity > 45 as template_sort, l_discount > 0.08 as rules, l_tax > 0.06 as drift, l_extendedprice > 60000 as anomaly, l_quantity * l_discount > 3 as virtual_metrology from lineitem)"""
+CODES = ("short_shot", "flash", "sink", "void", "dimensional", "warp", "weld_line", "burn", "gate_vestige", "other", "splay", "black_specks", "contamination")
+PIECES = f"""p as (select l_orderkey as audit_id, l_linenumber, l_returnflag = 'R' as defective, l_shipdate, case when l_returnflag = 'R' then {list(CODES)}[1 + l_partkey % 13] end as code,
+    l_quantity > 45 as template_sort, l_discount > 0.08 as rules, l_tax > 0.06 as drift, l_extendedprice > 60000 as anomaly, l_quantity * l_discount > 3 as virtual_metrology, l_extendedprice > 60000 or l_quantity * l_discount > 3 as ml_layers from lineitem)"""
 LAYERS = ["template_sort", "rules", "drift", "anomaly", "virtual_metrology"]
-GROUPS = {"Fill volume": ("short_shot", "flash"), "Packing and shrinkage": ("sink", "void", "dimensional", "warp"), "Dimensional and warp": ("dimensional", "warp"), "Material": ("splay", "black_specks", "contamination")}
+RATES = ("rate_bad", "rate_good", "above_chance")
+#: Groups of defect codes, and the codes that metrology sees.
+GROUPS = {"Fill volume": ("short_shot", "flash"), "Packing and shrinkage": ("sink", "void", "dimensional", "warp"), "Flow front": ("weld_line", "burn"), "Gate and other": ("gate_vestige", "other"), "Material": ("splay", "black_specks", "contamination")}
+MEASURED = {"Dimensional and warp": ("dimensional", "warp")}
 
 
 def pieces(spark, d):
     x = table(spark, d, "lineitem")
-    code = F.element_at(F.array(*map(F.lit, ("flash", "sink", "dimensional", "warp", "splay"))), (1 + F.col("l_partkey") % 5).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, CODES)), (1 + F.col("l_partkey") % 13).cast("int"))
     flags = {"template_sort": F.col("l_quantity") > 45, "rules": F.col("l_discount") > 0.08, "drift": F.col("l_tax") > 0.06, "anomaly": F.col("l_extendedprice") > 60000, "virtual_metrology": F.col("l_quantity") * F.col("l_discount") > 3}
     bad = F.col("l_returnflag") == "R"
-    return x.select(F.col("l_orderkey").alias("audit_id"), "l_linenumber", bad.alias("defective"), "l_shipdate", F.when(bad, code).alias("code"), *[c.alias(k) for k, c in flags.items()])
+    x = x.select(F.col("l_orderkey").alias("audit_id"), "l_linenumber", bad.alias("defective"), "l_shipdate", F.when(bad, code).alias("code"), *[c.alias(k) for k, c in flags.items()])
+    return x.withColumn("ml_layers", F.col("anomaly") | F.col("virtual_metrology"))
+
+
+def targets(groups=None):
+    return {"All defects": F.lit(True)} | {g: F.col("code").isin(*codes) for g, codes in (groups or GROUPS | MEASURED).items()}
 
 
-def targets():
-    return {"All defects": F.lit(True)} | {g: F.col("code").isin(*codes) for g, codes in GROUPS.items()}
+def intervals_sql(source: str, layers: list[str], groups: dict[str, tuple[str, ...]], by: str = "", replicates: int = 400) -> str:
+    """Rates with intervals: every layer and target by itself, from sums by cluster and drawn weights."""
+    out = []
+    for layer in layers:
+        for name, codes in {"All defects": None, **groups}.items():
+            held = "true" if codes is None else f"code in ({', '.join(map(repr, codes))})"
+            c = "select audit_id" + (f", {by}" if by else "") + f", count(*) filter (where {layer} and defective and {held}) as fb, count(*) filter (where defective and {held}) as nb, count(*) filter (where {layer} and not defective) as fg, count(*) filter (where not defective) as ng from {source} group by all"
+            out.append(f"select {by + ', ' if by else ''}'{layer}' as layer, '{name}' as target, replicate, sum(w * fb) as fb, sum(w * nb) as nb, sum(w * fg) as fg, sum(w * ng) as ng from ({c}) join weights using (audit_id) group by all")
+    group = f"{by}, " if by else ""
+    ends = ", ".join(f"round(quantile_cont({c}, {q}) filter (where replicate > 0), 6) as {c}_{end}" for c in RATES for q, end in ((0.025, "low"), (0.975, "high")))
+    return f"""weights as materialized (select audit_id, replicate, case when replicate = 0 then 1 else {poisson_sql('audit_id', 'replicate')} end as w from (select audit_id, unnest(range({replicates} + 1)) as replicate from (select distinct audit_id from {source}))),
+long as (select *, fb / greatest(nb, 1) as rate_bad, fg / greatest(ng, 1) as rate_good, fb / greatest(nb, 1) - fg / greatest(ng, 1) as above_chance from ({' union all '.join(out)}))
+select {group}layer, target, max(fb) filter (where replicate = 0)::bigint as flagged_bad, max(nb) filter (where replicate = 0)::bigint as n_bad, max(fg) filter (where replicate = 0)::bigint as flagged_good, max(ng) filter (where replicate = 0)::bigint as n_good, {", ".join(f"round(max({c}) filter (where replicate = 0), 6) as {c}" for c in RATES)}, {ends} from long group by {group}layer, target"""
 
 
 def targets_sql(where: str, layers: list[str], by: str = "") -> str:
     rows = []
     for layer in layers:
-        for name, codes in {"All defects": None, **GROUPS}.items():
+        for name, codes in {"All defects": None, **GROUPS, **MEASURED}.items():
             held = "true" if codes is None else f"code in {codes}"
             rows.append(f"select {by} '{layer}' as layer, '{name}' as target, count(*) filter (where {layer} and defective and {held}) as flagged_bad, count(*) filter (where defective and {held}) as n_bad, count(*) filter (where {layer} and not defective) as flagged_good, count(*) filter (where not defective) as n_good from p where {where} {'group by ' + by.rstrip(', ') if by else ''}")
     return f"select *, round(flagged_bad / greatest(n_bad, 1), 6) as rate_bad, round(flagged_good / greatest(n_good, 1), 6) as rate_good, round(flagged_bad / greatest(n_bad, 1) - flagged_good / greatest(n_good, 1), 6) as above_chance from ({' union all '.join(rows)})"
 
 
-RATES = ("rate_bad", "rate_good", "above_chance")
+ENDS = [f"{c}_{end}" for c in RATES for end in ("low", "high")]
 
 
-@BOUND(f"with {PIECES} " + targets_sql("true", LAYERS))
+@BOUND(f"with {PIECES} " + targets_sql("true", [*LAYERS, "ml_layers"]))
 def layers_by_target(spark, d):
-    x = E.rates_by_target(pieces(spark, d), [], LAYERS, targets(), "defective")
+    x = E.rates_by_target(pieces(spark, d), [], [*LAYERS, "ml_layers"], targets(), "defective")
     return x.withColumns({c: r6(c) for c in RATES})
 
 
-@BOUND(f"with p0 as (with {PIECES} select * from p), p as (select *, month(l_shipdate) between 6 and 9 as warm, template_sort as template_sort_only, rules and not template_sort as rules_only, drift and not (template_sort or rules) as drift_only from p0) " + targets_sql("true", ["template_sort_only", "rules_only", "drift_only"], "warm, "))
+@BOUND(f"with {PIECES}, " + intervals_sql("p", [*LAYERS, "ml_layers"], GROUPS | MEASURED, replicates=100))
+def layer_intervals(spark, d):
+    """Every layer and target with the intervals of its three rates, over resampled orders."""
+    x = E.rates_with_intervals(pieces(spark, d), [], "audit_id", [*LAYERS, "ml_layers"], targets(), "defective", replicates=100)
+    return x.withColumns({c: r6(c) for c in (*RATES, *ENDS)})
+
+
+def only_sql(source: str) -> str:
+    """Flags of layers that no earlier layer raised; the model layers together after the charts."""
+    earlier, out = [], []
+    for layer in LAYERS:
+        out.append(f"{layer} and not ({' or '.join(earlier) or 'false'}) as {layer}_only")
+        earlier.append(layer)
+    return f"select *, month(l_shipdate) between 6 and 9 as warm, {', '.join(out)}, ml_layers and not (template_sort or rules or drift) as ml_layers_only from {source}"
+
+
+ONLY = [f"{layer}_only" for layer in (*LAYERS, "ml_layers")]
+
+
+def only(spark, d):
+    x = E.incremental(pieces(spark, d), LAYERS).withColumn("warm", F.month("l_shipdate").between(6, 9))
+    return x.withColumn("ml_layers_only", F.col("ml_layers") & ~(F.col("template_sort") | F.col("rules") | F.col("drift")))
+
+
+@BOUND(f"with p0 as (with {PIECES} select * from p), p as ({only_sql('p0')}) " + targets_sql("true", ONLY, "warm, "))
 def incremental_by_season(spark, d):
-    x = E.incremental(pieces(spark, d), ["template_sort", "rules", "drift"]).withColumn("warm", F.month("l_shipdate").between(6, 9))
-    x = E.rates_by_target(x, ["warm"], ["template_sort_only", "rules_only", "drift_only"], targets(), "defective")
+    x = E.rates_by_target(only(spark, d), ["warm"], ONLY, targets(), "defective")
     return x.withColumns({c: r6(c) for c in RATES})
 
 
-@BOUND(f"with {PIECES} select count(*) as n_pieces, count(*) filter (where defective) as n_defective, round(avg((l_shipdate < timestamp '1996-01-01')::int) filter (where defective), 6) as early_share, round(count(*) filter (where template_sort and defective) / greatest(count(*) filter (where defective), 1), 6) as template_rate_bad from p")
-def evaluation_context(spark, d):
+@BOUND(f"with p0 as (with {PIECES} select * from p), p as ({only_sql('p0')}), " + intervals_sql("p", ONLY, GROUPS, "warm", replicates=50))
+def incremental_intervals(spark, d):
+    """What each layer adds to the ones before it, in the warm season and outside it, with intervals."""
+    x = E.rates_with_intervals(only(spark, d), ["warm"], "audit_id", ONLY, targets(GROUPS), "defective", replicates=50)
+    return x.withColumns({c: r6(c) for c in (*RATES, *ENDS)})
+
+
+BY_CODE = {code: (code,) for code in CODES}
+
+
+@BOUND(f"with p0 as (with {PIECES} select * from p), p as (select *, {' or '.join(LAYERS)} as any_layer from p0), x as (" + "with " + intervals_sql("p", ["template_sort", "any_layer"], BY_CODE, replicates=50) + f") select x.*, map_from_entries({[(c, g) for g, cs in GROUPS.items() for c in cs]})[target] as code_group from x where target <> 'All defects' and n_bad > 0")
+def detection_by_code(spark, d):
+    """By single defect code: how often the template saw it, and any layer."""
     x = pieces(spark, d)
+    x = x.withColumn("any_layer", F.greatest(*[F.col(c).cast("int") for c in LAYERS]) > 0)
+    x = E.rates_with_intervals(x, [], "audit_id", ["template_sort", "any_layer"], targets(BY_CODE), "defective", replicates=50).where("target <> 'All defects' and n_bad > 0")
+    group = F.create_map(*[F.lit(v) for g, codes in GROUPS.items() for c in codes for v in (c, g)])
+    return x.withColumns({c: r6(c) for c in (*RATES, *ENDS)} | {"code_group": group[F.col("target")]})
+
+
+@BOUND(f"with p0 as (with {PIECES} select * from p), p as (select * from p0), x as (with " + intervals_sql("p", ["template_sort", "rules", "drift"], GROUPS, replicates=50) + """)
+select x.*, n_pieces, n_defective, early_share from x, (select count(*) as n_pieces, count(*) filter (where defective) as n_defective, round(avg((l_shipdate < timestamp '1996-01-01')::int) filter (where defective), 6) as early_share from p)""")
+def evaluation_context(spark, d):
+    """The chart layers over all pieces by group, beside how many pieces and defects there are, and the defects' share before the evaluation."""
+    p = pieces(spark, d)
     early = F.avg(F.when(F.col("defective"), (F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).cast("int")))
-    return x.agg(F.count(F.lit(1)).alias("n_pieces"), F.count_if("defective").alias("n_defective"), r6(early, "early_share"), r6(F.count_if(F.col("template_sort") & F.col("defective")) / F.greatest(F.count_if("defective"), F.lit(1)), "template_rate_bad"))
+    head = p.agg(F.count(F.lit(1)).alias("n_pieces"), F.count_if("defective").alias("n_defective"), r6(early, "early_share"))
+    x = E.rates_with_intervals(p, [], "audit_id", ["template_sort", "rules", "drift"], targets(GROUPS), "defective", replicates=50)
+    return x.withColumns({c: r6(c) for c in (*RATES, *ENDS)}).crossJoin(F.broadcast(head))  # one row
 
 
 @BOUND("""with m as (select event_id, max(abs(y)) as most from (select event_id, value / 100 - 0.2 as y from events union all select event_id, 0.3 - value / 150 from events) group by 1)
@@ -315,7 +382,7 @@ def credit_shares(spark, d):
 
 
 @BOUND(f"""with {CREDIT}, g as (select event_id, user_id, floor(epoch(ts) / 3600)::bigint as hour from events where event_type = 'signup'),
-h as (select g.event_id, count(a.layer) > 0 as hit from g left join a on g.user_id = a.user_id and a.hour between g.hour - case a.layer when 'virtual_metrology' then 24 else 8 end and g.hour group by 1)
+h as (select g.event_id, count(a.layer) > 0 as hit from g left join a on g.user_id = a.user_id and a.hour between g.hour - 8 and g.hour and a.layer <> 'virtual_metrology' group by 1)
 select round(sum(case when credited is not null then qty else 0 end) / sum(qty), 6) as detected, sum(qty)::double as n_defects, (select round(avg(hit::int), 6) from h) as chance, (select count(*) from h) as n_good from c""")
 def coverage_and_chance(spark, d):
     c, alarms, good = credited(spark, d)
@@ -364,11 +431,13 @@ def matched_unworn(spark, d):
     return N.matched_jobs(jobs.where("wear > 55"), jobs.where("wear < 48"), "mold", "user_id", "n", "first_fire").select("user_id", "n", "fired", "n_matched", "n_fired")
 
 
-@BOUND()
+@BOUND(f"""with own as (select user_id, event_id, value from events where event_type = 'signup'), drawn as (select *, {poisson_sql('event_id', 'replicate')} as w from (select *, unnest(range(1, 201)) as replicate from own)),
+m as (select user_id, replicate, median(value) as m from (select user_id, replicate, value, unnest(range(w)) from drawn) group by 1, 2), e as (select user_id, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by 1)
+select user_id, round(median(value), 6) as median, count(value) as n, round(low, 6) as low, round(high, 6) as high from own join e using (user_id) group by user_id, low, high""")
 def median_interval(spark, d):
-    """Bootstrap intervals; tests hold them against resampling with numpy."""
+    """Bootstrap intervals of medians."""
     x = points(spark, d).where("event_type = 'signup'")
-    return E.median_interval(x, ["user_id"], "event_id", "value", replicates=200)
+    return E.median_interval(x, ["user_id"], "event_id", "value", replicates=200).select("user_id", r6("median"), "n", r6("low"), r6("high"))
 
 
 @BOUND(f"""with m as (select l_suppkey, {MONTH} as month_ts, stddev_samp(l_quantity) as rmse, covar_samp(l_quantity, l_extendedprice) / nullif(stddev_samp(l_quantity) * stddev_samp(l_extendedprice), 0) as r from lineitem group by 1, 2)

@@ -157,9 +157,30 @@ def test_forest_finds_the_odd_row(spark):
 
 
 def test_resampled_curve(spark):
-    df = spark.createDataFrame([(1, t, float(t)) for t in range(10)], "id int, t int, v double")
-    got = curves.resampled(df, ["id"], "t", "v", bins=8, margin=1).orderBy("bin").collect()
-    assert len(got) == 8 and got[0]["level"] == 0.0 and max(r["level"] for r in got) == 1.0
+    """Three curves of two jobs against numpy: bins of their own length, the tail's median off, the job's median peak as scale."""
+    import numpy as np
+
+    rng = random.Random(4)
+    shape = {1: ("a", 50), 2: ("a", 33), 3: ("b", 9)}
+    rows = [(k, job, t * 10, 3 + 5 * t * (n - t) / n + rng.random()) for k, (job, n) in shape.items() for t in range(n)]
+    bins, tail, want, peak = 16, 4, {}, {}
+    for k, (_, n) in shape.items():
+        own = [(t, v) for i, _, t, v in rows if i == k]
+        grid, level = [], 0.0
+        for b in range(bins):
+            inside = [v for t, v in own if int(t / ((n - 1) * 10 + 10) * bins) == b]
+            level = float(np.mean(inside)) if inside else level
+            grid.append(level)
+        want[k] = np.array(grid) - np.median(grid[-tail:])
+        peak[k] = want[k].max()
+    df = spark.createDataFrame(rows, "id int, job string, t int, v double")
+    got = {}
+    for r in curves.resampled(df, ["id"], "t", "v", bins=bins, margin=10, tail=tail, scale_by=["job"]).collect():
+        got[r["id"], r["bin"]] = r["level"]
+    scale = {"a": np.median([peak[1], peak[2]]), "b": peak[3]}
+    assert got == {(k, b): pytest.approx(want[k][b] / scale[shape[k][0]]) for k in want for b in range(bins)}
+    own = curves.resampled(df, ["id"], "t", "v", bins=bins, tail=tail).groupBy("id").agg(F.max("level").alias("m")).collect()
+    assert [r["m"] for r in own] == [1.0] * 3
 
 
 def test_checks_on_empty(spark):
