@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -138,17 +139,16 @@ class Index:
 
     def query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """(terms of the index, their weights over the norm of all words of the text); None without any."""
-        counts, others = {}, 0.0
-        for w, n in Counter(words).items():
-            if w in self.number:
-                counts[self.number[w]] = n
-            else:
-                others += (1 + math.log(n)) ** 2
-        if not counts:
+        counts = Counter(words)
+        found = np.fromiter(map(self.number.get, counts, repeat(-1)), np.int64, len(counts))
+        weight = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        at = np.flatnonzero(found >= 0)
+        if not len(at):
             return None
-        terms = np.array(sorted(counts))
-        q = np.array([1 + math.log(counts[k]) for k in terms]) * self.idf[terms]
-        return terms, q / np.sqrt((q * q).sum() + others * self.unknown**2)
+        at = at[np.argsort(found[at])]
+        terms, q = found[at], weight[at] * self.idf[found[at]]
+        others = (weight * weight).sum() - (weight[at] * weight[at]).sum()
+        return terms, q / np.sqrt((q * q).sum() + max(0.0, others) * self.unknown**2)
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine over 0 (ties: the smaller number) and the cosines."""
@@ -243,22 +243,22 @@ def calibrated(spark: SparkSession, index: Index) -> Index:
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
-    """(example, y, words, counts) of the examples' texts, words in order."""
+    """(example, y, words, counts) of the examples' texts; words in order, joined by spaces."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             found = [sorted(Counter(alnum_words(t)).items()) for t in df["text"]]
-            yield pd.DataFrame({"example": df["example"], "y": df["y"], "words": [[w for w, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]})
+            yield pd.DataFrame({"example": df["example"], "y": df["y"], "words": [b" ".join(w for w, _ in f) for f in found], "counts": [[n for _, n in f] for f in found]})
 
     kind = sample.schema["example"].dataType.simpleString()
-    return sample.select("example", "y", "text").mapInPandas(counted, f"example {kind}, y int, words array<binary>, counts array<int>")
+    return sample.select("example", "y", "text").mapInPandas(counted, f"example {kind}, y int, words binary, counts array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES, rest: float = REST) -> Index:
     """The index over the sampled examples. What is brought to the driver, a count a term of each, the sample bounds."""
     sample, share = labelled(docs, labels, doc_id, text, toxic, toxic_examples, clean_examples)
     one: dict[bytes, bytes] = {}  # an object a term, however many examples hold it
-    examples = sorted(((r["example"], r["y"], {one.setdefault(w, w): n for w, n in zip(map(bytes, r["words"]), r["counts"], strict=True)}) for r in term_counts(sample).toLocalIterator()), key=lambda e: (e[0], e[1], sorted(e[2].items())))
+    examples = sorted(((r["example"], r["y"], {one.setdefault(w, w): n for w, n in zip(bytes(r["words"]).split(), r["counts"], strict=True)}) for r in term_counts(sample).toLocalIterator()), key=lambda e: (e[0], e[1], sorted(e[2].items())))
     del one
     n1 = sum(y for _, y, _ in examples)
     n0 = len(examples) - n1
