@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-TREES, SAMPLE, FIT_ROWS = 50, 256, 60_000
+TREES, SAMPLE, FIT_ROWS = 200, 4096, 60_000
+#: Rows that one task scores with a group's forest at a time.
+CHUNK = 200_000
 
 
 def average_path(n: float) -> float:
@@ -18,74 +20,95 @@ def average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def grown(x: np.ndarray, rng: np.random.Generator, depth: int) -> list:
-    """A tree as nested [feature, cut, low, high]; a leaf is what its rows add to the path."""
-    spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else []
-    if depth == 0 or not len(spread):
-        return [average_path(len(x))]
-    f = int(rng.choice(spread))
-    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-    low = x[:, f] < cut
-    return [f, cut, grown(x[low], rng, depth - 1), grown(x[~low], rng, depth - 1)]
-
-
-def depths(tree: list, x: np.ndarray) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), tree[0])
-    out = np.empty(len(x))
-    low = x[:, tree[0]] < tree[1]
-    out[low], out[~low] = depths(tree[2], x[low]), depths(tree[3], x[~low])
-    return 1.0 + out
+def grown(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[list[int], list[float], list[int]]:
+    """A tree as (feature, cut, low child) of its nodes; the high child follows the low one. A leaf has feature -1 and as its cut what its rows add to the path."""
+    feature, cut, low, todo = [-1], [0.0], [0], [(0, x, depth)]
+    while todo:
+        node, rows, left = todo.pop()
+        spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 and left else []
+        if not len(spread):
+            cut[node] = average_path(len(rows))
+            continue
+        f = int(rng.choice(spread))
+        at = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+        feature[node], cut[node], low[node] = f, at, len(feature)
+        below = rows[:, f] < at
+        for part in (rows[below], rows[~below]):
+            todo.append((len(feature), part, left - 1))
+            feature.append(-1)
+            cut.append(0.0)
+            low.append(0)
+    return feature, cut, low
+
+
+def depths(feature: np.ndarray, cut: np.ndarray, low: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Path length of each row through a tree."""
+    at, steps, going = np.zeros(len(x), np.int64), np.zeros(len(x)), np.arange(len(x))
+    while len(going):
+        node = at[going]
+        inner = feature[node] >= 0
+        going, node = going[inner], node[inner]
+        at[going] = low[node] + (x[going, feature[node]] >= cut[node])
+        steps[going] += 1
+    return steps + cut[at]
 
 
 def fit_forest(df: DataFrame, group: str, row_id: str, features: list[str], trees: int = TREES, sample: int = SAMPLE, fit_rows: int = FIT_ROWS, seed: int = 7) -> DataFrame:
-    """One row per group and tree: the tree as JSON. Each tree's sample are the rows of the smallest hashes with its number.
+    """One row per group and tree: its nodes as arrays. Each tree has up to `sample` rows of its group.
 
-    A group gives fit_rows rows at most, those of the smallest hashes, first within hash ranges, so no task sees a whole
-    group; a tree is built from `sample` rows in one task of its own.
+    A row is in a tree's sample where a hash of both is under a threshold that lets a few more pass than are wanted; the
+    smallest are kept. The trees that draw a row are found within the row, so only drawn rows are laid out and shuffled. Of
+    groups of over fit_rows rows, rows whose own hash is under a threshold are used, about so many. A tree is built in one
+    task from its sample. Rows with a missing feature are not used; a group without rows has no tree.
     """
-    import json
-
-    h = F.xxhash64(F.col(row_id), F.lit(seed))
-    used = df.where(" and ".join(f"{f} is not null" for f in features)).select(group, F.col(row_id).alias("_id"), *[F.col(f).cast("double").alias(f) for f in features], h.alias("_h"))
-    share = Window.partitionBy(group, F.pmod("_h", F.lit(64))).orderBy("_h")
-    used = used.withColumn("_k", F.row_number().over(share)).where(F.col("_k") <= -(-fit_rows // 64))
-    drawn = used.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("_o", F.xxhash64("_id", "tree", F.lit(seed)))
-    drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy(group, "tree").orderBy("_o"))).where(F.col("_k") <= sample)
+    unit = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    used = df.where(" and ".join(f"{f} is not null" for f in features)).select(F.col(group).alias("_g"), F.col(row_id).alias("_id"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    sizes = used.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_g", "_of")
+    used = used.join(sizes, F.col("_g").eqNullSafe(F.col("_of"))).where(unit(F.col("_id")) < fit_rows / F.col("_n"))
+    pass_ = (sample + 6 * math.sqrt(sample)) / F.least(F.col("_n"), F.lit(fit_rows))
+    drawing = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: unit(F.col("_id"), t) < pass_)
+    drawn = used.withColumn("tree", F.explode(drawing)).withColumn("_o", unit(F.col("_id"), F.col("tree")))
+    drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "tree").orderBy("_o", "_id"))).where(F.col("_k") <= sample)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
+        pdf = pdf.sort_values("_k")
         tree = int(pdf["tree"].iat[0])
-        x = pdf[features].to_numpy()
-        grown_tree = grown(x, np.random.default_rng([seed, tree]), math.ceil(math.log2(max(2, len(x)))))
-        return pd.DataFrame({group: [pdf[group].iat[0]], "tree": [tree], "n": [len(x)], "body": [json.dumps(grown_tree)]})
+        x = pdf[[f"_x{i}" for i in range(len(features))]].to_numpy()
+        feature, cut, low = grown(x, np.random.default_rng([seed, tree]), math.ceil(math.log2(max(2, len(x)))))
+        return pd.DataFrame({group: [pdf["_g"].iat[0]], "tree": [tree], "n": [len(x)], "feature": [feature], "cut": [cut], "low": [low]})
 
     kind = df.schema[group].dataType.simpleString()
-    return drawn.groupBy(group, "tree").applyInPandas(build, f"{group} {kind}, tree int, n int, body string")
-
-
-def score_forest(df: DataFrame, forest: DataFrame, group: str, features: list[str], into: str = "anomaly") -> DataFrame:
-    """df with the anomaly score of its group's forest (null features count as 0; groups without a forest: null)."""
-    import json
-
-    packed = forest.groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("tree", "n", "body"))).alias("_trees"))
-    models = {r["_g"]: ([json.loads(t["body"]) for t in r["_trees"]], r["_trees"][0]["n"]) for r in packed.toLocalIterator()}  # trees * groups, not rows
-    shared = df.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for groups, *columns in batches:
-            x = np.column_stack([c.fillna(0.0).to_numpy(dtype=float) for c in columns])
-            out = np.full(len(groups), np.nan)
-            for g in groups.unique():
-                if g in shared.value:
-                    trees, n = shared.value[g]
-                    own = (groups == g).to_numpy()
-                    mean = sum(depths(t, x[own]) for t in trees) / len(trees)
-                    out[own] = 2.0 ** (-mean / max(average_path(n), 1e-9))
-            yield pd.Series(out)
-
-    return df.withColumn(into, score(F.col(group), *[F.col(f).cast("double") for f in features]))
+    return drawn.groupBy("_g", "tree").applyInPandas(build, f"{group} {kind}, tree int, n int, feature array<int>, cut array<double>, low array<int>")
+
+
+def score_forest(df: DataFrame, forest: DataFrame, group: str, features: list[str], into: str = "anomaly", chunk: int = CHUNK) -> DataFrame:
+    """df with the anomaly score of its group's forest (null features count as 0; groups without a forest: null).
+
+    Rows of a group are dealt to chunks by a hash, about `chunk` rows each, and every chunk meets its group's trees in one
+    task: no forest goes through the driver, and a group that holds most rows has most chunks.
+    """
+    import pyarrow as pa
+
+    # A repeated row goes with its copies, but no group can be all copies of one row and large: the number spreads them.
+    dealt = df.withColumn("_g", F.col(group)).withColumn("_at", F.xxhash64(F.monotonically_increasing_id()))
+    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / chunk)).cast("int").alias("_chunks"))
+    dealt = dealt.join(sizes, F.col("_g").eqNullSafe(F.col("_of"))).withColumn("_chunk", F.pmod(F.col("_at"), F.col("_chunks")).cast("int")).drop("_of", "_chunks", "_at")
+    trees = forest.withColumnRenamed(group, "_g").join(sizes, F.col("_g").eqNullSafe(F.col("_of"))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_g", "_chunk", "n", "feature", "cut", "low")
+    names = df.columns
+
+    def score(rows: pa.Table, own: pa.Table) -> pa.Table:
+        out = rows.select(names)
+        if not own.num_rows or not rows.num_rows:
+            return out.append_column(into, pa.nulls(rows.num_rows, pa.float64()))
+        x = np.column_stack([rows.column(f).cast(pa.float64()).fill_null(0.0).to_numpy() for f in features])
+        total = np.zeros(len(x))
+        for tree in own.select(["feature", "cut", "low"]).to_pylist():
+            total += depths(np.array(tree["feature"]), np.array(tree["cut"]), np.array(tree["low"]), x)
+        mean = total / own.num_rows
+        return out.append_column(into, pa.array(2.0 ** (-mean / max(average_path(own.column("n")[0].as_py()), 1e-9))))
+
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.DoubleType())])
+    return dealt.groupBy("_g", "_chunk").cogroup(trees.groupBy("_g", "_chunk")).applyInArrow(score, schema)
 
 
 def reconstruction_error(df: DataFrame, vector: str, k: int, into: str = "error") -> DataFrame:

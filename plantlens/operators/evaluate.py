@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .quantiles import grouped_quantiles, order_statistics
 from .windows import START
 
 
@@ -185,26 +186,14 @@ def lookback_credit(defects: DataFrame, alarms: DataFrame, key: str, hour: str,
 
 
 def kth_largest(df: DataFrame, score: str, k: int) -> tuple[float, int]:
-    """(the k-th largest score, how many scores are larger), exactly, without sorting the table in one task.
-
-    Approximate quantiles cut the scores into ranges, counts tell which range holds the k-th, and only that one is sorted.
-    """
-    cuts = sorted(set(df.approxQuantile(score, [i / 64 for i in range(65)], 1 / 512)))
-    part = F.lit(0)
-    for i, cut in enumerate(cuts):
-        part = F.when(F.col(score) >= cut, i + 1).otherwise(part)
-    x = df.select(F.col(score).alias("_s"), part.alias("_part")).where("_s is not null")
-    larger = 0
-    for part_, n in sorted(x.groupBy("_part").count().collect(), reverse=True):  # as many rows as cuts
-        if larger + n >= k:
-            # Equal scores are counted together, so what is sorted is distinct scores of one range.
-            own = x.where(F.col("_part") == part_).groupBy("_s").count().orderBy(F.desc("_s"))
-            for s_, m in own.toLocalIterator():
-                if larger + m >= k:
-                    return s_, larger
-                larger += m
-        larger += n
-    raise ValueError(f"there are no {k} scores")
+    """(the k-th largest score, how many scores are larger), exactly, by counts of ranges; one row reaches the driver."""
+    x = df.where(F.col(score).isNotNull()).select(F.lit(0).alias("_all"), F.col(score).cast("double").alias("_v"))
+    n = x.count()
+    if n < k:
+        raise ValueError(f"there are no {k} scores")
+    wanted = df.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(n - k + 1).cast("long").alias("rank"))
+    edge = order_statistics(x, ["_all"], wanted).first()["_value"]
+    return edge, x.where(F.col("_v") > edge).count()
 
 
 def recall_at_rate(df: DataFrame, score: str, bad: str, tie: str, rate: float) -> DataFrame:
@@ -242,11 +231,15 @@ def retest(df: DataFrame, scores: list[str], bad: str, tie: str, rate: float) ->
     return out
 
 
-def order_statistic_threshold(df: DataFrame, keys: list[str], order: list[str], score: str, rate: float, k: int = 2, n: int = 10) -> DataFrame:
-    """One row per the table: the score threshold at which `k of the last n over it` covers the rate of the rows.
+def kth_of_last(df: DataFrame, keys: list[str], order: list[str], score: str, k: int = 2, n: int = 10, into: str = "kth") -> DataFrame:
+    """The k-th largest score of each row's last n: `k of the last n` over a threshold is this over it."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
+    return df.withColumn(into, F.get(F.sort_array(F.collect_list(score).over(w), asc=False), F.lit(k - 1)))
+
+
+def order_statistic_threshold(df: DataFrame, keys: list[str], order: list[str], score: str, rate: float, k: int = 2, n: int = 10, by: list[str] | None = None) -> DataFrame:
+    """One row for the table, or per group `by`: the score threshold at which `k of the last n over it` covers the rate of the rows.
 
     A row alarms when the k-th largest score of its last n is over the threshold, so the threshold is a quantile of that.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
-    kth = F.get(F.sort_array(F.collect_list(score).over(w), asc=False), F.lit(k - 1))
-    return df.withColumn("kth", kth).agg(F.percentile("kth", F.lit(1 - rate)).alias("threshold"), F.count("kth").alias("n"))
+    return grouped_quantiles(kth_of_last(df, keys, order, score, k, n), by or [], "kth", {"threshold": 1 - rate})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..sources.tables import materialised
 
 
 def split_label(ts: Column, train_end: str, valid_end: str) -> Column:
@@ -88,16 +89,56 @@ def medians(df: DataFrame, by: list, measures: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.median(m).alias(m) for m in measures])
 
 
-def rolling_origin(df: DataFrame, period: str, first: str, fit) -> DataFrame:
+def rolling_origin(df: DataFrame, period: str, first: str, fit, held_out: bool = False) -> DataFrame:
     """Rows of each period from `first` on, scored by a model of all rows before the period.
 
-    `fit` takes the past rows and returns a function that scores a DataFrame. Periods are few; each fit is a Spark job of
-    its own, and the scored periods are one union.
+    `fit` takes the past rows and returns a function that scores a DataFrame; with `held_out` it takes the rows before the
+    last period of the past and the rows of that one, on which boosting stops. Periods are few; each fit is a Spark job of
+    its own, and the scored periods are one union. With `held_out` a period needs two before it.
     """
-    periods = sorted(r[0] for r in df.where(F.col(period) >= F.lit(first).cast("timestamp_ntz")).select(period).distinct().collect())
-    out = None
-    for at in periods:
-        edge = F.lit(str(at)).cast("timestamp_ntz")
-        now = fit(df.where(F.col(period) < edge))(df.where(F.col(period) == edge))
+    every = sorted(r[0] for r in df.select(period).distinct().collect() if r[0] is not None)
+    out, edge = None, lambda at: F.lit(str(at)).cast("timestamp_ntz")
+    for k, at in enumerate(every):
+        if str(at) < first or held_out and k < 2:
+            continue
+        past = df.where(F.col(period) < edge(every[k - 1] if held_out else at))
+        model = fit(past, df.where(F.col(period) == edge(every[k - 1]))) if held_out else fit(past)
+        now = model(df.where(F.col(period) == edge(at)))
         out = now if out is None else out.unionByName(now)
     return df.limit(0) if out is None else out
+
+
+def boosted_model(train: DataFrame, valid: DataFrame, features: list[str], target: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "predicted"):
+    """A function that scores a DataFrame by boosting fitted on `train`, stopped by `valid`; null where a feature is missing."""
+    from pyspark.ml.regression import GBTRegressor
+
+    both = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+    x = _assembled(both.where(F.col(target).isNotNull()), features).select("_features", target, "_valid")
+    model = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol=into, maxIter=rounds, maxDepth=depth, seed=seed, validationIndicatorCol="_valid").fit(x)
+    return lambda df: _with_missing(model.transform(_assembled(df, features)).drop("_features"), df, features, into)
+
+
+def rolling_forest(df: DataFrame, cell: str, period: str, first: str, row_id: str, features: list[str], good: Column, series: list[str], order: list[str], rate: float = 0.003, least: int = 1000, **options) -> DataFrame:
+    """Rows of each period from `first` on with the anomaly score, threshold and alarm of a forest of their cell and period.
+
+    A forest and its threshold see the good rows of all periods before alone: rows are dealt to every later origin once,
+    and all cells and origins are fitted and scored as groups of one forest table. The threshold is that at which two of
+    the last ten scores over it cover `rate` of the rows the forest was fitted on. Cells with fewer than `least` such rows
+    have null scores. Nulls count as 0 in scores; null periods are left out.
+    """
+    from .anomaly import fit_forest, score_forest
+    from .evaluate import kth_of_last, order_statistic_threshold
+
+    start = F.lit(first).cast("timestamp_ntz")
+    origins = df.where(F.col(period) >= start).select(F.col(period).alias("origin")).distinct()
+    own = df.where(F.col(period).isNotNull()).withColumn("_group", F.concat_ws("|", F.col(cell).cast("string"), F.col(period).cast("string")))
+    past = df.where(good & F.col(period).isNotNull()).join(F.broadcast(origins), F.col(period) < F.col("origin"))  # a row a month
+    past = past.withColumn("_group", F.concat_ws("|", F.col(cell).cast("string"), F.col("origin").cast("string"))).drop("origin")
+    enough = past.groupBy("_group").agg(F.count(F.lit(1)).alias("n_fit")).where(F.col("n_fit") >= least)
+    past = materialised(past.join(enough.select("_group"), "_group", "left_semi"), "past")
+    forest = materialised(fit_forest(past, "_group", row_id, features, **options), "forest")
+    seen = score_forest(past, forest, "_group", features)
+    limits = order_statistic_threshold(seen, ["_group", *series], order, "anomaly", rate, by=["_group"]).drop("n")
+    now = materialised(score_forest(own.where(F.col(period) >= start), forest, "_group", features), "scored")
+    now = kth_of_last(now, series, order, "anomaly").join(limits, "_group", "left").join(enough, "_group", "left")
+    return now.withColumn("alarm", F.coalesce(F.col("kth") > F.col("threshold"), F.lit(False))).drop("_group", "kth")

@@ -9,6 +9,7 @@ from ..operators import asof as A
 from ..operators import deviation as D
 from ..operators import labels as L
 from ..operators import windows as W
+from ..operators.quantiles import grouped_quantiles
 from .binding import Bound, log, points, r6, table
 
 BOUND = Bound()
@@ -113,8 +114,8 @@ x as (select event_id, user_id, ts, event_type, value, (value - t) / nullif(case
 
 def banded(spark, d):
     p = points(spark, d)
-    q = lambda s: F.percentile("value", F.lit(s))
-    bands = p.groupBy("event_type").agg(F.median("value").alias("t"), q(0.02).alias("lo"), q(0.98).alias("hi"), q(0.1).alias("wlo"), q(0.9).alias("whi"))
+    shares = {"t": 0.5, "lo": 0.02, "hi": 0.98, "wlo": 0.1, "whi": 0.9}
+    bands = grouped_quantiles(p, ["event_type"], "value", shares).drop("n")
     x = p.join(bands, "event_type")
     v = F.col("value")
     flags = [D.outside(v, F.col(a), F.col(b)) for a, b in (("lo", "hi"), ("wlo", "whi"))]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly as M
 from ..operators import metrology as Y
 from ..operators import windows as W
+from ..operators.quantiles import grouped_quantiles
 from .binding import Bound, points, r6, table
 
 BOUND = Bound()
@@ -22,7 +23,7 @@ def isolation_forest_score(spark, d):
 @BOUND()
 def pca_reconstruction(spark, d):
     x = M.reconstruction_error(table(spark, d, "embeddings"), "embedding", 8)
-    limit = x.agg(F.percentile("error", F.lit(0.997)).alias("limit"))
+    limit = grouped_quantiles(x, [], "error", {"limit": 0.997}).select("limit")
     return x.crossJoin(F.broadcast(limit)).select("vec_id", "error", (F.col("error") > F.col("limit")).alias("flagged"))  # one row
 
 
@@ -60,3 +61,21 @@ def vm_metrics(spark, d):
 def per_unit_rows(spark, d):
     x = Y.per_unit(table(spark, d, "lineitem"), F.col("l_linenumber"))
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "unit", F.round(F.col("l_extendedprice") / F.col("l_linenumber"), 4).alias("share"))
+
+
+@BOUND()
+def rolling_forest(spark, d):
+    """Forests refitted by type and week on the quiet rows of the weeks before, their thresholds and alarms."""
+    x = W.trailing_change(points(spark, d), ["user_id"], ["ts", "event_id"], ["value"], before=15, least=5).withColumn("week_ts", F.date_trunc("week", F.col("ts")).cast("timestamp_ntz"))
+    first = str(x.agg(F.min("week_ts") + F.make_dt_interval(days=F.lit(7))).first()[0])
+    y = Y.rolling_forest(x, "event_type", "week_ts", first, "event_id", ["value", "value_change"], F.col("value") < 100, ["user_id"], ["ts", "event_id"], rate=0.01, least=100)
+    return y.select("event_id", "event_type", "week_ts", "n_fit", "anomaly", "threshold", "alarm")
+
+
+@BOUND()
+def rolling_boosting(spark, d):
+    """Boosting refitted by year on the years before the last, which stops it."""
+    x = split(spark, d).withColumn("year_ts", F.date_trunc("year", F.col("l_shipdate")).cast("timestamp_ntz"))
+    f = ["l_quantity", "l_discount", "l_tax"]
+    y = Y.rolling_origin(x, "year_ts", "1996-01-01", lambda train, valid: Y.boosted_model(train, valid, f, "target", rounds=5, depth=3), held_out=True)
+    return y.select("l_orderkey", "l_linenumber", "year_ts", "target", "predicted")
