@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import materialised
+
 TREES, SAMPLE, FIT_ROWS = 200, 4096, 60_000
 #: Rows that one task scores with a group's forest at a time.
 CHUNK = 200_000
@@ -128,3 +130,64 @@ def reconstruction_error(df: DataFrame, vector: str, k: int, into: str = "error"
     total = F.aggregate("_c", F.lit(0.0), lambda s, v: s + v * v)
     kept = F.aggregate(F.zip_with("_q", F.array(*[F.lit(float(s)) for s in shift]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     return y.withColumn(into, F.greatest(F.lit(0.0), total - kept)).drop("_v", "_p", "_c", "_q")
+
+
+def fit_components(df: DataFrame, group: str, vector: str, good: Column, k: int, least: int = 500) -> DataFrame:
+    """One row per group with `least` good rows: n, mean and the k principal components of their vectors, all of one length.
+
+    Tasks sum vectors and their products by group; sums of a group are as many numbers as a vector has, squared, and meet in
+    one task, which has its eigenvectors.
+    """
+    import pyarrow as pa
+
+    own = df.where(good & F.col(vector).isNotNull()).select(F.col(group).alias("_g"), F.transform(vector, lambda v: v.cast("double")).alias("_v"))
+
+    def summed(batches):
+        totals: dict = {}
+        for batch in batches:
+            x = np.array(batch.column("_v").to_pylist(), dtype=np.float64)
+            of = np.array(batch.column("_g").to_pylist(), dtype=object)
+            for g in dict.fromkeys(of.tolist()):
+                rows = x[[h == g for h in of]]
+                n, total, products = totals.get(g, (0, 0.0, 0.0))
+                totals[g] = (n + len(rows), total + rows.sum(axis=0), products + rows.T @ rows)
+        for g, (n, total, products) in totals.items():
+            values = np.concatenate([[n], total, products.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(values), kind), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["_g", "i", "v"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(df.schema[group].dataType)
+    parts = own.mapInArrow(summed, f"_g {df.schema[group].dataType.simpleString()}, i int, v double").groupBy("_g", "i").agg(F.sum("v").alias("v"))
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("i")["v"].to_numpy()
+        size = int(round((math.sqrt(4 * len(v) - 3) - 1) / 2))
+        n, mean = v[0], v[1 : size + 1] / v[0]
+        if n < least:
+            return pd.DataFrame(columns=[group, "n", "mean", "components"], dtype=object)
+        covariance = v[size + 1 :].reshape(size, size) / n - np.outer(mean, mean)
+        _, axes = np.linalg.eigh(covariance)
+        return pd.DataFrame({group: [pdf["_g"].iat[0]], "n": [int(n)], "mean": [mean.tolist()], "components": [axes[:, ::-1][:, :k].T.tolist()]})
+
+    return parts.groupBy("_g").applyInPandas(solved, f"{group} {df.schema[group].dataType.simpleString()}, n long, mean array<double>, components array<array<double>>")
+
+
+def curve_errors(df: DataFrame, group: str, vector: str, good: Column, k: int = 12, rate: float = 0.003, least: int = 500, into: str = "error") -> DataFrame:
+    """df with the mean squared distance of each curve from its projection on its group's k components, the group's threshold, and a flag.
+
+    Components and threshold come from the good rows alone; the threshold is the quantile of their errors at 1 - rate.
+    Groups with fewer than `least` good rows, and rows without a vector, have null errors and no flag.
+    """
+    from .quantiles import grouped_quantiles
+
+    models = fit_components(df, group, vector, good, k, least).withColumnsRenamed({group: "_g", "mean": "_mean", "components": "_axes"}).drop("n")
+    x = df.join(models, F.col(group) == F.col("_g"), "left")
+    off = F.zip_with(F.transform(vector, lambda v: v.cast("double")), "_mean", lambda a, b: a - b)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    kept = F.aggregate(F.transform("_axes", lambda axis: F.pow(dot(axis, F.col("_off")), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
+    x = x.withColumn("_off", off).withColumn(into, F.when(F.col("_off").isNotNull(), F.greatest(F.lit(0.0), dot(F.col("_off"), F.col("_off")) - kept) / F.size("_mean"))).drop("_off", "_mean", "_axes", "_g")
+    x = materialised(x, "errors")
+    limits = grouped_quantiles(x.where(good), [group], into, {"threshold": 1 - rate}).drop("n").withColumnRenamed(group, "_g")
+    x = x.join(limits, F.col(group) == F.col("_g"), "left").drop("_g")
+    return x.withColumn("flagged", F.coalesce(F.col(into) > F.col("threshold"), F.lit(False)))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import elapsed, epoch, ratio, wilson
+from ..functions.scalars import elapsed, ratio, wilson
 from .asof import asof_join, range_join
 from .evaluate import median_interval, uniform
 from .windows import START, series
@@ -108,16 +113,41 @@ def changes_around(signals: DataFrame, changes: DataFrame, keys: list[str], ts:
 
 
 def event_credit(events: DataFrame, rows: DataFrame, keys: list[str], ts: str, flags: list[str], start: str = "start_ts", end: str = "end_ts", bucket_s: int = 86_400) -> DataFrame:
-    """Per event (a time range of a key, both ends in it), the first flagged row of each layer within it and its lead in minutes over the end.
+    """Per event (a time range of a key, both ends in it): when its first row comes, how many it has, and for each flag the first row with it, their share, and the minutes from the first row to it.
 
     Rows meet events by key and bucket of time; what they have is summed up per event before it is joined back.
     """
-    named = events.withColumn("_event", F.xxhash64(*events.columns))
+    named = events.withColumn("_event", F.xxhash64(*events.columns)).distinct()
     r = rows.select(*keys, F.col(ts).alias("_ts"), *flags)
-    met = range_join(r, named.select(*keys, "_event", F.col(start).alias("_start"), F.col(end).alias("_end")).distinct(), keys, "_ts", "_start", "_end", closed=True, how="inner", bucket_s=bucket_s)
-    sums = met.groupBy("_event").agg(*[F.min(F.when(F.col(f), F.col("_ts"))).alias(f"first_{f}") for f in flags], F.count("_ts").alias("n_rows"))
-    out = named.distinct().join(sums, "_event", "left").drop("_event").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-    return out.withColumns({f"minutes_{f}": (epoch(F.col(end)) - epoch(F.col(f"first_{f}"))) / 60.0 for f in flags})
+    met = range_join(r, named.select(*keys, "_event", F.col(start).alias("_start"), F.col(end).alias("_end")), keys, "_ts", "_start", "_end", closed=True, how="inner", bucket_s=bucket_s)
+    of = lambda f: F.coalesce(F.col(f), F.lit(False))
+    sums = met.groupBy("_event").agg(F.min("_ts").alias("started_at"), F.count("_ts").alias("n_rows"), *[F.min(F.when(F.col(f), F.col("_ts"))).alias(f"first_{f}") for f in flags], *[F.avg(of(f).cast("int")).alias(f"{f}_rate") for f in flags])
+    out = named.join(sums, "_event", "left").drop("_event").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return out.withColumns({f"minutes_to_{f}": elapsed("minute", F.col("started_at"), F.col(f"first_{f}")) for f in flags})
+
+
+def first_responses(df: DataFrame, logs: dict[str, tuple[DataFrame, str]], keys: list[str], ts: str, prefix: str = "response_", bucket: str | None = None) -> DataFrame:
+    """df with the first entry of any of several logs at or after its time: `{prefix}at` and `{prefix}kind`, in one forward as-of pass.
+
+    logs: name -> (rows with the keys, their time). Of logs with the same time the last name counts.
+    """
+    log = None
+    for name, (rows, at) in logs.items():
+        own = rows.select(*keys, F.col(at).alias("_entry"), F.lit(name).alias("kind"))
+        log = own if log is None else log.unionByName(own)
+    return asof_join(df, log, keys, ts, "_entry", ["kind"], direction="forward", tie="kind", prefix=prefix, bucket=bucket)
+
+
+def detected_events(events: DataFrame, rows: DataFrame, logs: dict[str, tuple[DataFrame, str]], keys: list[str], ts: str, flag: str, alarm: str, **options) -> DataFrame:
+    """Events that have rows, with when the flag and the alarm came, the shop's first response from the first row on, and the flag's lead over it in minutes."""
+    x = event_credit(events, rows, keys, ts, [flag, alarm], **options).where("n_rows > 0")
+    x = first_responses(x, logs, keys, "started_at")
+    return x.withColumns({"detected": F.col(f"first_{flag}").isNotNull(), "lead_over_response": elapsed("minute", F.col(f"first_{flag}"), F.col("response_at"))})
+
+
+def detection_summary(detected: DataFrame, flag: str) -> DataFrame:
+    """One row: events, those detected, and the medians of minutes to the flag and of its lead."""
+    return detected.agg(F.count(F.lit(1)).alias("events"), F.count_if("detected").alias("detected"), F.median(f"minutes_to_{flag}").alias("minutes_to_flag"), F.median("lead_over_response").alias("lead_over_response"))
 
 
 def flagged_by_month(df: DataFrame, keys: list[str], month: Column, flag: str, validated: Column) -> DataFrame:
@@ -132,12 +162,67 @@ def overlap(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.count_if(F.col(a) & F.col(b)).alias("both"), ratio(both, F.count_if(F.col(a))).alias(f"share_of_{a}"), ratio(both, F.count_if(F.col(b))).alias(f"share_of_{b}"))
 
 
-def centred_median(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 301, least: int = 50) -> DataFrame:
-    """Value less the median of the rows around it, as `residual`."""
+def centred_median(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 301, least: int = 50, block: int = 20_000) -> DataFrame:
+    """Value less the median of the `size` rows around it (an odd number), as `residual`; null where fewer than `least` of them have a value.
+
+    A series is cut into blocks of rows with half a window of its neighbours on either side. Blocks are sorted and streamed
+    with their window's values in order: a row costs one insertion and one removal, whatever the window's size, and a task
+    holds a window and a batch. NaN counts as no value.
+    """
     half = size // 2
-    frame = series(keys, order).rowsBetween(-half, half)
-    mid = F.when(F.count(value).over(frame) >= least, F.percentile(value, F.lit(0.5)).over(frame))
-    return df.withColumn("residual", F.col(value) - mid)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    x = df.withColumn("_no", F.row_number().over(series(keys, order)).cast("long"))
+    beside = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_no") - 1 - half) / block)), F.floor((F.col("_no") - 1 + half) / block))
+    names = [f"_k{i}" for i in range(len(keys))]
+    laid = x.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "_no", F.col(value).cast("double").alias("_v"), F.explode(beside).alias("_block"))
+
+    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, rows, window, due = None, deque(), [], 0  # rows of the window in order of number, its values by size
+
+        def middle() -> float | None:
+            n = len(window)
+            return None if n < least or not n else window[n // 2] if n % 2 else (window[n // 2 - 1] + window[n // 2]) / 2
+
+        def passed(upto: int, out: list) -> None:
+            """Put out the rows whose window is whole: those half a window before `upto`."""
+            nonlocal due
+            while due < upto:
+                while rows and rows[0][0] < due - half:
+                    v = rows.popleft()[1]
+                    if v is not None:
+                        del window[bisect_left(window, v)]
+                if due > part[-1] * block and due <= (part[-1] + 1) * block:
+                    out.append((*part[:-1], due, middle()))
+                due += 1
+
+        last = 0
+        for batch in batches:
+            out: list = []
+            for row in zip(*(batch[c].tolist() for c in [*names, "_block", "_no", "_v"]), strict=True):
+                own, number, v = row[:-2], row[-2], None if row[-1] is None or row[-1] != row[-1] else row[-1]
+                if own != part:
+                    if part is not None:
+                        passed(last + 1, out)
+                    part, due = own, number
+                    rows.clear()
+                    window.clear()
+                passed(number - half, out)
+                rows.append((number, v))
+                if v is not None:
+                    insort(window, v)
+                last = number
+            yield pd.DataFrame(out, columns=[*names, "_no", "_m"])
+        if part is not None:
+            out = []
+            passed(last + 1, out)
+            yield pd.DataFrame(out, columns=[*names, "_no", "_m"])
+
+    schema = ", ".join([*(f"{n} {kinds[k]}" for k, n in zip(keys, names, strict=True)), "_no long, _m double"])
+    found = laid.repartition(*names, "_block").sortWithinPartitions(*names, "_block", "_no").mapInPandas(medians, schema).withColumnRenamed("_no", "_at")
+    on = F.col("_no") == F.col("_at")
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return x.join(found, on, "left").withColumn("residual", F.col(value) - F.col("_m")).drop("_no", "_at", "_m", *names)
 
 
 def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, weight: float = 0.2, depth: int = 100) -> DataFrame:

@@ -126,17 +126,32 @@ def reaction_log(spark, d):
     return x.select("event_id", "before_log_id", "next_log_id")
 
 
-@BOUND("""
-with e as (select event_id as novel_id, user_id, ts - interval 12 hour as start_ts, ts + interval 12 hour as end_ts from events where event_type = 'signup'),
-j as (select e.*, x.ts, x.value > 40 as hot, x.event_type = 'error' as err from e left join events x on e.user_id = x.user_id and x.ts between start_ts and end_ts),
-g as (select novel_id, any_value(end_ts) as end_ts, min(ts) filter (where hot) as first_hot, min(ts) filter (where err) as first_err, count(ts) as n_rows from j group by 1)
-select novel_id, first_hot, first_err, n_rows, round((epoch(date_trunc('second', end_ts)) - epoch(date_trunc('second', first_hot))) / 60.0, 6) as minutes_hot, round((epoch(date_trunc('second', end_ts)) - epoch(date_trunc('second', first_err))) / 60.0, 6) as minutes_err from g""")
-def novel_events(spark, d):
+NOVEL = """e as (select event_id as novel_id, user_id, ts - interval 12 hour as start_ts, ts + interval 12 hour as end_ts from events where event_type = 'signup'),
+j as (select e.*, x.ts, x.value > 40 as hot, x.event_type = 'error' as err from e join events x on e.user_id = x.user_id and x.ts between start_ts and end_ts),
+g as (select novel_id, user_id, min(ts) as started_at, count(ts) as n_rows, min(ts) filter (where hot) as first_hot, min(ts) filter (where err) as first_err, avg(hot::int) as hot_rate, avg(err::int) as err_rate from j group by 1, 2),
+logs as (select user_id, ts as entry, case event_type when 'purchase' then 'change' when 'click' then 'tally' end as kind from events where event_type = 'purchase' or event_type = 'click' and value < 8),
+r as (select g.*, l.entry as response_at, l.kind as response_kind, (epoch_us(first_hot) - epoch_us(started_at)) / 60e6 as minutes_to_hot, (epoch_us(first_err) - epoch_us(started_at)) / 60e6 as minutes_to_err, (epoch_us(l.entry) - epoch_us(first_hot)) / 60e6 as lead from g asof left join logs l on g.user_id = l.user_id and g.started_at <= l.entry)"""
+
+
+def novel(spark, d):
     half = F.make_dt_interval(hours=F.lit(12))
     e = log(spark, d, "signup").select(F.col("log_id").alias("novel_id"), "user_id", (F.col("log_ts") - half).alias("start_ts"), (F.col("log_ts") + half).alias("end_ts"))
-    rows = points(spark, d).withColumns({"hot": F.col("value") > 40, "err": F.col("event_type") == "error"})
-    x = M.event_credit(e, rows, KEYS, "ts", ["hot", "err"])
-    return x.select("novel_id", "first_hot", "first_err", "n_rows", r6("minutes_hot"), r6("minutes_err"))
+    p = points(spark, d)
+    rows = p.withColumns({"hot": F.col("value") > 40, "err": F.col("event_type") == "error"})
+    logs = {"change": (p.where("event_type = 'purchase'"), "ts"), "tally": (p.where("event_type = 'click' and value < 8"), "ts")}
+    return M.detected_events(e, rows, logs, KEYS, "ts", "hot", "err")
+
+
+@BOUND(f"with {NOVEL} select novel_id, started_at, n_rows, first_hot, first_err, round(hot_rate, 6) as hot_rate, round(err_rate, 6) as err_rate, round(minutes_to_hot, 6) as minutes_to_hot, round(minutes_to_err, 6) as minutes_to_err, response_at, response_kind, first_hot is not null as detected, round(lead, 6) as lead_over_response from r")
+def novel_events(spark, d):
+    x = novel(spark, d)
+    return x.select("novel_id", "started_at", "n_rows", "first_hot", "first_err", *[r6(c) for c in ("hot_rate", "err_rate", "minutes_to_hot", "minutes_to_err")], "response_at", "response_kind", "detected", r6("lead_over_response"))
+
+
+@BOUND(f"with {NOVEL} select count(*) as events, count(first_hot) as detected, round(median(minutes_to_hot), 6) as minutes_to_flag, round(median(lead), 6) as lead_over_response from r")
+def novel_summary(spark, d):
+    x = M.detection_summary(novel(spark, d), "hot")
+    return x.select("events", "detected", r6("minutes_to_flag"), r6("lead_over_response"))
 
 
 @BOUND("select event_type, date_trunc('week', ts)::timestamp as month_ts, count(*) as n, round(avg((value > 40)::int), 6) as flag_rate, round(avg(case when value < 80 then (value > 40)::int end), 6) as false_rate from events group by 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as M
+from ..operators import curves as V
 from ..operators import metrology as Y
 from ..operators import windows as W
 from ..operators.quantiles import grouped_quantiles
@@ -79,3 +80,13 @@ def rolling_boosting(spark, d):
     f = ["l_quantity", "l_discount", "l_tax"]
     y = Y.rolling_origin(x, "year_ts", "1996-01-01", lambda train, valid: Y.boosted_model(train, valid, f, "target", rounds=5, depth=3), held_out=True)
     return y.select("l_orderkey", "l_linenumber", "year_ts", "target", "predicted")
+
+
+@BOUND()
+def curve_reconstruction(spark, d):
+    """Vectors as curves of jobs (label) and cells (its parity): resampled, the held level off, scaled to the job, errors by cell."""
+    c = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("t", "v"))
+    x = V.resampled(c, ["vec_id"], "t", "v", bins=24, tail=4, scale_by=["label"])
+    x = x.groupBy("vec_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("level", F.lit(0.0)).alias("level")))), lambda r: r["level"]).alias("curve"))
+    x = x.withColumn("cell", F.col("label") % 2)
+    return M.curve_errors(x, "cell", "curve", F.col("vec_id") % 3 != 0, k=8, rate=0.01, least=50).select("vec_id", "cell", "error", "threshold", "flagged")

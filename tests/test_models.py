@@ -151,3 +151,55 @@ def test_boosting_by_origin_follows_drift_and_holds_a_month_out(spark):
     off = {m: np.mean([abs(r["predicted"] - r["y"]) for r in got if r["m"] == month(m)]) for m in (2, 4)}
     # The slope turns in the third month: fits that know only the months before are wrong then, and mend later.
     assert off[2] > 1.5 and off[4] < off[2] / 1.5
+
+
+@pytest.mark.parametrize("size, block", [(5, 7), (31, 40), (301, 20_000)])
+def test_sliding_median_equals_plain_windows(spark, size, block):
+    from plantlens.operators import mechanisms
+
+    rng = random.Random(size)
+    rows = [(k, i, None if rng.random() < 0.1 else float(rng.randrange(40))) for k, n in (("hot", 500), ("b", 90), (None, 3), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(5)
+    got = {(r["k"], r["i"]): r["residual"] for r in mechanisms.centred_median(df, ["k"], ["i"], "v", size, 3, block).collect()}
+    assert len(got) == len(rows)
+    for k, i, v in rows:
+        near = [w for key, j, w in rows if key == k and abs(j - i) <= size // 2 and w is not None]
+        assert got[k, i] == (None if v is None or len(near) < 3 else v - float(np.median(near))), (k, i)
+
+
+def test_events_and_the_first_response_of_any_log(spark):
+    from plantlens.operators import mechanisms
+
+    at = lambda m: T0 + timedelta(minutes=m)
+    events = spark.createDataFrame([("e1", "j", at(10), at(50)), ("e2", "j", at(100), at(120)), ("e3", "none", at(0), at(9))], "id string, job string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    rows = spark.createDataFrame([("j", at(m), m in (30, 110), m == 50) for m in range(0, 200, 10)], "job string, ts timestamp_ntz, flag boolean, alarm boolean")
+    logs = {"review": (spark.createDataFrame([("j", at(5)), ("j", at(45))], "job string, r timestamp_ntz"), "r"), "change": (spark.createDataFrame([("j", at(42)), ("x", at(11))], "job string, c timestamp_ntz"), "c")}
+    x = mechanisms.detected_events(events, rows, logs, ["job"], "ts", "flag", "alarm")
+    got = {r["id"]: r for r in x.collect()}
+    assert set(got) == {"e1", "e2"}
+    e = got["e1"]
+    assert (e["started_at"], e["n_rows"], e["flag_rate"], e["minutes_to_flag"], e["minutes_to_alarm"]) == (at(10), 5, 0.2, 20.0, 40.0)
+    assert (e["response_at"], e["response_kind"], e["lead_over_response"]) == (at(42), "change", 12.0)
+    assert got["e2"]["response_at"] is None and got["e2"]["lead_over_response"] is None and got["e2"]["detected"]
+    s = mechanisms.detection_summary(x, "flag").first()
+    assert (s["events"], s["detected"], s["minutes_to_flag"], s["lead_over_response"]) == (2, 2, 15.0, 12.0)
+
+
+def test_curve_errors_equal_numpys_by_cell(spark):
+    rng = np.random.default_rng(4)
+    base = {g: rng.normal(size=(3, 12)) for g in ("a", "b")}
+    rows = [(i, g, (rng.normal(size=3) @ base[g] + 0.05 * rng.normal(size=12) + (2.0 * rng.normal(size=12) if i % 50 == 7 else 0)).tolist(), i % 50 != 7) for i in range(400) for g in [("a", "b")[i % 3 == 0]]]
+    rows += [(900, "few", [0.0] * 12, True), (901, "a", None, True)]
+    df = spark.createDataFrame(rows, "id int, g string, v array<double>, good boolean").repartition(4)
+    got = {r["id"]: r for r in anomaly.curve_errors(df, "g", "v", F.col("good"), k=3, rate=0.02, least=50).collect()}
+    assert len(got) == len(rows) and got[900]["error"] is None and got[901]["error"] is None and not got[901]["flagged"]
+    for g in "ab":
+        fit = np.array([v for i, h, v, ok in rows if h == g and ok and v])
+        mean = fit.mean(axis=0)
+        axes = np.linalg.svd(fit - mean, full_matrices=False)[2][:3]
+        error = lambda v: float((((v - mean) - (v - mean) @ axes.T @ axes) ** 2).mean())  # noqa: B023, E731
+        limit = np.quantile([error(v) for v in fit], 0.98)
+        for i, h, v, _ in rows:
+            if h == g and v:
+                assert got[i]["error"] == pytest.approx(error(np.array(v)), abs=1e-9) and got[i]["threshold"] == pytest.approx(limit, abs=1e-9)
+    assert all(got[i]["flagged"] for i, g, _, ok in rows if not ok)
