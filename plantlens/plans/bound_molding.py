@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from ..functions import scalars as S
-from ..sources.schemas import BANDED
+from ..sources.schemas import BANDED, CODES
 from ..sources.tables import materialised
 from . import molding as M
 from .binding import Bound, r6, table
@@ -128,7 +128,7 @@ def any_of(low: str, high: str) -> str:
     return " or ".join(f"coalesce({v} < {v}_{low} or {v} > {v}_{high}, false)" for v in BANDED)
 
 
-CODE_SQL = "case when {0} is null or trim({0}) = '' then 'other' " + " ".join(f"when regexp_matches(lower({{0}}), '{p}') then '{c}'" for p, c in M.CODES) + " else 'other' end"
+CODE_SQL = "case when {0} is null or trim({0}) = '' then 'other' " + " ".join(f"when regexp_matches(lower({{0}}), '{p}') then '{c}'" for p, c in CODES) + " else 'other' end"
 STAGED = "with " + ",\n".join(f"{name} as ({plain(sql)})" for name, sql in SOURCES.items())
 POST = ("cooling_rate", "cycle_integral", "fill_time_to_sensor_s", "time_to_peak_s")
 SHOTS = STAGED + f""",
@@ -339,7 +339,7 @@ def molding_shot_labels(spark, d):
 def molding_defect_codes(spark, d):
     """Free texts in the variants that shops write, as codes."""
     text = F.expr(TEXTS)
-    return table(spark, d, "events").select("event_id", S.normalized_code(text, M.CODES).alias("code"))
+    return table(spark, d, "events").select("event_id", S.normalized_code(text, CODES).alias("code"))
 
 
 @BOUND()

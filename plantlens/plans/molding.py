@@ -25,22 +25,6 @@ MOLD_EVENTS = ("vent_cleaning", "hot_runner_tip", "PM", "cavity_block", "cavity_
 PARAMETERS = ("injection_velocity_mm_s", "switchover_position_mm", "hold_pressure_bar", "mold_temp_c", "melt_temp_c")
 DRIFT_REASONS = ("drift_correction", "defect_response")
 SNAPSHOT, MATURITY_DAYS = "2026-04-30 00:00:00", 21
-#: Patterns of free-text defect codes in the order they are tried, and the code that each stands for.
-CODES = [
-    ("short|non.?fill", "short_shot"),
-    ("flash|flsh", "flash"),
-    ("sink", "sink"),
-    ("void|bubble", "void"),
-    ("splay|silver", "splay"),
-    ("burn|diesel", "burn"),
-    ("weld|knit", "weld_line"),
-    ("warp", "warp"),
-    ("^dim|oot|out of tol", "dimensional"),
-    ("speck|blk", "black_specks"),
-    ("contam|foreign", "contamination"),
-    ("gate|vestige", "gate_vestige"),
-    ("^(none|ok|pass)$", "none"),
-]
 DETECTORS = ("ewma_pack", "ewma_fill", "cusum_eof", "cusum_gate_seal", "cusum_pack_var")
 CAVITIES_A_CELL = 32
 #: Chart metrics; values taken relative to a job's start, with the shot column each comes from; the machine's own values.

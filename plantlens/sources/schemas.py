@@ -8,6 +8,22 @@ from __future__ import annotations
 #: The five template values, each with a template, warning and alarm bands.
 BANDED = ("fill_integral", "pack_integral", "peak_pressure_bar", "gate_seal_time_s", "end_of_fill_pressure_bar")
 BANDS = ("template_value", "warning_low", "warning_high", "alarm_low", "alarm_high")
+#: Patterns of free-text defect codes in the order they are tried, and the code that each stands for.
+CODES = [
+    ("short|non.?fill", "short_shot"),
+    ("flash|flsh", "flash"),
+    ("sink", "sink"),
+    ("void|bubble", "void"),
+    ("splay|silver", "splay"),
+    ("burn|diesel", "burn"),
+    ("weld|knit", "weld_line"),
+    ("warp", "warp"),
+    ("^dim|oot|out of tol", "dimensional"),
+    ("speck|blk", "black_specks"),
+    ("contam|foreign", "contamination"),
+    ("gate|vestige", "gate_vestige"),
+    ("^(none|ok|pass)$", "none"),
+]
 
 CSV: dict[str, str] = {
     "engineering/process_sheets": "mold_id string, press_id string, revision string, injection_velocity_mm_s double, switchover_position_mm double, hold_pressure_bar double, hold_time_s double, cooling_time_s double, melt_temp_c double, mold_temp_c double, cycle_time_s double, window_cushion_mm string, window_fill_time_pct double, window_hold_pressure_pct double, window_mold_temp_c double, window_melt_temp_c double, validated_on date",

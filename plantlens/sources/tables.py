@@ -82,9 +82,19 @@ def with_month_of(df: DataFrame, shots: DataFrame, key: str = "shot_id", ts: str
     return df.join(months, key, "left").withColumn("month", F.coalesce("month", F.lit(default)))
 
 
-def rows_of(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The columns of the rows whose key is in ids; only these columns are read."""
-    return spark.read.parquet(path).select(key, *[c for c in columns if c != key]).join(ids.select(key).distinct(), key, "left_semi")
+def rows_of(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: list[str], folders: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of the rows whose key is in ids; only these columns are read.
+
+    `folders`: partition columns of the table that ids has too. The folders that ids name, at most as many as the table
+    has, become a filter on its scan, so a short list of shots opens few files.
+    """
+    rows = spark.read.parquet(path)
+    if folders:
+        named = ids.select(*folders).distinct().collect()
+        for i, f in enumerate(folders):
+            rows = rows.where(F.col(f).isin([v for v in dict.fromkeys(r[i] for r in named) if v is not None]))
+    own = ids.select(key, *folders).distinct()
+    return rows.select(key, *folders, *[c for c in columns if c != key and c not in folders]).join(own, [key, *folders], "left_semi").select(key, *[c for c in columns if c != key])
 
 
 def head(df: DataFrame, order: list[str], n: int = 200) -> DataFrame:
@@ -117,16 +127,16 @@ def staged_sorts(df: DataFrame) -> DataFrame:
 
 
 def staged_tallies(df: DataFrame) -> DataFrame:
-    """Tallies with the hour they stand for: buckets of shift C after midnight belong to the next calendar day."""
+    """Tallies with the hour they stand for: the last shift runs past midnight, so buckets before six belong to the next calendar day."""
     hour = F.col("hour_bucket").cast("int")
-    rolls = (F.col("shift") == "C") & (hour < 12)
+    rolls = hour < 6
     at = F.col("shift_date").cast("timestamp_ntz") + F.make_dt_interval(hours=hour) + F.make_dt_interval(days=F.when(rolls, 1).otherwise(0))
     return df.withColumns({"hour_ts": at, "cavity_id": F.col("cavity_id").cast("int")})
 
 
 def staged_setpoints(df: DataFrame) -> DataFrame:
-    """Setpoint changes; a reason that is unknown is null."""
-    return df.withColumn("reason", F.nullif(F.col("reason_code"), F.lit("unknown"))).drop("reason_code")
+    """Setpoint changes with their size; a reason that is unknown is null."""
+    return df.withColumn("delta", F.col("new_value") - F.col("old_value")).withColumn("reason", F.nullif(F.col("reason_code"), F.lit("unknown"))).drop("reason_code")
 
 
 def staged_shots(df: DataFrame) -> DataFrame:
@@ -135,30 +145,68 @@ def staged_shots(df: DataFrame) -> DataFrame:
 
 
 def staged_returns(df: DataFrame) -> DataFrame:
-    """Returns; a cavity that isn't known is null, quantities are numbers."""
-    return df.withColumns({"attributed_cavity_id": F.col("attributed_cavity_id").cast("int"), "qty": F.col("qty").cast("double")})
+    """Returns; date codes are text, quantities are numbers."""
+    return df.withColumns({"attributed_cavity_id": F.col("attributed_cavity_id").cast("int"), "date_code": F.col("date_code").cast("string"), "qty": F.col("qty").cast("double")})
+
+
+def staged_scrap(df: DataFrame) -> DataFrame:
+    """Plant-wide scrap entries with their free-text codes brought to the code list."""
+    return df.withColumn("defect_code", normalized_code(F.col("defect_code"), schemas.CODES))
 
 
 def staged_inspections(df: DataFrame) -> DataFrame:
-    """Inspection records with the share that failed."""
+    """Inspection records with their raw codes brought to the code list, and the share that failed."""
+    df = df.withColumn("defect_code", normalized_code(F.col("defect_code_raw"), schemas.CODES)).drop("defect_code_raw", "defect_code_clean")
     return df.withColumn("failed_share", ratio(F.col("quantity_failed").cast("double"), F.col("quantity_inspected")))
 
 
-#: What each source is staged with; the others are read as they are declared.
+def staged_pieces(df: DataFrame) -> DataFrame:
+    """Gauged pieces; an empty text of codes is none."""
+    return df.withColumns({"defect_codes": F.nullif("defect_codes", F.lit("")), "cavity_id": F.col("cavity_id").cast("int"), "tray_row": F.col("tray_row").cast("int")})
+
+
+def staged_curves(df: DataFrame) -> DataFrame:
+    """Curve points in milliseconds and bar, with shot and sensor."""
+    return df.withColumns({"t_ms": F.col("t_ms").cast("double"), "pressure_bar": F.col("pressure_bar").cast("double")})
+
+
+def trimmed(df: DataFrame) -> DataFrame:
+    """Texts without blanks around them, empty ones null: tables whose types are already those of their schema."""
+    return df.withColumns({f.name: F.nullif(F.trim(F.col(f.name)), F.lit("")) for f in df.schema.fields if f.dataType.simpleString() == "string"})
+
+
+#: What each source is staged with.
 STAGED = {
-    "qms/first_shot_approvals": staged_approvals,
+    "engineering/process_sheets": trimmed,
+    "erp/part_attributes": trimmed,
     "erp/production_orders": staged_orders,
-    "qms/sort_dispositions": staged_sorts,
-    "qms/scrap_tallies": staged_tallies,
-    "qms/setpoint_changes": staged_setpoints,
+    "hr/inspectors": trimmed,
+    "hr/operators": trimmed,
+    "hr/technicians": trimmed,
+    "materials/dryer_log": trimmed,
+    "materials/material_loads": trimmed,
+    "materials/resin_lots": trimmed,
+    "mes/machine_shot_data": trimmed,
+    "mes/presses": trimmed,
+    "monitoring/cavity_curves": staged_curves,
+    "monitoring/cavity_shot_summary": staged_shots,
+    "monitoring/templates": trimmed,
     "qms/customer_returns": staged_returns,
+    "qms/first_shot_approvals": staged_approvals,
     "qms/inspection_records": staged_inspections,
-    "monitoring/cavity_shot_summary": staged_shots,
+    "qms/qc_audit_pieces": staged_pieces,
+    "qms/qc_audits": trimmed,
+    "qms/scrap_events": staged_scrap,
+    "qms/scrap_tallies": staged_tallies,
+    "qms/setpoint_changes": staged_setpoints,
+    "qms/sort_dispositions": staged_sorts,
+    "toolroom/equipment_service": trimmed,
+    "toolroom/mold_maintenance": trimmed,
 }
 
 
 def staged(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All 25 sources by their last name, staged; the seed beside them."""
     names = [*(n for n in schemas.CSV if not n.startswith("seeds/")), *schemas.TEXT_CSV, *schemas.PARQUET]
-    out = {n.split("/")[1]: STAGED.get(n, lambda df: df)(read(spark, root, n)) for n in names}
+    out = {n.split("/")[1]: STAGED[n](read(spark, root, n)) for n in names}
     return out | {"resin_grades": seed(spark, "resin_grades")}
