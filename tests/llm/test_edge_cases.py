@@ -197,3 +197,21 @@ def test_propagation_settles_with_production_values(spark):
     assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-5 for h in want)
     with pytest.raises(RuntimeError):
         urls.propagated(edges, seeds, rounds=3)
+
+
+def test_pipeline_on_odd_tables(spark, docs, benchmark, tmp_path):
+    """run() and its packing stage on nulls, empty and very long texts, repeated rows, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    good = [(k, f"Line {k} holds its own quite plain words, number {k * 7919}, of which there are enough to pass. " * 1 + " ".join(f"word{k}x{j}" for j in range(60)) + ".") for k in range(20, 26)]
+    own = spark.createDataFrame([*good, good[0], (30, None), (31, "")], "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in ("kept", "pii", "pieces", "sequence_id", "lang", "source")], F.lit(1).cast("long").alias("n_chars"))
+    own.write.parquet(str(tmp_path / "t/documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "t/benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "t")).collect()
+    ids = [r["doc_id"] for r in got if r["piece"] == 0]
+    assert set(ids) <= {k for k, _ in good} and len(ids) == len(set(ids)) >= 5
+    own.limit(0).write.parquet(str(tmp_path / "e/documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "e/benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
+    packed = corpus_pipeline.best_fit_packing(spark, docs, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in packed if r["piece"] == 0) == sorted((i is None, i or 0) for i in (1, 2, 3, 4, 5, 5, 6, None))
