@@ -51,6 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of what the stages keep of documents, packed.
+
+    Null and empty texts go with the quality rules; repeated rows are near duplicates, of which one stays (those without an
+    id stay apart); very long texts go through whole; an empty table gives no rows; further columns are carried along until
+    the packing, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
