@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "ewma double, cusum double, seen long"
@@ -46,8 +45,3 @@ def run_available(spark: SparkSession, folder: str, pattern: str, schema, transf
     query = result.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{out}/data")
-
-
-def hourly_counts(stream: DataFrame, ts: str, kind: str, late: str = "1 hour") -> DataFrame:
-    """Counts by hour and kind with a watermark, for alarm rates while shots come in."""
-    return stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late).groupBy(F.window("_t", "1 hour"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour_ts"), kind, "n")
