@@ -342,6 +342,54 @@ def molding_defect_codes(spark, d):
     return table(spark, d, "events").select("event_id", S.normalized_code(text, CODES).alias("code"))
 
 
+#: Points of limits, shots of fits, rows of a level, and fewest of them: a derived job has a few hundred shots only.
+CHART = {"baseline": 60, "fitted": (20, 100), "level_rows": 50, "least": 10}
+S_ = "partition by job_id, sensor_id, metric order by shot_ts, shot_id"
+
+
+def beyond(z: str, limit: float, rows: int) -> str:
+    """How many of the last rows are beyond the limit on the side that has more."""
+    side = lambda c: f"sum((coalesce({z}, 0) {c})::int) over ({S_} rows between {rows - 1} preceding and current row)"
+    return f"greatest({side(f'> {limit}')}, {side(f'< -{limit}')})"
+
+
+CHARTS = CONTEXT + f""",
+long as ({" union all ".join(f"select shot_id, sensor_id, a.job_id, a.press_id, a.mold_id, a.shot_ts, a.shots_after_approval, '{m}' as metric, s.{m} as value from cavity_shot_summary s join after a using (shot_id) where a.after_approval and s.pack_integral is not null and s.{m} is not null" for m in M.CHARTED)}),
+seq as (select *, row_number() over ({S_}) as point_no, lag(value) over ({S_}) as previous, avg(value) over ({S_} rows between 50 preceding and 1 preceding) as recent, count(value) over ({S_} rows between 50 preceding and 1 preceding) as recent_n from long),
+limits as (select job_id, sensor_id, metric, avg(value) as centre, avg(abs(value - previous)) as mr_bar, stddev_samp(value) as spread from seq where point_no <= 60 group by 1, 2, 3),
+fits as (select job_id, sensor_id, metric, avg(value) as ar_mean, greatest(least(covar_samp(value, previous) / nullif(stddev_samp(value) * stddev_samp(previous), 0), 0.98), 0) as phi from seq where shots_after_approval between 20 and 100 and previous is not null group by 1, 2, 3),
+residuals as (select q.*, centre, mr_bar, spread, value - level - phi * (previous - level) as residual from (select q.*, ar_mean, phi, case when recent_n >= 10 then recent else ar_mean end as level from seq q left join fits using (job_id, sensor_id, metric)) q join limits using (job_id, sensor_id, metric)),
+runs as (select job_id, mold_id, press_id, sensor_id, metric, min(shot_ts) as starts, sum(residual * residual) filter (where shots_after_approval > 20) as ss, count(residual) filter (where shots_after_approval > 20) as n, stddev_samp(residual) filter (where shots_after_approval between 20 and 100) as own from residuals group by 1, 2, 3, 4, 5),
+sigmas as (select job_id, sensor_id, metric, coalesce(sqrt(sum(ss) over w / nullif(sum(n) over w, 0)), own) as sigma from runs window w as (partition by mold_id, press_id, sensor_id, metric order by starts, job_id rows between unbounded preceding and 1 preceding)),
+scored as (select r.*, residual / nullif(sigma, 0) as z, (value - centre) / nullif(mr_bar / 1.128, 0) as zt, (value - centre) / nullif(spread, 0) as zb from residuals r left join sigmas using (job_id, sensor_id, metric)),
+points as (select *, coalesce(abs(z), 0) > 4.05 as we1, {beyond('z', 2.7, 3)} >= 2 as we2, {beyond('z', 1, 5)} >= 4 as we4, {beyond('z', 0, 8)} >= 8 as we5, coalesce(abs(value - previous) > 3.267 * mr_bar, false) as mr_rule,
+    coalesce(abs(zt), 0) > 3 or {beyond('zt', 2, 3)} >= 2 as textbook, coalesce(abs(zb), 0) > 3 or {beyond('zb', 2, 3)} >= 2 as by_baseline from scored)"""
+
+
+def charts_of(spark, d):
+    t = sources(spark, d)
+    t = models_of(t, shots_of(t))
+    return t, materialised(M.chart_points(M.banded_sensors(t["cavity_shot_summary"], t["templates"]), t["shot_context"], **CHART), "chart_points")
+
+
+@BOUND(CHARTS + "select shot_id, " + ", ".join(f"bool_or({c} and point_no > 60) as {c}" for c in M.RULE_LABELS) + ", bool_or((we1 or we2 or we4 or we5 or mr_rule) and point_no > 60) as spc_any, bool_or(textbook and point_no > 60) as rule12_textbook, bool_or(by_baseline and point_no > 60) as rule12_baseline, count(*) as charts, round(max(abs(z)), 6) as largest_z from points group by 1")
+def molding_shot_flags(spark, d):
+    """Rules of all charts by shot: of residuals, of the textbook's and of the baseline's limits, and the largest z."""
+    _, points = charts_of(spark, d)
+    return M.shot_flags(points, CHART["baseline"]).withColumn("largest_z", r6("largest_z"))
+
+
+@BOUND(CHARTS + """, fired as (select *, case when we1 then 'WE1' when we2 then 'WE2' when we4 then 'WE4' when we5 then 'WE5' else 'MR' end as rule, lag(point_no) over (partition by job_id, sensor_id, metric order by point_no) as before from points where point_no > 60 and (we1 or we2 or we4 or we5 or mr_rule)),
+alarms as (select * from fired where before is null or point_no - before > 1), changes as (select * from setpoint_changes where old_value is distinct from new_value)
+select a.shot_id, sensor_id, metric, rule, point_no, round(z, 6) as z, case when epoch(date_trunc('second', c.change_ts)) - epoch(date_trunc('second', a.shot_ts)) <= 3600 then c.change_id end as change_id, case when epoch(date_trunc('second', c.change_ts)) - epoch(date_trunc('second', a.shot_ts)) <= 3600 then c.parameter end as parameter, case when epoch(date_trunc('second', c.change_ts)) - epoch(date_trunc('second', a.shot_ts)) <= 3600 then c.reason end as reason
+from alarms a asof left join changes c on a.press_id = c.press_id and a.shot_ts <= c.change_ts""")
+def molding_chart_alarms(spark, d):
+    """New alarms of the charts with the change that a technician made within the hour."""
+    t, points = charts_of(spark, d)
+    x = M.chart_alarms(points, t["setpoint_changes"], CHART["baseline"])
+    return x.select("shot_id", "sensor_id", "metric", "rule", "point_no", r6("z"), F.col("change_change_id").alias("change_id"), F.col("change_parameter").alias("parameter"), F.col("change_reason").alias("reason"))
+
+
 @BOUND()
 def molding_drift_state(spark, d):
     """All five detectors; recurrences, so tests hold them against loops."""

@@ -186,19 +186,21 @@ def shot_context(shots: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return x.withColumn("cavity_blocked", blocked.isNotNull() & (freed.isNull() | (blocked < freed)))
 
 
-def chart_points(sensors: DataFrame, context: DataFrame) -> DataFrame:
+def chart_points(sensors: DataFrame, context: DataFrame, baseline: int = 500, fitted: tuple[int, int] = (200, 1000), level_rows: int = 500, least: int = 100) -> DataFrame:
     """Long chart points of production shots with residuals, z scores and rules: of the residual, of the textbook's and of the baseline's sigma.
 
-    Fits and own spreads are over the shots 200 to 1,000 after approval; a job without them has points without residuals.
+    Limits are over the first `baseline` points, fits and own spreads over the shots `fitted` after approval, both included;
+    a job without them has points without residuals.
     """
     keys, order = ["job_id", "sensor_id", "metric"], ["shot_ts", "shot_id"]
     own = sensors.drop("job_id").join(context.where("after_approval").select("shot_id", "job_id", "shots_after_approval"), "shot_id")
     long = C.unpivoted(own.where("pack_integral is not null"), ["shot_id", "shot_ts", "job_id", "mold_id", "press_id", "sensor_id", "shots_after_approval"], list(CHARTED))
     x = C.charted(long, keys, order)
-    limits = C.imr_limits(x, keys).select(*keys, "mr_bar", "centre", "sigma_range", "sigma_baseline")
-    fit = C.ar1_fit(x.where("previous is not null"), keys, 199, 1000, position="shots_after_approval")
-    r = C.ar1_residual(x, fit, keys, order, how="left")
-    sigma = C.pooled_sigma(r, ["job_id"], ["mold_id", "press_id", "sensor_id", "metric"], "shot_ts", 200, 199, 1000, position="shots_after_approval").select("job_id", "sensor_id", "metric", "sigma")
+    limits = C.imr_limits(x, keys, baseline).select(*keys, "mr_bar", "centre", "sigma_range", "sigma_baseline")
+    first, last = fitted
+    fit = C.ar1_fit(x.where("previous is not null"), keys, first - 1, last, position="shots_after_approval")
+    r = C.ar1_residual(x, fit, keys, order, level_rows, least, how="left")
+    sigma = C.pooled_sigma(r, ["job_id"], ["mold_id", "press_id", "sensor_id", "metric"], "shot_ts", first, first - 1, last, position="shots_after_approval").select("job_id", "sensor_id", "metric", "sigma")
     r = r.join(sigma, keys, "left").join(limits, keys).withColumns(C.z_scores())
     r = C.run_rules(r, keys, order, "z", 4.05, 2.70)
     for sigma_of in ("textbook", "baseline"):
