@@ -160,7 +160,8 @@ class Index:
             bound = self.most.sums(terms[common], q[common], self.blocks)
             open_ = cosine + np.repeat(bound, BLOCK)[:n] >= max(least, 1e-12)
             rows = np.flatnonzero(open_)
-            if len(rows) > COMMON * n:
+            # Whichever reads fewer entries: the common terms' postings, or the open examples' texts.
+            if self.postings.size[terms[common]].sum() < self.texts.size[rows].sum():
                 cosine += self.postings.sums(terms[common], q[common], n)
             else:
                 asked = np.zeros(len(self.idf))
