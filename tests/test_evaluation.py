@@ -98,3 +98,28 @@ def test_chance_leaves_metrology_out(spark):
     credited = evaluate.lookback_credit(defects, alarms, "key", "hour", layers)
     r = evaluate.coverage_and_chance(credited, "qty", good, ["gid"], alarms, "key", "hour", layers).first()
     assert r["detected"] == 1.0 and r["chance"] == pytest.approx(1 / 3)
+
+
+def test_weights_of_a_batch_are_those_of_the_hash(spark):
+    units = ["", "0", "7", "12345", "x" * 49, "x" * 60, "é"]
+    df = spark.createDataFrame([(u,) for u in units], "u string").select("u", F.explode(F.sequence(F.lit(1), F.lit(101))).alias("r"))
+    one = {(r["u"], r["r"]): r["w"] for r in df.select("u", "r", evaluate.poisson_weight(F.col("u"), F.col("r"), 7).alias("w")).collect()}
+    drawn = evaluate.poisson_weights(units, 101, 7)
+    assert all(drawn[r - 1, k] == one[u, r] for k, u in enumerate(units) for r in range(1, 102))
+
+
+def test_resampled_rates_give_a_row_a_replicate_and_task(spark):
+    """No row a cluster and replicate: what is shuffled after the draw doesn't grow with clusters."""
+    rows = [(k, k % 3 == 0, None if k % 7 == 0 else k % 2 == 0, "w" if k % 5 else None) for k in range(600)]
+    df = spark.createDataFrame(rows, "unit int, bad boolean, flag boolean, season string").unionByName(spark.createDataFrame([(None, True, True, "w")], "unit int, bad boolean, flag boolean, season string"))
+    x = evaluate.rates_with_intervals(df, ["season"], "unit", ["flag"], {"all": F.lit(True)}, "bad", replicates=20)
+    assert "explode(sequence" not in x._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["season"]: r for r in x.collect()}
+    assert set(got) == {"w", None}
+    for season, r in got.items():
+        own = [v for v in [*rows, (None, True, True, "w")] if v[3] == season]
+        drawn = evaluate.poisson_weights(["" if v[0] is None else str(v[0]) for v in own], 20, 7)
+        on, bad = (np.array([bool(v[k]) for v in own]) for k in (2, 1))
+        rate = (drawn @ (on & bad)) / np.maximum(drawn @ bad, 1)
+        assert (r["flagged_bad"], r["n_bad"], r["n_good"]) == ((on & bad).sum(), bad.sum(), (~bad).sum())
+        assert (r["rate_bad_low"], r["rate_bad_high"]) == (pytest.approx(np.quantile(rate, 0.025)), pytest.approx(np.quantile(rate, 0.975)))
