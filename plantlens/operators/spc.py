@@ -27,10 +27,25 @@ def charted(df: DataFrame, keys: list[str], order: list[str], value: str = "valu
     return x.withColumn("moving_range", F.abs(F.col(value) - F.col("previous")))
 
 
+def _limit_sums(on: Column, value: str) -> dict[str, Column]:
+    v = F.when(on, F.col(value))
+    return {"n": F.count(v), "centre": F.avg(v), "mr_bar": F.avg(F.when(on, F.col("moving_range"))), "sigma_baseline": F.stddev_samp(v)}
+
+
+def _fit_sums(on: Column, value: str) -> dict[str, Column]:
+    """Count, mean and spread, and the sums of the lag-1 coefficient: covariance and product of spreads."""
+    v, pair = F.when(on, F.col(value)), on & F.col(value).isNotNull() & F.col("previous").isNotNull()
+    x, y = F.when(pair, F.col(value)), F.when(pair, F.col("previous"))
+    return {"ar_n": F.count(v), "ar_mean": F.avg(v), "ar_sd": F.stddev_samp(v), "_c": F.covar_samp(x, y), "_sx": F.stddev_samp(x), "_sy": F.stddev_samp(y)}
+
+
+def _phi() -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(0.98), F.col("_c") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))))
+
+
 def imr_limits(points: DataFrame, keys: list[str], baseline: int = 500, value: str = "value") -> DataFrame:
     """One row per series: centre, sigma from the moving range and from the baseline's spread, limits."""
-    base = points.where(F.col("point_no") <= baseline)
-    out = base.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("centre"), F.avg("moving_range").alias("mr_bar"), F.stddev_samp(value).alias("sigma_baseline"))
+    out = points.where(F.col("point_no") <= baseline).groupBy(*keys).agg(*[c.alias(k) for k, c in _limit_sums(F.lit(True), value).items()])
     sigma = F.col("mr_bar") / RANGE_TO_SIGMA
     return out.withColumns({"sigma_range": sigma, "upper": F.col("centre") + 3 * sigma, "lower": F.col("centre") - 3 * sigma, "range_upper": RANGE_LIMIT * F.col("mr_bar")})
 
@@ -41,19 +56,34 @@ def ar1_fit(points: DataFrame, keys: list[str], first: int, last: int, value: st
     The coefficient is that of sums, which a constant series makes null; then, as in least(0.98, null), it is 0.98.
     """
     own = points.where((F.col(position) > first) & (F.col(position) <= last))
-    pair = F.col(value).isNotNull() & F.col("previous").isNotNull()
-    x, y = F.when(pair, F.col(value)), F.when(pair, F.col("previous"))
-    out = own.groupBy(*keys).agg(F.count(value).alias("ar_n"), F.avg(value).alias("ar_mean"), F.stddev_samp(value).alias("ar_sd"), F.covar_samp(x, y).alias("_c"), (F.stddev_samp(x) * F.stddev_samp(y)).alias("_s"))
-    phi = F.greatest(F.lit(0.0), F.least(F.lit(0.98), F.col("_c") / F.nullif("_s", F.lit(0.0))))
-    return out.withColumn("phi", phi).drop("_c", "_s")
+    out = own.groupBy(*keys).agg(*[c.alias(k) for k, c in _fit_sums(F.lit(True), value).items()])
+    return out.withColumn("phi", _phi()).drop("_c", "_sx", "_sy")
+
+
+def with_limits_and_fit(points: DataFrame, keys: list[str], baseline: int, first: int, last: int, value: str = "value", position: str = "point_no") -> DataFrame:
+    """Points with the limits of imr_limits and the fit of ar1_fit, whose points have one before them, in the same pass over the series."""
+    w = Window.partitionBy(*keys)
+    sums = _limit_sums(F.col("point_no") <= baseline, value)
+    sums |= _fit_sums((F.col(position) > first) & (F.col(position) <= last) & F.col("previous").isNotNull(), value)
+    x = points.withColumns({k: sums[k].over(w) for k in ("centre", "mr_bar", "sigma_baseline", "ar_mean", "_c", "_sx", "_sy")})
+    return x.withColumns({"sigma_range": F.col("mr_bar") / RANGE_TO_SIGMA, "phi": _phi()}).drop("_c", "_sx", "_sy")
+
+
+def trailing_level(points: DataFrame, keys: list[str], order: list[str], rows: int = 500, value: str = "value") -> DataFrame:
+    """Points with mean and count of the `rows` before them."""
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
+    return points.withColumns({"recent_mean": F.avg(value).over(frame), "recent_n": F.count(value).over(frame)})
+
+
+def about_level(points: DataFrame, least: int = 100, value: str = "value") -> DataFrame:
+    """Points with their level (trailing mean, with few rows the fit's mean) and the AR(1) residual about it."""
+    x = points.withColumn("level", F.when(F.col("recent_n") >= least, F.col("recent_mean")).otherwise(F.col("ar_mean")))
+    return x.withColumn("residual", (F.col(value) - F.col("level")) - F.col("phi") * (F.col("previous") - F.col("level")))
 
 
 def ar1_residual(points: DataFrame, fit: DataFrame, keys: list[str], order: list[str], level_rows: int = 500, least: int = 100, value: str = "value", how: str = "inner") -> DataFrame:
     """Points with their level (trailing mean, with few rows the fit's mean) and the AR(1) residual about it; how="left" keeps series without a fit."""
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-level_rows, -1)
-    x = points.withColumns({"recent_mean": F.avg(value).over(frame), "recent_n": F.count(value).over(frame)}).join(fit, keys, how)
-    x = x.withColumn("level", F.when(F.col("recent_n") >= least, F.col("recent_mean")).otherwise(F.col("ar_mean")))
-    return x.withColumn("residual", (F.col(value) - F.col("level")) - F.col("phi") * (F.col("previous") - F.col("level")))
+    return about_level(trailing_level(points, keys, order, level_rows, value).join(fit, keys, how), least, value)
 
 
 def pooled_sigma(residuals: DataFrame, run_keys: list[str], group_keys: list[str], run_order: str, skip: int, own_first: int, own_last: int, position: str = "point_no") -> DataFrame:
