@@ -37,14 +37,39 @@ def _with_missing(scored: DataFrame, df: DataFrame, features: list[str], into: s
     return scored.unionByName(df.where(missing).withColumn(into, F.lit(None).cast("double")))
 
 
-def boosted(df: DataFrame, features: list[str], target: str, split: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "predicted") -> DataFrame:
-    """df with a boosted regression's prediction, fit on train rows with early stopping on valid rows; null where a feature is missing."""
+def alike(df: DataFrame, features: list[str], target: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows of equal features (and keys) as one: their number, the total and the squares of their target, which add up over keys.
+
+    Rows without target are left out. Boosting with squared error takes no more from rows of equal features than these sums.
+    """
+    y = F.col(target).cast("double")
+    return df.where(y.isNotNull()).groupBy(*(keys or []), *features).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_total"), F.sum(y * y).alias("_squares"))
+
+
+def _boosting(sums: DataFrame, features: list[str], target: str, rounds: int, depth: int, seed: int, into: str):
+    """Boosting fitted on a table of `alike` with _valid, in which features may repeat; valid rows stop it.
+
+    Equal features become two rows of half their weight, a standard deviation above and below the mean (one, where there is
+    no deviation), so weight, total and squares are those of all rows they stand for: in splits, leaves and validation error.
+    Up to 256 bins a feature, as in the reference's histograms; MLlib samples for them beyond 65,536 (256 squared) of these rows.
+    """
     from pyspark.ml.regression import GBTRegressor
 
-    x = _assembled(df, features).withColumn("_valid", F.col(split) == "valid")
-    gbt = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol=into, maxIter=rounds, maxDepth=depth, seed=seed, validationIndicatorCol="_valid")
-    fit = gbt.fit(x.where(F.col(split).isin("train", "valid") & F.col(target).isNotNull()).select("_features", target, "_valid"))
-    return _with_missing(fit.transform(x).drop("_features", "_valid"), df, features, into)
+    x = sums.groupBy("_valid", *features).agg(*[F.sum(c).alias(c) for c in ("_n", "_total", "_squares")])
+    x = x.withColumn("_mean", F.col("_total") / F.col("_n"))
+    x = x.withColumn("_spread", F.sqrt(F.greatest(F.col("_squares") / F.col("_n") - F.col("_mean") * F.col("_mean"), F.lit(0.0))))
+    x = x.withColumn("_sides", F.when(F.col("_spread") > 0, F.array(-F.col("_spread"), F.col("_spread"))).otherwise(F.array(F.lit(0.0))))
+    x = x.select("_valid", *features, "_mean", (F.col("_n") / F.size("_sides")).alias("_weight"), F.explode("_sides").alias("_side"))
+    x = materialised(x.select("_valid", *features, "_weight", (F.col("_mean") + F.col("_side")).alias(target)), "alike")  # a fit reads it several times
+    gbt = GBTRegressor(featuresCol="_features", labelCol=target, weightCol="_weight", predictionCol=into, maxIter=rounds, maxDepth=depth, maxBins=256, seed=seed, validationIndicatorCol="_valid")
+    return gbt.fit(_assembled(x, features).select("_features", target, "_weight", "_valid"))
+
+
+def boosted(df: DataFrame, features: list[str], target: str, split: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "predicted") -> DataFrame:
+    """df with a boosted regression's prediction, fit on train rows with early stopping on valid rows; null where a feature is missing."""
+    own = df.where(F.col(split).isin("train", "valid")).withColumn("_valid", F.col(split) == "valid")
+    fit = _boosting(alike(own, features, target, ["_valid"]), features, target, rounds, depth, seed, into)
+    return _with_missing(fit.transform(_assembled(df, features)).drop("_features"), df, features, into)
 
 
 def classified(df: DataFrame, features: list[str], label: str, split: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "score") -> DataFrame:
@@ -89,32 +114,35 @@ def medians(df: DataFrame, by: list, measures: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.median(m).alias(m) for m in measures])
 
 
-def rolling_origin(df: DataFrame, period: str, first: str, fit, held_out: bool = False) -> DataFrame:
+def rolling_origin(df: DataFrame, period: str, first: str, fit, held_out: bool = False, learn: DataFrame | None = None) -> DataFrame:
     """Rows of each period from `first` on, scored by a model of all rows before the period.
 
     `fit` takes the past rows and returns a function that scores a DataFrame; with `held_out` it takes the rows before the
     last period of the past and the rows of that one, on which boosting stops. Periods are few; each fit is a Spark job of
-    its own, and the scored periods are one union. With `held_out` a period needs two before it.
+    its own, and the scored periods are one union. With `held_out` a period needs two before it. `learn` is what fits get in
+    place of df's rows, such as their sums by period, made once for all origins.
     """
+    rows = df if learn is None else learn
     every = sorted(r[0] for r in df.select(period).distinct().collect() if r[0] is not None)
     out, edge = None, lambda at: F.lit(str(at)).cast("timestamp_ntz")
     for k, at in enumerate(every):
         if str(at) < first or held_out and k < 2:
             continue
-        past = df.where(F.col(period) < edge(every[k - 1] if held_out else at))
-        model = fit(past, df.where(F.col(period) == edge(every[k - 1]))) if held_out else fit(past)
+        past = rows.where(F.col(period) < edge(every[k - 1] if held_out else at))
+        model = fit(past, rows.where(F.col(period) == edge(every[k - 1]))) if held_out else fit(past)
         now = model(df.where(F.col(period) == edge(at)))
         out = now if out is None else out.unionByName(now)
     return df.limit(0) if out is None else out
 
 
-def boosted_model(train: DataFrame, valid: DataFrame, features: list[str], target: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "predicted"):
-    """A function that scores a DataFrame by boosting fitted on `train`, stopped by `valid`; null where a feature is missing."""
-    from pyspark.ml.regression import GBTRegressor
+def boosted_model(train: DataFrame, valid: DataFrame, features: list[str], target: str, rounds: int = 20, depth: int = 4, seed: int = 7, into: str = "predicted", summed: bool = False):
+    """A function that scores a DataFrame by boosting fitted on `train`, stopped by `valid`; null where a feature is missing.
 
+    With `summed`, train and valid are tables of `alike`.
+    """
+    train, valid = (x if summed else alike(x, features, target) for x in (train, valid))
     both = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
-    x = _assembled(both.where(F.col(target).isNotNull()), features).select("_features", target, "_valid")
-    model = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol=into, maxIter=rounds, maxDepth=depth, seed=seed, validationIndicatorCol="_valid").fit(x)
+    model = _boosting(both, features, target, rounds, depth, seed, into)
     return lambda df: _with_missing(model.transform(_assembled(df, features)).drop("_features"), df, features, into)
 
 

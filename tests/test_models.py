@@ -153,6 +153,49 @@ def test_boosting_by_origin_follows_drift_and_holds_a_month_out(spark):
     assert off[2] > 1.5 and off[4] < off[2] / 1.5
 
 
+def test_boosting_fits_sums_of_equal_rows_and_gives_what_all_rows_give(spark, monkeypatch):
+    from pyspark.ml.base import Estimator
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = random.Random(5)
+    level, rows = {(a, b): rng.gauss(0, 5) for a in range(12) for b in range(8)}, []
+    for i in range(3000):
+        m, a, b = i % 4, rng.randrange(12), rng.randrange(8)
+        missing = rng.random() < 0.02
+        rows.append((i, month(m), None if missing else float(a), float(b), None if rng.random() < 0.02 else level[a, b] + rng.gauss(0, 3)))
+    df = spark.createDataFrame(rows, "id long, m timestamp_ntz, a double, b double, y double").repartition(3)
+    sizes, trees = [], []
+
+    def counted(self, dataset, params=None):
+        sizes.append(dataset.count())
+        model = Estimator.fit(self, dataset, params)
+        trees.append(model.getNumTrees)
+        return model
+
+    monkeypatch.setattr(GBTRegressor, "fit", counted)
+    fit = lambda train, valid, **k: metrology.boosted_model(train, valid, ["a", "b"], "y", rounds=30, depth=3, **k)
+    got = metrology.rolling_origin(df, "m", "2025-01-01", fit, held_out=True).collect()
+    # 96 whole vectors of features, each as two rows at most for train and for valid, however many rows there are.
+    assert len(sizes) == 2 and max(sizes) <= 2 * 2 * 96 and len(got) == 1500
+    sums = metrology.alike(df, ["a", "b"], "y", ["m"])
+    once = metrology.rolling_origin(df, "m", "2025-01-01", lambda t, v: fit(t, v, summed=True), held_out=True, learn=sums).collect()
+    split = F.when(F.col("m") < "2025-03-01", "train").when(F.col("m") < "2025-04-01", "valid").otherwise("test")
+    by_split = metrology.boosted(df.withColumn("s", split), ["a", "b"], "y", "s", rounds=30, depth=3).where("s = 'test'").collect()
+    assert max(sizes) <= 2 * 2 * 96
+    # The same fits on all rows, by MLlib alone; noise within equal rows counts when validation stops them.
+    plain = {}
+    for k in (2, 3):
+        x = metrology._assembled(df.where((F.col("m") < str(month(k))) & F.col("y").isNotNull()).withColumn("_valid", F.col("m") == F.lit(month(k - 1))), ["a", "b"])
+        model = GBTRegressor(featuresCol="_features", labelCol="y", maxIter=30, maxDepth=3, maxBins=256, seed=7, validationIndicatorCol="_valid").fit(x)
+        plain |= {r["id"]: r["prediction"] for r in model.transform(metrology._assembled(df.where(F.col("m") == F.lit(month(k))), ["a", "b"])).collect()}
+    assert trees[:2] == trees[2:4] == trees[5:] and trees[4] == trees[6] and all(1 < t < 30 for t in trees), trees
+    for found, n in ((got, 1500), (once, 1500), (by_split, 750)):
+        assert len(found) == n
+        for r in found:
+            assert (r["predicted"] is None) == (r["a"] is None)
+            assert r["a"] is None or abs(r["predicted"] - plain[r["id"]]) < 1e-9, (r, plain[r["id"]])
+
+
 @pytest.mark.parametrize("size, block", [(5, 7), (31, 40), (301, 20_000)])
 def test_sliding_median_equals_plain_windows(spark, size, block):
     from plantlens.operators import mechanisms
