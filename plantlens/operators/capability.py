@@ -48,10 +48,11 @@ def xbar_r(groups: DataFrame, keys: list[str], order: list[str], baseline: int =
 def audit_rules(audits: DataFrame, keys: list[str], order: list[str], value: str, baseline: int = 25) -> DataFrame:
     """Audits with z of their mean against the first `baseline` audits of their key, and run rules 1, 2, 4 and 5 as a text.
 
-    A rule that needs n audits says nothing on the first n - 1.
+    A rule that needs n audits says nothing on the first n - 1. Audits without a key have no baseline and are left out;
+    those without an order are a key's last.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = audits.withColumn("audit_no", F.row_number().over(w))
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    x = audits.dropna(subset=keys).withColumn("audit_no", F.row_number().over(w))
     base = F.when(F.col("audit_no") <= baseline, F.col(value))
     whole = Window.partitionBy(*keys)
     x = x.withColumn("z", ratio(F.col(value) - F.avg(base).over(whole), F.stddev_samp(base).over(whole)))
