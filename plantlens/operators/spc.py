@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof_join
-from .windows import START
+from .windows import RUNNING, START, recent, running
 
 #: Mean range of two over sigma; control limit of the moving range over its mean.
 RANGE_TO_SIGMA, RANGE_LIMIT = 1.128, 3.267
@@ -71,8 +71,8 @@ def with_limits_and_fit(points: DataFrame, keys: list[str], baseline: int, first
 
 def trailing_level(points: DataFrame, keys: list[str], order: list[str], rows: int = 500, value: str = "value") -> DataFrame:
     """Points with mean and count of the `rows` before them."""
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
-    return points.withColumns({"recent_mean": F.avg(value).over(frame), "recent_n": F.count(value).over(frame)})
+    x = running(points, keys, order, value)
+    return x.withColumns(recent(Window.partitionBy(*keys).orderBy(*order), rows)).drop(*RUNNING)
 
 
 def about_level(points: DataFrame, least: int = 100, value: str = "value") -> DataFrame:
