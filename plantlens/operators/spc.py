@@ -61,12 +61,16 @@ def ar1_fit(points: DataFrame, keys: list[str], first: int, last: int, value: st
 
 
 def with_limits_and_fit(points: DataFrame, keys: list[str], baseline: int, first: int, last: int, value: str = "value", position: str = "point_no") -> DataFrame:
-    """Points with the limits of imr_limits and the fit of ar1_fit, whose points have one before them, in the same pass over the series."""
+    """Points with the limits of imr_limits and the fit of ar1_fit, whose points have one before them, in the same pass over the series.
+
+    A series without points to fit has no coefficient, as it has no row in ar1_fit.
+    """
     w = Window.partitionBy(*keys)
     sums = _limit_sums(F.col("point_no") <= baseline, value)
-    sums |= _fit_sums((F.col(position) > first) & (F.col(position) <= last) & F.col("previous").isNotNull(), value)
-    x = points.withColumns({k: sums[k].over(w) for k in ("centre", "mr_bar", "sigma_baseline", "ar_mean", "_c", "_sx", "_sy")})
-    return x.withColumns({"sigma_range": F.col("mr_bar") / RANGE_TO_SIGMA, "phi": _phi()}).drop("_c", "_sx", "_sy")
+    fitted = (F.col(position) > first) & (F.col(position) <= last) & F.col("previous").isNotNull()
+    sums |= _fit_sums(fitted, value) | {"_fitted": F.count(F.when(fitted, 1))}
+    x = points.withColumns({k: sums[k].over(w) for k in ("centre", "mr_bar", "sigma_baseline", "_fitted", "ar_mean", "_c", "_sx", "_sy")})
+    return x.withColumns({"sigma_range": F.col("mr_bar") / RANGE_TO_SIGMA, "phi": F.when(F.col("_fitted") > 0, _phi())}).drop("_fitted", "_c", "_sx", "_sy")
 
 
 def trailing_level(points: DataFrame, keys: list[str], order: list[str], rows: int = 500, value: str = "value") -> DataFrame:
