@@ -140,13 +140,22 @@ def carried(df: DataFrame, keys: list[str], order: list[str], into: str, reset:
 
 
 def log_spread(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 200, least: int = 100, first: int = 100, last: int = 500, every: int = 50) -> DataFrame:
-    """Every `every`-th row: log of the rolling spread over the median of the baseline's."""
+    """Every `every`-th row: log of the rolling spread over the median of the baseline's.
+
+    Rows go to the readings that they are within, some `size` / `every` of them; a spread at every row is made for the baseline alone.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    x = df.withColumns({"_pos": F.row_number().over(w) - 1, "spread": rolling_spread(F.col(value), w, size, least)})
-    base = F.median(F.when((F.col("_pos") >= first) & (F.col("_pos") < last), F.col("spread"))).over(Window.partitionBy(*keys))
-    x = x.withColumn("_base", base)
+    x = df.withColumn("_pos", F.row_number().over(w) - 1)
+    early = x.where(F.col("_pos") < last).withColumn("_spread", rolling_spread(F.col(value), w, size, least))
+    base = early.where(F.col("_pos") >= first).groupBy(*keys).agg(F.median("_spread").alias("_base"))
+    own = F.floor(F.col("_pos") / every)
+    within = x.select(*keys, value, "_pos", F.explode(F.sequence(own, F.greatest(own, F.floor((F.col("_pos") + size - every) / every)))).alias("_reading"))
+    within = within.where(F.col("_pos") >= (F.col("_reading") + 1) * every - size)
+    spreads = within.groupBy(*keys, "_reading").agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"))
+    x = x.where(F.col("_pos") % every == every - 1).withColumn("_reading", own).join(spreads, [*keys, "_reading"]).join(base, keys, "left")
+    x = x.withColumn("spread", F.when(F.col("_n") >= least, F.col("_sd")))
     z = F.when((F.col("spread") > 0) & (F.col("_base") > 0), F.log(F.col("spread") / F.col("_base")))
-    return x.withColumn("z", z).where(F.col("_pos") % every == every - 1).drop("_pos", "_base")
+    return x.withColumn("z", z).drop("_pos", "_base", "_reading", "_n", "_sd")
 
 
 def rearmed(df: DataFrame, keys: list[str], order: list[str], signal: str, reset: str = "reset", rearm: int = 3000) -> DataFrame:
